@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import byte_bpe, packing
+from searchloom.llm import byte_bpe, packing, vectors, warc
 from searchloom.llm.tables import table
 
 
@@ -24,5 +24,43 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op7_packing": op7_packing}
-ORACLES: dict[str, str] = {}
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double")).alias("embedding"))
+    return vectors.exact_topk(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read_pages(spark, archive)
+
+
+QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_nearest": op6_nearest,
+    "op7_packing": op7_packing,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             t AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS d FROM e),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+                   FROM t q JOIN t c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+             r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+             m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM m""",
+}
