@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import byte_bpe, packing, vectors, warc
+from searchloom.llm import byte_bpe, packing, repeats, vectors, warc
 from searchloom.llm.tables import table
 
 
@@ -39,8 +39,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, archive)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_repeats": op2_repeats,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_nearest": op6_nearest,
     "op7_packing": op7_packing,
