@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import byte_bpe, packing, repeats, vectors, warc
+from searchloom.llm import byte_bpe, jaccard, packing, repeats, vectors, warc
 from searchloom.llm.tables import table
 
 
@@ -34,6 +34,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write(table(spark, sf_dir, "pages"))
     return warc.read_pages(spark, archive)
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_nearest": op6_nearest,
     "op7_packing": op7_packing,
+    "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
