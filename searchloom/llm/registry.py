@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import byte_bpe, jaccard, packing, repeats, vectors, warc
+from searchloom.llm import byte_bpe, jaccard, labelled, packing, quality, repeats, toxicity, vectors, warc
 from searchloom.llm.tables import table
 
 
@@ -34,6 +34,22 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
+def _scored(module, spark: SparkSession, sf_dir: str, modulus: int, held: int) -> DataFrame:
+    """Scores of all documents by a model fitted on labels whose key's remainder isn't held."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = labelled.remainder("doc_id", modulus)
+    out = module.score(docs, module.train(docs, labels, rest != held))
+    return out.select("doc_id", (rest == held).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality, spark, sf_dir, 5, 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity, spark, sf_dir, 4, 2)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -52,9 +68,11 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_repeats": op2_repeats,
+    "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_nearest": op6_nearest,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
 }
