@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import byte_bpe, jaccard, labelled, packing, quality, repeats, toxicity, vectors, warc
+from searchloom.llm import byte_bpe, jaccard, labelled, packing, quality, repeats, secrets, toxicity, vectors, warc
 from searchloom.llm.tables import table
 
 
@@ -29,6 +29,12 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_topk(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each secret found: where it is, the rule, the score and its digest."""
+    out = secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", F.explode("findings").alias("f"))
+    return out.select("doc_id", F.col("f.start").alias("start_char"), F.col("f.n_chars").alias("n_chars"), F.col("f.rule").alias("rule"), F.col("f.score").alias("score"), F.sha2("f.value", 256).alias("secret_sha256"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vectors.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_repeats": op2_repeats,
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_secrets": op5_secrets,
     "op6_nearest": op6_nearest,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
