@@ -1,0 +1 @@
+"""Document-retrieval and index analytics on Spark DataFrames."""
