@@ -65,10 +65,10 @@ def embed(df: DataFrame, name: str, text: str = "chunk", out: str = "vector") ->
 
     make = EMBEDDERS[name]
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         model = make()
         for s in batches:
             yield pd.Series(list(model(s.tolist())))
 
-    return df.withColumn(out, run(F.col(text)))
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
