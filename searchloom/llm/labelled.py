@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents taken of each class at most, and the longest text taken.
-SAMPLE, SAMPLE_CHARS = 4000, 1 << 16
+SAMPLE, SAMPLE_CHARS = 2500, 20_000
 
 
 def remainder(key: str, modulus: int):
@@ -23,12 +23,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, text: str = "t
     count = {r.y: r["count"] for r in marks.where("y IN (0, 1)").groupBy("y").count().collect()}
     picked = None
     for y in (0, 1):
-        part = marks.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(size * 2)
+        part = marks.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(size + size // 4)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.where(F.col(text).isNotNull() & (F.length(text) <= chars)).select(F.col(key), F.col(text).alias("t")).join(F.broadcast(picked), key)
-    got = rows.select(F.col(key).alias("k"), "t", "y").orderBy(F.xxhash64("k"), "k", "t").collect()
+    got = rows.select(F.col(key).alias("k"), "t", "y").orderBy(F.xxhash64("k"), "k", "t")
     texts, ys, seen = [], [], [0, 0]
-    for r in got:
+    for r in got.toLocalIterator():
         if seen[r.y] < size:
             seen[r.y] += 1
             texts.append(r.t)

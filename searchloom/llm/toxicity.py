@@ -119,7 +119,7 @@ def norms(sub, weight):
     return np.sqrt(out)
 
 
-def by_length(codes_flat, a, b, most: int = 200_000):
+def by_length(codes_flat, a, b, most: int = 50_000):
     """Groups (rows, codes matrix, with START and END) of words with one length
     from 3 to LONGEST."""
     lens = b - a
@@ -167,11 +167,7 @@ class Machine:
             nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
             sa = np.minimum(np.repeat(la, k) + nth * (LONGEST // 2), np.repeat(lb, k) - LONGEST)
             a, b = np.concatenate([a[~long], sa]), np.concatenate([b[~long], sa + LONGEST])
-            up, down = powers(len(cp))
-            c = np.zeros(len(cp) + 1, U64)
-            np.cumsum(mix(codes.astype(U64) + U64(1)) * up[: len(cp)], out=c[1:])
-            h = mix((c[b] - c[a]) * down[a] + (b - a).astype(U64))
-            _, example, which = np.unique(h, return_index=True, return_inverse=True)
+            _, example, which = np.unique(_word_hash(codes, a, b), return_index=True, return_inverse=True)
             m = self.margins(codes, a[example], b[example])[which]
             np.maximum.at(best, np.searchsorted(starts, a, side="right") - 1, m)
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(best, -4) + self.shift, -30, 30)))
@@ -184,7 +180,7 @@ def _flat(texts):
 
 def _kernel(words, marks):
     """Normalised kernels of words (bytes of letter codes) with landmarks."""
-    out = np.zeros((len(words), len(marks)))
+    out = np.zeros((len(words), len(marks)), np.float32)
     flat = lambda ws: (np.frombuffer(b"".join(ws), np.uint8), np.cumsum([0, *map(len, ws)])[:-1], np.cumsum([0, *map(len, ws)])[1:])
     row = np.full(CODES**3, -1, np.int32)
     cells = []
@@ -198,7 +194,7 @@ def _kernel(words, marks):
     table = np.zeros((len(used) + 1, len(marks)), np.float32)
     for i, s, x in cells:
         np.add.at(table[:, i], row[s], x)
-    for own, codes in by_length(*flat(words), most=4_000):
+    for own, codes in by_length(*flat(words), most=1_000):
         sub, w = features(codes)
         norm = norms(sub, w)
         out[own] = np.einsum("nt,ntm->nm", w, table[row[sub]]) / np.maximum(norm, 1e-9)[:, None]
@@ -221,26 +217,44 @@ def _hinge(x, y, weight, ridge):
     return w
 
 
+def _vocabulary(texts: list[str]):
+    """(words, as bytes of letter codes; distinct (text, word) rows), taking some
+    texts at a time."""
+    ids: dict[bytes, int] = {}
+    rows = []
+    size = np.append(0, np.cumsum([len(t) for t in texts]))
+    for i, j in segments(size, 1 << 17):
+        cp, starts = _flat(texts[i:j])
+        a, b = words_of(cp, starts[:-1][np.diff(starts) > 0])
+        doc = np.searchsorted(starts, a, side="right") - 1 + i
+        keep = (b - a >= 3) & (b - a <= LONGEST)
+        a, b, doc = a[keep], b[keep], doc[keep]
+        codes = letter_codes()[cp]
+        h = _word_hash(codes, a, b)
+        _, example, which = np.unique(h, return_index=True, return_inverse=True)
+        raw = codes.tobytes()
+        own = np.fromiter((ids.setdefault(raw[x:y], len(ids)) for x, y in zip(a[example].tolist(), b[example].tolist(), strict=True)), np.int64, len(example))
+        rows.append(np.unique(doc << 32 | own[which]))
+    cells = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return list(ids), np.column_stack([cells >> 32, cells & 0xFFFFFFFF])
+
+
+def _word_hash(codes, a, b):
+    up, down = powers(len(codes))
+    c = np.zeros(len(codes) + 1, U64)
+    np.cumsum(mix(codes.astype(U64) + U64(1)) * up[: len(codes)], out=c[1:])
+    return mix((c[b] - c[a]) * down[a] + (b - a).astype(U64))
+
+
 def fit(texts: list[str], ys: list[int], prior: float | None = None, landmarks: int = LANDMARKS) -> Machine | None:
     """The machine for labelled texts, with probabilities for a share prior of
     toxic ones (default: as in ys); None if a class is missing."""
     y = np.asarray(ys)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    cp, starts = _flat(texts)
-    full = np.flatnonzero(np.diff(starts) > 0)
-    a, b = words_of(cp, starts[:-1][full])
-    codes = letter_codes()[cp]
-    doc = np.searchsorted(starts, a, side="right") - 1
-    keep = (b - a >= 3) & (b - a <= LONGEST)
-    a, b, doc = a[keep], b[keep], doc[keep]
-    raw = codes.tobytes()
-    ids: dict[bytes, int] = {}
-    word = np.fromiter((ids.setdefault(raw[i:j], len(ids)) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
-    names = list(ids)
+    names, pairs = _vocabulary(texts)
     if not names:
         return None
-    pairs = np.unique(np.column_stack([doc, word]), axis=0)
     toxic = y[pairs[:, 0]] == 1
     pos = np.bincount(pairs[toxic, 1], minlength=len(names)).astype(float)
     neg = np.bincount(pairs[~toxic, 1], minlength=len(names)).astype(float)
@@ -265,7 +279,7 @@ def fit(texts: list[str], ys: list[int], prior: float | None = None, landmarks:
     close = Machine(mean, 0.0, 1.0, 0.0).margins(*flat(clean)) if len(clean) else np.zeros(0)
     order = np.argsort(-close * np.sqrt(neg[clean]), kind="stable")
     rng = np.random.default_rng(3)
-    pool = np.unique(np.concatenate([clean[order[:6000]], clean[rng.permutation(len(clean))[:6000]]]))
+    pool = np.unique(np.concatenate([clean[order[:5000]], clean[rng.permutation(len(clean))[:5000]]]))
     hard = clean[order[: landmarks // 4]]
     marks = [names[i] for i in [*lead, *hard]]
     k_mm, _, _ = _kernel(marks, marks)
@@ -300,8 +314,7 @@ def fit(texts: list[str], ys: list[int], prior: float | None = None, landmarks:
     machine = Machine(fold, float(w[-1]), 1.0, 0.0)
     # margins of whole training texts to probabilities
     best = np.full(len(y), -np.inf)
-    _, example, which = np.unique(word, return_index=True, return_inverse=True)
-    np.maximum.at(best, doc, machine.margins(codes, a[example], b[example])[which])
+    np.maximum.at(best, pairs[:, 0], machine.margins(*flat(range(len(names))))[pairs[:, 1]])
     m = np.maximum(best, -4)
     p = np.array([1.0, 0.0])
     prior = prior or float(y.mean())
