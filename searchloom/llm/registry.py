@@ -84,6 +84,35 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
+    "op2_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+             b AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99, 256)) AS o FROM d WHERE len(x) >= 200),
+             c AS (SELECT doc_id, o, substr(x, 2 * o + 1, 710) AS y FROM b),
+             w AS (SELECT doc_id, o, y, unnest(range(least(256, len(y) // 2 - 99))) AS p FROM c),
+             g AS (SELECT doc_id, o + p AS p, substr(y, 2 * p + 1, 200) AS s FROM w),
+             f AS (SELECT s, min({'d': doc_id, 'p': p}) AS a FROM g GROUP BY s HAVING count(*) > 1),
+             m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM g JOIN f USING (s) WHERE {'d': doc_id, 'p': p} <> a),
+             i AS (SELECT *, sum(CASE WHEN q IS NULL OR p > q + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m),
+             r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, k),
+             e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM r),
+             o AS (SELECT e.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+                          string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+                   FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+        SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, x))) AS kept_sha256
+        FROM d LEFT JOIN o USING (doc_id)""",
+    "op9_jaccard": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             t AS (SELECT doc_id, n, g FROM s JOIN n USING (doc_id)),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS x, any_value(b.n) AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id
+                   WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90 GROUP BY a.doc_id, b.doc_id),
+             l AS (SELECT a, b FROM p WHERE 100 * i >= 90 * (x + y - i) UNION ALL SELECT b, a FROM p WHERE 100 * i >= 90 * (x + y - i)),
+             r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = w.doc_id), doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id)""",
     "op1_exact_topk": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
