@@ -15,7 +15,7 @@ from searchloom.llm.textcore import U64, mix, powers, ranges, worker_cache
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Entries kept of pre-tokens met before; beyond that the cache starts again.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 
 
 def class_table():

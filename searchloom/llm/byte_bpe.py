@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchloom.llm.bpe import Encoder, TwoTier, read_ranks
-from searchloom.llm.textcore import SEGMENT, flat_bytes, segments, worker_cache
+from searchloom.llm.textcore import SEGMENT, flat_bytes, segments, trimmed, worker_cache, worker_slot
 
 
 def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", decode: bool = False) -> DataFrame:
@@ -27,7 +27,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
         import pyarrow as pa
 
         tier = shared.value
-        encoder = worker_cache(("encoder", name), lambda: Encoder(tier))
+        encoder = worker_slot(("encoder", name), lambda: Encoder(tier))
         for batch in batches:
             data, off = flat_bytes(batch.column(1))
             for i, j in segments(off, SEGMENT):
@@ -45,5 +45,5 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
 
     source = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = source.schema["k"].dataType.simpleString()
-    out = source.mapInArrow(run, f"k {kind}, n_tokens bigint, token_ids binary" + (", decoded binary" if decode else ""))
+    out = source.mapInArrow(trimmed(run), f"k {kind}, n_tokens bigint, token_ids binary" + (", decoded binary" if decode else ""))
     return out.withColumnRenamed("k", key)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from searchloom.llm.components import components
 from searchloom.llm.tables import written
-from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, prefix_hash, segments, span_hash, worker_cache
+from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, prefix_hash, segments, span_hash, trimmed, worker_cache
 
 #: Members of a group that one task compares with as many others.
 BLOCK = 1024
@@ -224,7 +224,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
                     keep[k] = same * den >= (len(mine) + len(s) - same) * num and same > 0
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _across(num: int, den: int):
@@ -281,13 +281,13 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     all_docs = df.select(F.col(key).cast("long").alias("doc"), t.alias("t"))
     docs = all_docs.where("doc IS NOT NULL")
-    sets = written(all_docs.mapInArrow(_describe(words, num, den), "doc long, n long, h1 long, h2 long, own binary, low binary"), "sets")
+    sets = written(all_docs.mapInArrow(trimmed(_describe(words, num, den)), "doc long, n long, h1 long, h2 long, own binary, low binary"), "sets")
     known = sets.where("n > 0 AND doc IS NOT NULL")
     first = written(known.groupBy("n", "h1", "h2").agg(F.min("doc").alias("first")), "firsts")
     copies = written(known.select("doc", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "copies")
 
     by_key = W.partitionBy("key").orderBy("doc")
-    keys = docs.mapInArrow(_keys(words, num, den), "key long, doc long").repartition("key")
+    keys = docs.mapInArrow(trimmed(_keys(words, num, den)), "key long, doc long").repartition("key")
     keys = keys.withColumn("pivot", F.first("doc").over(by_key)).withColumn("next", F.lead("doc").over(by_key)).where("doc <> pivot OR next <> pivot").select("key", "doc", "pivot")
     shared = written(keys, "shared").join(copies.select(F.col("b").alias("doc")).distinct(), "doc", "left_anti")
     shared = written(shared, "shared")

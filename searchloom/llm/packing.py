@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchloom.llm.bpe import Encoder, read_ranks
-from searchloom.llm.textcore import SEGMENT, flat_bytes, segments, worker_cache
+from searchloom.llm.textcore import SEGMENT, flat_bytes, segments, trimmed, worker_cache, worker_slot
 
 LENGTH, OPEN_WINDOWS, END_ID = 1024, 64, 0
 
@@ -113,7 +113,7 @@ def pack(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id"
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = worker_cache(("pack_encoder", name), make)
+        encoder = worker_slot(("pack_encoder", name), make)
         packer, base, count = Packer(length, windows), TaskContext.get().partitionId() << 40, 0
         kind = None
 
@@ -145,4 +145,4 @@ def pack(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id"
 
     source = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     schema = f"k {source.schema['k'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + (", ids binary" if with_ids else "")
-    return source.mapInArrow(run, schema).withColumnRenamed("k", key)
+    return source.mapInArrow(trimmed(run), schema).withColumnRenamed("k", key)

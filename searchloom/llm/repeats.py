@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from searchloom.llm.suffixes import padded, sort_suffixes
 from searchloom.llm.tables import written
-from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, powers, prefix_hash, ranges, segments, span_hash
+from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, powers, prefix_hash, ranges, segments, span_hash, trimmed
 
 LENGTH, GRAMS = 100, 64
 #: Bytes of text whose contexts are sorted together, at least one document.
@@ -219,7 +219,7 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     grams = min(GRAMS, max(1, length - 24))
     docs = _keyed(df, text, key)
     small = docs.where(F.octet_length("t") >= length)
-    rows = small.mapInArrow(_contexts(length, grams), FOUND).repartition("khash")
+    rows = small.mapInArrow(trimmed(_contexts(length, grams)), FOUND).repartition("khash")
     place = [F.col("doc"), F.col("th"), F.col("lo")]
     same = W.partitionBy("khash", "chash").orderBy(*place)
     rows = rows.withColumn("nth", F.rank().over(same)).withColumn("no", F.row_number().over(same))
@@ -233,7 +233,7 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     asked = found.where("NOT again").withColumn("parts", parts.cast("long")).withColumn("part", F.pmod(F.xxhash64("doc", "th", "lo"), F.col("parts")))
     fetched = asked.join(small, ["doc", "th"]).select("khash", "part", "parts", "doc", "th", "lo", "hi", F.substring(F.col("t").cast("binary"), F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("ctx"))
     dealt = fetched.repartition("khash", "part").sortWithinPartitions("khash", "part")
-    windows = written(dealt.mapInArrow(_windows(length), "kind int, h1 long, h2 long, doc long, th long, lo long, hi long"), "windows")
+    windows = written(dealt.mapInArrow(trimmed(_windows(length)), "kind int, h1 long, h2 long, doc long, th long, lo long, hi long"), "windows")
     met = windows.where("kind = 1").withColumn("nth", F.rank().over(W.partitionBy("h1", "h2").orderBy(*place))).where("nth > 1")
 
     span = F.struct(F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
@@ -296,5 +296,5 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off)), pa.array(out_s, pa.list_(pa.int64())), pa.array(out_e, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["k", "rest", "n_bytes", "s", "e", "kept"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(run, f"k {kinds['k']}, rest {kinds['rest']}, n_bytes bigint, s array<bigint>, e array<bigint>, kept binary")
+    out = rows.mapInArrow(trimmed(run), f"k {kinds['k']}, rest {kinds['rest']}, n_bytes bigint, s array<bigint>, e array<bigint>, kept binary")
     return out.select(F.col("k").alias(key), "n_bytes", F.arrays_zip(F.col("s").alias("start"), F.col("e").alias("end")).alias("spans"), "kept", *[F.col(f"rest.`{c}`").alias(c) for c in keep])

@@ -13,7 +13,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Longest run of symbols hashed with one table of powers.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 
 def worker_cache(key, make):
@@ -25,6 +25,38 @@ def worker_cache(key, make):
     return box[key]
 
 
+def worker_slot(key, make):
+    """Like worker_cache for large objects: a process keeps the last one only."""
+    box = sys.__dict__.setdefault("_searchloom_slot", {})
+    if key not in box:
+        box.clear()
+        box[key] = make()
+    return box[key]
+
+
+def trimmed(run):
+    """run, a function of Arrow batches, giving memory back to the system when a
+    task ends: workers live on, and what they keep counts against the executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def flat_bytes(col):
     """(uint8 data, int64 offsets) of an Arrow string or binary array; null is empty."""
     import pyarrow as pa

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from searchloom.llm.bpe import LETTER, NUMBER, SPACE, class_table
 from searchloom.llm.labelled import sample
-from searchloom.llm.textcore import SEGMENT, U64, flat_bytes, mix, powers, segments, worker_cache
+from searchloom.llm.textcore import SEGMENT, U64, flat_bytes, mix, powers, segments, trimmed, worker_cache, worker_slot
 
 DECAY, LANDMARKS, LONGEST = 0.65, 256, 24
 CODES = 64
@@ -343,9 +343,9 @@ def score(df: DataFrame, machine: Machine | None, text: str = "text", keep: list
     def run(batches):
         import pyarrow as pa
 
-        own = shared.value
+        own = worker_slot(("toxicity", id(shared)), lambda: shared.value)
         for batch in batches:
-            data, off = flat_bytes(batch.column(1))
+            data, off = flat_bytes(batch.column(0).field(place) if batch.num_columns == 1 else batch.column(1))
             for i, j in segments(off, SEGMENT):
                 part = data[off[i] : off[j]]
                 cp = np.frombuffer(part.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -353,8 +353,9 @@ def score(df: DataFrame, machine: Machine | None, text: str = "text", keep: list
                 s = own.scores(cp, starts) if own is not None else np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s)], names=["rest", "score"])
 
-    source = df.select(F.struct(*keep).alias("rest"), F.col(text).cast("string").alias("t"))
-    out = source.mapInArrow(run, f"rest {source.schema['rest'].dataType.simpleString()}, score double")
+    place = keep.index(text) if text in keep and df.schema[text].dataType.simpleString() == "string" else None
+    source = df.select(F.struct(*keep).alias("rest"), *([] if place is not None else [F.col(text).cast("string").alias("t")]))
+    out = source.mapInArrow(trimmed(run), f"rest {source.schema['rest'].dataType.simpleString()}, score double")
     return out.select("rest.*", "score")
 
 

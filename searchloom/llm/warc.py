@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm.tables import scratch, written
+from searchloom.llm.textcore import trimmed
 
 #: Payloads from this size on are stored once; other records with them revisit.
 REVISIT_BYTES = 100
@@ -142,7 +143,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         return table.filter(keep)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(scan, FIELDS).groupBy("path").applyInArrow(chain, FIELDS)
+    return files.mapInArrow(trimmed(scan), FIELDS).groupBy("path").applyInArrow(chain, FIELDS)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
