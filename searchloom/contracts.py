@@ -7,7 +7,7 @@ CHUNKING_VERSION, METADATA_VERSION, LEXICAL_VERSION = "v3", 2, "v2"
 MARKDOWN_BYTES, PDF_BYTES, EMPTY_CHARS = 1_000_000, 50_000_000, 20
 SOURCE_KINDS = ("note", "doc", "message")
 INCLUDED_SECTIONS = ("knowledge", "operations", "projects", "sources", "_memory", "_drafts")
-EXCLUDED_DIRS = (".datacron", "_archive", "_trash", "_attachments", "zzz_Corbeille", "_inbox", "_journal")
+EXCLUDED_DIRS = ("_archive", "_trash", "_attachments", "zzz_Corbeille", "_inbox", "_journal")
 EXCLUDED_FILES = ("00_INDEX.md",)
 ERROR_SAMPLE = 50
 JOB_PAGES, JOB_BYTES = 1000, 8_388_608

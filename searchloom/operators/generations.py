@@ -59,6 +59,19 @@ def retention(generations: DataFrame, keep: int, current: str) -> DataFrame:
     return generations.join(newest.select("generation_id"), "generation_id", "left_anti").where(F.col("generation_id") != current)
 
 
+def eligibility(pages: DataFrame, spaces: list[str]) -> DataFrame:
+    """(page_id, space, state) of remote pages: bad_id, outside the allowlist,
+    duplicate, or eligible; one row an id."""
+    g = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("space").alias("space"))
+    state = F.when(~F.coalesce(F.col("page_id").rlike("^[0-9]+$"), F.lit(False)), "bad_id").when(~F.coalesce(F.col("space").isin(*spaces), F.lit(False)), "outside").when(F.col("n") > 1, "duplicate").otherwise("eligible")
+    return g.select("page_id", "space", state.alias("state"))
+
+
+def attachment_collisions(attachments: DataFrame) -> DataFrame:
+    """(page_id, name) of attachment names that a page has twice, whatever the case."""
+    return attachments.groupBy("page_id", F.lower("name").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
 def changed_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
     """pages (page_id, revision) whose revision is new or differs from known's."""
     j = pages.join(known.select("page_id", F.col("revision").alias("old")), "page_id", "left")

@@ -182,3 +182,24 @@ def _markdown(s, d):
 Q["search_markdown"] = _markdown
 SQL["search_markdown"] = with_sql(FILES, chunks_sql(), HYBRID) + """SELECT final_rank::INTEGER AS final_rank, concat_ws(chr(10), '### [' || final_rank || '] ' || path, '**Section:** ' || section,
     '**Relevance:** ' || CASE WHEN distance IS NOT NULL THEN round((1 - distance) * 100)::INTEGER || '%' ELSE 'lexical-only' END, '**Source:** ' || source_kind || ' / vault', '**Citation:** `' || path || '`') AS markdown FROM hits"""
+
+
+def _preview(s, d):
+    h = _hybrid(s, d).hits
+    return h.select("final_rank", F.regexp_replace(F.substring("chunk", 1, 300), r"\n", " ").alias("preview"))
+
+
+Q["search_preview"] = _preview
+SQL["search_preview"] = with_sql(FILES, chunks_sql(), HYBRID) + "SELECT final_rank::INTEGER AS final_rank, replace(left(chunk, 300), chr(10), ' ') AS preview FROM hits"
+ASKED = [(1, "SRC3"), (2, "src0"), (3, "nowhere"), (4, None)]
+
+
+def _sections(s, d):
+    """The section that a request names, whatever its case; null if there is none."""
+    known = corpus.files(s, d).select("section").distinct()
+    asked = rows(s, ASKED, "n int, asked string")
+    return asked.join(known, F.lower("asked") == F.lower("section"), "left").select("n", "section")
+
+
+Q["resolve_sections"] = _sections
+SQL["resolve_sections"] = with_sql(FILES) + f"SELECT n::INTEGER AS n, k.section FROM {values_sql(ASKED, 'n, asked')} LEFT JOIN (SELECT DISTINCT section FROM files) k ON lower(asked) = lower(k.section)"

@@ -189,6 +189,19 @@ SQL["job_batches"] = """WITH RECURSIVE p AS (SELECT page_id % 4 AS space, page_i
             CASE WHEN p.z > 12000 THEN w.n WHEN w.n > 0 AND (w.n + 1 > 5 OR w.run + p.z > 12000) THEN 1 ELSE w.n + 1 END, CASE WHEN p.z > 12000 THEN w.run WHEN w.n > 0 AND (w.n + 1 > 5 OR w.run + p.z > 12000) THEN p.z ELSE w.run + p.z END, p.z > 12000
         FROM w JOIN p ON p.space = w.space AND p.r = w.r + 1)
     SELECT space, page_id, CASE WHEN NOT over THEN b END AS batch FROM w WHERE r > 0"""
+
+
+def _remote(s, d):
+    """pages as remote pages, some repeated, some with another form of id."""
+    p = table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 12 == 0, F.concat(F.lit("x"), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string")).alias("id"), F.concat(F.lit("S"), (F.col("page_id") % 4).cast("string")).alias("space"))
+    return p.unionByName(p.where("page_id % 9 = 1")).select(F.col("id").alias("page_id"), "space")
+
+
+Q["page_eligibility"] = lambda s, d: generations.eligibility(_remote(s, d), ["S0", "S1", "S2"])
+SQL["page_eligibility"] = "SELECT CASE WHEN page_id % 12 = 0 THEN 'x' ELSE '' END || page_id AS page_id, 'S' || page_id % 4 AS space, CASE WHEN page_id % 12 = 0 THEN 'bad_id' WHEN page_id % 4 = 3 THEN 'outside' WHEN page_id % 9 = 1 THEN 'duplicate' ELSE 'eligible' END AS state FROM pages"
+FILES_OF = [(1, "Plan.pdf"), (1, "plan.PDF"), (1, "b.txt"), (2, "plan.pdf"), (3, "A"), (3, "a"), (3, "A")]
+Q["attachment_collisions"] = lambda s, d: generations.attachment_collisions(rows(s, FILES_OF, "page_id int, name string"))
+SQL["attachment_collisions"] = f"SELECT page_id::INTEGER AS page_id, lower(name) AS name FROM {values_sql(FILES_OF, 'page_id, name')} GROUP BY page_id, lower(name) HAVING count(*) > 1"
 DUE = [(1, "2024-05-06 12:00:00", "2024-05-06 11:00:00", 3600), (2, "2024-05-06 12:00:00", "2024-05-06 11:30:00", 3600), (3, "2024-05-06 12:00:00", None, 3600)]
 Q["catch_up_due"] = lambda s, d: rows(s, DUE, "n int, now string, last string, every int").select("n", generations.catch_up_due(F.to_timestamp("now"), F.to_timestamp("last"), F.col("every")).alias("due"))
 SQL["catch_up_due"] = f"SELECT n::INTEGER AS n, coalesce(epoch(now::TIMESTAMP) - epoch(last::TIMESTAMP) >= every, true) AS due FROM {values_sql(DUE, 'n, now, last, every')}"

@@ -29,7 +29,21 @@ def scan(spark: SparkSession, base: str, sections: Iterable[str] | None = None,
     schema = "path string, section string, content binary, size_bytes bigint, modified timestamp, excluded boolean"
     if not there:
         return spark.createDataFrame([], schema)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,pdf,MD,PDF}").load(there)
+    # listings leave out names that start with _ or a dot; such files are named one by one
+    hidden = []
+    for r in there:
+        root = hadoop.Path(r)
+        fs = root.getFileSystem(conf)
+        found = fs.listFiles(root, True)
+        above = fs.makeQualified(root).toString().rstrip("/") + "/"
+        while found.hasNext():
+            name = found.next().getPath().toString()
+            if name.lower().endswith((".md", ".pdf")) and any(p.startswith(("_", ".")) for p in name.removeprefix(above).split("/")):
+                hidden.append(name)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,pdf,MD,PDF}")
+    raw = reader.load(there)
+    if hidden:
+        raw = raw.unionByName(reader.load(hidden))
     plain = F.regexp_replace("path", "^file:/*", "/")
     rows = raw.withColumn("path", relative_to(plain, base))
     return rows.select("path", section_of(F.col("path")).alias("section"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), excluded(F.col("path")).alias("excluded"))

@@ -60,9 +60,9 @@ def test_modes(spark):
 
 def test_filter_plan(spark):
     ms = filters.bound_ms
-    rows = [("doc", "docs", "doc", "Julien", ms("2026-08-03T08:15:00Z"), ms("2026-08-03T09:00:00Z"), 2), ("note", "docs", "note", "Other", 1700000000000, 1700000000000, 2), ("old", "docs", "doc", "Julien", ms("2026-08-03T08:15:00Z"), ms("2026-08-03T09:00:00Z"), 1), ("none", "docs", "doc", "Julien", None, None, 2)]
+    rows = [("doc", "docs", "doc", "Ana", ms("2026-08-03T08:15:00Z"), ms("2026-08-03T09:00:00Z"), 2), ("note", "docs", "note", "Other", 1700000000000, 1700000000000, 2), ("old", "docs", "doc", "Ana", ms("2026-08-03T08:15:00Z"), ms("2026-08-03T09:00:00Z"), 1), ("none", "docs", "doc", "Ana", None, None, 2)]
     df = spark.createDataFrame(rows, "id string, section string, source_kind string, author string, occurred_ms long, updated_ms long, schema_version int")
-    c = filters.plan("docs", ["doc"], [" Julien "], "2026-08-03T08:00:00Z", "2026-08-03T08:30:00Z", "2026-08-03T08:30:00Z", "2026-08-03T09:30:00Z")
+    c = filters.plan("docs", ["doc"], [" Ana "], "2026-08-03T08:00:00Z", "2026-08-03T08:30:00Z", "2026-08-03T08:30:00Z", "2026-08-03T09:30:00Z")
     assert [r.id for r in df.where(c).collect()] == ["doc"]
     assert filters.plan() is None and filters.clamp_k(99) == 10 and filters.clamp_k(0) == 1
     for bad in ("yesterday", "2026-08-03T08:00:00"):
