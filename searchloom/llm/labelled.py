@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from searchloom.llm.jaccard import shingle_sets
+from searchloom.llm.textcore import SEGMENT, U64, mix, segments
+
 #: Labelled documents taken of each class at most, and the longest text taken.
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 
@@ -34,3 +38,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, text: str = "t
             texts.append(r.t)
             ys.append(r.y)
     return texts, ys, count.get(1, 0) / max(1, sum(count.values()))
+
+
+def without_copies(texts: list[str], ys: list[int], seeds: int = 4):
+    """(texts, labels) without copies and near copies, which would make chance
+    words of theirs look telling: a text goes if one of `seeds` min-hashes of its
+    five-word shingles is that of an earlier one."""
+    raw = [t.encode() for t in texts]
+    off = np.append(0, np.cumsum([len(t) for t in raw])).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    seen: set = set()
+    keep = []
+    for i, j in segments(off, SEGMENT // 4):
+        for k, s in enumerate(shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], 5), i):
+            marks = {(m, int(mix(s ^ mix(np.array([m + 1], U64))).min())) for m in range(seeds)} if len(s) else {("", texts[k])}
+            if not marks & seen:
+                keep.append(k)
+            seen |= marks
+    return [texts[k] for k in keep], [ys[k] for k in keep]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchloom.llm.bpe import LETTER, NUMBER, SPACE, class_table
-from searchloom.llm.labelled import sample
+from searchloom.llm.labelled import sample, without_copies
 from searchloom.llm.textcore import SEGMENT, U64, flat_bytes, mix, powers, segments, trimmed, worker_cache, worker_slot
 
 DECAY, LANDMARKS, LONGEST = 0.65, 256, 24
@@ -249,6 +249,8 @@ def _word_hash(codes, a, b):
 def fit(texts: list[str], ys: list[int], prior: float | None = None, landmarks: int = LANDMARKS) -> Machine | None:
     """The machine for labelled texts, with probabilities for a share prior of
     toxic ones (default: as in ys); None if a class is missing."""
+    prior = prior or float(np.mean(ys or [0]))
+    texts, ys = without_copies(texts, ys)
     y = np.asarray(ys)
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -317,7 +319,6 @@ def fit(texts: list[str], ys: list[int], prior: float | None = None, landmarks:
     np.maximum.at(best, pairs[:, 0], machine.margins(*flat(range(len(names))))[pairs[:, 1]])
     m = np.maximum(best, -4)
     p = np.array([1.0, 0.0])
-    prior = prior or float(y.mean())
     load = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(p[0] * m + p[1], -30, 30)))
