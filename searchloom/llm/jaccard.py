@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from searchloom.llm.components import components
 from searchloom.llm.tables import written
-from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, prefix_hash, segments, span_hash, trimmed, worker_cache
+from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, prefix_hash, ranges, segments, span_hash, trimmed, worker_cache
 
 #: Members of a group that one task compares with as many others.
 BLOCK = 1024
@@ -228,40 +228,72 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
 
 
 def _across(num: int, den: int):
-    """Pairs of a group's block that may link and are in different components."""
+    """Pairs in different components that may link, of groups of rows (key, p, q,
+    side, doc, n, comp, own, low) sorted by group, many groups at once."""
+    names = ["key", "p", "q", "side", "doc", "n", "comp"]
+
+    def pairs_of(c):
+        """Index pairs of rows in one group whose sides meet."""
+        new = np.append(True, (c["key"][1:] != c["key"][:-1]) | (c["p"][1:] != c["p"][:-1]) | (c["q"][1:] != c["q"][:-1]))
+        first = np.flatnonzero(new)
+        end = np.append(first[1:], len(new))[np.cumsum(new) - 1]
+        after = end - np.arange(len(new)) - 1
+        for i, j in segments(np.append(0, np.cumsum(after)), 1 << 20):
+            left = np.repeat(np.arange(i, j), after[i:j])
+            right = ranges(np.arange(i, j) + 1, after[i:j])
+            ok = (c["comp"][left] != c["comp"][right]) & ((c["side"][left] == 0) | (c["side"][left] != c["side"][right]))
+            small, large = np.minimum(c["n"][left], c["n"][right]), np.maximum(c["n"][left], c["n"][right])
+            ok &= small * den >= large * num
+            yield left[ok], right[ok]
+
+    def flush(c):
+        bands = worker_cache(("bands", num, den), lambda: Bands(num, den))
+        sizes, which = np.unique(c["n"], return_inverse=True)
+        band = np.array([bands.of(int(n)) for n in sizes])[which]
+        out = [np.zeros((0, 2), np.int64)]
+        for left, right in pairs_of(c):
+            swap = c["n"][left] > c["n"][right]
+            a, b = np.where(swap, right, left), np.where(swap, left, right)  # the smaller set, the larger
+            order = np.lexsort((c["doc"][b], c["doc"][a]))
+            a, b = a[order], b[order]
+            x, y = c["doc"][a], c["doc"][b]
+            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(a)]
+            a, b = a[new], b[new]
+            for i in np.unique(band[a]):
+                own = np.flatnonzero(band[a] == i)
+                for at in range(0, len(own), 20_000):
+                    p, q = a[own[at : at + 20_000]], b[own[at : at + 20_000]]
+                    # own of the smaller and, a band above, low of the larger are of configuration i
+                    other = np.where(band[q] == i, c["own"][q], c["low"][q])
+                    bits = lambda v: np.frombuffer(b"".join(v.tolist()), np.uint8).reshape(len(v), -1)
+                    far = np.bitwise_count(bits(c["own"][p]) ^ bits(other)).sum(1)
+                    hit = far <= (c["n"][p] + c["n"][q]) * (den - num) // (den + num)
+                    x, y = c["doc"][p[hit]], c["doc"][q[hit]]
+                    out.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+        return np.concatenate(out)
 
-    def run(table):
+    def run(batches):
         import pyarrow as pa
 
-        table = table.combine_chunks()
-        bands = worker_cache(("bands", num, den), lambda: Bands(num, den))
-        doc, n, comp, side = (table.column(c).to_numpy() for c in ("doc", "n", "comp", "side"))
-        sk = {0: table.column("own").to_pylist(), 1: table.column("low").to_pylist()}
-        band = np.array([bands.of(int(x)) for x in n])
-        out_a, out_b = [], []
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        for i in np.unique(band):
-            for lo, hi in ((i, i), (i, i + 1)):  # the smaller set's band, the larger's
-                for x, y in ((left, right), (right, left)):
-                    if lo == hi and x is right:
-                        continue
-                    p, q = x[band[x] == lo], y[band[y] == hi]
-                    if not len(p) or not len(q):
-                        continue
-                    # own of the smaller and, a band above, low of the larger are of configuration lo
-                    bits = lambda rows, which: np.frombuffer(b"".join(sk[which][r] for r in rows), np.uint8).reshape(len(rows), -1)
-                    bp, bq = bits(p, 0), bits(q, int(hi > lo))
-                    for k, r in enumerate(p):
-                        ok = (comp[q] != comp[r]) & (np.minimum(n[q], n[r]) * den >= np.maximum(n[q], n[r]) * num)
-                        hit = np.flatnonzero(ok)
-                        if len(hit):
-                            far = np.bitwise_count(bq[hit] ^ bp[k]).sum(1)
-                            most = (n[q[hit]] + n[r]) * (den - num) // (den + num)
-                            hit = hit[far <= most]
-                            out_a.append(np.minimum(doc[q[hit]], doc[r]))
-                            out_b.append(np.maximum(doc[q[hit]], doc[r]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+        held = None
+
+        def arrow(pairs):
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            c = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
+            for i, k in ((7, "own"), (8, "low")):
+                c[k] = np.array(batch.column(i).to_pylist() + [None], object)[:-1]
+            held = c if held is None else {k: np.concatenate([held[k], c[k]]) for k in c}
+            if len(held["key"]) < 20_000:
+                continue
+            other = np.flatnonzero((held["key"] != held["key"][-1]) | (held["p"] != held["p"][-1]) | (held["q"] != held["q"][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+            if cut:
+                yield arrow(flush({k: v[:cut] for k, v in held.items()}))
+                held = {k: v[cut:] for k, v in held.items()}
+        if held is not None and len(held["key"]):
+            yield arrow(flush(held))
 
     return run
 
@@ -308,7 +340,8 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     # one block meets itself and each later one: side -1 for the earlier of two, 1 for the later, 0 for both
     open_rows = written(open_rows.join(facts, "doc"), "open").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_rows = open_rows.select("key", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), -1).otherwise(1).alias("side"), "doc", "n", "comp", "own", "low")
-    pairs = open_rows.groupBy("key", "p", "q").applyInArrow(_across(num, den), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
+    dealt = open_rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "side", "doc", "n", "comp", "own", "low")
+    pairs = dealt.mapInArrow(trimmed(_across(num, den)), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
     late = written(_verify(written(pairs, "pairs"), texts, words, num, den), "late")
     if not late.isEmpty():
         labels = components(sure.unionByName(late))
