@@ -24,8 +24,8 @@ MASK = "[SECRET]"
 #: Key words, signs, block and long-token patterns (Java syntax; \x22 and \x27 are the quotes).
 KEY_WORDS = r"(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth)"
 LEAD = KEY_WORDS + r"[A-Za-z0-9_]{0,16}[\x22\x27]?\s{0,3}(?:=>|=|:)\s{0,3}[\x22\x27]?"
-KEYED = r"(?i:" + LEAD + r")[^\s\x22\x27<>]{8,200}"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+KEYED = r"(?i:" + LEAD + r")(?!-----BEGIN)[^\s\x22\x27<>]{8,}+"
+BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
 LONG = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*+[0-9])[A-Za-z0-9+/=_\-]{16,}+(?:\.[A-Za-z0-9_\-]{10,}+){0,2}"
 CANDIDATE = BLOCK + "|" + KEYED + "|" + LONG
 KNOWN = r"^(?:AKIA|ASIA|gh[opsu]_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abprs]-|AIza|eyJ|npm_|-----BEGIN)"
