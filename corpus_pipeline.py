@@ -33,13 +33,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group connected by a similarity of 0.8 or more of five-word
-    shingles, the document with the smallest doc_id; of rows with one doc_id, the
-    one of least text hash. Documents without doc_id or without words stay."""
-    kept = jaccard.classes(docs, words=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("__nth", F.row_number().over(one)).where("__nth = 1")
-    return rows.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    shingles, the document with the smallest doc_id; of its rows with one doc_id,
+    the one of least hash. Rows are told apart by a hash of doc_id and text, so
+    rows of one doc_id with other texts are documents of their own. Documents
+    without doc_id or without words stay."""
+    keyed = docs.withColumn("__node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = jaccard.classes(keyed, key="__node", words=5, num=80, den=100).where("__node IS NOT NULL").distinct()
+    found = written(found.join(keyed.where("doc_id IS NOT NULL").select("doc_id", "__node").distinct(), "__node"), "nodes")
+    least = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "__node")).alias("m")).select("m.__node")
+    one = W.partitionBy("__node").orderBy("doc_id")
+    rows = keyed.join(least, "__node", "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(docs.columns)
+    wordless = keyed.join(found.where("n_shingles = 0").select("__node"), "__node", "left_semi").select(docs.columns)
+    return rows.unionByName(wordless).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
