@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.llm.tables import written
+from searchloom.llm.tables import released, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,22 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = root.select(F.col("node").alias("component"), F.col("component").alias("next"))
             jumped = written(root.join(up, "component").select("node", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved")), "jumps")
-            root = jumped.select("node", "component")
+            released(root)
+            root = jumped
             if jumped.where("moved").isEmpty():
                 break
         if labels is None:
             labels = root
         else:
             step = root.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            old = labels
             labels = written(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+            released(old)
         of = lambda c: root.select(F.col("node").alias(c), F.col("component").alias(f"r{c}"))  # noqa: B023, E731
+        left = edges
         edges = written(edges.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
-    return labels if labels is not None else root
+        released(left, *([root] if root is not labels else []))
+    last = labels if labels is not None else root
+    out = last.select("node", "component")
+    out._written = last._written
+    return out

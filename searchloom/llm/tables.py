@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the session names in
-    spark.checkpoint.dir; only where none is set, as in tests, a local one."""
+    spark.checkpoint.dir or by setCheckpointDir. Where none is set, a session in
+    one process (local mode, as in tests) gets a folder of its own; on a cluster
+    that is an error, as one machine's folder isn't seen by the others."""
     import tempfile
     import uuid
 
@@ -22,9 +25,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
-    if not base:
+    if not base and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         base = "file://" + tempfile.mkdtemp(prefix="searchloom-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,7 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by `written`, once all that was made of
+    them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def blocks_of(n_rows: int, size: int) -> int:

@@ -214,6 +214,49 @@ def test_classes_like_brute_force(spark, small, words, num):
         assert got == brute_classes(given_rows, words, num)
 
 
+@pytest.mark.parametrize("edits", [8, 14])
+def test_classes_of_a_large_group(spark, edits, monkeypatch):
+    """One large group of near copies, of which many don't link with its first."""
+    rng = np.random.default_rng(edits)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(400):
+        t = list(base)
+        for at in rng.choice(150, rng.integers(0, edits), replace=False):
+            t[at] = f"x{k}-{at}"
+        rows.append((k if k else 1000, " ".join(t)))
+    rows += [(2000 + k, " ".join([*base[:75], *(f"y{k}-{i}" for i in range(75))])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = []
+    kept = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda d, name: (out := kept(d, name), sizes.append((name, out.count())))[0])
+    want = brute_classes(rows, 5, 80)
+    for dealt in ({}, {"common": 4, "block": 16, "named": 1}):
+        sizes.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df, words=5, num=80, **dealt).collect()}
+        assert got == want
+        if not dealt:
+            assert all(n <= 8 * len(rows) for name, n in sizes if name in ("named", "pairs", "stars", "copies", "links", "late"))
+
+
+def test_classes_of_rows_with_one_key(spark):
+    """Rows (2, t1), (9, t1), (9, t3), (5, t2): t2 and t3 link, so all three keys do."""
+    t1, t2 = " ".join(f"a{i}" for i in range(200)), [f"b{i}" for i in range(200)]
+    rows = [(2, t1), (9, t1), (9, " ".join([*t2[:-1], "z"])), (5, " ".join(t2)), *[(9, t1)] * 40]
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90).collect()}
+    assert got == {2: 2, 9: 2, 5: 2}
+
+
+def test_long_regular_words_differ(spark):
+    word = "ab"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word)]
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_classes_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (7, "x")]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
