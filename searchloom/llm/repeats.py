@@ -12,11 +12,17 @@ without sorting all suffixes:
 3. The earliest ones meet by anchor gram. An equal context elsewhere repeats
    in whole. Where one gram has several contexts, their bytes are fetched and
    the suffixes of all their windows are sorted; equal windows are repeats.
-   Crowded grams are dealt over several tasks, whose distinct windows then meet
-   by their fingerprint.
-
-What meets over tasks are 128-bit fingerprints and positions, never texts, and
-each task sends one row a distinct context, however often its copies occur.
+4. Grams with too many contexts for one task aren't compared: the windows of
+   their contexts get anchors anew, from fewer and longer grams, and go on from
+   2; the last grams are the whole windows, where equal ones are equal contexts.
+   Tasks take common grams of their own rows to longer ones by themselves and
+   leave one marked row, which sends the gram's contexts of other tasks after
+   them. So a common passage reaches no task in whole, and the rows stay in
+   proportion to the contexts.
+
+What meets over tasks are 128-bit fingerprints and positions, and bytes only of
+contexts whose gram has several; each task sends one row a distinct context,
+however often its copies occur.
 """
 
 from __future__ import annotations
@@ -27,15 +33,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from searchloom.llm.suffixes import padded, sort_suffixes
-from searchloom.llm.tables import written
+from searchloom.llm.tables import released, written
 from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, powers, prefix_hash, ranges, segments, span_hash, trimmed
 
 LENGTH, GRAMS = 100, 64
-#: Bytes of text whose contexts are sorted together, at least one document.
-SORT_BYTES = 16 << 20
-#: Contexts with one gram that one task compares; more are dealt out.
+#: Bytes of text whose contexts are sorted together.
+SORT_BYTES = 8 << 20
+#: Contexts with one gram that one task compares; more go on with longer grams.
 CROWD = 256
-FOUND = "kind int, khash long, chash long, doc long, th long, lo long, hi long"
+#: Contexts with one gram among those sorted together from which on it is common.
+COMMON = 32
+#: Kinds: 0 the earliest with its context, 1 repeats in whole, 2 marks a common gram.
+FOUND = "kind int, level int, khash long, chash long, doc long, th long, lo long, hi long"
 
 
 def anchor_runs(data, off, length: int = LENGTH, grams: int = GRAMS):
@@ -99,58 +108,95 @@ def _signed(h):
 def _arrow(cols, names):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int32() if k == "kind" else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c), pa.int32() if k in ("kind", "level") else pa.int64()) for c, k in zip(cols, names, strict=True)], names=names)
 
 
-def _contexts(length: int, grams: int):
-    """Step 2 for the rows (doc, th, text) of a task: kind 1 rows repeat in whole
-    within the task, kind 0 rows are the earliest with their context."""
-    names = [x.split()[0] for x in FOUND.split(", ")]
+def _levels(length: int) -> list[int]:
+    """Grams in a window, level by level; one gram is the whole window."""
+    most = min(GRAMS, max(1, length - 24))
+    return sorted({most, *(g for g in (33, 9, 1) if g < most)}, reverse=True)
 
-    def flush(parts):
-        data = padded(np.concatenate([p[0] for p in parts]))
-        base = np.cumsum([0, *(len(p[0]) for p in parts)])
-        doc, th, lo, hi, origin, kh, ch = (np.concatenate(x) for x in zip(*([p[1], p[2], p[3] + b, p[4] + b, p[5] + b, p[6], p[7]] for p, b in zip(parts, base, strict=False)), strict=True))
-        order, same = sort_suffixes(data, lo, hi - lo + length)
-        rank = _rank_of(doc, th, lo - origin)
+
+def _contexts(length: int, levels: list[int], level: int, many: int, crowd_bytes: bool):
+    """Steps 2 and 4 for rows (doc, th, lo, text) of a task, text being a
+    document's bytes from lo on: FOUND of the contexts at `level`, and at later
+    ones for what is common here; with crowd_bytes the contexts' bytes too."""
+    names = [x.split()[0] for x in FOUND.split(", ")] + ["ctx"] * crowd_bytes
+
+    def judged(level, data, doc, th, at, lo, span, kh, ch):
+        """at: where each context starts in data; lo: in its document; span: windows less one."""
+        buf = padded(data)
+        order, same = sort_suffixes(buf, at, span + length)
+        rank = _rank_of(doc, th, lo)
         group, head = _first_of_groups(order, same, rank)
         lead = np.empty(len(order), np.int64)
         lead[order] = head[group]
         again = rank[lead] != rank
-        first = np.zeros(len(order), bool)
-        first[head] = True
-        pick = first | again
-        away = _signed(mix(_signed(doc[pick]).view(U64) * U64(31) + lo[pick].astype(U64)))
-        again = again[pick]
-        yield _arrow([again.astype(np.int32), np.where(again, away, _signed(kh[pick])), _signed(ch[pick]), doc[pick], th[pick], (lo - origin)[pick], (hi - origin)[pick]], names)
+        kind = np.where(again, 1, -1)
+        kind[head] = 0
+        key = _signed(mix(kh + U64(level)))
+        key[again] = _signed(mix(doc[again].view(U64) * U64(31) + lo[again].astype(U64)))
+        deep = np.zeros(0, np.int64)
+        if level + 1 < len(levels):
+            _, which, size = np.unique(kh[head], return_inverse=True, return_counts=True)
+            deep = head[size[which] >= many]
+            kind[deep] = -1
+            o = deep[np.lexsort((rank[deep], kh[deep]))]
+            kind[o[np.append(True, kh[o][1:] != kh[o][:-1])[: len(o)]]] = 2
+        pick = np.flatnonzero(kind >= 0)
+        if len(pick):
+            yield _arrow([kind[pick], np.full(len(pick), level), key[pick], _signed(ch[pick]), doc[pick], th[pick], lo[pick], (lo + span)[pick], *([_bytes_of(data, at[pick], span[pick] + length)] if crowd_bytes else [])], names)
+        if len(deep):
+            lens = span[deep] + length
+            own = data[ranges(at[deep], lens)]
+            off = np.append(0, np.cumsum(lens))
+            text, a, b, kh, ch = anchor_runs(own, off, length, levels[level + 1])
+            yield from judged(level + 1, own, doc[deep][text], th[deep][text], a, lo[deep][text] + a - off[text], b - a, kh, ch)
+
+    def flush(parts):
+        base = np.cumsum([0, *(len(p[0]) for p in parts)])
+        at = np.concatenate([p[3] + b for p, b in zip(parts, base, strict=False)])
+        cols = [np.concatenate([p[k] for p in parts]) for k in range(8) if k != 3]
+        yield from judged(level, cols[0], cols[1], cols[2], at, *cols[3:])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, off = flat_bytes(batch.column(2))
+            doc, th, shift = (batch.column(k).to_numpy() for k in (0, 1, 2))
+            data, off = flat_bytes(batch.column(3))
             for i, j in segments(off, SEGMENT):
-                own, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                text, lo, hi, kh, ch = anchor_runs(own, o, length, grams)
-                if len(lo):
-                    parts.append((own, doc[i:j][text], th[i:j][text], lo, hi, o[text], kh, ch))
-                    held += len(own)
-                if held >= SORT_BYTES:
-                    yield from flush(parts)
-                    parts, held = [], 0
+                # a longer text goes in pieces, which share the bytes of one window less one
+                whole = j - i > 1 or off[j] - off[i] <= SEGMENT
+                for x in (off[i],) if whole else range(off[i], off[j] - length + 1, SEGMENT - length + 1):
+                    y = off[j] if whole else min(off[j], x + SEGMENT)
+                    own, o = data[x:y], np.clip(off[i : j + 1] - x, 0, y - x)
+                    text, a, b, kh, ch = anchor_runs(own, o, length, levels[level])
+                    if len(a):
+                        lo = a - o[text] + shift[i:j][text] + (0 if whole else x - off[i])
+                        parts.append((own, doc[i:j][text], th[i:j][text], a, lo, b - a, kh, ch))
+                        held += len(own)
+                    if held >= SORT_BYTES:
+                        yield from flush(parts)
+                        parts, held = [], 0
         if parts:
             yield from flush(parts)
 
     return run
 
 
+def _bytes_of(data, at, lens):
+    import pyarrow as pa
+
+    off = np.append(0, np.cumsum(lens)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[ranges(at, lens)]))])
+
+
 def _windows(length: int):
-    """Step 3 for rows (khash, part, parts, doc, th, lo, hi, ctx) sorted by khash
-    and part: kind 0 rows are runs of repeated windows, kind 1 rows the distinct
-    windows of crowded grams, by fingerprint."""
-    names = ["kind", "h1", "h2", "doc", "th", "lo", "hi"]
+    """Step 3 for rows (khash, doc, th, lo, hi, ctx) sorted by khash: (doc, th,
+    lo, hi), the runs of windows that repeat an earlier one of their gram."""
+    names = ["doc", "th", "lo", "hi"]
 
-    def flush(keys, parts_n, doc, th, lo, hi, data, off):
+    def flush(doc, th, lo, hi, data, off):
         n_w = hi - lo + 1
         row = np.repeat(np.arange(len(lo)), n_w)
         at = ranges(off[:-1], n_w)
@@ -160,19 +206,11 @@ def _windows(length: int):
         group, head = _first_of_groups(order, same, rank)
         lead = np.empty(len(order), np.int64)
         lead[order] = head[group]
-        again = rank[lead] != rank
-        a = np.flatnonzero(again)
+        a = np.flatnonzero(rank[lead] != rank)
         if len(a):
             new = np.append(True, (np.diff(a) != 1) | (row[a][1:] != row[a][:-1]))
             s, e = a[new], a[np.append(new[1:], True)]
-            yield _arrow([np.zeros(len(s), np.int32), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), doc[row[s]], th[row[s]], pos[s], pos[e]], names)
-        k = head[parts_n[row[head]] > 1]
-        if len(k):
-            c = prefix_hash(byte_values()[data])
-            h1 = span_hash(c, at[k], at[k] + length)
-            c = prefix_hash(mix(byte_values()[data]))
-            h2 = span_hash(c, at[k], at[k] + length)
-            yield _arrow([np.ones(len(k), np.int32), _signed(h1), _signed(h2), doc[row[k]], th[row[k]], pos[k], pos[k]], names)
+            yield _arrow([doc[row[s]], th[row[s]], pos[s], pos[e]], names)
 
     def run(batches):
         held: list = []
@@ -185,23 +223,22 @@ def _windows(length: int):
             return [*cols, data, off]
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5, 6)]
-            data, off = flat_bytes(batch.column(7))
+            cols = [batch.column(i).to_numpy() for i in range(5)]
+            data, off = flat_bytes(batch.column(5))
             for i, j in segments(off, SEGMENT // 4):
                 held.append([*(c[i:j] for c in cols), data[off[i] : off[j]], off[i : j + 1] - off[i]])
                 size += int(off[j] - off[i])
                 if size < SEGMENT:
                     continue
-                khash, part, parts_n, doc, th, lo, hi, own, o = join()
+                khash, doc, th, lo, hi, own, o = join()
                 # all groups but the last, which may go on
-                cut = int(np.flatnonzero((khash != khash[-1]) | (part != part[-1]))[-1]) + 1 if (khash[0] != khash[-1] or part[0] != part[-1]) else 0
+                cut = int(np.flatnonzero(khash != khash[-1])[-1]) + 1 if khash[0] != khash[-1] else 0
                 if cut:
-                    yield from flush(khash[:cut], parts_n[:cut], doc[:cut], th[:cut], lo[:cut], hi[:cut], own[: o[cut]], o[: cut + 1])
-                held = [[khash[cut:], part[cut:], parts_n[cut:], doc[cut:], th[cut:], lo[cut:], hi[cut:], own[o[cut] :], o[cut:] - o[cut]]]
+                    yield from flush(doc[:cut], th[:cut], lo[:cut], hi[:cut], own[: o[cut]], o[: cut + 1])
+                held = [[khash[cut:], doc[cut:], th[cut:], lo[cut:], hi[cut:], own[o[cut] :], o[cut:] - o[cut]]]
                 size = len(held[0][-2])
         if held:
-            khash, part, parts_n, doc, th, lo, hi, own, o = join()
-            yield from flush(khash, parts_n, doc, th, lo, hi, own, o)
+            yield from flush(*join()[1:])
 
     return run
 
@@ -212,33 +249,67 @@ def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))
 
 
-def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+def _met(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows of FOUND after equal contexts have met: again, whether it repeats in
+    whole, and for the others contexts, how many its gram has, and marked,
+    whether the gram is common somewhere. Grams of one context only go."""
+    place = [F.col("doc"), F.col("th"), F.col("lo")]
+    same = W.partitionBy("khash", "chash").orderBy(*place)
+    gram = W.partitionBy("khash")
+    rows = rows.repartition("khash").withColumn("nth", F.rank().over(same)).withColumn("no", F.row_number().over(same))
+    rows = rows.withColumn("contexts", F.sum(F.when((F.col("kind") != 1) & (F.col("no") == 1), 1).otherwise(0)).over(gram)).withColumn("marked", F.max(F.col("kind") == 2).over(gram))
+    rows = rows.withColumn("again", (F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("nth") > 1)))
+    later = F.col("level") > 0  # contexts and marks of later levels wait for those that come after them
+    wanted = (F.col("no") == 1) & (F.col("kind") == 0) & ((F.col("contexts") > 1) | F.col("marked") | later)
+    return rows.where(F.col("again") | wanted | ((F.col("kind") == 2) & later)).select("again", "kind", "level", "khash", "chash", "doc", "th", "lo", "hi", "contexts", "marked", *more)
+
+
+def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, crowd: int = CROWD, common: int = COMMON) -> DataFrame:
     """(doc, th, spans): for each document with repeats the array of (start, end)
     byte ranges, possibly overlapping, of the strings of `length` bytes that
-    also start earlier."""
-    grams = min(GRAMS, max(1, length - 24))
+    also start earlier. crowd and common say how the work is dealt and don't
+    change results."""
+    levels = _levels(length)
     docs = _keyed(df, text, key)
     small = docs.where(F.octet_length("t") >= length)
-    rows = small.mapInArrow(trimmed(_contexts(length, grams)), FOUND).repartition("khash")
-    place = [F.col("doc"), F.col("th"), F.col("lo")]
-    same = W.partitionBy("khash", "chash").orderBy(*place)
-    rows = rows.withColumn("nth", F.rank().over(same)).withColumn("no", F.row_number().over(same))
-    head = F.when((F.col("kind") == 0) & (F.col("no") == 1), 1).otherwise(0)
-    rows = rows.withColumn("contexts", F.sum(head).over(W.partitionBy("khash")))
-    again = (F.col("kind") == 1) | (F.col("nth") > 1)
-    rows = rows.where(again | ((F.col("no") == 1) & (F.col("contexts") > 1)))
-    found = written(rows.select(again.alias("again"), "khash", "doc", "th", "lo", "hi", "contexts"), "contexts")
-
-    parts = F.ceil(F.col("contexts") / CROWD)
-    asked = found.where("NOT again").withColumn("parts", parts.cast("long")).withColumn("part", F.pmod(F.xxhash64("doc", "th", "lo"), F.col("parts")))
-    fetched = asked.join(small, ["doc", "th"]).select("khash", "part", "parts", "doc", "th", "lo", "hi", F.substring(F.col("t").cast("binary"), F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("ctx"))
-    dealt = fetched.repartition("khash", "part").sortWithinPartitions("khash", "part")
-    windows = written(dealt.mapInArrow(trimmed(_windows(length)), "kind int, h1 long, h2 long, doc long, th long, lo long, hi long"), "windows")
-    met = windows.where("kind = 1").withColumn("nth", F.rank().over(W.partitionBy("h1", "h2").orderBy(*place))).where("nth > 1")
-
+    raw = small.select("doc", "th", F.lit(0).cast("long").alias("lo"), "t").mapInArrow(trimmed(_contexts(length, levels, 0, common, False)), FOUND)
+    found = written(_met(raw), "contexts")
+    ctx = F.substring(F.col("t").cast("binary"), F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("ctx")
+    pool = [written(found.where("NOT again").join(small, ["doc", "th"]).select("kind", "level", "khash", "chash", "doc", "th", "lo", "hi", "contexts", "marked", ctx), "fetched")]
+    marks = [found.where("again")]
+    held = [found, *pool]
+    rows = pool[0].where("level = 0")
+    deepest = lambda x: x.agg(F.max("level")).first()[0] or 0
+    last, level = deepest(pool[0]), 0
+    while level <= last:
+        if level:
+            union = None
+            for x in pool:
+                x = x.where(F.col("level") == level).select("kind", "level", "khash", "chash", "doc", "th", "lo", "hi", "ctx")
+                union = x if union is None else union.unionByName(x)
+            rows = written(_met(union, "ctx"), "longer")
+            marks.append(rows.where("again"))
+            held.append(rows)
+            rows = rows.where("NOT again AND kind = 0")
+        few = (F.col("contexts") <= crowd) & ~F.col("marked")
+        dealt = rows.where(few & (F.col("contexts") > 1)).select("khash", "doc", "th", "lo", "hi", "ctx").repartition("khash").sortWithinPartitions("khash")
+        windows = written(dealt.mapInArrow(trimmed(_windows(length)), "doc long, th long, lo long, hi long"), "windows")
+        marks.append(windows)
+        held.append(windows)
+        if level + 1 < len(levels):
+            longer = rows.where(~few).select("doc", "th", "lo", "ctx").mapInArrow(trimmed(_contexts(length, levels, level + 1, common, True)), FOUND + ", ctx binary")
+            pool.append(written(longer, "crowds"))
+            held.append(pool[-1])
+            last = max(last, deepest(pool[-1]))
+        level += 1
     span = F.struct(F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    marks = found.where("again").select("doc", "th", span.alias("s")).unionByName(windows.where("kind = 0").select("doc", "th", span.alias("s"))).unionByName(met.select("doc", "th", span.alias("s")))
-    return marks.groupBy("doc", "th").agg(F.collect_list("s").alias("spans"))
+    out = None
+    for m in marks:
+        m = m.select("doc", "th", span.alias("s"))
+        out = m if out is None else out.unionByName(m)
+    spans = written(out.groupBy("doc", "th").agg(F.collect_list("s").alias("spans")), "spans")
+    released(*held)
+    return spans
 
 
 def merge_spans(starts, ends):
@@ -249,7 +320,7 @@ def merge_spans(starts, ends):
     return s[new], e[np.append(new[1:], True)]
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, keep: list[str] | None = None, whole_characters: bool = False, **dealt: int) -> DataFrame:
     """key, n_bytes, spans (maximal removed runs of bytes, start and end), kept
     (the other bytes in order), and the columns of df named in keep.
 
@@ -257,11 +328,14 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     below `length` bytes lose nothing. Rows with a null key count as smallest;
     rows with one key but different texts count as different documents ordered
     by a hash of the text; rows that repeat in whole are one document and all
-    get its result. With whole_characters, runs shrink to whole characters, so
+    get its result; ties don't arise. An empty table gives no rows, and columns
+    beside key and text don't matter, whatever their names. Long texts are taken
+    whole: windows are judged in pieces of 1 MiB, and a worker holds a text and
+    its kept bytes. With whole_characters, runs shrink to whole characters, so
     that kept is valid UTF-8.
     """
     keep = [c for c in (keep or []) if c != key]
-    spans = repeated_spans(df, text, key, length)
+    spans = repeated_spans(df, text, key, length, **dealt)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = df.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("_")]).alias("rest"))
     joined = base.join(spans, ["doc", "th"], "left")

@@ -150,17 +150,54 @@ def test_repeats_like_brute_force(spark, small):
         assert got == brute_repeats(given_rows, length)
 
 
-def test_repeats_crowded_gram(spark, monkeypatch):
-    """One passage in many documents, whose gram's contexts are dealt out."""
-    monkeypatch.setattr(repeats, "CROWD", 8)
+@pytest.mark.parametrize("dealt", [{}, {"crowd": 8}, {"crowd": 2, "common": 3}, {"crowd": 300, "common": 6}])
+@pytest.mark.parametrize("size", [50, 80, 150])
+def test_repeats_crowded_gram(spark, dealt, size):
+    """A passage in many documents, whose gram's contexts go on with longer grams,
+    in some tasks by themselves."""
     rng = np.random.default_rng(5)
-    passage = "".join(rng.choice(list("abcdefgh "), 150))
-    rows = [(i, "".join(rng.choice(list("xyz "), 80)) + passage + "".join(rng.choice(list("uvw "), 80))) for i in range(80)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(df).collect()}
+    passage = "".join(rng.choice(list("abcdefgh "), size))
+    tails = ["".join(rng.choice(list("uvw "), 60)) for _ in range(7)]
+    rows = [(i, "".join(rng.choice(list("xyz "), 80)) + passage + (tails[i % 7] if i % 3 else "".join(rng.choice(list("uvw "), 80)))) for i in range(80)]
+    df = spark.createDataFrame([(k, t, 3 * (k < 50) + k % 3 * (k >= 50)) for k, t in rows], "doc_id long, text string, p int").repartition(4, "p")
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(df, **dealt).collect()}
     assert got == brute_repeats(rows, 100)
 
 
+def test_repeats_rows_in_proportion(spark, monkeypatch):
+    """A passage that all documents share costs rows in proportion to them."""
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefgh "), 130))
+    made = []
+    kept = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda d, name: (out := kept(d, name), made.append(out.count()))[0])
+    for n in (300, 600):
+        rows = [(i, "".join(rng.choice(list("xyz "), 120)) + passage + "".join(rng.choice(list("uvw "), 120))) for i in range(n)]
+        repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).count()
+        assert max(made) < 24 * n
+        made.clear()
+
+
+def test_repeats_in_pieces():
+    """Windows of a text over one segment are judged in pieces."""
+    rng = np.random.default_rng(7)
+    text = "".join(rng.choice(list("abcdefgh "), 3000))
+    rows = [(1, text + text[500:900]), (2, text[100:1500])]
+    import pyarrow as pa
+
+    keep = repeats.SEGMENT
+    repeats.SEGMENT = 700
+    try:
+        found = []
+        batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([0, 0]), pa.array([0, 0]), pa.array([t for _, t in rows])], names=["doc", "th", "lo", "t"])
+        for out in repeats._contexts(100, [64, 33, 9, 1], 0, 1000, False)(iter([batch])):
+            found += [r for r in out.to_pylist()]
+    finally:
+        repeats.SEGMENT = keep
+    starts = {k: sorted(x for r in found if r["doc"] == k for x in range(r["lo"], r["hi"] + 1)) for k, _ in rows}
+    assert all(starts[k] == list(range(len(t) - 99)) for k, t in rows)
+
+
 def test_repeats_odd_rows(spark):
     t = "".join(np.random.default_rng(9).choice(list("abcdefghij"), 150))
     rows = [(1, t), (1, t), (2, t), (None, t), (3, None), (2, "short"), (4, "é" * 120 + t)]
