@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 
 import numpy as np
 
@@ -206,33 +208,85 @@ class TwoTier:
         return self.blob[ranges(self.starts[ids], lens)], np.cumsum(lens)
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """The tokens that a tokenizers file matches as whole strings, before any
+    pre-token, and their ids. Only plain ones are known here."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("added tokens that take white space, single words or normalised text aren't supported")
+    return {t["content"].encode(): t["id"] for t in found}
+
+
+def special_places(data, offsets, special: dict[bytes, int]):
+    """(start, end, id) of the special strings in texts laid end to end, leftmost
+    first, the longest of those that start at one place."""
+    raw = data.tobytes()
+    if not any(x in raw for x in special):
+        return []
+    pattern = re.compile(b"|".join(re.escape(x) for x in sorted(special, key=len, reverse=True)))
+    out = []
+    for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out += [(m.start(), m.end(), special[m[0]]) for m in pattern.finditer(raw, i, j)]
+    return out
+
+
 class Encoder:
     """Whole texts to ids. Pre-tokens are hashed together and each distinct one
-    is encoded once; encode is a function of a list of byte strings."""
+    is encoded once; what a hash finds is compared character by character, and
+    what differs is encoded by itself. encode is a function of a list of byte
+    strings; strings in special have the ids given there."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, special: dict[bytes, int] | None = None):
+        self.encode, self.special = encode, special or {}
         self.reset()
 
     def reset(self):
         self.slot: dict[int, int] = {}
-        self.off, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.known = 0
+        self.off, self.len, self.char_off, self.char_len = (np.zeros(1 << 16, np.int64) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.chars, self.char_used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, hashes: list[int], tokens: list[bytes]) -> None:
-        for h, ids in zip(hashes, self.encode(tokens), strict=True):
-            k = len(self.slot)
+    def _learn(self, tokens: list[str]) -> range:
+        """The entries made for tokens, one each."""
+        first = self.known
+        for token, ids in zip(tokens, self.encode([t.encode("utf-8", "surrogatepass") for t in tokens]), strict=True):
+            k, n = self.known, len(token)
             if k >= len(self.off):
-                self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
+                self.off, self.len, self.char_off, self.char_len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len, self.char_off, self.char_len))
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.slot[h] = k
-            self.off[k], self.len[k] = self.used, len(ids)
+            while self.char_used + n > len(self.chars):
+                self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+            self.off[k], self.len[k], self.char_off[k], self.char_len[k] = self.used, len(ids), self.char_used, n
             self.pool[self.used : self.used + len(ids)] = ids
+            self.chars[self.char_used : self.char_used + n] = np.frombuffer(token.encode("utf-32-le", "surrogatepass"), np.uint32)
             self.used += len(ids)
+            self.char_used += n
+            self.known += 1
+        return range(first, self.known)
 
     def __call__(self, data, offsets):
         """(ids as uint32, n + 1 offsets into them) of texts given as flat UTF-8."""
+        places = special_places(data, offsets, self.special) if self.special else []
+        if not places:
+            return self._plain(data, offsets)
+        start, end, special = (np.array(x, np.int64) for x in zip(*places, strict=True))
+        cuts = np.sort(np.concatenate([offsets, start, end]))
+        ids, upto = self._plain(data, cuts)
+        lens = np.diff(upto)
+        at = np.searchsorted(cuts, start, side="right") - 1  # the pieces that are special strings
+        plain = np.ones(len(lens), bool)
+        plain[at] = False
+        sizes = np.where(plain, lens, 1)
+        begin = np.append(0, np.cumsum(sizes))
+        out = np.empty(begin[-1], np.uint32)
+        out[ranges(begin[:-1][plain], lens[plain])] = ids[ranges(upto[:-1][plain], lens[plain])]
+        out[begin[at]] = special
+        return out, begin[np.searchsorted(cuts, offsets)]
+
+    def _plain(self, data, offsets):
         n_docs = len(offsets) - 1
         text = data.tobytes().decode("utf-8", "surrogatepass")
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -255,18 +309,28 @@ class Encoder:
         hs = h[order]
         new = np.append(True, hs[1:] != hs[:-1])
         distinct, example = hs[new].tolist(), order[new]
-        if len(self.slot) + len(distinct) > CACHE_ENTRIES and self.slot:
+        if self.known + len(distinct) > CACHE_ENTRIES and self.known:
             self.reset()
         get = self.slot.get
         slots = [get(x, -1) for x in distinct]
         missing = [i for i, s in enumerate(slots) if s < 0]
         if missing:
-            tokens = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begin[example[missing]].tolist(), end[example[missing]].tolist(), strict=True)]
-            self._learn([distinct[i] for i in missing], tokens)
-            for i in missing:
-                slots[i] = get(distinct[i])
+            tokens = [text[a:b] for a, b in zip(begin[example[missing]].tolist(), end[example[missing]].tolist(), strict=True)]
+            for i, k in zip(missing, self._learn(tokens), strict=True):
+                self.slot[distinct[i]] = slots[i] = k
         which = np.empty(len(h), np.int64)
         which[order] = np.asarray(slots, np.int64)[np.cumsum(new) - 1]
+        size = end - begin
+        wrong = self.char_len[which] != size
+        if not wrong.any():  # the pre-tokens are the text, one after the other
+            off = self.chars[ranges(self.char_off[which], size)] != cp
+            if off.any():
+                wrong = np.logical_or.reduceat(off, begin)
+        else:
+            wrong = np.fromiter((w or not np.array_equal(self.chars[s : s + m], cp[b : b + m]) for w, s, b, m in zip(wrong, self.char_off[which].tolist(), begin.tolist(), size.tolist(), strict=True)), bool, len(which))
+        if wrong.any():
+            k = np.flatnonzero(wrong)
+            which[k] = self._learn([text[a:b] for a, b in zip(begin[k].tolist(), end[k].tolist(), strict=True)])
         lens = self.len[which]
         ids = self.pool[ranges(self.off[which], lens)]
         upto = np.append(0, np.cumsum(lens))

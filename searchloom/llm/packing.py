@@ -87,17 +87,21 @@ class Packer:
         return self.emitted()
 
 
-def pack(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, windows: int = OPEN_WINDOWS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, windows: int = OPEN_WINDOWS, end_id: int = END_ID, with_ids: bool = False, special: dict[bytes, int] | None = None) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id,
     offset and, if asked for, the piece's ids as little-endian 32-bit binary.
 
     A document's ids are those of the vocabulary at ranks_path (a rank file;
-    the pre-tokens of the library's pattern, no special tokens), then end_id; a
-    null or empty text is end_id alone. Each id lies in one piece and pieces lie
+    the pre-tokens of the library's pattern), with those in special for the
+    strings named there (as `added_tokens` reads them), then end_id; a null or
+    empty text is end_id alone. Each id lies in one piece and pieces lie
     in a sequence without gaps. Sequences have length ids but for at most
     log2(length) a task, which have a smaller power of two. Rows are packed as
     they come, so repeated rows and null keys are documents like others; an
-    empty table gives no pieces. sequence_id is the task's number and a count.
+    empty table gives no pieces; ties don't arise, and other columns don't
+    matter, whatever their names. Texts are taken whole; a worker holds about
+    100 bytes a character of its longest text. sequence_id is the task's number
+    and a count.
     """
     ranks = worker_cache(("ranks", ranks_path), lambda: read_ranks(ranks_path))
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
@@ -106,14 +110,14 @@ def pack(df: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id"
     def make():
         import tiktoken
 
-        one = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
-        return Encoder(lambda tokens: [one(x) for x in tokens])
+        one = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
+        return Encoder(lambda tokens: [one(x.decode("utf-8", "surrogatepass")) for x in tokens], special)
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = worker_slot(("pack_encoder", name), make)
+        encoder = worker_slot(("pack_encoder", name, tuple(sorted((special or {}).items()))), make)
         packer, base, count = Packer(length, windows), TaskContext.get().partitionId() << 40, 0
         kind = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import byte_bpe, jaccard, labelled, packing, quality, repeats, secrets, toxicity, vectors, warc
+from searchloom.llm import bpe, byte_bpe, jaccard, labelled, packing, quality, repeats, secrets, toxicity, vectors, warc
 from searchloom.llm.tables import table
 
 
@@ -21,7 +21,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), special=bpe.added_tokens(vocabulary("byte_bpe_50k.json")))
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from searchloom.llm.components import components
 from searchloom.llm.suffixes import padded, sort_suffixes
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
-ODD = ["", None, "  ", "it's 'sample ''s don't I'll  we've'  \n\n 'x \n's 123abc'd x  ", "\t\tx  \n y's", "日本語 テキスト 😀 ½́", "a\r\n\r\n  b", "x" * 5000, "<|endoftext|>", "it's"]
+ODD = ["", None, "  ", "it's 'sample ''s don't I'll  we've'  \n\n 'x \n's 123abc'd x  ", "\t\tx  \n y's", "日本語 テキスト 😀 ½́", "a\r\n\r\n  b", "x" * 5000, "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>é  ", "<|endof", "text|>", "it's"]
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,22 @@ def test_bpe_like_tiktoken(docs, small):
     assert byte_bpe.encode(docs.limit(0), RANKS).count() == 0
 
 
+def test_ids_of_words_with_one_hash():
+    """The 1024 letters of this word and of its mirror have one polynomial hash."""
+    a = "ab"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    encoder = bpe.Encoder(bpe.TwoTier(bpe.read_ranks(RANKS)))
+    for n in (512, 1024, 2048):
+        x = a[:n]
+        y = x.translate(str.maketrans("ab", "ba"))
+        for texts in ([x, "hi " + y, y + " " + x], [y], [x + " so"]):
+            raw = [t.encode() for t in texts]
+            ids, upto = encoder(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            assert [ids[i:j].tolist() for i, j in zip(upto[:-1], upto[1:], strict=True)] == [enc.encode_ordinary(t) for t in texts]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab'strev ldm1\n\t é😀-", max_size=60), min_size=1, max_size=8))
 def test_pre_tokens_like_the_pattern(texts):
@@ -87,10 +103,9 @@ def test_packing(docs, small):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for df in (docs, small.repartition(3)):
         want = [(r.doc_id, np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [0], np.uint32)) for r in df.select("doc_id", "text").collect()]
-        rows = packing.pack(df, P.path("byte_bpe_50k.tiktoken")).collect()
+        rows = packing.pack(df, P.path("byte_bpe_50k.tiktoken"), special=bpe.added_tokens(P.path("byte_bpe_50k.json"))).collect()
         _check_packing(rows, want)
     assert packing.pack(docs.limit(0), P.path("byte_bpe_50k.tiktoken")).count() == 0
 
