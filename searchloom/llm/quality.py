@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from searchloom.llm.jaccard import BLANKS
 from searchloom.llm.labelled import sample
+from searchloom.llm.tables import with_rest
 from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, prefix_hash, segments, span_hash, trimmed, worker_cache
 
 PASSAGE, HASHED, HIDDEN, GATES = 64, 48, 24, 12
@@ -190,8 +191,8 @@ def score(df: DataFrame, model: Attention | None, text: str = "text", keep: list
                     s = own.forward(x, bounds)[0]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s)], names=["rest", "score"])
 
-    source = df.select(F.struct(*keep).alias("rest"), F.col(text).cast("string").alias("t"))
-    out = source.mapInArrow(trimmed(run), f"rest {source.schema['rest'].dataType.simpleString()}, score double")
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"), F.col(text).cast("string").alias("t"))
+    out = source.mapInArrow(trimmed(run), with_rest(source, score="double"))
     return out.select("rest.*", "score")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from searchloom.llm.suffixes import padded, sort_suffixes
-from searchloom.llm.tables import released, written
+from searchloom.llm.tables import released, with_rest, written
 from searchloom.llm.textcore import SEGMENT, U64, byte_values, flat_bytes, mix, powers, prefix_hash, ranges, segments, span_hash, trimmed
 
 LENGTH, GRAMS = 100, 64
@@ -337,7 +337,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     keep = [c for c in (keep or []) if c != key]
     spans = repeated_spans(df, text, key, length, **dealt)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = df.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("_")]).alias("rest"))
+    base = df.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("_")]).alias("rest"))
     joined = base.join(spans, ["doc", "th"], "left")
     rows = joined.select("k", "rest", F.col("t"), F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))
 
@@ -367,8 +367,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 kept.append(b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 out_s.append(s.tolist())
                 out_e.append(e.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off)), pa.array(out_s, pa.list_(pa.int64())), pa.array(out_e, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["k", "rest", "n_bytes", "s", "e", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(off)), pa.array(out_s, pa.list_(pa.int64())), pa.array(out_e, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["rest", "k", "n_bytes", "s", "e", "kept"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(trimmed(run), f"k {kinds['k']}, rest {kinds['rest']}, n_bytes bigint, s array<bigint>, e array<bigint>, kept binary")
+    out = rows.select("rest", "k", "t", "s", "e").mapInArrow(trimmed(run), with_rest(rows, k=rows.schema["k"].dataType.simpleString(), n_bytes="bigint", s="array<bigint>", e="array<bigint>", kept="binary"))
     return out.select(F.col("k").alias(key), "n_bytes", F.arrays_zip(F.col("s").alias("start"), F.col("e").alias("end")).alias("spans"), "kept", *[F.col(f"rest.`{c}`").alias(c) for c in keep])

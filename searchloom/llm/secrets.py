@@ -158,7 +158,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, fores
     """
     keep = keep or ["doc_id"]
     forest = forest or forest_sql(df.sparkSession)
-    base = df.select(F.struct(*keep).alias("__rest"), F.col(text).cast("string").alias("__t"))
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__rest"), F.col(text).cast("string").alias("__t"))
     rows = _candidates(base, "__t").withColumn("__x", F.expr(_found("__t")))
     rows = rows.withColumn("__s", F.expr(f"transform({_features_sql('__x')}, f -> {forest})"))
     start = "CAST(aggregate(sequence(0, i), 0L, (a, j) -> a + length(__p[j]) + if(j < i, length(__m[j]), 0)) + length(x.m) - length(x.v) AS LONG)"

@@ -53,6 +53,13 @@ def released(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def with_rest(df: DataFrame, **kinds: str):
+    """The schema of df's column rest, whatever its fields' names, and of kinds."""
+    from pyspark.sql.types import StructType
+
+    return StructType([df.schema["rest"], *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
+
+
 def blocks_of(n_rows: int, size: int) -> int:
     return max(1, math.ceil(n_rows / size))
 

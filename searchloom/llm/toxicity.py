@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from searchloom.llm.bpe import LETTER, NUMBER, SPACE, class_table
 from searchloom.llm.labelled import sample, without_copies
+from searchloom.llm.tables import with_rest
 from searchloom.llm.textcore import SEGMENT, U64, flat_bytes, mix, powers, segments, trimmed, worker_cache, worker_slot
 
 DECAY, LANDMARKS, LONGEST = 0.65, 256, 24
@@ -355,8 +356,8 @@ def score(df: DataFrame, machine: Machine | None, text: str = "text", keep: list
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s)], names=["rest", "score"])
 
     place = keep.index(text) if text in keep and df.schema[text].dataType.simpleString() == "string" else None
-    source = df.select(F.struct(*keep).alias("rest"), *([] if place is not None else [F.col(text).cast("string").alias("t")]))
-    out = source.mapInArrow(trimmed(run), f"rest {source.schema['rest'].dataType.simpleString()}, score double")
+    source = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("rest"), *([] if place is not None else [F.col(text).cast("string").alias("t")]))
+    out = source.mapInArrow(trimmed(run), with_rest(source, score="double"))
     return out.select("rest.*", "score")
 
 
