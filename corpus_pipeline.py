@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from searchloom.llm import jaccard, labelled, packing, repeats, secrets, toxicity
+from searchloom.llm import bpe, jaccard, labelled, packing, repeats, secrets, toxicity
 from searchloom.llm.registry import vocabulary
 from searchloom.llm.tables import table, written
 
@@ -20,50 +20,60 @@ from searchloom.llm.tables import table, written
 TOXIC = 0.3
 
 
-def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows in the columns of docs, n_chars being the length of their text."""
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+def _apart(docs: DataFrame, *more):
+    """(row, text, more): docs with its other columns as one, so that no name of
+    theirs meets another."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), "text", *more)
+
+
+def _together(rows: DataFrame, docs: DataFrame, new: bool = False) -> DataFrame:
+    """Rows (row, text) in the columns of docs; a new text gives n_chars anew."""
+    kinds = docs.schema
+    cols = {c: F.col("text").cast(kinds[c].dataType) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
+    if new:
+        cols["n_chars"] = F.length("text").cast(kinds["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in cols.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the machine trained on the labelled ones doesn't reject."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), labelled.remainder("doc_id", 4) != 2)
-    return toxicity.score(docs, machine, keep=docs.columns).where(F.col("score") < TOXIC).select(docs.columns)
+    return _together(toxicity.score(_apart(docs), machine, keep=["row", "text"]).where(F.col("score") < TOXIC), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group connected by a similarity of 0.8 or more of five-word
     shingles, the document with the smallest doc_id; of its rows with one doc_id,
     the one of least hash. Rows are told apart by a hash of doc_id and text, so
-    rows of one doc_id with other texts are documents of their own. Documents
-    without doc_id or without words stay."""
-    keyed = docs.withColumn("__node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
-    found = jaccard.classes(keyed, key="__node", words=5, num=80, den=100).where("__node IS NOT NULL").distinct()
-    found = written(found.join(keyed.where("doc_id IS NOT NULL").select("doc_id", "__node").distinct(), "__node"), "nodes")
-    least = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "__node")).alias("m")).select("m.__node")
-    one = W.partitionBy("__node").orderBy("doc_id")
-    rows = keyed.join(least, "__node", "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(docs.columns)
-    wordless = keyed.join(found.where("n_shingles = 0").select("__node"), "__node", "left_semi").select(docs.columns)
-    return rows.unionByName(wordless).unionByName(docs.where("doc_id IS NULL"))
+    rows of one doc_id with other texts are documents of their own, and of rows
+    that repeat both one stays. Documents without doc_id or without words stay."""
+    keyed = _apart(docs, "doc_id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("node"))
+    found = jaccard.classes(keyed, key="node", words=5, num=80, den=100).where("node IS NOT NULL").distinct()
+    found = written(found.join(keyed.where("doc_id IS NOT NULL").select("doc_id", "node").distinct(), "node"), "nodes")
+    least = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.node")
+    one = W.partitionBy("node").orderBy("doc_id")
+    rows = keyed.join(least, "node", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    wordless = keyed.join(found.where("n_shingles = 0").select("node"), "node", "left_semi")
+    return _together(rows.select("row", "text").unionByName(wordless.select("row", "text")), docs).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings of 100 bytes or more that start earlier
     too, in whole characters."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = repeats.remove_repeats(docs, keep=rest, whole_characters=True)
-    return _with_text(out.withColumn("text", F.decode("kept", "UTF-8")), docs)
+    out = repeats.remove_repeats(_apart(docs, "doc_id"), keep=["row"], whole_characters=True)
+    return _together(out.select("row", F.decode("kept", "UTF-8").alias("text")), docs, new=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mask in place of each secret."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    return _with_text(secrets.scan(docs, keep=rest).withColumnRenamed("redacted", "text"), docs)
+    out = secrets.scan(_apart(docs), keep=["row"])
+    return _together(out.select("row", F.col("redacted").alias("text")), docs, new=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"), special=bpe.added_tokens(vocabulary("byte_bpe_50k.json")))
 
 
 STAGES = [
