@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from searchloom.contracts import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_SIZE, CHUNKING_VERSION
+from searchloom.contracts import CHUNK_MIN, CHUNK_OVERLAP, CHUNK_SIZE, CHUNKING_VERSION, EMPTY_CHARS, MARKDOWN_BYTES
+from searchloom.functions import spans as cut
 from searchloom.functions.text import content_hash, strip
 
 
@@ -72,36 +78,46 @@ def merge_sections(sections: Column, least: int = CHUNK_MIN) -> Column:
     return F.aggregate(sections, zero, step, finish)
 
 
-def _late_break(window: str, base: str, other: str) -> str:
-    """Behind the last line feed of window, else behind the stop of its last stop
-    and space, else other; window starts at base."""
-    return f"""CASE WHEN instr({window}, '\\n') > 0 THEN {base} + length({window}) - length(substring_index({window}, '\\n', -1))
-        WHEN instr({window}, '. ') > 0 THEN {base} + length({window}) - length(substring_index({window}, '. ', -1)) - 1 ELSE {other} END"""
+def _lists(kind: str, make):
+    """An Arrow function of a text column to arrays of rows: make(text) gives a
+    list of tuples, or of values where kind is a plain type. A text is walked once
+    by character, which a fold over SQL strings can't do; the batch goes to Python
+    and back as Arrow arrays."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [make(t or "") for t in texts.to_pylist()]
+        flat = [x for rows in found for x in rows]
+        ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+        if isinstance(element, pa.StructType):
+            cols = list(zip(*flat, strict=True)) or [[]] * element.num_fields
+            values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, element, strict=True)], fields=list(element))
+        else:
+            values = pa.array(flat, element)
+        return pa.ListArray.from_arrays(ends, values)
+
+    element = to_arrow_type(DataType.fromDDL(kind)).value_type
+    return F.arrow_udf(run, kind)
 
 
 def spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, tail: int = 0) -> Column:
     """Array of (s, e) character ranges of column `text`: windows of size with
     late breaks at line ends and stops, overlapping, covering all; a last one
     below tail is balanced with the one before it."""
-    advance = max(1, size - 2 * overlap)
-    kind = "ARRAY<STRUCT<s: INT, e: INT>>"
-    end = f"if(a.s + {size} >= length({text}), length({text}), element_at(transform(array(substring({text}, a.s + {size - overlap} + 1, {overlap})), w -> {_late_break('w', f'(a.s + {size - overlap})', f'a.s + {size}')}), 1))"
-    step = f"""(a, k) -> if(a.s >= length({text}), a, element_at(transform(array({end}), e -> named_struct(
-        's', if(e >= length({text}), length({text}), greatest(e - {overlap}, a.s + {advance})), 'spans', array_append(a.spans, named_struct('s', a.s, 'e', e)))), 1))"""
-    done = "a.spans"
-    if tail:
-        n = "size(a.spans)"
-        p, q = f"a.spans[{n} - 2]", f"a.spans[{n} - 1]"
-        mid = f"({p}.s + CAST(floor(({q}.e - {p}.s + {overlap} + 1) / 2) AS INT))"
-        done = f"""if({n} < 2, a.spans, if({q}.e - {q}.s >= {tail}, a.spans, element_at(transform(transform(array({mid}), m -> element_at(transform(array(substring({text}, m - {overlap} + 1, {overlap})), w -> {_late_break('w', f'(m - {overlap})', 'm')}), 1)),
-            m -> concat(slice(a.spans, 1, {n} - 2), array(named_struct('s', {p}.s, 'e', m), named_struct('s', m - {overlap}, 'e', {q}.e)))), 1)))"""
-    return F.expr(f"aggregate(sequence(0, CAST(length({text}) / {advance} AS INT) + 1), named_struct('s', 0, 'spans', CAST(array() AS {kind})), {step}, a -> {done})")
+    return _lists("array<struct<s:int,e:int>>", lambda t: cut.spans(t, size, overlap, tail))(F.col(text))
 
 
 def chunk_texts(text: str, tail: int = CHUNK_MIN) -> Column:
     """The stripped texts of the spans of column `text`, without blank ones."""
-    cut = F.transform(spans(text, tail=tail), lambda x: strip(F.substring(F.col(text), x["s"] + 1, x["e"] - x["s"])))
-    return F.filter(cut, lambda x: x != "")
+    return _lists("array<string>", lambda t: cut.pieces(t, CHUNK_SIZE, CHUNK_OVERLAP, tail))(F.col(text))
+
+
+def file_chunks(text: str) -> Column:
+    """Array of (header, section_no, chunk) of a Markdown file in column `text`:
+    front matter goes, the body is cut at headings, small sections are joined, and
+    each section is cut into spans. Empty for files over the size limit, or with
+    almost no text."""
+    small = F.when(F.octet_length(F.col(text)) <= MARKDOWN_BYTES, F.col(text))
+    return _lists("array<struct<header:string,section_no:int,chunk:string>>", lambda t: cut.file_chunks(t, CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_MIN, EMPTY_CHARS))(small)
 
 
 def chunk_id(path: Column, file_hash: Column, index: Column) -> Column:
@@ -110,7 +126,9 @@ def chunk_id(path: Column, file_hash: Column, index: Column) -> Column:
 
 def chunk_files(files: DataFrame, text: str = "text") -> DataFrame:
     """A row for each chunk of files (path, text and more): the files' other
-    columns, file_hash, expected_chunk_count, chunk_index, chunk and id."""
-    rows = files.withColumn("file_hash", content_hash(F.col(text))).withColumn("__chunks", chunk_texts(text))
-    rows = rows.withColumn("expected_chunk_count", F.size("__chunks")).select("*", F.posexplode("__chunks").alias("chunk_index", "chunk")).drop("__chunks", text)
+    columns, file_hash, expected_chunk_count, header, section_no, chunk_index (in
+    the file), chunk and id."""
+    rows = files.withColumn("file_hash", content_hash(F.col(text))).withColumn("__chunks", file_chunks(text)).drop(text)
+    rows = rows.withColumn("expected_chunk_count", F.size("__chunks")).select("*", F.posexplode("__chunks").alias("chunk_index", "__c"))
+    rows = rows.select(*[c for c in rows.columns if not c.startswith("__")], "__c.header", "__c.section_no", "__c.chunk")
     return rows.withColumn("id", chunk_id(F.col("path"), F.col("file_hash"), F.col("chunk_index")))

@@ -19,8 +19,10 @@ def ranked(hits: DataFrame, *order, by: tuple[str, ...] = (), branch: str) -> Da
 
 def rrf(branches: DataFrame, k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, id, rrf, best_rank, lexical_only, fused_rank) of rows (by, branch,
-    rank, id). A repeated id accumulates; ties go to the better rank, then id."""
-    g = branches.groupBy(*by, "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.min("rank").alias("best_rank"), (~F.bool_or(F.col("branch") == "vector")).alias("lexical_only"))
+    rank, id), and distance and bm25 where they have them. A repeated id
+    accumulates; ties go to the better rank, then id."""
+    facts = [F.max(c).alias(c) for c in ("distance", "bm25") if c in branches.columns]
+    g = branches.groupBy(*by, "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.min("rank").alias("best_rank"), (~F.bool_or(F.col("branch") == "vector")).alias("lexical_only"), *facts)
     order = [F.desc(F.round("rrf", 12)), "best_rank", "id"]
     over = W.partitionBy(*by).orderBy(*order) if by else W.orderBy(*order)  # without by, at most two branches of candidates
     return g.withColumn("fused_rank", F.row_number().over(over))
@@ -45,13 +47,17 @@ def multiplicity(fused: DataFrame, window: int, by: tuple[str, ...] = ("query_id
 
 def rerank(hits: DataFrame, score: Callable[[DataFrame], DataFrame], first: int = RERANKED) -> tuple[DataFrame, str | None]:
     """(hits, reason): the first hits by score, which adds a column rerank_score;
-    only they survive. If score fails, all hits in fused order, and why."""
+    only they survive. If score fails, be it in a task, all hits in fused order,
+    and why: the scored rows, at most `first`, are taken to the driver here."""
+    spark = hits.sparkSession
     try:
         scored = score(hits.where(F.col("fused_rank") <= first))
         if "rerank_score" not in scored.columns:
             raise ValueError("no rerank_score")
+        held = spark.createDataFrame(scored.toArrow())
+        held = held.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in scored.schema])
         over = W.orderBy(F.desc("rerank_score"), "fused_rank")  # at most `first` rows
-        return scored.withColumn("final_rank", F.row_number().over(over)), None
+        return held.withColumn("final_rank", F.row_number().over(over)), None
     except Exception as error:  # a failing reranker degrades the search
         return hits.withColumn("final_rank", F.col("fused_rank")), f"reranker failed: {error}"
 

@@ -81,19 +81,108 @@ def postings(chunks: DataFrame, text: str = "chunk") -> DataFrame:
     return rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25_batch(chunks: DataFrame, terms: DataFrame, limit: int = CANDIDATES, text: str = "chunk") -> DataFrame:
+def bm25_stored(postings: DataFrame, stats: DataFrame, query_phrases: list[list[str]], allowed: DataFrame | None = None, limit: int = CANDIDATES) -> DataFrame:
+    """(id, bm25) like bm25, from postings (term, id, tf, dl, places) of the query's
+    terms and stats (n, avgdl), one row; allowed (id) is what filters leave."""
+    if not query_phrases or limit <= 0:
+        return postings.select("id", F.lit(None).cast("double").alias("bm25")).limit(0)
+    distinct = list(dict.fromkeys(map(tuple, query_phrases)))
+    terms = list(dict.fromkeys(t for p in distinct for t in p))
+    at = {t: f"__p{i}" for i, t in enumerate(terms)}
+    whole = any(len(p) > 1 for p in distinct)
+    value = F.col("places") if whole else F.col("tf")
+    rows = postings.groupBy("id").agg(F.first("dl").alias("__dl"), *[F.max(F.when(F.col("term") == t, value)).alias(c) for t, c in at.items()])
+
+    def count(p):
+        first = F.col(at[p[0]])
+        if not whole:
+            return F.coalesce(first, F.lit(0))
+        hit = lambda i: _all([F.array_contains(at[w], i + k) for k, w in enumerate(p)]) if len(p) > 1 else F.lit(True)
+        return F.coalesce(F.size(F.filter(first, hit)), F.lit(0))
+
+    rows = rows.select("id", "__dl", *[count(p).alias(f"__tf{i}") for i, p in enumerate(distinct)])
+    n_rows = rows.agg(*[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(distinct))])
+    times = {p: sum(tuple(q) == p for q in query_phrases) for p in distinct}
+    score = sum((_idf(F.col("n"), F.col(f"__df{i}")) * _weight(F.col(f"__tf{i}"), F.col("__dl"), F.col("avgdl")) * times[p] for i, p in enumerate(distinct)), F.lit(0.0))
+    found = rows.where(F.greatest(*[F.col(f"__tf{i}") for i in range(len(distinct))], F.lit(0)) > 0)
+    if allowed is not None:
+        found = found.join(allowed, "id", "left_semi")
+    scored = found.crossJoin(F.broadcast(n_rows)).crossJoin(F.broadcast(stats))  # one row each
+    return scored.select("id", (-score).alias("bm25")).orderBy("bm25", "id").limit(limit)
+
+
+#: (query, term) pairs that a task holds at once; more queries are asked in turns.
+BATCH_PAIRS = 1_000_000
+
+
+def bm25_batch(forward: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, id, bm25, rank) for single-token queries given as rows
     (query_id, term), repeats counting.
 
-    The chunks' tokens are cut to the queries' terms before anything is shuffled;
-    scores are summed per query and chunk and ranked per query.
+    forward has (id, dl, tokens) of each chunk, df (term, chunks), stats one row
+    (n, avgdl). A block of queries, of at most BATCH_PAIRS pairs, goes to all
+    tasks; each scatters the postings of its own chunks into dense scores and
+    passes on its best of each query, so nothing of a common term is shuffled.
     """
-    rows = chunks.select("id", index_tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     wanted = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    tf = rows.select("id", "dl", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = wanted.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", (_idf(F.col("n"), F.col("df")) * F.col("times")).alias("w"))
-    scores = tf.join(weighed, "term").groupBy("query_id", "id").agg((-F.sum(F.col("w") * _weight(F.col("tf"), F.col("dl"), F.col("avgdl")))).alias("bm25"))
+    weighed = wanted.join(df.select("term", F.col("chunks").alias("df")), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (_idf(F.col("n"), F.col("df")) * F.col("times")).alias("w"), "avgdl")
+    n = weighed.count()
+    turns = max(1, -(-n // BATCH_PAIRS))
+    out = None
+    for turn in range(turns):
+        mine = weighed if turns == 1 else weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
+        part = _ask(forward, mine.toPandas(), limit, terms.schema["query_id"].dataType.simpleString())
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("bm25", 9), "id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def _ask(forward: DataFrame, weights, limit: int, kind: str) -> DataFrame:
+    """Each task's best chunks of each query in weights (query_id, term, w, avgdl)."""
+    import numpy as np
+
+    queries = weights["query_id"].unique()
+    place = {q: i for i, q in enumerate(queries)}
+    by_term = {t: (g["query_id"].map(place).to_numpy(), g["w"].to_numpy()) for t, g in weights.groupby("term")}
+    avgdl = float(weights["avgdl"].iloc[0]) if len(weights) else 1.0
+    shared = forward.sparkSession.sparkContext.broadcast((queries, by_term, avgdl))
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, terms, mean = shared.value
+        step = max(1, (1 << 22) // max(1, len(names)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                tokens = batch.column(2)
+                flat = tokens.flatten().dictionary_encode()
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(tokens.value_lengths().fill_null(0)))
+                codes = flat.indices.to_numpy(zero_copy_only=False)
+                known = np.array([t in terms for t in flat.dictionary.to_pylist()], bool)
+                use = known[codes] if len(codes) else np.zeros(0, bool)
+                pairs, tf = np.unique(codes[use].astype(np.int64) * batch.num_rows + row[use], return_counts=True)
+                term, at = pairs // max(1, batch.num_rows), pairs % max(1, batch.num_rows)
+                dl = batch.column(1).to_numpy()
+                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[at] / mean))
+                scores, hit = np.zeros((batch.num_rows, len(names))), np.zeros((batch.num_rows, len(names)), bool)
+                edges = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, int)
+                for a, b in zip(edges, np.append(edges[1:], len(term)), strict=True):
+                    q, w = terms[flat.dictionary[int(term[a])].as_py()]
+                    cells = np.ix_(at[a:b], q)
+                    scores[cells] += gain[a:b, None] * w
+                    hit[cells] = True
+                ids = batch.column(0)
+                out_q, out_i, out_s = [], [], []
+                for k in range(len(names)):
+                    own = np.flatnonzero(hit[:, k])
+                    if len(own) > limit:  # all that tie with the last one stay
+                        s = np.round(-scores[own, k], 9)
+                        own = own[s <= np.partition(s, limit - 1)[limit - 1]]
+                    out_q.append(np.full(len(own), k))
+                    out_i.append(own)
+                    out_s.append(-scores[own, k])
+                q, i, s = (np.concatenate(x) if x else np.zeros(0, int) for x in (out_q, out_i, out_s))
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), ids.take(pa.array(i)), pa.array(s, pa.float64())], names=["query_id", "id", "bm25"])
+
+    return forward.select("id", "dl", "tokens").mapInArrow(run, f"query_id {kind}, id string, bm25 double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from searchloom.contracts import CHUNKING_VERSION, EMPTY_CHARS, ERROR_SAMPLE, MARKDOWN_BYTES, METADATA_VERSION
 from searchloom.functions.text import content_hash, strip
-from searchloom.operators.chunking import body, chunk_texts
+from searchloom.operators.chunking import body, file_chunks
 
 KEYS = ["domain", "section", "path"]
 
@@ -19,7 +19,7 @@ def live_state(files: DataFrame, text: str = "text", readable: str | None = None
     ok = F.lit(True) if readable is None else F.col(readable)
     status = F.when(F.octet_length(t) > cap, "too_large").when(~ok, "read_error").when(F.length(strip(body(t))) < EMPTY_CHARS, "empty").otherwise("ok")
     rows = files.withColumn("status", status)
-    return rows.select(F.lit("vault").alias("domain"), "section", "path", "status", content_hash(t).alias("live_hash"), F.when(F.col("status") == "ok", F.size(chunk_texts(text))).otherwise(0).alias("live_chunks"))
+    return rows.select(F.lit("vault").alias("domain"), "section", "path", "status", content_hash(t).alias("live_hash"), F.when(F.col("status") == "ok", F.size(file_chunks(text))).otherwise(0).alias("live_chunks"))
 
 
 def indexed_state(chunks: DataFrame) -> DataFrame:

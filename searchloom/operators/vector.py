@@ -32,20 +32,67 @@ def topk(vectors: DataFrame, query: list[float], condition: Column | None = None
     return scored.where("distance IS NOT NULL").orderBy(F.round("distance", 9), "id").limit(limit)
 
 
-def topk_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES, vector: str = "vector", block: int = 256) -> DataFrame:
+#: Queries that all tasks hold at once; more are asked in turns.
+BATCH_QUERIES = 4096
+
+
+def topk_batch(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES, vector: str = "vector", block: int = BATCH_QUERIES) -> DataFrame:
     """(query_id, id, distance, rank) of each query's nearest rows, exactly.
 
-    Queries (query_id, vector) travel in packs of `block`, so a row of vectors
-    meets each pack once; a pack's best per task is kept before the shuffle by
-    the window's group limit.
+    A block of queries (query_id, vector) goes to all tasks, which multiply it
+    with their own rows and pass on the best of each query, ties included.
+    Vectors of another length than the query's, null or all zeros take no part.
     """
-    n = queries.count()
-    packs = queries.select("query_id", F.col(vector).cast("array<double>").alias("qv")).withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))))
-    packs = packs.groupBy("pack").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    pairs = vectors.select("id", F.col(vector).cast("array<double>").alias("v")).crossJoin(packs).select("id", "v", F.explode("qs").alias("q"))
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "id", (1 - cosine(F.col("v"), F.col("q.qv"))).alias("distance")).where("distance IS NOT NULL")
+    asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("qv")).where("qv IS NOT NULL")
+    turns = max(1, -(-asked.count() // block))
+    out = None
+    for turn in range(turns):
+        mine = asked if turns == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
+        part = _nearest_of_tasks(vectors, mine.collect(), limit, vector, queries.schema["query_id"].dataType.simpleString())
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def _nearest_of_tasks(vectors: DataFrame, asked: list, limit: int, vector: str, kind: str) -> DataFrame:
+    import numpy as np
+
+    sizes: dict[int, list] = {}
+    for r in asked:
+        sizes.setdefault(len(r.qv), []).append(r)
+    packs = {n: ([r.query_id for r in rows], np.array([r.qv for r in rows], float)) for n, rows in sizes.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(packs)
+    id_kind = vectors.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lens = np.asarray(batch.column(1).value_lengths().fill_null(-1))
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.maximum(lens, 0))
+            for size, (names, q) in shared.value.items():
+                rows = np.flatnonzero(lens == size)
+                v = flat[(ends[rows] - size)[:, None] + np.arange(size)]
+                norm = np.sqrt((v * v).sum(1))
+                rows, v, norm = rows[norm > 0], v[norm > 0], norm[norm > 0]
+                length = np.sqrt((q * q).sum(1))
+                for at in range(0, len(rows), step := max(1, (1 << 22) // max(1, len(names)))):
+                    part = slice(at, at + step)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        far = 1 - (v[part] @ q.T) / (norm[part, None] * length)
+                    for k, name in enumerate(names):
+                        own = np.flatnonzero(np.isfinite(far[:, k]))
+                        if len(own) > limit:
+                            d = np.round(far[own, k], 9)
+                            own = own[d <= np.partition(d, limit - 1)[limit - 1]]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), query_type), batch.column(0).take(pa.array(rows[part][own])), pa.array(far[own, k])], names=["query_id", "id", "distance"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    query_type = to_arrow_type(DataType.fromDDL(kind))
+    return vectors.select("id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"query_id {kind}, id {id_kind}, distance double")
 
 
 def hash_embedding(c: Column, dims: int = 16) -> Column:

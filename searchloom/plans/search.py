@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.contracts import CANDIDATES, LEXICAL_VERSION
-from searchloom.operators import fusion, lexical, vector
+from searchloom.contracts import LEXICAL_VERSION, RERANKED
+from searchloom.operators import fusion
 from searchloom.operators.filters import clamp_k
+from searchloom.sources.index import Index, Scan
 
 
 @dataclass
@@ -29,37 +30,32 @@ def lexical_ready(meta: dict[str, str] | None) -> str | None:
     return None if meta.get("version") == LEXICAL_VERSION else "lexical index incompatible"
 
 
-def fused(chunks: DataFrame, vectors: DataFrame, phrases: list[list[str]], query_vector: list[float], condition: Column | None = None) -> DataFrame:
+def fused(source: Index | Scan, phrases: list[list[str]], query_vector: list[float], condition: Column | None = None) -> DataFrame:
     """(id, rrf, best_rank, lexical_only, fused_rank, distance, bm25) of both
-    branches' candidates; chunks and vectors carry the filter columns."""
-    v = vector.topk(vectors, query_vector, condition, CANDIDATES)
-    v = fusion.ranked(v, F.round("distance", 9), "id", branch="vector").select("branch", "rank", "id", "distance", F.lit(None).cast("double").alias("bm25"))
-    x = lexical.bm25(chunks, phrases, condition, CANDIDATES)
-    x = fusion.ranked(x, F.round("bm25", 9), "id", branch="lexical").select("branch", "rank", "id", F.lit(None).cast("double").alias("distance"), "bm25")
-    both = v.unionByName(x)
-    facts = both.groupBy("id").agg(F.max("distance").alias("distance"), F.max("bm25").alias("bm25"))
-    return fusion.rrf(both).join(facts, "id")  # at most 80 rows
+    branches' candidates; the condition is on the filter columns."""
+    v = fusion.ranked(source.vector(query_vector, condition), F.round("distance", 9), "id", branch="vector")
+    v = v.select("branch", "rank", "id", "distance", F.lit(None).cast("double").alias("bm25"))
+    x = fusion.ranked(source.lexical(phrases, condition), F.round("bm25", 9), "id", branch="lexical")
+    x = x.select("branch", "rank", "id", F.lit(None).cast("double").alias("distance"), "bm25")
+    return fusion.rrf(v.unionByName(x))  # at most 80 rows
 
 
-def search(chunks: DataFrame, vectors: DataFrame, phrases: list[list[str]], query_vector: list[float], k: int = 10, condition: Column | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, lexical_problem: str | None = None) -> SearchResults:
-    """The k best chunks, clamped to 1..10, with their columns.
+def search(source: Index | Scan, phrases: list[list[str]], query_vector: list[float], k: int = 10, condition: Column | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, lexical_problem: str | None = None) -> SearchResults:
+    """The k best chunks of an index, clamped to 1..10, with their columns.
 
     Without a usable lexical index the vector branch answers alone, with k
     candidates. Otherwise both branches are fused and, with a reranker, the
-    first 20 reranked; if that fails the fused order stands.
+    first 20 reranked; if that fails, when planned or when run, the fused order
+    stands.
     """
     k = clamp_k(k)
     if lexical_problem:
-        v = vector.topk(vectors, query_vector, condition, k)
-        v = fusion.ranked(v, F.round("distance", 9), "id", branch="vector").select("id", F.col("rank").alias("final_rank"), "distance", F.lit(False).alias("lexical_only"))
-        return SearchResults(_hydrate(v, chunks), "vector-only", lexical_problem)
-    hits = _hydrate(fused(chunks, vectors, phrases, query_vector, condition), chunks)
+        v = fusion.ranked(source.vector(query_vector, condition, k), F.round("distance", 9), "id", branch="vector")
+        v = v.select("id", F.col("rank").alias("final_rank"), "distance", F.lit(False).alias("lexical_only"))
+        return SearchResults(source.hydrate(v), "vector-only", lexical_problem)
+    hits = fused(source, phrases, query_vector, condition)
     if reranker is None:
-        return SearchResults(hits.withColumn("final_rank", F.col("fused_rank")).where(F.col("final_rank") <= k), "hybrid", "no reranker")
-    out, reason = fusion.rerank(hits, reranker)
+        best = hits.where(F.col("fused_rank") <= k)
+        return SearchResults(source.hydrate(best).withColumn("final_rank", F.col("fused_rank")), "hybrid", "no reranker")
+    out, reason = fusion.rerank(source.hydrate(hits.where(F.col("fused_rank") <= RERANKED)), reranker)
     return SearchResults(out.where(F.col("final_rank") <= k), "hybrid" if reason else "hybrid+rerank", reason)
-
-
-def _hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """hits with the chunks' columns; hits are at most 80 rows."""
-    return chunks.join(F.broadcast(hits), "id")

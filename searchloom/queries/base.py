@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from searchloom.contracts import CHUNKING_VERSION
 from searchloom.operators.chunking import chunk_files
 from searchloom.sources import corpus
+from searchloom.sources.index import Index
+from searchloom.sources.scratch import file_system, shared_path
 
 QUERY = "idiot pathetic worthless ention"
 QUERY_VECTOR_ID = 0
@@ -48,9 +50,16 @@ def strip_sql(c: str) -> str:
     return STRIP.format(c)
 
 
+def kept_sql(c: str) -> str:
+    """Whether a text is chunked at all, by its size and what is in it."""
+    return f"length({strip_sql(c)}) >= 20 AND strlen({c}) <= 1000000"
+
+
 def chunks_sql(source: str = "files", prefix: str = "") -> str:
-    """CTEs up to {prefix}chunks: one row a chunk of source, with its columns."""
-    return f"""{spans_sql(source, prefix=prefix)},
+    """CTEs up to {prefix}chunks: one row a chunk of source, with its columns. For
+    texts without front matter and headings, as those of documents are; the query
+    markdown_chunks has the sections' SQL."""
+    return f"""{spans_sql(f"(SELECT * FROM {source} WHERE {kept_sql('text')})", prefix=prefix)},
     {prefix}texts AS (SELECT path, i, {strip_sql('substr(text, s + 1, e - s)')} AS chunk FROM {prefix}spans),
     {prefix}numbered AS (SELECT path, chunk, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS chunk_index, count(*) OVER (PARTITION BY path) AS expected_chunk_count FROM {prefix}texts WHERE chunk <> ''),
     {prefix}chunks AS (SELECT f.* EXCLUDE (text), sha256(f.text) AS file_hash, c.chunk_index, c.expected_chunk_count, c.chunk,
@@ -76,6 +85,29 @@ def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_files(corpus.indexed_files(spark, sf_dir)).withColumn("chunking_version", F.lit(CHUNKING_VERSION))
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The search index over the files' chunks, and over the vectors of their
+    first ones; built once a session and state of the tables, then searched."""
+    path, fs = file_system(spark, sf_dir)
+    state = tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(path)))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    held = _INDEXES.get(key)
+    if held is None or not fs_has(spark, f"{held.root}/stats/_SUCCESS"):
+        made = Index.build(chunks(spark, sf_dir), shared_path(spark, "index"))
+        vectors = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<float>").alias("vector"))
+        made.table("chunks").where("chunk_index = 0").drop("chunk", "bucket").join(vectors, "doc_id").write.parquet(f"{made.root}/vectors")
+        _INDEXES[key] = held = made
+    return held
+
+
+def fs_has(spark: SparkSession, path: str) -> bool:
+    p, fs = file_system(spark, path)
+    return fs.exists(p)
+
+
 def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 

@@ -37,7 +37,7 @@ for _name, (_given, _sql) in CASES.items():
 TEXTS = [(1, '"alpha" * NEAR(beta) - café'), (2, '"*-'), (3, "42_x y"), (4, "")]
 Q["query_tokens"] = lambda s, d: rows(s, TEXTS, "n int, q string").select("n", F.concat_ws(" OR ", F.transform(query_tokens(F.col("q")), lambda t: F.concat(F.lit('"'), t, F.lit('"')))).alias("match"))
 SQL["query_tokens"] = f"""WITH g AS {values_sql(TEXTS, 'n, q')} SELECT n::INTEGER AS n, array_to_string(list_transform(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+'), lambda t: '"' || t || '"'), ' OR ') AS match FROM g"""
-Q["postings_stats"] = lambda s, d: lexical.postings(base.chunks(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
+Q["postings_stats"] = lambda s, d: base.index(s, d).table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
 SQL["postings_stats"] = with_sql(FILES, chunks_sql(), f"t AS (SELECT id, unnest({tokens_sql('chunk')}) AS term FROM chunks)") + "SELECT term, count(DISTINCT id) AS chunks, count(*)::BIGINT AS occurrences FROM t GROUP BY term"
 
 
@@ -60,28 +60,33 @@ def bm25_sql(phrases: list[list[str]], where: str = "true", limit: int = CANDIDA
 
 
 PHRASES = [[w] for w in QUERY.split()]
-Q["bm25_topk"] = lambda s, d: lexical.bm25(base.chunks(s, d), PHRASES).select("id", F.round("bm25", 6).alias("bm25"))
+Q["bm25_topk"] = lambda s, d: base.index(s, d).lexical(PHRASES).select("id", F.round("bm25", 6).alias("bm25"))
 SQL["bm25_topk"] = with_sql(FILES, chunks_sql(), bm25_sql(PHRASES)) + "SELECT id, round(bm25, 6) AS bm25 FROM lex"
-Q["bm25_filtered"] = lambda s, d: lexical.bm25(base.chunks(s, d), PHRASES, filters.plan(source_kinds=["note"])).select("id", F.round("bm25", 6).alias("bm25"))
+Q["bm25_filtered"] = lambda s, d: base.index(s, d).lexical(PHRASES, filters.plan(source_kinds=["note"])).select("id", F.round("bm25", 6).alias("bm25"))
 SQL["bm25_filtered"] = with_sql(FILES, chunks_sql(), bm25_sql(PHRASES, "source_kind = 'note' AND schema_version = 2")) + "SELECT id, round(bm25, 6) AS bm25 FROM lex"
 PHRASE = [["of", "the"], ["idiot"], ["idiot"]]
-Q["bm25_phrase"] = lambda s, d: lexical.bm25(base.chunks(s, d), PHRASE).select("id", F.round("bm25", 6).alias("bm25"))
+Q["bm25_phrase"] = lambda s, d: base.index(s, d).lexical(PHRASE).select("id", F.round("bm25", 6).alias("bm25"))
 SQL["bm25_phrase"] = with_sql(FILES, chunks_sql(), bm25_sql(PHRASE)) + "SELECT id, round(bm25, 6) AS bm25 FROM lex"
 
 
 def _batch_terms(s, d):
-    """The first six tokens of each benchmark passage as a query."""
+    """The tokens of each benchmark passage as a query."""
     b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), index_tokens(F.col("text")).alias("t"))
-    return b.select("query_id", F.explode(F.slice("t", 1, 6)).alias("term"))
+    return b.select("query_id", F.explode("t").alias("term"))
 
 
-BATCH = f"""terms AS (SELECT item_id AS query_id, unnest(({tokens_sql('text')})[1:6]) AS term FROM benchmark), wanted AS (SELECT query_id, term, count(*) AS times FROM terms GROUP BY ALL),
+def _lexical_batch(s, d):
+    x = base.index(s, d)
+    return lexical.bm25_batch(x.table("forward"), x.table("terms"), x.table("stats"), _batch_terms(s, d))
+
+
+BATCH = f"""terms AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark), wanted AS (SELECT query_id, term, count(*) AS times FROM terms GROUP BY ALL),
     occ AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM (SELECT id, {tokens_sql('chunk')} AS t FROM chunks)), tf AS (SELECT term, id, dl, count(*) AS tf FROM occ WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
     st AS (SELECT count(*) AS n, avg(len({tokens_sql('chunk')})) AS avgdl FROM chunks), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     wt AS (SELECT query_id, term, times * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS w, avgdl FROM wanted JOIN df USING (term), st),
     sc AS (SELECT query_id, id, -sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tf JOIN wt USING (term) GROUP BY ALL),
     lexb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), id) AS rank FROM sc QUALIFY rank <= 40)"""
-Q["bm25_batched"] = lambda s, d: lexical.bm25_batch(base.chunks(s, d), _batch_terms(s, d)).select("query_id", "id", "rank", F.round("bm25", 6).alias("bm25"))
+Q["bm25_batched"] = lambda s, d: _lexical_batch(s, d).select("query_id", "id", "rank", F.round("bm25", 6).alias("bm25"))
 SQL["bm25_batched"] = with_sql(FILES, chunks_sql(), BATCH) + "SELECT query_id, id, rank::INTEGER AS rank, round(bm25, 6) AS bm25 FROM lexb"
 
 # vectors
@@ -103,8 +108,8 @@ Q["vector_topk"] = lambda s, d: vector.topk(_vectors(s, d), _query_vector(s, d))
 SQL["vector_topk"] = f"WITH {DIST} SELECT id, round(distance, 6) AS distance FROM dist ORDER BY round(distance, 9), id LIMIT 40"
 Q["vector_filtered"] = lambda s, d: vector.topk(_vectors(s, d), _query_vector(s, d), F.col("label") == 1).select("id", F.round("distance", 6).alias("distance"))
 SQL["vector_filtered"] = f"WITH {DIST} SELECT id, round(distance, 6) AS distance FROM dist WHERE label = 1 ORDER BY round(distance, 9), id LIMIT 40"
-Q["vector_batched"] = lambda s, d: vector.topk_batch(_vectors(s, d), _vectors(s, d).where("id < 20").select(F.col("id").alias("query_id"), "vector"), 10).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
-SQL["vector_batched"] = f"""WITH vec AS ({VEC}), dist AS (SELECT q.id AS query_id, v.id AS id, 1 - list_cosine_similarity(v.v, q.v) AS distance FROM vec v, vec q WHERE q.id < 20)
+Q["vector_batched"] = lambda s, d: vector.topk_batch(_vectors(s, d), _vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 10).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+SQL["vector_batched"] = f"""WITH vec AS ({VEC}), dist AS (SELECT q.id AS query_id, v.id AS id, 1 - list_cosine_similarity(v.v, q.v) AS distance FROM vec v, vec q WHERE q.id % 100 = 0)
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id)::INTEGER AS rank, round(distance, 6) AS distance FROM dist QUALIFY rank <= 10"""
 Q["hash_embedding"] = lambda s, d: table(s, d, "benchmark").select("item_id", F.posexplode(vector.hash_embedding(F.col("text"))).alias("slot", "weight"))
 SQL["hash_embedding"] = f"""WITH t AS (SELECT item_id, unnest({tokens_sql('text')}) AS tok FROM benchmark), c AS (SELECT item_id, ('0x' || left(md5(tok), 8))::BIGINT % 16 AS slot, count(*) AS n FROM t GROUP BY ALL)
@@ -120,11 +125,10 @@ SQL["rrf_fusion"] = f"""WITH b AS {values_sql(BRANCHES, 'branch, rank, id')}, g
 def _batched_branches(s, d):
     """Lexical hits of each benchmark query, and vector hits of the vector with
     its number, as first chunks of the documents with the vectors' numbers."""
-    first = base.chunks(s, d).where("chunk_index = 0").select(F.col("doc_id").alias("vec_id"), "id")
-    vectors = table(s, d, "embeddings").join(first, "vec_id").select("id", F.col("embedding").alias("vector"))
+    vectors = base.index(s, d).table("vectors").select("id", "vector")
     queries = table(s, d, "benchmark").select("item_id").join(table(s, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     v = vector.topk_batch(vectors, queries).select("query_id", F.lit("vector").alias("branch"), "rank", "id")
-    x = lexical.bm25_batch(base.chunks(s, d), _batch_terms(s, d)).select("query_id", F.lit("lexical").alias("branch"), "rank", "id")
+    x = _lexical_batch(s, d).select("query_id", F.lit("lexical").alias("branch"), "rank", "id")
     return v.unionByName(x)
 
 
@@ -152,10 +156,8 @@ SQL["path_multiplicity"] = with_sql(FILES, chunks_sql(), BATCH, FUSED) + "SELECT
 
 
 def _hybrid(s, d, reranker=True, problem=None):
-    chunks = base.chunks(s, d)
-    vectors = chunks.where("chunk_index = 0").drop("chunk").join(table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
     score = fusion.overlap_score(QUERY.split()) if reranker else None
-    return plans.search(chunks, vectors, PHRASES, _query_vector(s, d), 10, None, score, problem)
+    return plans.search(base.index(s, d), PHRASES, _query_vector(s, d), 10, None, score, problem)
 
 
 HYBRID = bm25_sql(PHRASES) + f""", hv AS (SELECT c.id, 1 - list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = {QUERY_VECTOR_ID})) AS distance

@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from searchloom.contracts import JOB_BYTES, JOB_PAGES, MARKDOWN_BYTES
 from searchloom.functions.text import content_hash
 from searchloom.operators import chunking, freshness, generations, metrics, reconcile
 from searchloom.queries import base
-from searchloom.queries.base import FILES, INDEXED, LIVE, chunks_sql, rows, spans_sql, strip_sql, values_sql, with_sql
+from searchloom.queries.base import FILES, INDEXED, LIVE, chunks_sql, kept_sql, rows, spans_sql, strip_sql, values_sql, with_sql
 from searchloom.sources import corpus
 from searchloom.sources.corpus import table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
-CAP = 15_000  # bytes; below the contract's, so that the tables have files over it
-
-
 def _live(s, d):
-    return reconcile.live_state(corpus.live_files(s, d), readable="readable", cap=CAP)
+    return reconcile.live_state(corpus.live_files(s, d), readable="readable")
 
 
 def _plan(s, d):
@@ -26,11 +24,11 @@ def _plan(s, d):
 
 
 def _counts(source: str, prefix: str, name: str) -> str:
-    return f"{spans_sql(source, prefix=prefix)}, {name} AS (SELECT path, count(*) AS chunks FROM (SELECT path, {strip_sql('substr(text, s + 1, e - s)')} AS c FROM {prefix}spans) WHERE c <> '' GROUP BY path)"
+    return f"{spans_sql(f'(SELECT * FROM {source} WHERE {kept_sql("text")})', prefix=prefix)}, {name} AS (SELECT path, count(*) AS chunks FROM (SELECT path, {strip_sql('substr(text, s + 1, e - s)')} AS c FROM {prefix}spans) WHERE c <> '' GROUP BY path)"
 
 
 STATE = f"""{FILES}, {INDEXED}, {LIVE}, {_counts('indexed', 'i_', 'oldn')}, {_counts('live', 'l_', 'newn')},
-    lv AS (SELECT l.section, l.path, sha256(l.text) AS h, n.chunks AS c, CASE WHEN strlen(l.text) > {CAP} THEN 'too_large' WHEN NOT readable THEN 'read_error' WHEN length({strip_sql('l.text')}) < 20 THEN 'empty' ELSE 'ok' END AS st FROM live l LEFT JOIN newn n USING (path)),
+    lv AS (SELECT l.section, l.path, sha256(l.text) AS h, n.chunks AS c, CASE WHEN strlen(l.text) > {MARKDOWN_BYTES} THEN 'too_large' WHEN NOT readable THEN 'read_error' WHEN length({strip_sql('l.text')}) < 20 THEN 'empty' ELSE 'ok' END AS st FROM live l LEFT JOIN newn n USING (path)),
     ix AS (SELECT i.section, i.path, sha256(i.text) AS oh, o.chunks AS oc, i.schema_version = 2 AS cur FROM indexed i JOIN oldn o USING (path)),
     pl AS (SELECT coalesce(lv.section, ix.section) AS section, coalesce(lv.path, ix.path) AS path, lv.path IS NULL AS gone, ix.path IS NOT NULL AS has, st, h, c, oh, oc, cur FROM lv FULL JOIN ix ON lv.path = ix.path),
     plan AS (SELECT 'vault' AS domain, section, path, has, st, h, c, oh, oc, CASE WHEN gone THEN 'remove' WHEN st = 'read_error' THEN 'keep' WHEN st = 'ok' THEN CASE WHEN has AND oh = h AND cur AND oc = c THEN 'skip' ELSE 'publish' END WHEN has THEN 'remove' ELSE 'skip' END AS action FROM pl),
@@ -121,7 +119,7 @@ SQL["ingestion_freshness"] = with_sql(FILES, "ic AS (SELECT path FROM files WHER
 
 
 def _hits(s, d):
-    c = base.indexed_chunks(s, d).where("chunk_index < 2 AND doc_id < 60")
+    c = base.indexed_chunks(s, d)
     return c.withColumn("final_rank", F.row_number().over(W.partitionBy("section").orderBy("id"))).select("section", "id", "path", "file_hash", "chunk", "final_rank")
 
 
@@ -130,10 +128,10 @@ def _annotated(s, d):
 
 
 Q["annotate_hits"] = lambda s, d: _annotated(s, d).select("id", "final_rank", "freshness")
-HITS = "hit AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY id) AS final_rank, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'stale' ELSE 'fresh' END AS freshness FROM i_chunks WHERE chunk_index < 2 AND doc_id < 60)"
+HITS = "hit AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY id) AS final_rank, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'stale' ELSE 'fresh' END AS freshness, row_number() OVER (PARTITION BY path ORDER BY id) = 1 AS first FROM i_chunks)"
 SQL["annotate_hits"] = with_sql(FILES, INDEXED, chunks_sql("indexed", "i_"), HITS) + "SELECT id, final_rank::INTEGER AS final_rank, freshness FROM hit"
 Q["stale_substitution"] = lambda s, d: freshness.substitute_stale(_annotated(s, d), corpus.live_files(s, d)).select("id", "freshness", F.md5(F.col("content").cast("binary")).alias("md5"))
-SQL["stale_substitution"] = with_sql(FILES, INDEXED, LIVE, chunks_sql("indexed", "i_"), HITS) + "SELECT h.id, h.freshness, md5(CASE WHEN h.freshness = 'stale' THEN l.text ELSE h.chunk END) AS md5 FROM hit h LEFT JOIN live l USING (path) WHERE h.freshness <> 'stale' OR h.chunk_index = 0"
+SQL["stale_substitution"] = with_sql(FILES, INDEXED, LIVE, chunks_sql("indexed", "i_"), HITS) + "SELECT h.id, h.freshness, md5(CASE WHEN h.freshness = 'stale' THEN l.text ELSE h.chunk END) AS md5 FROM hit h LEFT JOIN live l USING (path) WHERE h.freshness <> 'stale' OR h.first"
 
 # generations
 
@@ -182,11 +180,11 @@ Q["changed_pages"] = lambda s, d: generations.changed_pages(_revisions(s, d), _r
 SQL["changed_pages"] = "SELECT page_id, url || '|null' AS revision, CASE WHEN page_id % 8 = 0 THEN 'new' ELSE 'changed' END AS change FROM pages WHERE page_id % 8 = 0 OR page_id % 3 = 0"
 Q["failure_threshold"] = lambda s, d: generations.failure_threshold(_attempt(s, d), 0.5)
 SQL["failure_threshold"] = with_sql(GEN) + "SELECT count(oc) AS total, count(*) FILTER (oc = 'failed') AS failed, round(count(*) FILTER (oc = 'failed') / count(oc), 6) AS rate, count(*) FILTER (oc = 'failed') / count(oc) > 0.5 AS exceeded FROM att"
-Q["job_batches"] = lambda s, d: generations.job_batches(table(s, d, "pages").select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"), F.pmod("page_id", F.lit(4)).alias("space")), "space", "page_id", "bytes", 5, 12_000)
-SQL["job_batches"] = """WITH RECURSIVE p AS (SELECT page_id % 4 AS space, page_id, octet_length(encode(coalesce(html, ''))) AS z, row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) AS r FROM pages),
+Q["job_batches"] = lambda s, d: generations.job_batches(table(s, d, "pages").select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"), F.pmod("page_id", F.lit(4)).alias("space")), "space", "page_id", "bytes")
+SQL["job_batches"] = f"""WITH RECURSIVE p AS (SELECT page_id % 4 AS space, page_id, octet_length(encode(coalesce(html, ''))) AS z, row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) AS r FROM pages),
     w AS (SELECT space, 0::BIGINT AS r, 0::BIGINT AS page_id, 0 AS b, 0 AS n, 0::BIGINT AS run, false AS over FROM (SELECT DISTINCT space FROM p)
-        UNION ALL SELECT p.space, p.r, p.page_id, CASE WHEN p.z > 12000 THEN w.b WHEN w.n > 0 AND (w.n + 1 > 5 OR w.run + p.z > 12000) THEN w.b + 1 ELSE w.b END,
-            CASE WHEN p.z > 12000 THEN w.n WHEN w.n > 0 AND (w.n + 1 > 5 OR w.run + p.z > 12000) THEN 1 ELSE w.n + 1 END, CASE WHEN p.z > 12000 THEN w.run WHEN w.n > 0 AND (w.n + 1 > 5 OR w.run + p.z > 12000) THEN p.z ELSE w.run + p.z END, p.z > 12000
+        UNION ALL SELECT p.space, p.r, p.page_id, CASE WHEN p.z > {JOB_BYTES} THEN w.b WHEN w.n > 0 AND (w.n + 1 > {JOB_PAGES} OR w.run + p.z > {JOB_BYTES}) THEN w.b + 1 ELSE w.b END,
+            CASE WHEN p.z > {JOB_BYTES} THEN w.n WHEN w.n > 0 AND (w.n + 1 > {JOB_PAGES} OR w.run + p.z > {JOB_BYTES}) THEN 1 ELSE w.n + 1 END, CASE WHEN p.z > {JOB_BYTES} THEN w.run WHEN w.n > 0 AND (w.n + 1 > {JOB_PAGES} OR w.run + p.z > {JOB_BYTES}) THEN p.z ELSE w.run + p.z END, p.z > {JOB_BYTES}
         FROM w JOIN p ON p.space = w.space AND p.r = w.r + 1)
     SELECT space, page_id, CASE WHEN NOT over THEN b END AS batch FROM w WHERE r > 0"""
 
@@ -258,8 +256,7 @@ SQL["fragmentation"] = with_sql(FILES, chunks_sql()) + "SELECT section, count(*)
 
 def _section_chunks(s, d):
     md = corpus.markdown(s, d)
-    secs = md.select("path", F.posexplode(chunking.merge_sections(chunking.header_sections(chunking.body(F.col("text"))))).alias("section_no", "x")).select("path", "section_no", F.col("x.span").alias("text"))
-    return secs.select("path", "section_no", F.posexplode(chunking.chunk_texts("text", tail=0)).alias("chunk_index", "chunk"))
+    return chunking.chunk_files(md.withColumn("section", F.lit("talks"))).select("path", "section_no", "chunk_index", "chunk")
 
 
 Q["small_chunk_kinds"] = lambda s, d: metrics.small_kinds(_section_chunks(s, d), 300)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from searchloom.operators import filters, freshness, fusion, metrics, vector
 from searchloom.plans.search import lexical_ready, search
+from searchloom.sources.index import Scan
 
 
 def test_rrf_order_and_ties(spark):
@@ -49,11 +50,11 @@ def test_rerank_keeps_only_its_window_or_all_on_failure(spark):
 def test_modes(spark):
     chunks = spark.createDataFrame([("a", "x one"), ("b", "x two"), ("c", "three")], "id string, chunk string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.6, 0.8])], "id string, vector array<double>")
-    r = search(chunks, vectors, [["x"]], [1.0, 0.0], 2, lexical_problem=lexical_ready(None))
+    r = search(Scan(chunks, vectors), [["x"]], [1.0, 0.0], 2, lexical_problem=lexical_ready(None))
     assert r.mode == "vector-only" and [h.id for h in r.hits.orderBy("final_rank").collect()] == ["a", "c"]
-    r = search(chunks, vectors, [["x"]], [1.0, 0.0], 50)
+    r = search(Scan(chunks, vectors), [["x"]], [1.0, 0.0], 50)
     assert r.mode == "hybrid" and {h.id for h in r.hits.collect()} == {"a", "b", "c"}
-    r = search(chunks, vectors, [["x"]], [1.0, 0.0], 3, reranker=fusion.overlap_score(["two"]))
+    r = search(Scan(chunks, vectors), [["x"]], [1.0, 0.0], 3, reranker=fusion.overlap_score(["two"]))
     assert r.mode == "hybrid+rerank" and r.hits.orderBy("final_rank").head().id == "b"
     assert lexical_ready({"version": "v1"}) and lexical_ready({"version": "v2"}) is None
 
