@@ -7,12 +7,15 @@ task holds more than one block of each.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from searchloom.llm.tables import blocks_of, spread
+from searchloom.llm.tables import blocks_of, spread, written
+from searchloom.llm.textcore import ranges
 
 QUERY_BLOCK = 2048
 
@@ -28,13 +31,20 @@ def usable(df: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     return df.where(F.coalesce(keep, F.lit(False))).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
-def block_pairs(queries: DataFrame, candidates: DataFrame, block: int):
-    """Rows (qb, cb, q, id, v), for each pair of a query and a candidate block."""
+def block_pairs(queries: DataFrame, candidates: DataFrame, block: int, which=None):
+    """Rows (qb, cb, q, id, v, bound), for each pair of a query and a candidate
+    block; which, of (blocks of candidates), names those that take part. Queries,
+    whose ids are distinct, are dealt by id, as they come out of a shuffle, and
+    candidates by their place in the input; both are the same in a second run."""
     n_c, n_q = (blocks_of(x.count(), size) for x, size in ((candidates, block), (queries, QUERY_BLOCK)))
-    c = candidates.withColumn("cb", spread(n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("q", F.lit(False))
-    q = queries.withColumn("qb", spread(n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).withColumn("q", F.lit(True))
-    cols = ["qb", "cb", "q", "id", "v"]
-    return c.select(cols).unionByName(q.select(cols)).groupBy("qb", "cb")
+    blocks = [b for b in range(n_c) if which is None or which(b)]
+    if not blocks:
+        return None
+    bound = F.col("bound") if "bound" in queries.columns else F.lit(None).cast("double").alias("bound")
+    c = candidates.withColumn("cb", spread(n_c)).where(F.col("cb").isin(blocks) if which else F.lit(True)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.array(*[F.lit(b) for b in blocks])))
+    c = c.select("qb", "cb", F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("bound"))
+    return c.unionByName(q.select("qb", "cb", F.lit(True).alias("q"), "id", "v", bound)).groupBy("qb", "cb")
 
 
 def split_block(table):
@@ -132,93 +142,104 @@ class ProjectionTree:
     """A kd-tree over Gaussian (2-stable) projections of a block of vectors.
 
     Inner products become distances by one more coordinate that gives all
-    vectors the block's largest norm. Leaves are visited in order of their
-    boxes' distance from the projected query, which yields projected neighbours
-    in rising order; each is verified on its whole vector. A query stops when a
-    vector nearer than its k-th would, with probability below 1 - sure, still be
-    outside the radius seen: the squared ratio of projected to true distance
-    follows a chi-square law with as many degrees as there are projections.
+    vectors the block's largest norm. Around a query's projection a ball grows:
+    leaves whose boxes it reaches are opened, and vectors whose projections it
+    reaches are verified in whole, so that projected neighbours come in rising
+    order, some at a time. The query stops when a vector nearer than its k-th
+    would, with probability below 1 - sure, still be outside the ball: the
+    squared ratio of projected to true distance follows a chi-square law with as
+    many degrees as there are projections.
     """
 
-    def __init__(self, x, dims: int = 10, leaf: int = 128, seed: int = 11):
-        self.x, self.dims = x, dims
+    #: Shares of the block that the growing balls are to hold.
+    STEPS = (0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.14, 0.18, 0.22, 0.26, 0.3, 0.34, 0.38, 0.42, 0.46, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9)
+
+    def __init__(self, x, dims: int = 16, leaf: int = 64, seed: int = 11):
+        self.dims = dims
         norm2 = np.einsum("ij,ij->i", x, x)
         self.big2 = float(norm2.max())
         last = np.sqrt(np.maximum(self.big2 - norm2, 0))
         self.a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
         p = x @ self.a[:-1] + last[:, None] * self.a[-1]
-        self.leaves = []
-        todo = [np.arange(len(x))]
+        leaves, todo = [], [np.arange(len(x))]
         while todo:
             rows = todo.pop()
             if len(rows) <= leaf:
-                self.leaves.append(np.sort(rows))
+                leaves.append(np.sort(rows))
                 continue
             axis = int(np.ptp(p[rows], axis=0).argmax())
             order = rows[np.argpartition(p[rows, axis], len(rows) // 2)]
             todo += [order[: len(rows) // 2], order[len(rows) // 2 :]]
-        self.lo = np.stack([p[r].min(0) for r in self.leaves])
-        self.hi = np.stack([p[r].max(0) for r in self.leaves])
-
-    def _chi_square(self, v):
+        self.row = np.concatenate(leaves)  # leaf by leaf
+        self.x, self.p = x[self.row], p[self.row]
+        self.size = np.array([len(r) for r in leaves])
+        self.start = np.cumsum(self.size) - self.size
+        self.lo = np.minimum.reduceat(self.p, self.start)
+        self.hi = np.maximum.reduceat(self.p, self.start)
+        self.some = self.p[:: max(1, len(x) // 1024)]
+        self.verified = 0  # rows, over all queries
+
+    def _chi_square(self, v: float) -> float:
         """P(chi-square with dims degrees <= v); dims is even."""
-        half, term, total = np.minimum(v / 2, 700.0), np.ones_like(v), np.ones_like(v)
+        half, term, total = min(v / 2, 700.0), 1.0, 1.0
         for i in range(1, self.dims // 2):
-            term = term * half / i
-            total = total + term
-        return 1 - np.exp(-half) * total
-
-    def search(self, q, own_lo, own_hi, k: int, sure: float):
-        """(rows, found) of shape (queries, k): rows of x, -1 where there are fewer."""
-        nq = len(q)
-        pq = q @ self.a[:-1]
-        q2 = np.einsum("ij,ij->i", q, q)
-        gap = np.zeros((nq, len(self.leaves)))
-        for d in range(self.dims):
-            away = np.maximum(self.lo[None, :, d] - pq[:, d, None], pq[:, d, None] - self.hi[None, :, d])
-            gap += np.maximum(away, 0) ** 2
-        order = np.argsort(gap, axis=1)
-        scale = np.sqrt(np.maximum(q2 * self.big2, 1e-300))
-        best = np.full((nq, k), -np.inf)  # inner products over scale, rounded so that equal vectors tie
-        rows = np.full((nq, k), -1, np.int64)
-        active = np.arange(nq)
-        for step in range(len(self.leaves)):
-            at = order[active, step]
-            r2 = gap[active, at]
-            worst = best[active, -1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d2 = np.maximum(q2[active] + self.big2 - 2 * worst * scale[active], 0)
-                stop = np.isfinite(worst) & (r2 > 0) & (self._chi_square(np.where(d2 > 0, r2 / d2, np.inf)) >= sure)
-            active, at = active[~stop], at[~stop]
-            if not len(active):
-                break
-            by = np.argsort(at, kind="stable")
-            cuts = np.append(np.flatnonzero(np.append(True, np.diff(at[by]) != 0)), len(by))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                who, leaf = active[by[a:b]], self.leaves[at[by[a]]]
-                ip = np.round((q[who] @ self.x[leaf].T) / scale[who, None], 12)
-                ip[(leaf[None, :] >= own_lo[who, None]) & (leaf[None, :] < own_hi[who, None])] = -np.inf
-                better = (ip >= best[who, -1:]).any(1) & (ip > -np.inf).any(1)
-                if not better.any():
-                    continue
-                who, ip = who[better], ip[better]
-                all_ip = np.concatenate([best[who], ip], 1)
-                all_rows = np.concatenate([rows[who], np.broadcast_to(leaf, ip.shape)], 1)
-                o = np.lexsort((all_rows, -all_ip), axis=1)[:, :k]
-                best[who] = np.take_along_axis(all_ip, o, 1)
-                rows[who] = np.where(best[who] > -np.inf, np.take_along_axis(all_rows, o, 1), -1)
-        return rows
-
-
-def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 16384, dims: int = 10, sure: float = 0.93) -> DataFrame:
+            term *= half / i
+            total += term
+        return 1 - math.exp(-half) * total
+
+    def search(self, q, own_lo, own_hi, k: int, sure: float, bound=None):
+        """For each query up to k rows of x (fewer if bound, a k-th inner product
+        known already, shuts others out); rows from own_lo to own_hi are its own."""
+        out = []
+        for i, v in enumerate(q):
+            pv = v @ self.a[:-1]
+            q2 = float(v @ v)
+            scale = math.sqrt(max(q2 * self.big2, 1e-300))
+            known = -np.inf if bound is None or not np.isfinite(bound[i]) else bound[i] / scale
+            away = np.maximum(np.maximum(self.lo - pv, pv - self.hi), 0)
+            gap = np.einsum("ij,ij->i", away, away)
+            sample = np.sort(((self.some - pv) ** 2).sum(1))
+            radii = np.append(sample[[int(s * (len(sample) - 1)) for s in self.STEPS]], np.inf)
+            shut, far = np.ones(len(gap), bool), np.full(len(self.row), np.inf)
+            seen = -1.0
+            rows, ips = np.zeros(0, np.int64), np.zeros(0)
+            for radius in radii:
+                new = np.flatnonzero(shut & (gap <= radius))
+                shut[new] = False
+                at = ranges(self.start[new], self.size[new])
+                far[at] = ((self.p[at] - pv) ** 2).sum(1)
+                hit = np.flatnonzero((far <= radius) & (far > seen)) if np.isfinite(radius) else np.flatnonzero(far > seen)
+                seen = radius
+                hit = hit[(self.row[hit] < own_lo[i]) | (self.row[hit] >= own_hi[i])]
+                self.verified += len(hit)
+                if len(hit):
+                    ip = np.round(self.x[hit] @ v / scale, 12)  # so that equal vectors tie
+                    if len(ips) >= k:
+                        hit, ip = hit[ip >= ips[-1]], ip[ip >= ips[-1]]
+                    rows, ips = np.append(rows, self.row[hit]), np.append(ips, ip)
+                    o = np.lexsort((rows, -ips))[:k]
+                    rows, ips = rows[o], ips[o]
+                worst = max(known, ips[k - 1] if len(ips) >= k else -np.inf)
+                if np.isfinite(worst) and np.isfinite(radius):
+                    d2 = max(q2 + self.big2 - 2 * worst * scale, 0.0)
+                    if d2 == 0 and radius > 0 or d2 > 0 and self._chi_square(radius / d2) >= sure:
+                        break
+            out.append(rows)
+        return out
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 65536, dims: int = 16, sure: float = 0.9) -> DataFrame:
     """query_id, rank, vec_id, score: for each query about its k largest inner
     products (double precision, on the whole vectors) over the rows of df but
     those with its own key; score and order are exact for what is found.
 
-    Every row is indexed, in blocks with a ProjectionTree each. Rows with a null
-    key or vector, an all-zero vector, or a component null or not finite take no
-    part; a shorter vector is filled up with zeros; of several query rows with
-    one key the smallest vector counts. Ties go to the smaller key.
+    Every row is indexed, in blocks with a ProjectionTree each. The first block's
+    k-th product of each query bounds its search in the other ones. Rows with a
+    null key or vector, an all-zero vector, or a component null or not finite
+    take no part; a shorter vector is filled up with zeros; of several query rows
+    with one key the smallest vector counts; rows of df that repeat count each.
+    Ties go to the smaller key. An empty table gives no rows, and other columns
+    don't matter, whatever their names.
     """
     q = usable(queries, key, vector, False).groupBy("id").agg(F.min("v").alias("v"))
 
@@ -228,11 +249,18 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
         qid, qm, cid, cm = split_block(table)
         if not len(qid) or not len(cid):
             return _arrow([], [], [], pa.float64())
+        asks = table.column("q").to_numpy(zero_copy_only=False).astype(bool)
+        bound = table.column("bound").to_numpy(zero_copy_only=False).astype(float)[asks]
         lo, hi = (np.searchsorted(cid, qid, side=s) for s in ("left", "right"))
-        rows = ProjectionTree(cm, dims).search(qm, lo, hi, k, sure)
-        who, at = np.nonzero(rows >= 0)
-        hit = rows[who, at]
+        found = ProjectionTree(cm, dims).search(qm, lo, hi, k, sure, bound)
+        who, hit = np.repeat(np.arange(len(qid)), [len(r) for r in found]), np.concatenate(found)
         return _arrow(qid[who], cid[hit], np.einsum("ij,ij->i", qm[who], cm[hit]), pa.float64())
 
-    found = block_pairs(q, usable(df, key, vector, False), block).applyInArrow(search, "query_id long, vec_id long, score double")
-    return best_of(found, k)
+    rows, schema = usable(df, key, vector, False), "query_id long, vec_id long, score double"
+    first = block_pairs(q, rows, block, lambda b: b == 0).applyInArrow(search, schema)
+    if rows.count() <= block:
+        return best_of(first, k)
+    first = written(best_of(first, k), "first")
+    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    rest = block_pairs(q.join(known, "id", "left"), rows, block, lambda b: b > 0).applyInArrow(search, schema)
+    return best_of(first.select("query_id", "vec_id", "score").unionByName(rest), k)

@@ -56,6 +56,8 @@ def test_nearest_recall_and_ties(vecs, spark):
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
     assert recall >= 0.9
     assert all(s == pytest.approx(float(table[q] @ table[i])) for q in got for i, s in got[q])
+    empty = vectors.nearest(df.limit(0), df.limit(0), 20)
+    assert empty.count() == 0
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     t = {r.vec_id: np.array(r.embedding) for r in e.collect()}
     hit = {(r.query_id, r.vec_id) for r in vectors.nearest(e, e.where("vec_id % 20 = 0"), 20).collect()}
@@ -63,6 +65,20 @@ def test_nearest_recall_and_ties(vecs, spark):
     assert np.mean([(q, i) in hit for q in want for i, _ in want[q]]) >= 0.9
 
 
+def test_nearest_stops():
+    """Queries stop before they have verified all rows, and keep their recall."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 6)) @ rng.standard_normal((6, 48)) + 0.05 * rng.standard_normal((6000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = vectors.ProjectionTree(x)
+    found = tree.search(x[:60], np.arange(60), np.arange(60) + 1, 20, 0.9)
+    exact = x[:60] @ x.T
+    exact[np.arange(60), np.arange(60)] = -2
+    best = np.argsort(-exact, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best, strict=True)]) >= 0.9
+    assert tree.verified < 0.2 * 60 * len(x)
+
+
 def test_oracles(spark):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
