@@ -457,6 +457,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     keys = keys.withColumn("f", least).withColumn("next", after).withColumn("led", (F.col("doc") != F.col("f.doc")) | (F.col("th") != F.col("f.th"))).where("led OR next <> f")
     raw = written(keys.select("key", "doc", "th", "led", F.col("f.doc").alias("pivot"), F.col("f.th").alias("pth")), "raw")
     shared = written(raw.join(copies.select(F.col("b").alias("doc"), "th").distinct(), ["doc", "th"], "left_anti"), "shared")
+    released(raw, first)
 
     stars = shared.where("led").groupBy("doc", "th", "pivot", "pth").agg(F.count(F.lit(1)).alias("parts"))
     best = stars.groupBy("doc", "th").agg(F.max(F.struct("parts", F.bitwise_not("pivot").alias("p"), F.bitwise_not("pth").alias("h"))).alias("m"))
@@ -466,7 +467,7 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     links = written(_verify(best, texts, words, num, den), "links")
     labels = components(copies.select("a", "b").unionByName(links))
     open_rows = _open(shared, labels)
-    released(raw, best, shared, first)
+    released(best, shared)
     if not open_rows.isEmpty():
         labels = _late(open_rows, labels, texts, words, num, den, block, named)
     released(texts, links, copies, open_rows)

@@ -276,8 +276,9 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     found = written(_met(raw), "contexts")
     ctx = F.substring(F.col("t").cast("binary"), F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("ctx")
     pool = [written(found.where("NOT again").join(small, ["doc", "th"]).select("kind", "level", "khash", "chash", "doc", "th", "lo", "hi", "contexts", "marked", ctx), "fetched")]
-    marks = [found.where("again")]
-    held = [found, *pool]
+    marks = [written(found.where("again").select("doc", "th", "lo", "hi"), "again")]
+    released(found)
+    held = [*marks, *pool]
     rows = pool[0].where("level = 0")
     deepest = lambda x: x.agg(F.max("level")).first()[0] or 0
     last, level = deepest(pool[0]), 0

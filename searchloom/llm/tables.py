@@ -46,11 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def released(*tables: DataFrame) -> None:
     """Deletes the files of tables made by `written`, once all that was made of
-    them is written itself."""
+    them is written itself. Spark deletes shuffle files when the driver collects
+    its garbage, so it is told to: a job of many tables would hold them all."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def with_rest(df: DataFrame, **kinds: str):
