@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from searchloom.contracts import JOB_BYTES, JOB_PAGES
 
 
-def step(previous: DataFrame, attempt: DataFrame, enumeration_complete: bool, source_disabled: bool = False) -> DataFrame:
+def step(previous: DataFrame, attempt: DataFrame, enumeration_complete: bool, source_disabled: bool = False, source_kind: str = "wiki") -> DataFrame:
     """(source_uid, kind, status, content_hash, carried) after one attempt.
 
     previous: source_uid, status, content_hash, kind (document or tombstone).
     attempt: source_uid, outcome (ok, failed or null), seen, content_hash.
-    One full outer join by source_uid; rows that vanish are filtered out.
+    One full outer join by source_uid; rows that vanish are filtered out. A
+    disabled source has no documents and one tombstone, of the source itself.
     """
     p = previous.select("source_uid", F.col("status").alias("old_status"), F.col("content_hash").alias("old_hash"), F.col("kind").alias("old_kind"))
     if source_disabled:
-        return p.where("old_kind = 'document'").limit(0).select("source_uid", F.lit("tombstone").alias("kind"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("content_hash"), F.lit(False).alias("carried"))
+        spark = previous.sparkSession
+        return spark.createDataFrame([(source_kind, "source_tombstone", None, None, False)], "source_uid string, kind string, status string, content_hash string, carried boolean")
     j = p.join(attempt, "source_uid", "full_outer")
     ok, failed, seen = F.coalesce(F.col("outcome") == "ok", F.lit(False)), F.coalesce(F.col("outcome") == "failed", F.lit(False)), F.coalesce("seen", F.lit(False))
     was = F.coalesce(F.col("old_kind") == "document", F.lit(False))

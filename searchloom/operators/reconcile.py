@@ -10,6 +10,18 @@ from searchloom.functions.text import content_hash, strip
 from searchloom.operators.chunking import body, file_chunks
 
 KEYS = ["domain", "section", "path"]
+#: The domain of files of a vault, and that of documents that a generation brings.
+VAULT, INGESTION = "vault", "ingestion"
+
+
+def domain_of(kind: Column) -> Column:
+    """The domain that owns a chunk of a source kind; null for kinds of neither."""
+    return F.when(kind.isNull() | (kind == "note"), VAULT).when(kind == "doc", INGESTION)
+
+
+def _domain(rows: DataFrame) -> Column:
+    """Column domain, if there is one; else all is the vault's."""
+    return F.col("domain") if "domain" in rows.columns else F.lit(VAULT).alias("domain")
 
 
 def live_state(files: DataFrame, text: str = "text", readable: str | None = None, cap: int = MARKDOWN_BYTES) -> DataFrame:
@@ -19,25 +31,26 @@ def live_state(files: DataFrame, text: str = "text", readable: str | None = None
     ok = F.lit(True) if readable is None else F.col(readable)
     status = F.when(F.octet_length(t) > cap, "too_large").when(~ok, "read_error").when(F.length(strip(body(t))) < EMPTY_CHARS, "empty").otherwise("ok")
     rows = files.withColumn("status", status)
-    return rows.select(F.lit("vault").alias("domain"), "section", "path", "status", content_hash(t).alias("live_hash"), F.when(F.col("status") == "ok", F.size(file_chunks(text))).otherwise(0).alias("live_chunks"))
+    return rows.select(_domain(rows), "section", "path", "status", content_hash(t).alias("live_hash"), F.when(F.col("status") == "ok", F.size(file_chunks(text))).otherwise(0).alias("live_chunks"))
 
 
 def indexed_state(chunks: DataFrame) -> DataFrame:
     """One row a path of chunks (path, section, id, file_hash, chunking_version,
     expected_chunk_count, schema_version): (domain, section, path, old_chunks,
-    old_hash, complete). complete: one hash, the current contracts, and as many
-    distinct ids as each row expects."""
-    g = chunks.groupBy(F.lit("vault").alias("domain"), "section", "path").agg(
+    old_hash, complete, current). complete: one hash, the current contracts, and as many
+    distinct ids as each row expects. current: the ids are of the chunking version."""
+    g = chunks.groupBy(_domain(chunks), "section", "path").agg(
         F.count(F.lit(1)).alias("old_chunks"),
         F.countDistinct("id").alias("ids"),
         F.min("file_hash").alias("old_hash"),
         F.max("file_hash").alias("other_hash"),
         F.bool_and((F.col("chunking_version") == CHUNKING_VERSION) & (F.col("schema_version") == METADATA_VERSION)).alias("current"),
+        F.bool_and(F.col("chunking_version") == CHUNKING_VERSION).alias("same_ids"),
         F.min("expected_chunk_count").alias("least"),
         F.max("expected_chunk_count").alias("most"),
     )
     complete = (F.col("old_hash") == F.col("other_hash")) & F.col("current") & (F.col("least") == F.col("most")) & (F.col("ids") == F.col("least")) & (F.col("old_chunks") == F.col("least"))
-    return g.select(*KEYS, "old_chunks", "old_hash", complete.alias("complete"))
+    return g.select(*KEYS, "old_chunks", "old_hash", complete.alias("complete"), F.coalesce("same_ids", F.lit(False)).alias("current"))
 
 
 def plan(live: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -58,7 +71,7 @@ def plan(live: DataFrame, indexed: DataFrame) -> DataFrame:
     )
     rows = j.withColumn("action", action)
     added = F.when(F.col("action") == "publish", F.col("live_chunks")).otherwise(0)
-    deleted = F.when(F.col("action") == "remove", F.col("old_chunks")).when((F.col("action") == "publish") & has & (F.col("old_hash") != F.col("live_hash")), F.col("old_chunks")).otherwise(0)
+    deleted = F.when(F.col("action") == "remove", F.col("old_chunks")).when((F.col("action") == "publish") & has & ((F.col("old_hash") != F.col("live_hash")) | ~F.col("current")), F.col("old_chunks")).otherwise(0)
     return rows.select(*KEYS, "action", added.cast("long").alias("added"), deleted.cast("long").alias("deleted"), F.when(F.col("action") == "keep", "extraction_failed").alias("error"))
 
 
@@ -79,6 +92,12 @@ def status(counts: DataFrame, vector: Column, lexical: Column) -> DataFrame:
     return counts.withColumn("status", s).withColumn("changed", moved + F.col("added_chunks") + F.col("deleted_chunks") > 0).withColumn("recommendation", advice)
 
 
+def unavailable(indexed: DataFrame, available: list[str]) -> DataFrame:
+    """(section, path, error): an error for each indexed section that can't be read."""
+    gone = indexed.select("section").distinct().where(~F.col("section").isin(*available) if available else F.lit(True))
+    return gone.select("section", F.lit(None).cast("string").alias("path"), F.lit("section_unavailable").alias("error"))
+
+
 def error_sample(plan_rows: DataFrame, limit: int = ERROR_SAMPLE) -> DataFrame:
     """The first errors by path; a report's sample."""
     return plan_rows.where("error IS NOT NULL").orderBy("path").limit(limit).select("section", "path", "error")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from searchloom.contracts import CHUNKING_VERSION
 from searchloom.operators.chunking import chunk_files
 from searchloom.sources import corpus
-from searchloom.sources.index import Index
+from searchloom.sources.index import ORDER, Index, index_tables, path_bucket
 from searchloom.sources.scratch import file_system, shared_path
+from searchloom.sources.store import Store
 
 QUERY = "idiot pathetic worthless ention"
 QUERY_VECTOR_ID = 0
@@ -86,28 +87,26 @@ def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _INDEXES: dict[tuple, Index] = {}
+FINGERPRINT = {"embedding_model": "given", "pooling": "none"}
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
     """The search index over the files' chunks, and over the vectors of their
-    first ones; built once a session and state of the tables, then searched."""
+    first ones; published once a session and state of the tables, then searched."""
     path, fs = file_system(spark, sf_dir)
     state = tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(path)))
     key = (spark.sparkContext.applicationId, sf_dir, state)
     held = _INDEXES.get(key)
-    if held is None or not fs_has(spark, f"{held.root}/stats/_SUCCESS"):
-        made = Index.build(chunks(spark, sf_dir), shared_path(spark, "index"))
+    if held is None or held.store.current() is None:
+        store = Store(spark, shared_path(spark, "index"))
+        given = chunks(spark, sf_dir)
         vectors = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<float>").alias("vector"))
-        made.table("chunks").where("chunk_index = 0").drop("chunk", "bucket").join(vectors, "doc_id").write.parquet(f"{made.root}/vectors")
-        _INDEXES[key] = held = made
+        first = given.where("chunk_index = 0").drop("chunk").join(vectors, "doc_id").withColumn("bucket", path_bucket(F.col("path")))
+        store.publish(index_tables(given) | {"vectors": first}, FINGERPRINT, "bucket", order=ORDER)
+        _INDEXES[key] = held = Index(store)
     return held
 
 
-def fs_has(spark: SparkSession, path: str) -> bool:
-    p, fs = file_system(spark, path)
-    return fs.exists(p)
-
-
 def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 

@@ -37,7 +37,7 @@ for _name, (_given, _sql) in CASES.items():
 TEXTS = [(1, '"alpha" * NEAR(beta) - café'), (2, '"*-'), (3, "42_x y"), (4, "")]
 Q["query_tokens"] = lambda s, d: rows(s, TEXTS, "n int, q string").select("n", F.concat_ws(" OR ", F.transform(query_tokens(F.col("q")), lambda t: F.concat(F.lit('"'), t, F.lit('"')))).alias("match"))
 SQL["query_tokens"] = f"""WITH g AS {values_sql(TEXTS, 'n, q')} SELECT n::INTEGER AS n, array_to_string(list_transform(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+'), lambda t: '"' || t || '"'), ' OR ') AS match FROM g"""
-Q["postings_stats"] = lambda s, d: base.index(s, d).table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
+Q["postings_stats"] = lambda s, d: base.index(s, d).terms()
 SQL["postings_stats"] = with_sql(FILES, chunks_sql(), f"t AS (SELECT id, unnest({tokens_sql('chunk')}) AS term FROM chunks)") + "SELECT term, count(DISTINCT id) AS chunks, count(*)::BIGINT AS occurrences FROM t GROUP BY term"
 
 
@@ -77,7 +77,7 @@ def _batch_terms(s, d):
 
 def _lexical_batch(s, d):
     x = base.index(s, d)
-    return lexical.bm25_batch(x.table("forward"), x.table("terms"), x.table("stats"), _batch_terms(s, d))
+    return lexical.bm25_batch(x.table("forward"), x.terms(), x.stats(), _batch_terms(s, d))
 
 
 BATCH = f"""terms AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark), wanted AS (SELECT query_id, term, count(*) AS times FROM terms GROUP BY ALL),

@@ -1,74 +1,81 @@
-"""The search index as stored tables, and searches over them.
+"""The search index as tables of a store, and searches over them.
 
-`chunks` are laid out by a hash of their path, `postings` by a hash of their term
-and sorted by it, so that a query's terms and a search's hits each read a few
-partitions. `forward` has each chunk's tokens for batches of queries, `terms`
-the chunks and occurrences of each term, `stats` one row for the whole table.
+All tables are laid out by a hash of the chunks' path, so that a changed file
+rewrites its part and nothing else. `chunks` are the chunks, `forward` has the
+tokens of each for batches of queries, `postings` what each term has in which
+chunk, sorted by term, so that a query reads the row groups of its terms.
+`terms` and `sizes` are sums for each part, from which corpus statistics come.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from searchloom.contracts import CANDIDATES
 from searchloom.functions.text import index_tokens
 from searchloom.operators import lexical, vector
+from searchloom.sources.store import Store
 
-#: Partitions of chunks and of postings.
+#: Parts of the tables; more for larger corpora.
 BUCKETS = 16
+ORDER = {"chunks": ["path", "chunk_index"], "postings": ["term", "id"], "terms": ["term"]}
 
 
-def path_bucket(path: Column, buckets: int) -> Column:
+def path_bucket(path: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
+def index_tables(chunks: DataFrame, buckets: int = BUCKETS, text: str = "chunk") -> dict[str, DataFrame]:
+    """The tables of chunks (id, path, text and more), by name."""
+    chunks = chunks.withColumn("bucket", path_bucket(F.col("path"), buckets))
+    forward = chunks.select("bucket", "id", index_tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    occurrences = forward.select("bucket", "id", "dl", F.posexplode("tokens").alias("place", "term"))
+    postings = occurrences.groupBy("bucket", "term", "id").agg(F.first("dl").alias("dl"), F.collect_list("place").alias("places")).withColumn("tf", F.size("places"))
+    return {
+        "chunks": chunks,
+        "forward": forward.select("bucket", "id", "dl", "tokens"),
+        "postings": postings.select("bucket", "term", "id", "tf", "dl", "places"),
+        "terms": occurrences.groupBy("bucket", "term").agg(F.countDistinct("id").alias("chunks"), F.count(F.lit(1)).alias("occurrences")),
+        "sizes": forward.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")),
+    }
+
+
 class Index:
-    """Searches over the tables below root."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root, buckets
-
-    @classmethod
-    def build(cls, chunks: DataFrame, root: str, vectors: DataFrame | None = None, buckets: int = BUCKETS, text: str = "chunk") -> Index:
-        """Writes the tables of chunks (id, path, text and more) and vectors (id, vector and more)."""
-        spark = chunks.sparkSession
-        out = cls(spark, root, buckets)
-        bucket = path_bucket(F.col("path"), buckets)
-        chunks.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/chunks")
-        forward = spark.read.parquet(f"{root}/chunks").select("id", index_tokens(F.col(text)).alias("tokens"))
-        forward.withColumn("dl", F.size("tokens")).write.parquet(f"{root}/forward")
-        occurrences = out.table("forward").select("id", "dl", F.posexplode("tokens").alias("place", "term"))
-        postings = occurrences.groupBy("term", "id").agg(F.first("dl").alias("dl"), F.collect_list("place").alias("places"))
-        postings = postings.withColumn("tf", F.size("places")).withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        postings.repartition("slot").sortWithinPartitions("slot", "term").write.partitionBy("slot").parquet(f"{root}/postings")
-        out.table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences")).write.parquet(f"{root}/terms")
-        out.table("forward").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.parquet(f"{root}/stats")
-        if vectors is not None:
-            vectors.withColumn("vector", F.col("vector").cast("array<float>")).write.parquet(f"{root}/vectors")
-        return out
+    """Searches over the current generation of a store."""
+
+    def __init__(self, store: Store, buckets: int = BUCKETS):
+        self.store, self.buckets = store, buckets
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return self.store.table(name)
+
+    def stats(self) -> DataFrame:
+        """One row: n, avgdl."""
+        return self.table("sizes").agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+
+    def terms(self) -> DataFrame:
+        """(term, chunks, occurrences)."""
+        return self.table("terms").groupBy("term").agg(F.sum("chunks").alias("chunks"), F.sum("occurrences").alias("occurrences"))
 
     def lexical(self, phrases: list[list[str]], condition: Column | None = None, limit: int = CANDIDATES) -> DataFrame:
         """(id, bm25) of the best chunks: one read of the query's terms."""
         allowed = None if condition is None else self.table("chunks").where(condition).select("id")
         terms = sorted({t for p in phrases for t in p})
-        slots = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in terms]))).collect()] if terms else []
-        postings = self.table("postings").where(F.col("slot").isin(slots) & F.col("term").isin(terms))
-        return lexical.bm25_stored(postings, self.table("stats"), phrases, allowed, limit)
+        return lexical.bm25_stored(self.table("postings").where(F.col("term").isin(terms)), self.stats(), phrases, allowed, limit)
 
     def vector(self, query: list[float], condition: Column | None = None, limit: int = CANDIDATES) -> DataFrame:
         """(id, distance) of the nearest chunks."""
         return vector.topk(self.table("vectors"), query, condition, limit).select("id", "distance")
 
     def hydrate(self, hits: DataFrame) -> DataFrame:
-        """hits, some tens of rows (id and more), with the chunks' columns; only the
-        partitions of their paths are read."""
-        path = F.regexp_replace("id", r"(::[^:]*){3}$", "")
-        hits = hits.withColumn("bucket", path_bucket(path, self.buckets))
-        return self.table("chunks").join(F.broadcast(hits), ["bucket", "id"]).drop("bucket")
+        """hits, some tens of rows (id and more), with the chunks' columns; the hits
+        come to the driver, and only the parts of their paths are read, by id."""
+        held = hits.withColumn("__part", path_bucket(F.regexp_replace("id", r"(::[^:]*){3}$", ""), self.buckets)).toArrow()
+        rows = hits.sparkSession.createDataFrame(held).drop("__part")
+        rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in hits.schema])
+        chunks = self.store.table("chunks", sorted(set(held["__part"].to_pylist())))
+        return chunks.where(F.col("id").isin(held["id"].to_pylist())).join(F.broadcast(rows), "id").drop("bucket")
 
 
 class Scan:

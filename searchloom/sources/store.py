@@ -1,19 +1,41 @@
 """Versioned tables: a folder for each generation and a pointer to the current.
 
-A generation is written under its own name, checked, and only then named by the
-pointer, whose file is replaced as a whole. Readers resolve the pointer once. A
-writer that dies leaves the current generation as it was.
+A generation is written under its own name, read back and compared with what was
+written, and only then named by the pointer, whose file is replaced as a whole.
+Readers resolve the pointer once. A writer that dies leaves the current
+generation as it was; a lock keeps writers apart. Tables may be laid out in
+parts by a column; a new generation then writes the parts that changed, and its
+manifest names the older ones where they are.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from searchloom.contracts import CHUNKING_VERSION, LEXICAL_VERSION, METADATA_VERSION
+from searchloom.contracts import CHUNKING_VERSION, LEXICAL_VERSION, LOCK_WAIT, METADATA_VERSION
+from searchloom.sources.scratch import file_system
+
+
+class Locked(RuntimeError):
+    """Another writer holds the store."""
+
+
+class PublicationError(RuntimeError):
+    """What was written doesn't read back as it was."""
+
+
+def _facts(df: DataFrame):
+    """Aggregates over rows with their hash h: how many there are and a fingerprint
+    of them, whatever their order; and the expression of h."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return [F.count(F.lit(1)).alias("rows"), F.expr("coalesce(bit_xor(h), 0)").alias("f1"), F.expr("coalesce(bit_xor(xxhash64(h, 1)), 0)").alias("f2")], row
 
 
 class Store:
@@ -21,9 +43,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = file_system(spark, self.root)[1]
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
 
     def _read(self, name: str):
         p = self._path(f"{self.root}/{name}")
@@ -31,29 +52,59 @@ class Store:
             return None
         return json.loads(self.spark.read.text(p.toString(), wholetext=True).head()[0])
 
-    def _write(self, name: str, value: dict) -> None:
-        """The file as a whole: written aside, then renamed over the old one."""
-        aside, final = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
-        out = self._fs.create(aside, True)
+    def _put(self, name: str, value: dict) -> None:
+        out = self._fs.create(self._path(f"{self.root}/{name}"), True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        jvm = self.spark.sparkContext._jvm
+
+    def _write(self, name: str, value: dict) -> None:
+        """The file as a whole: written aside, then renamed over the old one."""
+        aside = f".{name}.{uuid.uuid4().hex}"
+        self._put(aside, value)
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, final, options)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf).rename(self._path(f"{self.root}/{aside}"), self._path(f"{self.root}/{name}"), options)
+
+    @contextmanager
+    def lock(self, wait: float = LOCK_WAIT):
+        """Holds the store for one writer; Locked if another one keeps it for `wait` seconds."""
+        path, until = self._path(f"{self.root}/write.lock"), time.monotonic() + wait
+        self._fs.mkdirs(self._path(self.root))
+        while True:
+            try:
+                self._fs.create(path, False).close()
+                break
+            except Exception as error:
+                if not self._fs.exists(path) and "Exist" not in str(error):
+                    raise
+                if time.monotonic() >= until:
+                    raise Locked(f"{self.root} is being written") from None
+                time.sleep(min(0.2, wait))
+        try:
+            yield self
+        finally:
+            self._fs.delete(path, False)
 
     def current(self) -> str | None:
         pointer = self._read("current.json")
         return pointer and pointer["generation_id"]
 
     def meta(self) -> dict | None:
-        """Fingerprint and contracts of the current generation."""
+        """Fingerprint, contracts, row counts and manifest of the current generation."""
         g = self.current()
         return self._read(f"{g}/meta.json") if g else None
 
-    def table(self, name: str) -> DataFrame | None:
-        g = self.current()
-        return self.spark.read.parquet(f"{self.root}/{g}/{name}") if g else None
+    def table(self, name: str, parts: list | None = None) -> DataFrame | None:
+        """A table of the current generation, or those of its parts; a file that the
+        manifest names and that isn't there is an error."""
+        meta = self.meta()
+        if not meta or name not in meta["tables"]:
+            return None
+        held = meta["tables"][name]
+        schema = StructType.fromJson(held["schema"])
+        paths = [f"{self.root}/{p}" for k, p in held["parts"].items() if parts is None or k in {str(x) for x in parts}]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def check(self, fingerprint: dict) -> None:
         """Refuses an index that another embedder made."""
@@ -61,35 +112,68 @@ class Store:
         if meta and meta["fingerprint"] != fingerprint:
             raise ValueError(f"the index was made with {meta['fingerprint']}, not {fingerprint}")
 
-    def publish(self, tables: dict[str, DataFrame], fingerprint: dict, partition: str | None = None, keep: int = 3) -> str:
-        """Writes a generation, checks that it reads back in whole, points to it
-        and deletes all but the newest `keep`. Returns its id."""
-        self.check(fingerprint)
-        serial = (self._read("serial.json") or {"n": 0})["n"] + 1
-        g = f"gen-{serial:08d}-{uuid.uuid4().hex[:8]}"
-        facts = {}
-        for name, df in tables.items():
-            w = df.write.partitionBy(partition) if partition and partition in df.columns else df.write
-            w.parquet(f"{self.root}/{g}/{name}")
-            got = self.spark.read.parquet(f"{self.root}/{g}/{name}")
-            if set(got.columns) != set(df.columns):
-                raise RuntimeError(f"published table {name} lacks columns")
-            facts[name] = got.agg(F.count(F.lit(1))).head()[0]
-        self._meta(g, fingerprint, facts)
-        self._write("serial.json", {"n": serial})
-        self._write("current.json", {"generation_id": g})
-        self.purge(keep)
-        return g
-
-    def _meta(self, g: str, fingerprint: dict, facts: dict) -> None:
-        out = self._fs.create(self._path(f"{self.root}/{g}/meta.json"), True)
-        out.write(bytearray(json.dumps({"fingerprint": fingerprint, "chunking": CHUNKING_VERSION, "metadata": METADATA_VERSION, "version": LEXICAL_VERSION, "rows": facts}, sort_keys=True).encode()))
-        out.close()
+    def publish(self, tables: dict[str, DataFrame], fingerprint: dict, partition: str | None = None, keep: int = 3, replaced: list | None = None, order: dict[str, list[str]] | None = None, wait: float = LOCK_WAIT) -> str:
+        """Writes a generation, compares what reads back with what was written,
+        points to it and deletes all but the newest `keep`. Returns its id.
+
+        With partition, tables that have this column are laid out by it, sorted by
+        order[name]. With replaced, tables holds these parts only, and the others
+        stay those of the current generation.
+        """
+        with self.lock(wait):
+            self.check(fingerprint)
+            old = self.meta() if replaced is not None else None
+            serial = (self._read("serial.json") or {"n": 0})["n"] + 1
+            g = f"gen-{serial:08d}-{uuid.uuid4().hex[:8]}"
+            manifest: dict = {}
+            try:
+                for name, df in tables.items():
+                    manifest[name] = self._table(g, name, df, partition, (order or {}).get(name))
+                    for k, p in ((old or {"tables": {}})["tables"].get(name) or {"parts": {}})["parts"].items():
+                        if k not in {str(x) for x in replaced}:
+                            manifest[name]["parts"].setdefault(k, p)
+            except Exception:
+                self._fs.delete(self._path(f"{self.root}/{g}"), True)
+                raise
+            self._put(f"{g}/meta.json", {"fingerprint": fingerprint, "chunking": CHUNKING_VERSION, "metadata": METADATA_VERSION, "version": LEXICAL_VERSION, "rows": {k: m["rows"] for k, m in manifest.items()}, "tables": manifest})
+            self._write("serial.json", {"n": serial})
+            self._write("current.json", {"generation_id": g})
+            self.purge(keep)
+            return g
+
+    def _table(self, g: str, name: str, df: DataFrame, partition: str | None, order: list[str] | None) -> dict:
+        """Writes one table and verifies it; its entry of the manifest."""
+        path, schema = f"{self.root}/{g}/{name}", df.schema
+        facts, row = _facts(df)
+        seen = Observation()
+        rows = df.withColumn("h", row).observe(seen, *facts).drop("h") if "h" not in df.columns else df
+        laid = partition and partition in df.columns
+        if laid:
+            rows = rows.withColumn("__part", F.col(partition)).repartition("__part").sortWithinPartitions("__part", *(order or []))
+            rows.write.partitionBy("__part").parquet(path)
+            parts = {s.getPath().getName().removeprefix("__part="): f"{g}/{name}/{s.getPath().getName()}" for s in self._fs.listStatus(self._path(path)) if s.isDirectory()}
+        else:
+            rows.write.parquet(path)
+            parts = {"": f"{g}/{name}"}
+        paths = [f"{self.root}/{p}" for p in parts.values()]
+        back = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        got = back.withColumn("h", row).agg(*facts).head().asDict()
+        if "h" not in df.columns and got != seen.get:
+            # a task that ran twice is observed twice, so the rows themselves decide
+            if got != df.withColumn("h", row).agg(*facts).head().asDict():
+                raise PublicationError(f"table {name} doesn't read back as it was written")
+        return {"schema": schema.jsonValue(), "parts": parts, "rows": got["rows"]}
 
     def purge(self, keep: int) -> list[str]:
-        """Deletes the generations that are neither current nor among the newest."""
+        """Deletes the generations that are neither current, nor among the newest,
+        nor named by a manifest of those."""
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory() and s.getPath().getName().startswith("gen-"))
-        gone = [n for n in names[:-keep] if n != self.current()]
+        stay = {*names[-keep:], self.current()}
+        used = set(stay)
+        for n in stay:
+            meta = self._read(f"{n}/meta.json") if n else None
+            used |= {p.split("/")[0] for t in (meta or {"tables": {}})["tables"].values() for p in t["parts"].values()}
+        gone = [n for n in names if n not in used]
         for n in gone:
             self._fs.delete(self._path(f"{self.root}/{n}"), True)
         return gone

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from searchloom.contracts import CHUNKING_VERSION
 from searchloom.operators.chunking import chunk_files
-from searchloom.operators.lexical import postings
+from searchloom.sources.index import ORDER, index_tables, path_bucket
 from searchloom.sources.store import Store
 
 FINGERPRINT = {"embedding_model": "hash", "pooling": "count"}
@@ -27,13 +27,13 @@ def apply_batch(store: Store, files: DataFrame, order: str = "version") -> str:
     fresh = chunk_files(last.where("text IS NOT NULL")).withColumn("chunking_version", F.lit(CHUNKING_VERSION))
     old = store.table("chunks")
     if old is None:
-        merged = fresh
-    else:
-        same = old.select("path", F.col("file_hash").alias("h")).distinct().join(last.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("h")), ["path", "h"])
-        moved = last.select("path").join(same.select("path"), "path", "left_anti")
-        kept = old.join(moved, "path", "left_anti")
-        merged = kept.unionByName(fresh.join(moved, "path", "left_semi").select(old.columns))
-    return store.publish({"chunks": merged, "postings": postings(merged)}, FINGERPRINT)
+        return store.publish(index_tables(fresh), FINGERPRINT, "bucket", order=ORDER)
+    touched = [r[0] for r in last.select(path_bucket(F.col("path")).alias("b")).distinct().collect()]  # at most the number of parts
+    held = store.table("chunks", touched).drop("bucket")
+    same = held.select("path", F.col("file_hash").alias("h")).distinct().join(last.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("h")), ["path", "h"])
+    moved = last.select("path").join(same.select("path"), "path", "left_anti")
+    merged = held.join(moved, "path", "left_anti").unionByName(fresh.join(moved, "path", "left_semi").select(held.columns))
+    return store.publish(index_tables(merged), FINGERPRINT, "bucket", replaced=touched, order=ORDER)
 
 
 def stream(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str):

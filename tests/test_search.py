@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchloom.operators import filters, freshness, fusion, metrics, vector
+from searchloom.operators.chunking import chunk_files
 from searchloom.plans.search import lexical_ready, search
-from searchloom.sources.index import Scan
+from searchloom.sources.index import ORDER, Index, Scan, index_tables
+from searchloom.sources.store import Store
 
 
 def test_rrf_order_and_ties(spark):
@@ -93,3 +95,25 @@ def test_metrics(spark):
     assert (r.mrr, r.hit1, r.hits) == (0.25, 0.0, 1)
     f = freshness.indexed_hashes(spark.createDataFrame([("a", "h" * 64, None, "freshness", "1"), ("b", "short", None, "freshness", "1"), ("c", "h" * 64, None, None, "1")], "path string, file_content_hash string, content_hash string, contract_id string, contract_version string"))
     assert {x.path: x.stored_hash is not None for x in f.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_a_reranker_that_fails_in_a_task_degrades_the_search(spark):
+    hits = spark.createDataFrame([("a", 1), ("b", 2)], "id string, fused_rank int")
+    out, reason = fusion.rerank(hits, lambda h: h.withColumn("rerank_score", F.raise_error(F.lit("no model")).cast("double")))
+    assert "no model" in reason and [r.final_rank for r in out.orderBy("id").collect()] == [1, 2]
+
+
+def test_an_index_finds_what_a_scan_finds(spark, tmp_path):
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "eps"]
+    rows = [(f"s/{i}.md", "s", " ".join(words[(i * k + k * k) % 7] for k in range(1, 40)), 2) for i in range(60)]
+    chunks = chunk_files(spark.createDataFrame(rows, "path string, section string, text string, schema_version int"))
+    vectors = chunks.where("chunk_index = 0").select("id", "section", F.array((F.xxhash64("id") % 7).cast("double"), F.lit(1.0)).alias("vector"))
+    store = Store(spark, str(tmp_path))
+    store.publish(index_tables(chunks) | {"vectors": vectors}, {"embedding_model": "x"}, "bucket", order=ORDER)
+    for phrases in ([["alpha"]], [["of", "the"], ["gamma"], ["gamma"]], [["nothing"]], [["beta", "alpha", "beta"]], []):
+        for condition in (None, F.col("path").endswith("1.md")):
+            got, want = ({(r.id, round(r.bm25, 9)) for r in x.lexical(phrases, condition, 25).collect()} for x in (Index(store), Scan(chunks, vectors)))
+            assert got == want
+    a, b = (search(x, [["gamma"]], [1.0, 0.5], 10, reranker=fusion.overlap_score(["delta"])) for x in (Index(store), Scan(chunks, vectors)))
+    assert a.mode == b.mode == "hybrid+rerank"
+    assert [(r.id, r.final_rank, r.chunk) for r in a.hits.orderBy("final_rank").collect()] == [(r.id, r.final_rank, r.chunk) for r in b.hits.orderBy("final_rank").collect()]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.contracts import CHUNKING_VERSION
 from searchloom.plans.sync import sync
 from searchloom.sources import remote, vault
-from searchloom.sources.store import Store, upsert
+from searchloom.sources.store import PublicationError, Store, upsert
 from searchloom.streaming.reconcile import FINGERPRINT, activity, apply_batch, stream
 
 FILES = "path string, section string, text string, schema_version int"
@@ -58,6 +58,54 @@ def test_a_failed_publication_leaves_the_current_one(spark, tmp_path):
         store.publish({"chunks": spark.range(1)}, {"embedding_model": "other"})
 
 
+def test_a_change_writes_its_part_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = [(f"a/{i}.md", "a", f"file number {i} with enough text to be kept", 2) for i in range(40)]
+    sync(store, files(spark, rows), FINGERPRINT)
+    first, before = store.current(), store.meta()["tables"]
+    rows[7] = ("a/7.md", "a", "file number 7 with other text than before", 2)
+    r = sync(store, files(spark, rows), FINGERPRINT).head()
+    assert (r.status, r.published_files, r.added_chunks, r.deleted_chunks) == ("succeeded", 1, 1, 1)
+    for name, held in store.meta()["tables"].items():
+        moved = [k for k, p in held["parts"].items() if p != before[name]["parts"].get(k)]
+        assert len(moved) == 1 and all(p.startswith(first) for k, p in held["parts"].items() if k not in moved)
+    whole = Store(spark, str(tmp_path / "w"))
+    sync(whole, files(spark, rows), FINGERPRINT)
+    for name in before:
+        same = lambda s: sorted(map(str, s.table(name).collect()))  # noqa: B023, E731
+        assert same(store) == same(whole)
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    one = files(spark, [("a/1.md", "a", "some text that is long enough", 2)])
+    with store.lock():
+        r = sync(store, one, FINGERPRINT, wait=0.1).head()
+        assert (r.status, r.changed) == ("locked", False) and store.current() is None
+    assert sync(store, one, FINGERPRINT).head().status == "succeeded"
+
+
+def test_what_does_not_read_back_is_not_published(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    one = files(spark, [("a/1.md", "a", "some text that is long enough", 2)])
+    sync(store, one, FINGERPRINT)
+    g = store.current()
+    kept = Store._table
+    monkeypatch.setattr(Store, "_table", lambda self, g, name, *a: (_ for _ in ()).throw(PublicationError(f"table {name} doesn't read back")) if name == "postings" else kept(self, g, name, *a))
+    r = sync(store, one.withColumn("text", F.lit("other text that is long enough")), FINGERPRINT).head()
+    assert (r.status, r.recommendation, r.errors, r.published_files) == ("failed", "repair_lexical", 1, 0)
+    assert store.current() == g and [p.name for p in (tmp_path / "s").iterdir() if p.is_dir()] == [g]
+
+
+def test_sections_that_cannot_be_read_are_errors(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    two = files(spark, [("a/1.md", "a", "some text that is long enough", 2), ("b/1.md", "b", "some text that is long enough", 2)])
+    sync(store, two, FINGERPRINT)
+    r = sync(store, two.where("section = 'a'"), FINGERPRINT, sections_available=["a"]).head()
+    assert (r.status, r.errors, r.removed_files) == ("failed", 1, 0) and set(paths(store)) == {"a/1.md", "b/1.md"}
+    assert [(e.section, e.error) for e in r.error_sample] == [("b", "section_unavailable")] and not r.errors_truncated
+
+
 def test_retention(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     made = [store.publish({"t": spark.range(i + 1)}, FINGERPRINT, keep=2) for i in range(4)]
