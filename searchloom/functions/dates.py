@@ -24,3 +24,8 @@ def epoch_ms(c: Column) -> Column:
 
 def first_date(*columns: Column) -> Column:
     return F.coalesce(*[rfc3339(c) for c in columns])
+
+
+def latest(*times: Column) -> Column:
+    """The latest of the times that are there; null if none is."""
+    return F.greatest(*times) if len(times) > 1 else times[0]

@@ -74,3 +74,13 @@ def staged_name(attachment: Column, name: Column, limit: int = 255) -> Column:
     ext = F.regexp_extract(s, r"[^.](\.[^.]+)$", 1)
     room = F.greatest(F.lit(1), F.lit(limit) - F.length(attachment) - 1 - F.length(ext))
     return F.concat(attachment, F.lit("-"), F.substring(F.substring(s, F.lit(1), F.length(s) - F.length(ext)), F.lit(1), room), ext)
+
+
+def is_diagram(name: Column) -> Column:
+    """Whether an attachment is the source of a diagram, by its name."""
+    return F.lower(name).rlike(r"\.(drawio|xml)$")
+
+
+def flatten(path: Column) -> Column:
+    """A path as one file name."""
+    return F.replace(path, F.lit("/"), F.lit("__"))

@@ -62,6 +62,20 @@ def rerank(hits: DataFrame, score: Callable[[DataFrame], DataFrame], first: int
         return hits.withColumn("final_rank", F.col("fused_rank")), f"reranker failed: {error}"
 
 
+def warm(make: Callable[[], Callable]) -> tuple[Callable | None, str | None]:
+    """(reranker, reason): make() is called once a process; of one that fails the
+    reason is kept, so that searches go on without it and don't try again."""
+    if make not in _WARM:
+        try:
+            _WARM[make] = (make(), None)
+        except Exception as error:  # searches go on without a reranker
+            _WARM[make] = (None, f"reranker unavailable: {error}")
+    return _WARM[make]
+
+
+_WARM: dict[Callable, tuple[Callable | None, str | None]] = {}
+
+
 def overlap_score(query_tokens: list[str], text: str = "chunk") -> Callable[[DataFrame], DataFrame]:
     """A reranker that counts how many of the query's distinct tokens a text has."""
     from searchloom.functions.text import index_tokens

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.contracts import METADATA_FIELDS, METADATA_VERSION, SOURCE_KINDS
 from searchloom.functions.dates import epoch_ms, first_date, rfc3339
 from searchloom.functions.text import clean, content_hash, newlines
-from searchloom.operators.chunking import scalar
+from searchloom.operators.chunking import chunk_id, scalar
 
 
 def contract(front: Column, path: Column, section: Column, fallback_title: Column, file_hash: Column, captured_at: Column, default_kind: str = "note") -> list[Column]:
@@ -51,6 +51,19 @@ def from_id(id_: Column) -> list[Column]:
     return [F.when(good, F.array_join(F.slice(p, F.lit(1), F.greatest(n - 3, F.lit(0))), "::")).alias("path"), F.when(good, F.element_at(p, F.greatest(n - 2, F.lit(1)))).alias("content_hash"), F.when(good, F.element_at(p, F.greatest(n - 1, F.lit(1)))).alias("chunking_version"), F.when(good, F.element_at(p, -1).try_cast("int")).alias("chunk_index")]
 
 
+def rebase(chunks: DataFrame, path: Column, section: Column) -> DataFrame:
+    """Chunks of generation documents under their own path and section, with ids to
+    match; a chunk of another kind than doc, or without its parts, is an error."""
+    good = F.coalesce((F.col("source_kind") == "doc") & F.col("chunk_index").isNotNull() & F.col("file_hash").isNotNull() & path.isNotNull(), F.lit(False))
+    at = F.when(good, path).otherwise(F.raise_error(F.lit("a generation's chunk isn't of kind doc or lacks its identity")))
+    return chunks.withColumns({"path": at, "section": section}).withColumn("id", chunk_id(F.col("path"), F.col("file_hash"), F.col("chunk_index")))
+
+
+def override_section(chunks: DataFrame, section: str) -> DataFrame:
+    """Chunks as those of the section that is reconciled, whatever they say."""
+    return chunks.withColumn("section", F.lit(section))
+
+
 def eav_pivot(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row an id of (id, key, string_value, int_value, float_value, bool_value):
     a text column for each key, from whichever value is set."""
@@ -73,15 +86,28 @@ def render_document(fields: dict[str, Column], body: Column) -> Column:
 
 
 def render_hits(hits: DataFrame) -> Column:
-    """A hit's Markdown block: heading, section, relevance, times and citation."""
-    title = F.coalesce("title", "path", F.lit("Unknown"))
-    relevance = F.when(F.col("distance").isNotNull(), F.concat(F.round((1 - F.col("distance")) * 100, 0).cast("int").cast("string"), F.lit("%"))).when(F.col("lexical_only"), "lexical-only")
-    cite = F.when(F.col("canonical_uri").isNotNull(), F.concat(F.lit("**Citation:** ["), title, F.lit("]("), F.col("canonical_uri"), F.lit(")"))).otherwise(F.concat(F.lit("**Citation:** `"), F.col("path"), F.lit("`")))
+    """A hit's Markdown block: heading, section, relevance, source, times, citation,
+    freshness and text; columns that hits lack are unknown."""
+    get = lambda k: F.col(k) if k in hits.columns else F.lit(None).cast("string")
+    title = F.coalesce(get("title"), get("path"), F.lit("Unknown"))
+    header = F.when(F.coalesce(get("header"), F.lit("")) != "", F.concat(F.lit(" > "), get("header"))).otherwise("")
+    percent = F.concat(F.bround((1 - F.col("distance")) * 100, 0).cast("int").cast("string"), F.lit("%"))
+    relevance = F.when(F.col("distance").isNotNull(), percent).when(F.col("lexical_only"), "lexical-only")
+    linked = F.concat(F.lit("**Citation:** ["), title, F.lit("]("), get("canonical_uri"), F.lit(")"))
+    cite = F.coalesce(linked, F.concat(F.lit("**Citation:** `"), get("path"), F.lit("`")))
+    line = lambda name, value: F.concat(F.lit(f"**{name}:** "), value)
+    known = lambda k: F.coalesce(get(k), F.lit("unknown"))
     return F.concat_ws(
         "\n",
         F.concat(F.lit("### ["), F.col("final_rank").cast("string"), F.lit("] "), title),
-        F.concat(F.lit("**Section:** "), F.coalesce("section", F.lit(""))),
-        F.concat(F.lit("**Relevance:** "), relevance),
-        F.concat(F.lit("**Source:** "), F.coalesce("source_kind", F.lit("unknown")), F.lit(" / "), F.coalesce("source_system", F.lit("unknown"))),
+        line("Section", F.concat(F.coalesce(get("section"), F.lit("")), header)),
+        line("Relevance", relevance),
+        line("Source", F.concat(known("source_kind"), F.lit(" / "), known("source_system"))),
+        line("Occurred", known("occurred_at")),
+        line("Updated", known("updated_at")),
         cite,
+        line("Freshness", known("freshness")),
+        F.lit(""),
+        F.coalesce(get("chunk"), F.lit("")),
+        F.lit(""),
     )

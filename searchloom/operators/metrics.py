@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from searchloom.functions.json import canonical
+
 
 def retrieval(ranks: DataFrame, k: int = 5) -> DataFrame:
     """One row over (query_id, rank), rank null if not found within k: queries,
@@ -65,6 +67,19 @@ def ids_digest(df: DataFrame, by: str, id_: str = "id") -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("ids"), F.sha2(F.array_join(F.array_sort(F.collect_list(id_)), "\n").cast("binary"), 256).alias("digest"))
 
 
+def members_digest(df: DataFrame, by: str) -> DataFrame:
+    """(by, members, digest): SHA-256 of the canonical JSON list of each role's
+    members (path, bytes, sha256), ordered by the bytes of their paths."""
+    member = canonical(path=F.col("path"), bytes=F.col("bytes"), sha256=F.col("sha256"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("path", member.alias("m")))), lambda x: x["m"])
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).cast("binary"), 256).alias("digest"))
+
+
+def status_counts(checks: DataFrame, status: str = "status") -> DataFrame:
+    """(status, checks)."""
+    return checks.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("checks"))
+
+
 def snapshot(chunks: DataFrame) -> DataFrame:
     """One row: chunks, distinct files, and rows of the current and other metadata versions."""
     return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("path").alias("files"), F.count_if(F.col("schema_version") == 2).alias("v2"), F.count_if(~F.col("schema_version").eqNullSafe(F.lit(2))).alias("other"))

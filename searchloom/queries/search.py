@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from searchloom.contracts import CANDIDATES
-from searchloom.functions.text import index_tokens, query_tokens
+from searchloom.functions.text import content_hash, index_tokens, query_tokens
 from searchloom.operators import filters, fusion, lexical, metadata, vector
+from searchloom.plans import response
 from searchloom.plans import search as plans
 from searchloom.queries import base
 from searchloom.queries.base import FILES, QUERY, QUERY_VECTOR_ID, chunks_sql, rows, tokens_sql, values_sql, with_sql
@@ -176,14 +177,42 @@ Q["vector_only_search"] = lambda s, d: _hybrid(s, d, problem="lexical index miss
 SQL["vector_only_search"] = with_sql(FILES, chunks_sql(), HYBRID) + "SELECT id, rank::INTEGER AS final_rank FROM hvr WHERE rank <= 10"
 
 
+def _live(s, d):
+    return corpus.live_files(s, d).select("path", content_hash(F.col("text")).alias("live_hash"))
+
+
+def _response(s, d):
+    """The hybrid search with its hits' metadata, as a search answers."""
+    found = _hybrid(s, d)
+    stamp = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    hits = found.hits.withColumns({"title": F.col("path"), "canonical_uri": F.lit(None).cast("string"), "source_system": F.lit("vault"), "occurred_at": stamp(F.col("occurred_ms")), "updated_at": stamp(F.col("updated_ms")), "content_hash": F.col("file_hash")})
+    return plans.SearchResults(hits, found.mode, found.reason)
+
+
 def _markdown(s, d):
-    h = _hybrid(s, d).hits.withColumns({"title": F.col("path"), "canonical_uri": F.lit(None).cast("string"), "source_system": F.lit("vault")})
-    return h.select("final_rank", metadata.render_hits(h).alias("markdown"))
+    hits = response.annotated(_response(s, d).hits, _live(s, d))
+    return hits.select("final_rank", metadata.render_hits(hits).alias("markdown"))
 
 
+STAMP = "strftime(make_timestamp({} * 1000), '%Y-%m-%dT%H:%M:%SZ')"
+RESPONSE = f"""shown AS (SELECT *, {STAMP.format('occurred_ms')} AS occurred_at, {STAMP.format('updated_ms')} AS updated_at, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'stale' ELSE 'fresh' END AS freshness FROM hits JOIN (SELECT path, doc_id, occurred_ms, updated_ms FROM files) USING (path)),
+    blocks AS (SELECT *, concat_ws(chr(10), '### [' || final_rank || '] ' || path, '**Section:** ' || section,
+        '**Relevance:** ' || CASE WHEN distance IS NOT NULL THEN round_even((1 - distance) * 100, 0)::INTEGER || '%' ELSE 'lexical-only' END, '**Source:** ' || source_kind || ' / vault',
+        '**Occurred:** ' || coalesce(occurred_at, 'unknown'), '**Updated:** ' || coalesce(updated_at, 'unknown'), '**Citation:** `' || path || '`', '**Freshness:** ' || freshness, '', chunk, '') AS markdown FROM shown)"""
 Q["search_markdown"] = _markdown
-SQL["search_markdown"] = with_sql(FILES, chunks_sql(), HYBRID) + """SELECT final_rank::INTEGER AS final_rank, concat_ws(chr(10), '### [' || final_rank || '] ' || path, '**Section:** ' || section,
-    '**Relevance:** ' || CASE WHEN distance IS NOT NULL THEN round((1 - distance) * 100)::INTEGER || '%' ELSE 'lexical-only' END, '**Source:** ' || source_kind || ' / vault', '**Citation:** `' || path || '`') AS markdown FROM hits"""
+SQL["search_markdown"] = with_sql(FILES, chunks_sql(), HYBRID, RESPONSE) + "SELECT final_rank::INTEGER AS final_rank, markdown FROM blocks"
+
+
+def _structured(s, d):
+    rows_ = response.structured(response.annotated(_response(s, d).hits, _live(s, d)))
+    return rows_.select("final_rank", "id", "text", "citation", F.round("relevance", 6).alias("relevance"), "lexical_only", "freshness", F.col("metadata.title").alias("title"), F.col("metadata.occurred_at").alias("occurred_at"), F.col("metadata.updated_at").alias("updated_at"), F.col("metadata.content_hash").alias("content_hash"))
+
+
+Q["search_structured"] = _structured
+SQL["search_structured"] = with_sql(FILES, chunks_sql(), HYBRID, RESPONSE) + "SELECT final_rank::INTEGER AS final_rank, id, chunk AS text, path AS citation, round(1 - distance, 6) AS relevance, lexical_only, freshness, path AS title, occurred_at, updated_at, file_hash AS content_hash FROM blocks"
+Q["search_response"] = lambda s, d: response.respond(_response(s, d), QUERY, _live(s, d)).select("schema_version", "query", "mode", "fallback_reason", F.size("results").alias("hits"), "markdown")
+SQL["search_response"] = with_sql(FILES, chunks_sql(), HYBRID, RESPONSE) + f"""SELECT 2 AS schema_version, '{QUERY}' AS query, 'hybrid+rerank' AS mode, NULL::VARCHAR AS fallback_reason, count(*)::INTEGER AS hits,
+    '## Search: `{QUERY}`' || chr(10) || chr(10) || '**Mode:** hybrid+rerank' || chr(10) || chr(10) || string_agg(markdown, chr(10) ORDER BY final_rank) AS markdown FROM blocks"""
 
 
 def _preview(s, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.contracts import JOB_BYTES, JOB_PAGES, MARKDOWN_BYTES
 from searchloom.functions.text import content_hash
 from searchloom.operators import chunking, freshness, generations, metrics, reconcile
-from searchloom.queries import base
+from searchloom.queries import base, text
 from searchloom.queries.base import FILES, INDEXED, LIVE, chunks_sql, kept_sql, rows, spans_sql, strip_sql, values_sql, with_sql
 from searchloom.sources import corpus
 from searchloom.sources.corpus import table
@@ -162,6 +162,8 @@ SQL["generation_counts"] = with_sql(GEN) + """SELECT (SELECT count(*) FROM att W
     (SELECT count(*) FROM gen WHERE kind IS NOT NULL AND carried) AS carry_forward, (SELECT count(*) FROM gen WHERE kind = 'tombstone') AS tombstones, 'degraded' AS status"""
 Q["generation_incomplete"] = lambda s, d: generations.step(_previous(s, d), _attempt(s, d), False).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("rows"))
 SQL["generation_incomplete"] = with_sql(GEN) + "SELECT CASE WHEN oc = 'ok' OR was THEN 'document' ELSE 'tombstone' END AS kind, CASE WHEN oc = 'ok' THEN 'fresh' WHEN was THEN 'stale' END AS status, count(*) AS rows FROM j WHERE oc = 'ok' OR was OR (buried AND NOT seen) GROUP BY ALL"
+Q["generation_disabled"] = lambda s, d: generations.step(_previous(s, d), _attempt(s, d), True, source_disabled=True)
+SQL["generation_disabled"] = "SELECT 'wiki' AS source_uid, 'source_tombstone' AS kind, NULL::VARCHAR AS status, NULL::VARCHAR AS content_hash, false AS carried"
 Q["contract_violations"] = lambda s, d: generations.violations(_attempt(s, d).unionByName(_attempt(s, d).where("CAST(source_uid AS INT) % 44 = 0")).unionByName(_attempt(s, d).where("CAST(source_uid AS INT) % 45 = 1").withColumn("outcome", F.lit("ok"))), _previous(s, d))
 SQL["contract_violations"] = with_sql(GEN, "more AS (SELECT * FROM att UNION ALL SELECT * FROM att WHERE k % 44 = 0 UNION ALL SELECT k, 'ok', seen, nh FROM att WHERE k % 45 = 1)", "g AS (SELECT k, count(*) FILTER (oc = 'ok') AS a, count(*) FILTER (oc = 'failed') AS f, bool_or(seen) AS seen FROM more GROUP BY k)") + """SELECT source_uid, violation FROM (SELECT g.k::VARCHAR AS source_uid, CASE WHEN a > 1 THEN 'duplicate' WHEN a > 0 AND f > 0 THEN 'ok_and_failed' WHEN a + f > 0 AND NOT seen THEN 'not_seen' WHEN seen AND a + f = 0 AND (p.k IS NULL OR NOT p.doc) THEN 'unhandled_new' END AS violation FROM g LEFT JOIN prev p ON p.k = g.k) WHERE violation IS NOT NULL"""
 Q["path_collisions"] = lambda s, d: generations.path_collisions(table(s, d, "pages").select(F.col("page_id").alias("source_uid"), F.concat(F.try_parse_url("url", F.lit("HOST")), F.lit(".md")).alias("path")))
@@ -254,11 +256,7 @@ Q["fragmentation"] = lambda s, d: metrics.fragmentation(base.chunks(s, d), "sect
 SQL["fragmentation"] = with_sql(FILES, chunks_sql()) + "SELECT section, count(*) AS chunks, count(DISTINCT path) AS files, round(count(*) / count(DISTINCT path), 3) AS chunks_per_file, round(median(length(chunk)), 3) AS median_chars, round(100.0::DOUBLE * count(*) FILTER (length(chunk) < 300) / count(*), 3) AS pct_small FROM chunks GROUP BY section"
 
 
-def _section_chunks(s, d):
-    md = corpus.markdown(s, d)
-    return chunking.chunk_files(md.withColumn("section", F.lit("talks"))).select("path", "section_no", "chunk_index", "chunk")
-
-
-Q["small_chunk_kinds"] = lambda s, d: metrics.small_kinds(_section_chunks(s, d), 300)
+Q["small_chunk_kinds"] = lambda s, d: metrics.small_kinds(text.talk_chunks(s, d), 300)
+SQL["small_chunk_kinds"] = with_sql(text.MD, text.SECTIONS_SQL, text.MERGED_SQL, spans_sql("merged", key="k", prefix="m_"), text.PIECES_SQL, "p AS (SELECT *, count(*) OVER w AS n, max(chunk_index) OVER w AS last FROM pieces WINDOW w AS (PARTITION BY path, section_no))") + """SELECT CASE WHEN n = 1 THEN 'whole_section' WHEN chunk_index = last THEN 'split_tail' ELSE 'split_body' END AS kind, count(*) AS chunks FROM p WHERE length(chunk) < 300 GROUP BY 1"""
 Q["work_avoided"] = lambda s, d: metrics.work_avoided(_plan(s, d).join(base.indexed_chunks(s, d).groupBy("path").agg(F.count(F.lit(1)).alias("full_chunks")), "path", "inner"), "added", "full_chunks")
 SQL["work_avoided"] = with_sql(STATE) + "SELECT sum(added)::BIGINT AS selective, sum(o.chunks)::BIGINT AS \"full\", round(100 * (1 - sum(added)::DOUBLE / sum(o.chunks)), 3) AS avoided_pct FROM done JOIN oldn o USING (path)"

@@ -120,6 +120,25 @@ SQL["merge_sections"] = with_sql(MD, SECTIONS_SQL, """walk AS (SELECT path, n, 0
     heads AS (SELECT f.path, f.g, s.header, min(f.n) AS first_n FROM fixed f JOIN sections s USING (path, n) WHERE s.header <> '' GROUP BY ALL),
     sizes AS (SELECT f.path, f.g, sum(length(s.span)) AS chars FROM fixed f JOIN sections s USING (path, n) GROUP BY ALL)""") + """SELECT path, g::INTEGER AS n, left((SELECT string_agg(header, ' | ' ORDER BY first_n) FROM heads h WHERE h.path = z.path AND h.g = z.g), 300) AS header, chars::INTEGER AS chars FROM sizes z"""
 
+#: Each merged section's text, its spans, and the files' chunks in order.
+MERGED_SQL = """walk AS (SELECT path, n, 0::BIGINT AS g, length(span)::BIGINT AS run FROM sections WHERE n = 0
+        UNION ALL SELECT s.path, s.n, CASE WHEN w.run >= 300 THEN w.g + 1 ELSE w.g END, CASE WHEN w.run >= 300 THEN length(s.span) ELSE w.run + length(s.span) END FROM walk w JOIN sections s ON s.path = w.path AND s.n = w.n + 1),
+    ends AS (SELECT path, g, max(run) AS total FROM walk GROUP BY path, g),
+    fixed AS (SELECT w.path, w.n, CASE WHEN e.total < 300 AND w.g > 0 THEN w.g - 1 ELSE w.g END AS g FROM walk w JOIN ends e USING (path, g)),
+    firsts AS (SELECT f.path, f.g, s.header, min(f.n) AS n FROM fixed f JOIN sections s USING (path, n) WHERE s.header <> '' GROUP BY ALL),
+    heads AS (SELECT path, g, left(string_agg(header, ' | ' ORDER BY n), 300) AS header FROM firsts GROUP BY ALL),
+    merged AS (SELECT f.path, f.g, f.path || '#' || f.g AS k, string_agg(s.span, '' ORDER BY f.n) AS text FROM fixed f JOIN sections s USING (path, n) GROUP BY ALL)"""
+PIECES_SQL = f"""cutm AS (SELECT k, i, {strip_sql('substr(text, s + 1, e - s)')} AS chunk FROM m_spans),
+    pieces AS (SELECT m.path, m.g AS section_no, h.header, chunk, row_number() OVER (PARTITION BY m.path ORDER BY m.g, i) - 1 AS chunk_index FROM cutm JOIN merged m USING (k) LEFT JOIN heads h ON h.path = m.path AND h.g = m.g WHERE chunk <> '')"""
+
+
+def talk_chunks(s, d):
+    return chunking.chunk_files(corpus.markdown(s, d))
+
+
+Q["markdown_chunks"] = lambda s, d: talk_chunks(s, d).select("path", "section_no", "chunk_index", "header", F.md5(F.col("chunk").cast("binary")).alias("md5"))
+SQL["markdown_chunks"] = with_sql(MD, SECTIONS_SQL, MERGED_SQL, spans_sql("merged", key="k", prefix="m_"), PIECES_SQL) + "SELECT path, section_no::INTEGER AS section_no, chunk_index::INTEGER AS chunk_index, coalesce(header, '') AS header, md5(chunk) AS md5 FROM pieces"
+
 # metadata
 CAPTURED = "2024-07-01T00:00:00Z"
 

@@ -18,6 +18,76 @@ LIMIT_BYTES = 8 << 20
 TRANSPORTS: dict[str, Callable[[str, str | None], str]] = {}
 
 
+#: HTTP statuses that may pass by themselves.
+TRANSIENT = {408, 425, 429, 500, 502, 503, 504}
+
+
+class TransportError(RuntimeError):
+    """A response that can't be used."""
+
+
+class AuthError(TransportError):
+    """The credentials were refused."""
+
+
+class NotFound(TransportError):
+    """There is no such page."""
+
+
+class Transient(TransportError):
+    """Worth another attempt."""
+
+
+def raise_for(status: int) -> None:
+    """The error of an HTTP status, none for success; it names nothing but the status."""
+    if status < 300:
+        return
+    kind = AuthError if status in (401, 403) else NotFound if status == 404 else Transient if status in TRANSIENT else TransportError
+    raise kind(f"HTTP status {status}")
+
+
+def bounded(response, limit: int = LIMIT_BYTES) -> bytes:
+    """The body of a response (headers and read(n)), not read beyond limit."""
+    told = response.headers.get("Content-Length")
+    if told is not None and (not told.strip().isdigit() or int(told) > limit):
+        raise TransportError("a bad Content-Length, or one over the limit")
+    body = response.read(limit + 1)
+    if len(body) > limit:
+        raise TransportError("a response exceeds the limit")
+    return body
+
+
+def object_of(body: bytes) -> dict:
+    """The JSON object of a body in strict UTF-8."""
+    try:
+        value = json.loads(body.decode("utf-8", errors="strict"))
+    except ValueError as error:
+        raise TransportError("invalid UTF-8 or JSON") from error
+    if not isinstance(value, dict):
+        raise TransportError("not a JSON object")
+    return value
+
+
+def http_transport(url_of: Callable[[str, str | None], str], headers: dict[str, str], timeout: float = 60.0) -> Callable[[str, str | None], str]:
+    """A transport over HTTP, for TRANSPORTS: url_of gives the address of a page
+    of results."""
+
+    def fetch(space: str, cursor: str | None) -> str:
+        from urllib.error import HTTPError, URLError
+        from urllib.request import Request, urlopen
+
+        try:
+            with urlopen(Request(url_of(space, cursor), headers=headers), timeout=timeout) as response:
+                return json.dumps(object_of(bounded(response)))
+        except HTTPError as error:
+            raise_for(error.code)
+            raise TransportError("no redirect is followed") from None
+        except (URLError, TimeoutError, OSError):
+            raise Transient("the request failed") from None
+
+    return fetch
+
+
 class SpacePartition(InputPartition):
     def __init__(self, space: str):
         self.space = space
@@ -54,6 +124,8 @@ class PagesSource(DataSource):
     """spark.read.format("remote_pages") with options spaces (comma-separated),
     transport (a registered name) and origin."""
 
+    transports = TRANSPORTS
+
     @classmethod
     def name(cls):
         return "remote_pages"
@@ -63,7 +135,18 @@ class PagesSource(DataSource):
 
     def reader(self, schema):
         o = self.options
-        return PagesReader([s.strip() for s in o["spaces"].split(",") if s.strip()], TRANSPORTS[o["transport"]], o.get("origin", ""))
+        return PagesReader([s.strip() for s in o["spaces"].split(",") if s.strip()], self.transports[o["transport"]], o.get("origin", ""))
+
+
+def register(spark, transports: dict[str, Callable[[str, str | None], str]] | None = None) -> None:
+    """Makes spark.read.format("remote_pages") known to a session, with transports
+    (those of TRANSPORTS) that go to the workers along with it."""
+
+    class Registered(PagesSource):  # a class of its own, so that its transports travel by value
+        pass
+
+    Registered.transports = dict(TRANSPORTS if transports is None else transports)
+    spark.dataSource.register(Registered)
 
 
 def convert_html(df, html: str = "html", out: str = "text"):

@@ -44,6 +44,9 @@ def scan(spark: SparkSession, base: str, sections: Iterable[str] | None = None,
     raw = reader.load(there)
     if hidden:
         raw = raw.unionByName(reader.load(hidden))
+    # the reader skips the contents of what the pushed condition on length rules out
+    cap = max(MARKDOWN_BYTES, PDF_BYTES)
+    raw = raw.where(F.col("length") <= cap).unionByName(raw.where(F.col("length") > cap).withColumn("content", F.lit(None).cast("binary")))
     plain = F.regexp_replace("path", "^file:/*", "/")
     rows = raw.withColumn("path", relative_to(plain, base))
     return rows.select("path", section_of(F.col("path")).alias("section"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), excluded(F.col("path")).alias("excluded"))

@@ -5,9 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from searchloom import config
 from searchloom.contracts import CHUNKING_VERSION
+from searchloom.operators import vector
+from searchloom.plans.build import build
 from searchloom.plans.sync import sync
-from searchloom.sources import remote, vault
+from searchloom.sources import generation, remote, vault
 from searchloom.sources.store import PublicationError, Store, upsert
 from searchloom.streaming.reconcile import FINGERPRINT, activity, apply_batch, stream
 
@@ -164,3 +167,75 @@ def test_remote_pages(spark):
         list(remote.PagesReader(["A"], lambda s, c: json.dumps({"results": [], "next": "same"}), "").read(remote.SpacePartition("A")))
     html = spark.createDataFrame([("<html><script>x</script><p>One &amp; <b>two</b></p><!-- c --><div>three</div></html>",)], "html string")
     assert remote.convert_html(html).head().text == "One & two\nthree"
+
+
+def test_remote_transport_and_registration(spark):
+    for status, kind in ((401, remote.AuthError), (403, remote.AuthError), (404, remote.NotFound), (429, remote.Transient), (503, remote.Transient), (418, remote.TransportError)):
+        with pytest.raises(kind):
+            remote.raise_for(status)
+    remote.raise_for(200)
+
+    class Response:
+        def __init__(self, body, told=None):
+            self.body, self.headers = body, {} if told is None else {"Content-Length": told}
+
+        def read(self, n):
+            return self.body[:n]
+
+    assert remote.object_of(remote.bounded(Response(b'{"a": 1}', "8"), 10)) == {"a": 1}
+    for bad in (Response(b"x" * 11), Response(b"", "11"), Response(b"", "many")):
+        with pytest.raises(remote.TransportError):
+            remote.bounded(bad, 10)
+    for body in (b"\xff", b"[]", b"{"):
+        with pytest.raises(remote.TransportError):
+            remote.object_of(body)
+    remote.TRANSPORTS["two"] = lambda space, cursor: json.dumps({"results": [{"id": 7, "space": space, "uri": "/p/7"}], "next": None})
+    remote.register(spark)
+    rows = spark.read.format("remote_pages").option("spaces", "A, B").option("transport", "two").option("origin", "https://w.example.com").load()
+    assert {(r.page_id, r.space_key, r.canonical_uri) for r in rows.collect()} == {("7", "A", "https://w.example.com/p/7"), ("7", "B", "https://w.example.com/p/7")}
+
+
+def test_generation_reader(spark, tmp_path):
+    assert generation.read(spark, str(tmp_path)) is None
+    docs = tmp_path / "generations" / "g1" / "documents"
+    (docs / "a").mkdir(parents=True)
+    (docs / "a" / "1.md").write_text("one")
+    (docs / "2.md").write_bytes(b"\xff")
+    (docs / "unlisted.md").write_text("no")
+    (tmp_path / "current.json").write_text('{"generation_id": "g1"}')
+    manifest = {"documents": [{"path": "a/1.md", "source_uid": "1"}, {"path": "2.md", "source_uid": "2"}]}
+    (tmp_path / "generations" / "g1" / "manifest.json").write_text(json.dumps(manifest))
+    assert {(r.domain, r.path, r.source_uid, r.text, r.readable) for r in generation.read(spark, str(tmp_path)).collect()} == {("ingestion", "a/1.md", "1", "one", True), ("ingestion", "2.md", "2", None, False)}
+    manifest["documents"].append({"path": "b/3.md", "source_uid": "3"})
+    (tmp_path / "generations" / "g1" / "manifest.json").write_text(json.dumps(manifest))
+    with pytest.raises(generation.InconsistentGeneration, match="b/3.md"):
+        generation.read(spark, str(tmp_path))
+    for pointer in ('{"generation_id": "../x"}', '{"generation_id": "g2"}', "{", "{}"):
+        (tmp_path / "current.json").write_text(pointer)
+        with pytest.raises(generation.InconsistentGeneration):
+            generation.read(spark, str(tmp_path))
+
+
+def test_builds_only_what_changed(spark, tmp_path):
+    vector.register_embedder("lengths", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
+    chunks = lambda rows: spark.createDataFrame(rows, "id string, section string, chunk string")
+    store, rows = Store(spark, str(tmp_path / "v")), [("a1", "a", "one"), ("b1", "b", "three"), ("c1", "c", "x")]
+    assert build(store, chunks(rows), "lengths", FINGERPRINT) == ["a", "b", "c"]
+    g = store.current()
+    assert build(store, chunks(rows), "lengths", FINGERPRINT) == [] and store.current() == g
+    assert build(store, chunks([("a1", "a", "four"), ("b1", "b", "three")]), "lengths", FINGERPRINT) == ["a"]
+    assert {(r.id, r.vector[0]) for r in store.table("vectors").collect()} == {("a1", 4.0), ("b1", 5.0)}
+
+
+def test_config(tmp_path):
+    f = tmp_path / "c.toml"
+    f.write_text('store = "s3a://b/x"\nincluded_sections = ["a", "b", "a"]\nlock_wait_seconds = 5\n')
+    got = config.load(f, {"SEARCHLOOM_LOCK_WAIT_SECONDS": "2.5", "SEARCHLOOM_INDEX_WHOLE_FOLDER": "true"})
+    assert (got.store, got.included_sections, got.lock_wait_seconds, got.index_whole_folder, got.max_markdown_bytes) == ("s3a://b/x", ("a", "b"), 2.5, True, 1_000_000)
+    assert config.load(tmp_path / "none.toml", {}) == config.Config()
+    for text in ("other = 1", "store = 3", "index_whole_folder = 1", "max_pdf_bytes = 0", "included_sections = 'a'", "store ="):
+        f.write_text(text)
+        with pytest.raises(config.ConfigError):
+            config.load(f, {})
+    with pytest.raises(config.ConfigError):
+        config.load(None, {"SEARCHLOOM_MAX_PDF_BYTES": "many"})
