@@ -29,6 +29,8 @@ from searchloom.llm.textcore import SEGMENT, U64, flat_bytes, mix, powers, segme
 
 DECAY, LANDMARKS, LONGEST = 0.65, 256, 24
 CODES = 64
+#: Characters between the letters of a spelled-out word, and letters of words that may be pieces, at most.
+APART, PIECE = 6, 3
 #: Codes of a word's start and end, which are part of its subsequences.
 START, END = 62, 63
 #: Characters read as the letters they stand for inside a word.
@@ -36,14 +38,15 @@ LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 
 
 def letter_codes():
-    """1 to 63 for each letter, whatever its case, 0 for what isn't one. Latin
-    letters up to U+00FF have their own codes, others share the rest."""
+    """1 to 59 for each letter, whatever its case, 0 for what isn't one. Latin
+    letters up to U+00FF have codes of their own; those of other scripts take the
+    same codes in turn, so that neighbours in an alphabet have different ones."""
 
     def make():
         t = np.zeros(0x110000, np.uint8)
         cls = class_table()
         letters = np.flatnonzero((cls == LETTER) | (cls == NUMBER))
-        t[letters] = 58 + letters % 4
+        t[letters] = [1 + ord(chr(c).lower()[0]) % 57 for c in letters.tolist()]
         own = {chr(c): c - 96 for c in range(97, 123)} | {chr(c): 27 + c - 0xDF for c in range(0xDF, 0x100) if c != 0xF7 and c != 0xDF}
         own["ß"] = 27
         for ch, code in own.items():
@@ -59,9 +62,10 @@ def letter_codes():
 
 
 def words_of(cp, starts):
-    """(a, b): where the words of texts laid end to end start and end. Words are
-    runs without white space, trimmed to letters and digits; runs of one-letter
-    words are one word, with gaps."""
+    """(a, b, n): where the words of texts laid end to end start and end, and of
+    how many they are made. Words are runs without white space, trimmed to letters
+    and digits; a run of one-letter words, each at most APART characters behind
+    the one before, is one word, with gaps."""
     n = len(cp)
     cls = class_table()[cp]
     first = np.zeros(n + 1, bool)
@@ -74,15 +78,46 @@ def words_of(cp, starts):
     a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
     place = np.flatnonzero(inner)
     if not len(place):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     x, y = np.searchsorted(place, a), np.searchsorted(place, b)
     has = y > x
     a, b = place[x[has]], place[y[has] - 1] + 1
     one = (b - a) == 1
     near = np.zeros(len(a), bool)  # a one-letter word right after another one
-    near[1:] = one[1:] & one[:-1] & (a[1:] - b[:-1] <= 2) & (np.searchsorted(starts, a[1:], side="right") == np.searchsorted(starts, a[:-1], side="right"))
+    near[1:] = one[1:] & one[:-1] & (a[1:] - b[:-1] <= APART) & (np.searchsorted(starts, a[1:], side="right") == np.searchsorted(starts, a[:-1], side="right"))
     head = np.flatnonzero(~near)
-    return a[head], b[np.append(head[1:], len(a)) - 1]
+    after = np.append(head[1:], len(a))
+    return a[head], b[after - 1], after - head
+
+
+def instances(cp, starts):
+    """(codes, a, b, text): the letter codes of texts laid end to end, where in them
+    the strings that are scored start and end, and their texts. These are the
+    words; the letters of a spelled-out word with wider gaps, set at one gap each
+    (behind the texts' own codes); and short words next to each other as one, with
+    their gap, as they may be pieces of a word."""
+    codes = letter_codes()[cp]
+    a, b, n = words_of(cp, starts)
+    text = np.searchsorted(starts, a, side="right") - 1
+    if not len(a):
+        return codes, a, b, text
+    size = b - a
+    wide = np.flatnonzero((n > 1) & (size > 2 * n - 1))
+    if len(wide):
+        cls = class_table()
+        drawn, extra = [], []
+        for i in wide.tolist():
+            own = cp[a[i] : b[i]]
+            own = codes[a[i] : b[i]][(cls[own] == LETTER) | (cls[own] == NUMBER)]
+            spaced = np.zeros(2 * len(own) - 1, codes.dtype)
+            spaced[::2] = own
+            drawn.append(spaced)
+            extra.append(len(spaced))
+        end = len(codes) + np.cumsum(extra)
+        codes = np.concatenate([codes, *drawn])
+        a[wide], b[wide] = end - extra, end
+    two = np.flatnonzero((size[:-1] <= PIECE) & (size[1:] <= PIECE) & (size[:-1] + size[1:] > PIECE) & (n[:-1] == 1) & (n[1:] == 1) & (a[1:] - b[:-1] <= 2) & (text[1:] == text[:-1]))
+    return codes, np.concatenate([a, a[two]]), np.concatenate([b, b[two + 1]]), np.concatenate([text, text[two]])
 
 
 def triples(length: int):
@@ -143,6 +178,7 @@ class Machine:
 
     def __init__(self, table, bias: float, slope: float, shift: float):
         self.table, self.bias, self.slope, self.shift = table, bias, slope, shift
+        self.marks, self.beta = [], np.zeros(0)  # landmarks and their weights, which table folds
 
     def margins(self, codes_flat, a, b):
         out = np.full(len(a), -np.inf)
@@ -158,19 +194,19 @@ class Machine:
         """Score of each of the texts laid end to end in cp, empty ones too."""
         n = len(starts) - 1
         best = np.full(n, -np.inf)
-        a, b = words_of(cp, starts[:-1][starts[1:] > starts[:-1]]) if len(cp) else (np.zeros(0, np.int64),) * 2
+        codes, a, b, text = instances(cp, starts)
         if len(a):
-            codes = letter_codes()[cp]
             # a longer word counts as its overlapping stretches
             long = b - a > LONGEST
             la, lb = a[long], b[long]
             k = -(-(lb - la - LONGEST) // (LONGEST // 2)) + 1
             nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
             sa = np.minimum(np.repeat(la, k) + nth * (LONGEST // 2), np.repeat(lb, k) - LONGEST)
+            text = np.concatenate([text[~long], np.repeat(text[long], k)])
             a, b = np.concatenate([a[~long], sa]), np.concatenate([b[~long], sa + LONGEST])
             _, example, which = np.unique(_word_hash(codes, a, b), return_index=True, return_inverse=True)
             m = self.margins(codes, a[example], b[example])[which]
-            np.maximum.at(best, np.searchsorted(starts, a, side="right") - 1, m)
+            np.maximum.at(best, text, m)
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(best, -4) + self.shift, -30, 30)))
 
 
@@ -226,11 +262,10 @@ def _vocabulary(texts: list[str]):
     size = np.append(0, np.cumsum([len(t) for t in texts]))
     for i, j in segments(size, 1 << 17):
         cp, starts = _flat(texts[i:j])
-        a, b = words_of(cp, starts[:-1][np.diff(starts) > 0])
-        doc = np.searchsorted(starts, a, side="right") - 1 + i
+        codes, a, b, text = instances(cp, starts)
+        doc = text + i
         keep = (b - a >= 3) & (b - a <= LONGEST)
         a, b, doc = a[keep], b[keep], doc[keep]
-        codes = letter_codes()[cp]
         h = _word_hash(codes, a, b)
         _, example, which = np.unique(h, return_index=True, return_inverse=True)
         raw = codes.tobytes()
@@ -315,6 +350,7 @@ def fit(texts: list[str], ys: list[int], prior: float | None = None, landmarks:
     fold = np.zeros(CODES**3, np.float32)
     fold[used] = table[:-1] @ beta
     machine = Machine(fold, float(w[-1]), 1.0, 0.0)
+    machine.marks, machine.beta = marks, beta
     # margins of whole training texts to probabilities
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, pairs[:, 0], machine.margins(*flat(range(len(names))))[pairs[:, 1]])
@@ -338,7 +374,10 @@ def fit(texts: list[str], ys: list[int], prior: float | None = None, landmarks:
 def score(df: DataFrame, machine: Machine | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep and score, the probability that the whole text
     is toxic. Null and empty texts, and texts without a word of three letters,
-    score as the least toxic do; without a machine all score 0."""
+    score as the least toxic do; without a machine all score 0. Rows are
+    independent, so rows that repeat score alike and ties don't arise; an empty
+    table gives no rows. Texts are scored whole, in about 60 bytes a character of
+    the longest. keep may name columns of any names but `score`."""
     keep = keep or ["doc_id"]
     shared = df.sparkSession.sparkContext.broadcast(machine)  # a table of fixed size
 
