@@ -21,8 +21,9 @@ from searchloom.llm.textcore import trimmed
 
 #: Payloads from this size on are stored once; other records with them revisit.
 REVISIT_BYTES = 100
-#: Records a file at most; with pages of some KB, files of some ten MB.
-FILE_RECORDS = 8192
+#: Records a file at most; with pages of some KB, files of some ten MB. Fewer where
+#: pages are larger, so that no file passes FILE_BYTES but with a single record.
+FILE_RECORDS, FILE_BYTES = 8192, 512 << 20
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FIELDS = "path string, offset bigint, successor bigint, size bigint, kind string, page bigint, refers_to bigint, payload_bytes bigint, digest string"
@@ -62,7 +63,9 @@ def write(pages: DataFrame, path: str | None = None, page: str = "page_id", url:
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.octet_length("payload"))).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    rows.select(F.concat(header, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    largest = base.agg(F.max(F.octet_length("payload") + F.octet_length("url"))).first()[0] or 0
+    records = max(1, min(FILE_RECORDS, FILE_BYTES // (largest + 2048)))
+    rows.select(F.concat(header, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
     return path
 
 
@@ -122,7 +125,8 @@ def reachable(offset, successor):
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under path: FIELDS, reachable ones only.
 
-    One task scans a file; candidates, without payloads, then meet by file. A
+    One task scans a file, of at most FILE_BYTES if `write` made it, and holds it
+    in whole; files of 2 GB or more can't be read. Candidates, without payloads, then meet by file. A
     folder without records gives an empty table, an empty file no rows. A false
     candidate costs its claimed length once.
     """
