@@ -37,7 +37,7 @@ DICTIONARY = (
     "main|master|branch|date|time|year|month|day|node|module|class|function|string|object|type|null|none|true|false|admin|root|home|path|var|usr|lib|src"
 )
 
-#: Features of v (the value), before and after, in order.
+#: Features of v (the whole value; only its length counts up to 200), before and after, in order.
 FEATURES = {
     "n": "least(length(x.v), 200)",
     "digits": r"1 - length(regexp_replace(x.v, r'[0-9]', '')) / length(x.v)",
@@ -46,7 +46,7 @@ FEATURES = {
     "symbols": r"length(regexp_replace(x.v, r'[A-Za-z0-9]', '')) / length(x.v)",
     "hex": r"CAST(x.v RLIKE r'^(?:[0-9a-f]+|[0-9A-F]+)$' AS INT)",
     "turns": r"(size(split(x.v, r'(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])')) - 1) / length(x.v)",
-    "distinct": "size(array_distinct(split(substring(x.v, 1, 200), ''))) / least(length(x.v), 200)",
+    "distinct": "size(array_distinct(split(x.v, ''))) / least(length(x.v), 200)",
     "covered": f"1 - length(regexp_replace(lower(x.v), r'{DICTIONARY}', '')) / length(x.v)",
     "path": r"CAST(x.v RLIKE r'/[^/]+/|\.(?:html?|png|jpe?g|js|css|py|md|txt)$' OR x.before RLIKE r'(?:[/.\\]|://\S*)$' AS INT)",
     "telling": f"CAST(x.before RLIKE r'(?:{TELLING})' AS INT)",
@@ -125,21 +125,26 @@ def _tree_sql(lines: list[str]) -> str:
     return f"CASE WHEN f.{list(FEATURES)[int(m[1])]} <= {float(m[2])!r}D THEN {low} ELSE {high} END"
 
 
-def forest_sql(spark: SparkSession) -> str:
-    """The share of trees that call the finding with features f a secret."""
+def train_forest(spark: SparkSession):
+    """(model, data): the forest and the labelled findings' features it was trained on."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = _candidates(labelled_findings(spark), "text").select("label", F.expr(_features_sql(_found("text"))).alias("fs"))
+    flat = rows.where("size(fs) > 0").select("label", F.col("fs")[0].alias("f")).select("label", "f.*").drop("v")
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, maxBins=64).fit(data.select("label", "features")), data
 
-    def make():
-        from pyspark.ml.classification import RandomForestClassifier
-        from pyspark.ml.feature import VectorAssembler
 
-        rows = _candidates(labelled_findings(spark), "text").select("label", F.expr(_features_sql(_found("text"))).alias("fs"))
-        flat = rows.where("size(fs) > 0").select("label", F.col("fs")[0].alias("f")).select("label", "f.*").drop("v")
-        data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat).select("label", "features")
-        model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, maxBins=64).fit(data)
-        trees = re.split(r"\n\s*Tree \d+ \(weight [\d.]+\):\n", model.toDebugString)[1:]
-        return "(" + " + ".join(_tree_sql(t.rstrip().split("\n")) for t in trees) + f") / {len(trees)}D"
+def trees_sql(model) -> str:
+    """The share of a forest's trees that call the finding with features f a secret."""
+    trees = re.split(r"\n\s*Tree \d+ \(weight [\d.]+\):\n", model.toDebugString)[1:]
+    return "(" + " + ".join(_tree_sql(t.rstrip().split("\n")) for t in trees) + f") / {len(trees)}D"
 
-    return worker_cache(("forest", TREES, DEPTH), make)
+
+def forest_sql(spark: SparkSession) -> str:
+    """trees_sql of the trained forest, trained once a process."""
+    return worker_cache(("forest", TREES, DEPTH), lambda: trees_sql(train_forest(spark)[0]))
 
 
 def _candidates(df: DataFrame, text: str) -> DataFrame:

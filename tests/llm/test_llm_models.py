@@ -147,12 +147,91 @@ def test_toxicity_held_out(tables):
     r = out.agg(F.avg(F.when(F.col("toxic") == 1, (F.col("score") >= 0.3).cast("int"))).alias("found"), F.avg(F.when(F.col("toxic") == 0, (F.col("score") >= 0.3).cast("int"))).alias("wrong")).head()
     assert r.found >= 0.85 and r.wrong <= 0.06
     s = docs.sparkSession
+    spread = s.createDataFrame([(1, "you i - d - i - o - t"), (2, "you i   d   i   o   t"), (3, "you id iot"), (4, "a b c d and x - y - z"), (5, "in the of a to be"), (6, "он и она и мы")], "doc_id long, text string")
+    far = {r.doc_id: r.score for r in toxicity.score(spread, machine).collect()}
+    assert min(far[1], far[2], far[3]) >= 0.3 and max(far[4], far[5], far[6]) < 0.3
     odd = s.createDataFrame([(1, "you i.d.i.o.t"), (2, "you i d i o t"), (3, "you id1ot"), (4, ""), (5, None), (6, "a fine day " * 2000), (7, "x" * 100_000), (7, "x" * 100_000)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(odd, machine).collect()}
     assert min(got[1], got[2], got[3]) >= 0.3 and max(got[4], got[5], got[6]) < 0.3
     assert toxicity.score(odd.limit(0), machine).count() == 0
 
 
+def test_toxicity_like_its_kernel(tables):
+    """Scores are those of kernels with the landmarks, summed by their weights."""
+    import itertools
+    import math
+
+    docs, labels = tables
+    texts, ys, share = labelled.sample(docs, labels, "toxic", F.lit(True), size=300)
+    m = toxicity.fit(texts, ys, share)
+
+    def grams(codes):
+        framed = [toxicity.START, *codes, toxicity.END]
+        out: dict = {}
+        for t in itertools.combinations(range(len(framed)), 3):
+            key = tuple(framed[i] for i in t)
+            if all(key):
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (t[2] - t[0] + 1)
+        return out, math.sqrt(sum(v * v for v in out.values()))
+
+    marks = [grams(x) for x in m.marks]
+
+    def margin(word):
+        own, norm = grams([int(toxicity.letter_codes()[ord(c)]) for c in word])
+        return m.bias + sum(b * sum(v * g.get(k, 0) for k, v in own.items()) / (norm * n) for b, (g, n) in zip(m.beta, marks, strict=True))
+
+    given = ["you are an idiot today", "i.d.i.o.t", "a fine day at the sea", "pathetic", "", "id1ot", "ab"]
+    for text in given:
+        words = [w for w in text.split() if len(w) >= 3]
+        best = max([margin(w) for w in words], default=-4)
+        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        got = m.scores(cp, np.array([0, len(cp)]))[0]
+        assert got == pytest.approx(1 / (1 + math.exp(-(m.slope * max(best, -4) + m.shift))), abs=1e-3), text
+
+
+def test_quality_like_plain_loops(tables):
+    """The batched forward pass is that of a loop over texts and passages."""
+    import math
+
+    docs, labels = tables
+    texts, ys, share = labelled.sample(docs, labels, "quality", F.lit(True), size=60)
+    m = quality.fit(texts, ys, share, epochs=2)
+    for text in [*texts[:6], "", "   ", "one", texts[0] * 4]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        x, bounds = quality.passages(raw, np.array([0, len(raw)]))
+        hs, ss = [], []
+        for row in x:
+            h = np.tanh(((row - m.mean) / m.scale) @ m.we + m.be)
+            hs.append(h)
+            ss.append(sum(m.wg[g] * math.tanh(h @ m.v[:, g]) / (1 + math.exp(-(h @ m.u[:, g]))) for g in range(quality.GATES)))
+        e = [math.exp(s - max(ss)) for s in ss]
+        bag = sum(a / sum(e) * h for a, h in zip(e, hs, strict=True))
+        assert m.forward(x, bounds)[0][0] == pytest.approx(1 / (1 + math.exp(-float(bag @ m.wc + m.bc[0]))), abs=1e-6)
+
+
+def test_quality_odd_rows(tables):
+    docs, labels = tables
+    m = quality.train(docs, labels, F.lit(True))
+    s = docs.sparkSession
+    odd = s.createDataFrame([(1, None, 9), (2, "", 9), (3, "word " * 60_000, 9), (4, "fine text", 9), (4, "fine text", 9), (None, "fine text", 9)], "doc_id long, text string, rest int")
+    out = quality.score(odd, m, keep=["doc_id", "rest"]).collect()
+    assert len(out) == 6 and all(0 <= r.score <= 1 and r.rest == 9 for r in out)
+    by = lambda k: [r.score for r in out if r.doc_id == k]
+    assert by(1) == by(2) and by(4)[0] == by(4)[1] == by(None)[0]
+    assert quality.score(odd.limit(0), m, keep=["doc_id"]).count() == 0
+
+
+def test_secret_scores_like_the_forest(spark):
+    """The SQL of the trees gives what the model's own trees give."""
+    model, data = secrets.train_forest(spark)
+    fields = ", ".join(f"'{k}', `{k}`" for k in secrets.FEATURES)
+    scored = data.withColumn("score", F.expr(f"transform(array(named_struct({fields})), f -> {secrets.trees_sql(model)})[0]"))
+    trees = model.trees
+    for r in scored.select("features", "score").limit(200).collect()[::10]:
+        assert r.score == pytest.approx(sum(t.predict(r.features) for t in trees) / len(trees))
+    assert scored.agg(F.avg(((F.col("score") >= secrets.THRESHOLD) == (F.col("label") == 1)).cast("int"))).head()[0] > 0.95
+
+
 def test_models_without_a_class(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
