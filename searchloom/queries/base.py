@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from searchloom.contracts import CHUNKING_VERSION
 from searchloom.operators.chunking import chunk_files
 from searchloom.sources import corpus
-from searchloom.sources.index import ORDER, Index, index_tables, path_bucket
+from searchloom.sources.index import ORDER, Index, index_tables
 from searchloom.sources.scratch import file_system, shared_path
 from searchloom.sources.store import Store
 
@@ -101,7 +101,7 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
         store = Store(spark, shared_path(spark, "index"))
         given = chunks(spark, sf_dir)
         vectors = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<float>").alias("vector"))
-        first = given.where("chunk_index = 0").drop("chunk").join(vectors, "doc_id").withColumn("bucket", path_bucket(F.col("path")))
+        first = lambda t: t("chunks").where("chunk_index = 0").drop("chunk").join(vectors, "doc_id")
         store.publish(index_tables(given) | {"vectors": first}, FINGERPRINT, "bucket", order=ORDER)
         _INDEXES[key] = held = Index(store)
     return held

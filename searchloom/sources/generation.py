@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from searchloom.functions.text import decode_strict
 from searchloom.operators.reconcile import INGESTION
-from searchloom.sources.scratch import file_system
+from searchloom.sources.scratch import file_system, small_file
 
 
 class InconsistentGeneration(RuntimeError):
@@ -19,10 +19,8 @@ class InconsistentGeneration(RuntimeError):
 
 
 def _document(spark: SparkSession, path: str):
-    p, fs = file_system(spark, path)
-    if not fs.exists(p):
-        return None
-    return json.loads(spark.read.text(path, wholetext=True).head()[0])
+    text = small_file(spark, path)
+    return None if text is None else json.loads(text)
 
 
 def read(spark: SparkSession, root: str) -> DataFrame | None:

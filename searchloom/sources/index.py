@@ -26,21 +26,48 @@ def path_bucket(path: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
-def index_tables(chunks: DataFrame, buckets: int = BUCKETS, text: str = "chunk") -> dict[str, DataFrame]:
-    """The tables of chunks (id, path, text and more), by name."""
-    chunks = chunks.withColumn("bucket", path_bucket(F.col("path"), buckets))
-    forward = chunks.select("bucket", "id", index_tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    occurrences = forward.select("bucket", "id", "dl", F.posexplode("tokens").alias("place", "term"))
-    postings = occurrences.groupBy("bucket", "term", "id").agg(F.first("dl").alias("dl"), F.collect_list("place").alias("places")).withColumn("tf", F.size("places"))
+def index_tables(chunks: DataFrame, buckets: int = BUCKETS, text: str = "chunk") -> dict:
+    """The tables of chunks (id, path, text and more), by name, for Store.publish:
+    each but the first is made of those before it as they are written."""
+    bucket = path_bucket(F.col("path"), buckets)
     return {
-        "chunks": chunks,
-        "forward": forward.select("bucket", "id", "dl", "tokens"),
-        "postings": postings.select("bucket", "term", "id", "tf", "dl", "places"),
-        "terms": occurrences.groupBy("bucket", "term").agg(F.countDistinct("id").alias("chunks"), F.count(F.lit(1)).alias("occurrences")),
-        "sizes": forward.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")),
+        "chunks": chunks.withColumn("bucket", bucket),
+        "forward": lambda t: t("chunks").select("bucket", "id", index_tokens(F.col(text)).alias("tokens")).select("bucket", "id", F.size("tokens").alias("dl"), "tokens"),
+        "postings": lambda t: postings(t("forward")),
+        "terms": lambda t: t("postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences")),
+        "sizes": lambda t: t("forward").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")),
     }
 
 
+def postings(forward: DataFrame) -> DataFrame:
+    """(bucket, term, id, tf, dl, places) of forward: a chunk's tokens are grouped
+    where they are, a batch of chunks at once."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            tokens = batch.column(3)
+            flat = tokens.flatten().dictionary_encode()
+            if not len(flat):
+                continue
+            sizes = np.asarray(tokens.value_lengths().fill_null(0)).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(code * batch.num_rows + row, kind="stable")
+            code, row, place = code[order], row[order], place[order]
+            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+            ends = np.append(first, len(code))
+            at = pa.array(row[first])
+            places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
+            cols = [batch.column(0).take(at), flat.dictionary.take(pa.array(code[first])), batch.column(1).take(at), pa.array(np.diff(ends).astype(np.int32)), batch.column(2).take(at), places]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "term", "id", "tf", "dl", "places"])
+
+    return forward.select("bucket", "id", "dl", "tokens").mapInArrow(run, "bucket int, term string, id string, tf int, dl int, places array<int>")
+
+
 class Index:
     """Searches over the current generation of a store."""
 

@@ -24,6 +24,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_file(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, read by the driver without a job; None if it isn't there."""
+    p, fs = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def file_system(spark: SparkSession, path: str):
     """(Hadoop path, its file system)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

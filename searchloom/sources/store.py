@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from searchloom.contracts import CHUNKING_VERSION, LEXICAL_VERSION, LOCK_WAIT, METADATA_VERSION
-from searchloom.sources.scratch import file_system
+from searchloom.sources.scratch import file_system, small_file
 
 
 class Locked(RuntimeError):
@@ -47,10 +48,8 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
 
     def _read(self, name: str):
-        p = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(p.toString(), wholetext=True).head()[0])
+        text = small_file(self.spark, f"{self.root}/{name}")
+        return None if text is None else json.loads(text)
 
     def _put(self, name: str, value: dict) -> None:
         out = self._fs.create(self._path(f"{self.root}/{name}"), True)
@@ -101,7 +100,9 @@ class Store:
         meta = self.meta()
         if not meta or name not in meta["tables"]:
             return None
-        held = meta["tables"][name]
+        return self._parts(meta["tables"][name], parts)
+
+    def _parts(self, held: dict, parts: list | None = None) -> DataFrame:
         schema = StructType.fromJson(held["schema"])
         paths = [f"{self.root}/{p}" for k, p in held["parts"].items() if parts is None or k in {str(x) for x in parts}]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -112,9 +113,11 @@ class Store:
         if meta and meta["fingerprint"] != fingerprint:
             raise ValueError(f"the index was made with {meta['fingerprint']}, not {fingerprint}")
 
-    def publish(self, tables: dict[str, DataFrame], fingerprint: dict, partition: str | None = None, keep: int = 3, replaced: list | None = None, order: dict[str, list[str]] | None = None, wait: float = LOCK_WAIT) -> str:
+    def publish(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], fingerprint: dict, partition: str | None = None, keep: int = 3, replaced: list | None = None, order: dict[str, list[str]] | None = None, wait: float = LOCK_WAIT) -> str:
         """Writes a generation, compares what reads back with what was written,
         points to it and deletes all but the newest `keep`. Returns its id.
+        A table may be given as a function of those written before it, by name, so
+        that what it is made of isn't computed anew.
 
         With partition, tables that have this column are laid out by it, sorted by
         order[name]. With replaced, tables holds these parts only, and the others
@@ -128,7 +131,9 @@ class Store:
             manifest: dict = {}
             try:
                 for name, df in tables.items():
+                    df = df(lambda n: self._parts(manifest[n])) if callable(df) else df
                     manifest[name] = self._table(g, name, df, partition, (order or {}).get(name))
+                for name in tables:
                     for k, p in ((old or {"tables": {}})["tables"].get(name) or {"parts": {}})["parts"].items():
                         if k not in {str(x) for x in replaced}:
                             manifest[name]["parts"].setdefault(k, p)
