@@ -114,7 +114,7 @@ def _ingestion(s, d):
 
 
 Q["ingestion_freshness"] = _ingestion
-SQL["ingestion_freshness"] = with_sql(FILES, "ic AS (SELECT path FROM files WHERE doc_id % 13 <> 0 AND length(text) > 0)") + """SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 8 = 0 THEN 'error' WHEN path NOT IN (SELECT path FROM ic) THEN 'unindexed' WHEN doc_id % 31 = 0 OR doc_id % 37 = 0 THEN 'unknown' ELSE 'fresh' END AS status
+SQL["ingestion_freshness"] = with_sql(FILES, f"ic AS (SELECT path FROM files WHERE doc_id % 13 <> 0 AND {kept_sql('text')})") + """SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 8 = 0 THEN 'error' WHEN path NOT IN (SELECT path FROM ic) THEN 'unindexed' WHEN doc_id % 31 = 0 OR doc_id % 37 = 0 THEN 'unknown' ELSE 'fresh' END AS status
     FROM files WHERE doc_id % 3 <> 0 OR path IN (SELECT path FROM ic)"""
 
 
