@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import bpe, byte_bpe, jaccard, labelled, packing, quality, repeats, secrets, toxicity, vectors, warc
+from searchloom.llm import bpe, byte_bpe, codes, exact, jaccard, labelled, packing, quality, ranked, repeats, secrets, toxicity, vectors, warc
 from searchloom.llm.tables import table
 
 
@@ -25,9 +25,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # floor makes numbers of what isn't finite, so those rows go first
-    whole = vectors.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", True)
-    rows = whole.select(F.col("id").alias("vec_id"), F.transform("v", lambda x: F.floor(F.lit(256.0) * x).cast("double")).alias("embedding"))
+    rows = vectors.whole_numbers(table(spark, sf_dir, "embeddings"), 256.0, "embedding")
     return vectors.exact_topk(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
@@ -73,6 +71,19 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact.duplicates(table(spark, sf_dir, "documents"), digests=True)
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_repeats": op2_repeats,
@@ -84,6 +95,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard": op9_jaccard,
     "op10_warc": op10_warc,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op2_repeats": """
@@ -131,4 +145,47 @@ ORACLES: dict[str, str] = {
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM m""",
+    "op11_exact_dedup": """
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+             r AS (SELECT *, row_number() OVER g AS nth, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+                   FROM d WINDOW g AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST))
+        SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r""",
+    "op12_ranked_search": """
+        WITH t AS (SELECT rowid_ AS d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+                   FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)),
+             i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+             n AS (SELECT d, count(*) AS n FROM t GROUP BY d),
+             c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+             f AS (SELECT d, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY d, term),
+             w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, c GROUP BY term),
+             s AS (SELECT item_id, d, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // words))))) AS BIGINT) AS score
+                   FROM f JOIN i USING (term) JOIN w USING (term) JOIN n USING (d), c GROUP BY item_id, d)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """The SQL of op13, round by round."""
+    ctes = [
+        """e AS (SELECT row_number() OVER (ORDER BY vec_id) AS d, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "p AS (SELECT d, vec_id, label, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS p FROM e))",
+        "u AS (SELECT DISTINCT p, x FROM p)",
+        "b0 AS (SELECT p, d - 1 AS c, x AS y FROM p WHERE d <= 64)",
+    ]
+    near = "(SELECT p, x, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (SELECT u.p, u.x, b.c, CAST(list_sum(list_transform(list_zip(u.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS dist FROM u JOIN {} b USING (p)) GROUP BY p, x)"
+    for r in range(rounds):
+        ctes += [
+            f"a{r} AS {near.format(f'b{r}')}",
+            f"""m{r} AS (SELECT p, c, i, CAST(floor(sum(z) / count(*)) AS BIGINT) AS z FROM (SELECT p.p, a.c, unnest(range(len(p.x))) AS i, unnest(p.x) AS z FROM p JOIN a{r} a ON a.p = p.p AND a.x = p.x) GROUP BY p, c, i)""",
+            f"b{r + 1} AS (SELECT b.p, b.c, coalesce(n.y, b.y) AS y FROM b{r} b LEFT JOIN (SELECT p, c, list(z ORDER BY i) AS y FROM m{r} GROUP BY p, c) n ON n.p = b.p AND n.c = b.c)",
+        ]
+    ctes += [
+        f"z AS {near.format(f'b{rounds}')}",
+        "r AS (SELECT d, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', z.c)), '' ORDER BY p.p) AS code, CAST(sum(z.dist) AS BIGINT) AS error FROM p JOIN z ON z.p = p.p AND z.x = p.x GROUP BY d)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM b{rounds})",
+    ]
+    return "WITH " + ",\n    ".join(ctes) + "\n    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h"
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()

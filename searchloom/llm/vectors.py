@@ -8,6 +8,7 @@ task holds more than one block of each.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from searchloom.llm.tables import blocks_of, spread, written
 from searchloom.llm.textcore import ranges
 
 QUERY_BLOCK = 2048
+#: Whole numbers from this size on are multiplied as Python's; those over MOST count as MOST.
+LARGE, MOST = 1 << 27, 1 << 55
 
 
 def usable(df: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
@@ -31,6 +34,17 @@ def usable(df: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     return df.where(F.coalesce(keep, F.lit(False))).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
+def whole_numbers(df: DataFrame, scale: float | None = None, vector: str = "v") -> DataFrame:
+    """The rows of df whose vector takes part, an all-zero one too, with its
+    components as whole numbers: floor(scale * x), or x without its fraction.
+    Beyond MOST in size they are MOST."""
+    v = F.col(vector).cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    near = lambda x: F.greatest(F.least(x, F.lit(float(MOST))), F.lit(-float(MOST)))
+    whole = (lambda x: F.floor(near(F.lit(float(scale)) * x)).cast("long")) if scale else (lambda x: near(x).cast("long"))
+    return df.where(F.coalesce(v.isNotNull() & ~bad, F.lit(False))).withColumn(vector, F.transform(v, whole))
+
+
 def block_pairs(queries: DataFrame, candidates: DataFrame, block: int, which=None):
     """Rows (qb, cb, q, id, v, bound), for each pair of a query and a candidate
     block; which, of (blocks of candidates), names those that take part. Queries,
@@ -101,11 +115,20 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     Rows with a null key or vector, or a component null or not finite, take no
     part; an all-zero vector scores 0; a shorter vector lacks its last terms. Of
     several query rows with one key the smallest vector counts; candidates that
-    repeat are rows of their own. Ties go to the smaller key. Weights must stay
-    below 2**28 in size, so that sums fit a long.
+    repeat are rows of their own. Ties go to the smaller key. Weights of any size
+    are multiplied and ordered exactly, large ones as Python's numbers; beyond
+    2**55 they count as 2**55, and a score that leaves a long is given as the
+    nearest long. Empty tables give no rows; other columns don't matter.
     """
-    ints = lambda d: usable(d, key, vector, True).withColumn("v", F.transform("v", lambda x: x.cast("int")))
-    q = ints(queries).groupBy("id").agg(F.min("v").alias("v"))
+    rows = whole_numbers(df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id IS NOT NULL"))
+    asked = whole_numbers(queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id IS NOT NULL"))
+    size = lambda c: F.greatest(F.abs(F.array_max(c)), F.abs(F.array_min(c)))
+    most, dim = rows.agg(F.coalesce(F.max(size("v")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).head()
+    asked_most = asked.agg(F.coalesce(F.max(size("v")), F.lit(0))).head()[0]
+    slim = F.col("v").cast("array<int>") if max(most, asked_most) < 1 << 31 else F.col("v")
+    large = most * asked_most * dim >= 1 << 62
+    number, none, kind = (object, -(1 << 126), "decimal(38,0)") if large else (np.int64, np.iinfo(np.int64).min, "long")
+    q = asked.groupBy("id").agg(F.min("v").alias("v")).select("id", slim.alias("v"))
 
     def score(table):
         import pyarrow as pa
@@ -116,10 +139,10 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
             postings = []
             for t in range(cm.shape[1]):
                 rows = np.flatnonzero(cm[:, t])
-                postings.append((slice(None) if len(rows) == len(cid) else rows, cm[rows, t].astype(np.int64)))
+                postings.append((slice(None) if len(rows) == len(cid) else rows, cm[rows, t].astype(number)))
             for at in range(0, len(qid), 32):
-                part = qm[at : at + 32].astype(np.int64)
-                acc = np.zeros((len(part), len(cid)), np.int64)
+                part = qm[at : at + 32].astype(number)
+                acc = np.zeros((len(part), len(cid)), number)
                 for r, row in enumerate(part):
                     own = acc[r]
                     for t in np.flatnonzero(row):
@@ -127,15 +150,17 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
                         own[ids] += row[t] * weights
                 lo, hi = (np.searchsorted(cid, qid[at : at + 32], side=s) for s in ("left", "right"))
                 for r in range(len(part)):
-                    acc[r, lo[r] : hi[r]] = np.iinfo(np.int64).min
+                    acc[r, lo[r] : hi[r]] = none
                 for r, cols in enumerate(top_rows(acc, cid, k)):
                     cols = cols[(cols < lo[r]) | (cols >= hi[r])]
                     out.append((np.full(len(cols), qid[at + r]), cid[cols], acc[r, cols]))
-        parts = [np.concatenate(x) for x in zip(*out, strict=True)] or [[], [], []]
-        return _arrow(*parts, pa.int64())
+        who, hit, got = [np.concatenate(x) for x in zip(*out, strict=True)] or [[], [], []]
+        return _arrow(who, hit, [Decimal(int(x)) for x in got] if large else got, pa.decimal128(38, 0) if large else pa.int64())
 
-    found = block_pairs(q, ints(df), block).applyInArrow(score, "query_id long, vec_id long, score long")
-    return best_of(found, k)
+    found = block_pairs(q, rows.select("id", slim.alias("v")), block).applyInArrow(score, f"query_id long, vec_id long, score {kind}")
+    best = best_of(found, k)
+    edge = lambda n: F.lit(n).cast("decimal(38,0)")
+    return best.withColumn("score", F.greatest(F.least("score", edge((1 << 63) - 1)), edge(-(1 << 63))).cast("long")) if large else best
 
 
 class ProjectionTree:
