@@ -11,7 +11,7 @@ EXCLUDED_DIRS = ("_archive", "_trash", "_attachments", "zzz_Corbeille", "_inbox"
 EXCLUDED_FILES = ("00_INDEX.md",)
 ERROR_SAMPLE = 50
 JOB_PAGES, JOB_BYTES = 1000, 8_388_608
-LOCK_WAIT = 30.0
+LOCK_WAIT, LOCK_LEASE = 30.0, 60.0
 
 #: The public metadata of a chunk, in order.
 METADATA_FIELDS = (

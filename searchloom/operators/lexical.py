@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from searchloom.contracts import CANDIDATES
 from searchloom.functions.text import index_tokens
+from searchloom.operators.topk import Running
+from searchloom.sources.scratch import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -111,8 +113,8 @@ def bm25_stored(postings: DataFrame, stats: DataFrame, query_phrases: list[list[
     return scored.select("id", (-score).alias("bm25")).orderBy("bm25", "id").limit(limit)
 
 
-#: (query, term) pairs that a task holds at once; more queries are asked in turns.
-BATCH_PAIRS = 1_000_000
+#: (query, term) pairs, and queries, that a task holds at once; more are asked in turns.
+BATCH_PAIRS, BATCH_QUERIES = 1_000_000, 16_384
 
 
 def bm25_batch(forward: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame, limit: int = CANDIDATES) -> DataFrame:
@@ -122,23 +124,28 @@ def bm25_batch(forward: DataFrame, df: DataFrame, stats: DataFrame, terms: DataF
     forward has (id, dl, tokens) of each chunk, df (term, chunks), stats one row
     (n, avgdl). A block of queries, of at most BATCH_PAIRS pairs, goes to all
     tasks; each scatters the postings of its own chunks into dense scores and
-    passes on its best of each query, so nothing of a common term is shuffled.
+    keeps its best of each query over all its chunks, so at most tasks x queries x
+    limit rows are shuffled, whatever a term's frequency.
     """
+    kind = terms.schema["query_id"].dataType.simpleString()
     wanted = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weighed = wanted.join(df.select("term", F.col("chunks").alias("df")), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (_idf(F.col("n"), F.col("df")) * F.col("times")).alias("w"), "avgdl")
-    n = weighed.count()
-    turns = max(1, -(-n // BATCH_PAIRS))
+    weighed = written(weighed, "weights")  # one row of stats
+    pairs, queries = weighed.agg(F.count(F.lit(1)), F.count_distinct("query_id")).head()
+    turns = max(1, -(-pairs // BATCH_PAIRS), -(-queries // BATCH_QUERIES))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("bm25", 9), "id"))
     out = None
     for turn in range(turns):
         mine = weighed if turns == 1 else weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
-        part = _ask(forward, mine.toPandas(), limit, terms.schema["query_id"].dataType.simpleString())
+        part = task_best(forward, mine.toPandas(), limit, kind).withColumn("rank", rank).where(F.col("rank") <= limit)
+        part = part if turns == 1 else written(part, "turn")
         out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("bm25", 9), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return out
 
 
-def _ask(forward: DataFrame, weights, limit: int, kind: str) -> DataFrame:
-    """Each task's best chunks of each query in weights (query_id, term, w, avgdl)."""
+def task_best(forward: DataFrame, weights, limit: int, kind: str) -> DataFrame:
+    """(query_id, id, bm25): each task's best chunks of each query in weights
+    (query_id, term, w, avgdl)."""
     import numpy as np
 
     queries = weights["query_id"].unique()
@@ -151,6 +158,7 @@ def _ask(forward: DataFrame, weights, limit: int, kind: str) -> DataFrame:
         import pyarrow as pa
 
         names, terms, mean = shared.value
+        best = Running(len(names), limit)
         step = max(1, (1 << 22) // max(1, len(names)))
         for whole in batches:
             for start in range(0, whole.num_rows, step):
@@ -170,19 +178,12 @@ def _ask(forward: DataFrame, weights, limit: int, kind: str) -> DataFrame:
                 for a, b in zip(edges, np.append(edges[1:], len(term)), strict=True):
                     q, w = terms[flat.dictionary[int(term[a])].as_py()]
                     cells = np.ix_(at[a:b], q)
-                    scores[cells] += gain[a:b, None] * w
+                    scores[cells] -= gain[a:b, None] * w
                     hit[cells] = True
-                ids = batch.column(0)
-                out_q, out_i, out_s = [], [], []
-                for k in range(len(names)):
-                    own = np.flatnonzero(hit[:, k])
-                    if len(own) > limit:  # all that tie with the last one stay
-                        s = np.round(-scores[own, k], 9)
-                        own = own[s <= np.partition(s, limit - 1)[limit - 1]]
-                    out_q.append(np.full(len(own), k))
-                    out_i.append(own)
-                    out_s.append(-scores[own, k])
-                q, i, s = (np.concatenate(x) if x else np.zeros(0, int) for x in (out_q, out_i, out_s))
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), ids.take(pa.array(i)), pa.array(s, pa.float64())], names=["query_id", "id", "bm25"])
+                scores[~hit] = np.inf
+                best.add(scores, lambda r, ids=batch.column(0): np.array(ids.take(pa.array(r)).to_pylist(), object))
+        found = best.rows()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(names[found[0]]), pa.array(found[2], pa.string()), pa.array(found[1])], names=["query_id", "id", "bm25"])
 
     return forward.select("id", "dl", "tokens").mapInArrow(run, f"query_id {kind}, id string, bm25 double")

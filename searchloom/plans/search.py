@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.contracts import LEXICAL_VERSION, RERANKED
+from searchloom.contracts import RERANKED
 from searchloom.operators import fusion
 from searchloom.operators.filters import clamp_k
 from searchloom.sources.index import Index, Scan
@@ -23,13 +23,6 @@ class SearchResults:
     reason: str | None = None
 
 
-def lexical_ready(meta: dict[str, str] | None) -> str | None:
-    """Why the lexical index can't be used, None if it can."""
-    if not meta:
-        return "lexical index missing"
-    return None if meta.get("version") == LEXICAL_VERSION else "lexical index incompatible"
-
-
 def fused(source: Index | Scan, phrases: list[list[str]], query_vector: list[float], condition: Column | None = None) -> DataFrame:
     """(id, rrf, best_rank, lexical_only, fused_rank, distance, bm25) of both
     branches' candidates; the condition is on the filter columns."""
@@ -43,12 +36,16 @@ def fused(source: Index | Scan, phrases: list[list[str]], query_vector: list[flo
 def search(source: Index | Scan, phrases: list[list[str]], query_vector: list[float], k: int = 10, condition: Column | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None, lexical_problem: str | None = None) -> SearchResults:
     """The k best chunks of an index, clamped to 1..10, with their columns.
 
-    Without a usable lexical index the vector branch answers alone, with k
-    candidates. Otherwise both branches are fused and, with a reranker, the
+    An index that another embedder made is refused before anything is read.
+    Without a usable lexical index, which an Index tells by itself, the vector
+    branch answers alone, with k candidates. Otherwise both branches are fused and, with a reranker, the
     first 20 reranked; if that fails, when planned or when run, the fused order
     stands.
     """
     k = clamp_k(k)
+    if isinstance(source, Index):
+        source.check()
+        lexical_problem = lexical_problem or source.problem()
     if lexical_problem:
         v = fusion.ranked(source.vector(query_vector, condition, k), F.round("distance", 9), "id", branch="vector")
         v = v.select("id", F.col("rank").alias("final_rank"), "distance", F.lit(False).alias("lexical_only"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.contracts import CHUNKING_VERSION, ERROR_SAMPLE
 from searchloom.operators import reconcile
 from searchloom.operators.chunking import chunk_files
-from searchloom.sources.index import BUCKETS, ORDER, index_tables, path_bucket
+from searchloom.sources.index import ORDER, buckets_for, path_bucket, publication
 from searchloom.sources.store import Locked, PublicationError, Store
 
 #: What a report says when nothing could be counted.
@@ -21,8 +21,9 @@ def sync(store: Store, files: DataFrame, fingerprint: dict, sections_available:
     status, changed, recommendation, errors (the first by path) and whether more
     were left out.
 
-    The chunks of published paths replace the old ones and removed paths go. Only
-    the parts of the tables with such paths are written; the others stay where
+    The chunks of published paths replace the old ones, with vectors by the
+    embedder that the fingerprint names, and removed paths go. Only texts that the
+    parts had no vector for are embedded. Only the parts of the tables with such paths are written; the others stay where
     they are. Files whose chunks break the contract aren't published, a section
     outside sections_available keeps all it has, and both are errors. Nothing is
     published when nothing moved; when what was written doesn't read back, the
@@ -49,15 +50,17 @@ def sync(store: Store, files: DataFrame, fingerprint: dict, sections_available:
     vector = lexical = "ok"
     if counts["published_files"] or counts["removed_files"] or old is None:
         moved = plan.where("action IN ('publish', 'remove')").select("path")
-        touched = [r[0] for r in moved.select(path_bucket(F.col("path")).alias("b")).distinct().collect()]  # at most BUCKETS
+        buckets = buckets_for(files) if old is None else store.buckets()
+        touched = [r[0] for r in moved.select(path_bucket(F.col("path"), buckets).alias("b")).distinct().collect()]  # at most the number of parts
         new = new.join(broken, "path", "left_anti")
         if old is None:
-            merged, touched = new, list(range(BUCKETS))
+            merged, touched = new, list(range(buckets))
         else:
             kept = store.table("chunks", touched).drop("bucket").join(moved, "path", "left_anti")
             merged = kept.unionByName(new.select(kept.columns))
         try:
-            store.publish(index_tables(merged), fingerprint, "bucket", replaced=touched, order=ORDER, **({} if wait is None else {"wait": wait}))
+            tables = publication(store, merged, fingerprint, touched, buckets)
+            store.publish(tables, fingerprint, "bucket", replaced=touched, order=ORDER, buckets=buckets, **({} if wait is None else {"wait": wait}))
         except Locked:
             return _report(spark, EMPTY, [], "locked", "ok", "ok")
         except PublicationError as error:

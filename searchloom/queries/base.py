@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.contracts import CHUNKING_VERSION
+from searchloom.operators import vector
 from searchloom.operators.chunking import chunk_files
+from searchloom.plans.build import lay_out
 from searchloom.sources import corpus
-from searchloom.sources.index import ORDER, Index, index_tables
+from searchloom.sources.index import ORDER, Index, buckets_for, path_bucket, publication
 from searchloom.sources.scratch import file_system, shared_path
 from searchloom.sources.store import Store
 
 QUERY = "idiot pathetic worthless ention"
+#: The row of embeddings that a single search over them asks with.
 QUERY_VECTOR_ID = 0
 
 FILES = """files AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, source AS section, coalesce(text, '') AS text,
@@ -87,26 +90,56 @@ def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _INDEXES: dict[tuple, Index] = {}
-FINGERPRINT = {"embedding_model": "given", "pooling": "none"}
+FINGERPRINT = {"embedding_model": vector.HASH, "pooling": "count"}
+GIVEN = {"embedding_model": "given", "pooling": "none"}
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The search index over the files' chunks, and over the vectors of their
-    first ones; published once a session and state of the tables, then searched."""
+def _published(spark: SparkSession, sf_dir: str, kind: str, publish) -> Store:
+    """A store that publish fills, once a session and state of the tables."""
     path, fs = file_system(spark, sf_dir)
     state = tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(path)))
-    key = (spark.sparkContext.applicationId, sf_dir, state)
+    key = (spark.sparkContext.applicationId, kind, sf_dir, state)
     held = _INDEXES.get(key)
-    if held is None or held.store.current() is None:
-        store = Store(spark, shared_path(spark, "index"))
-        given = chunks(spark, sf_dir)
-        vectors = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<float>").alias("vector"))
-        first = lambda t: t("chunks").where("chunk_index = 0").drop("chunk").join(vectors, "doc_id")
-        store.publish(index_tables(given) | {"vectors": first}, FINGERPRINT, "bucket", order=ORDER)
-        _INDEXES[key] = held = Index(store)
+    if held is None or held.current() is None:
+        held = Store(spark, shared_path(spark, kind))
+        publish(held)
+        _INDEXES[key] = held
     return held
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The search index over the files' chunks, each with a vector; published once a
+    session and state of the tables, then searched."""
+
+    def publish(store):
+        files = corpus.files(spark, sf_dir)
+        buckets = buckets_for(files)
+        store.publish(publication(store, chunk_files(files), FINGERPRINT, buckets=buckets), FINGERPRINT, "bucket", order=ORDER, buckets=buckets)
+
+    return Index(_published(spark, sf_dir, "index", publish), FINGERPRINT)
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The given vectors as a store's, sorted by cells; published likewise."""
+
+    def publish(store):
+        rows = corpus.table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL")
+        rows = rows.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<float>").alias("vector"), path_bucket(F.col("vec_id").cast("string")).alias("bucket"))
+        store.publish({"vectors": rows.withColumn("cell", F.lit(0))}, GIVEN, "bucket", order=ORDER)
+        lay_out(store, GIVEN)
+
+    return Index(_published(spark, sf_dir, "vectors", publish), GIVEN)
+
+
+#: What the SQL of searches adds to chunks: their vectors, by the embedder without a model.
+SLOT = "(('0x' || left(md5({}), 8))::BIGINT % 16)"
+
+
+def embedding_sql(source: str, name: str, key: str, text: str) -> str:
+    """A CTE {name} (key, v) of the vectors of source's texts."""
+    return f"{name} AS (SELECT {key}, list_transform(range(16), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) AS v FROM (SELECT {key}, list_transform({tokens_sql(text)}, lambda t: {SLOT.format('t')}) AS s FROM {source}))"
+
+
 def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 

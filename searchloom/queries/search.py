@@ -10,7 +10,7 @@ from searchloom.operators import filters, fusion, lexical, metadata, vector
 from searchloom.plans import response
 from searchloom.plans import search as plans
 from searchloom.queries import base
-from searchloom.queries.base import FILES, QUERY, QUERY_VECTOR_ID, chunks_sql, rows, tokens_sql, values_sql, with_sql
+from searchloom.queries.base import FILES, QUERY, QUERY_VECTOR_ID, chunks_sql, embedding_sql, rows, tokens_sql, values_sql, with_sql
 from searchloom.sources import corpus
 from searchloom.sources.corpus import table
 
@@ -112,6 +112,10 @@ SQL["vector_filtered"] = f"WITH {DIST} SELECT id, round(distance, 6) AS distance
 Q["vector_batched"] = lambda s, d: vector.topk_batch(_vectors(s, d), _vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 10).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 SQL["vector_batched"] = f"""WITH vec AS ({VEC}), dist AS (SELECT q.id AS query_id, v.id AS id, 1 - list_cosine_similarity(v.v, q.v) AS distance FROM vec v, vec q WHERE q.id % 100 = 0)
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id)::INTEGER AS rank, round(distance, 6) AS distance FROM dist QUALIFY rank <= 10"""
+# approximate: the cells that a query has to probe for a recall of 0.95 are measured when they are laid out
+Q["vector_probed"] = lambda s, d: base.vector_index(s, d).vector_batch(_vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 10, base.vector_index(s, d).probes()).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+Q["chunk_vectors"] = lambda s, d: base.index(s, d).table("vectors").select("id", "chunk_hash", F.transform("vector", lambda x: x.cast("int")).alias("vector"))
+SQL["chunk_vectors"] = with_sql(FILES, chunks_sql(), embedding_sql("chunks", "emb", "id", "chunk")) + "SELECT id, sha256(chunk) AS chunk_hash, list_transform(v, lambda x: x::INTEGER) AS vector FROM emb JOIN chunks USING (id)"
 Q["hash_embedding"] = lambda s, d: table(s, d, "benchmark").select("item_id", F.posexplode(vector.hash_embedding(F.col("text"))).alias("slot", "weight"))
 SQL["hash_embedding"] = f"""WITH t AS (SELECT item_id, unnest({tokens_sql('text')}) AS tok FROM benchmark), c AS (SELECT item_id, ('0x' || left(md5(tok), 8))::BIGINT % 16 AS slot, count(*) AS n FROM t GROUP BY ALL)
     SELECT b.item_id, s.slot::INTEGER AS slot, coalesce(c.n, 0)::DOUBLE AS weight FROM benchmark b CROSS JOIN (SELECT unnest(range(16)) AS slot) s LEFT JOIN c ON c.item_id = b.item_id AND c.slot = s.slot"""
@@ -124,13 +128,11 @@ SQL["rrf_fusion"] = f"""WITH b AS {values_sql(BRANCHES, 'branch, rank, id')}, g
 
 
 def _batched_branches(s, d):
-    """Lexical hits of each benchmark query, and vector hits of the vector with
-    its number, as first chunks of the documents with the vectors' numbers."""
-    vectors = base.index(s, d).table("vectors").select("id", "vector")
-    queries = table(s, d, "benchmark").select("item_id").join(table(s, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    v = vector.topk_batch(vectors, queries).select("query_id", F.lit("vector").alias("branch"), "rank", "id")
-    x = _lexical_batch(s, d).select("query_id", F.lit("lexical").alias("branch"), "rank", "id")
-    return v.unionByName(x)
+    """Lexical and vector hits of each benchmark passage as a query, over all chunks."""
+    x = base.index(s, d)
+    queries = vector.embed(table(s, d, "benchmark"), vector.HASH, "text").select(F.col("item_id").alias("query_id"), "vector")
+    v = x.vector_batch(queries).select("query_id", F.lit("vector").alias("branch"), "rank", "id")
+    return v.unionByName(_lexical_batch(s, d).select("query_id", F.lit("lexical").alias("branch"), "rank", "id"))
 
 
 def _fused_batch(s, d):
@@ -138,8 +140,8 @@ def _fused_batch(s, d):
     return fused.withColumn("path", F.split_part("id", F.lit("::"), F.lit(1)))
 
 
-FUSED = f"""firsts AS (SELECT doc_id, id FROM chunks WHERE chunk_index = 0), bv AS (SELECT f.id, list_transform(e.embedding, lambda x: x::DOUBLE) AS v FROM embeddings e JOIN firsts f ON f.doc_id = e.vec_id),
-    bq AS (SELECT b.item_id AS query_id, list_transform(e.embedding, lambda x: x::DOUBLE) AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), bd AS (SELECT query_id, id, 1 - list_cosine_similarity(v, q) AS distance FROM bv, bq),
+FUSED = f"""{embedding_sql('chunks', 'emb', 'id', 'chunk')}, {embedding_sql('benchmark', 'bq', 'item_id', 'text')},
+    bd AS (SELECT item_id AS query_id, id, 1 - list_cosine_similarity(emb.v, bq.v) AS distance FROM emb, bq WHERE list_sum(emb.v) > 0 AND list_sum(bq.v) > 0),
     vecb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM bd QUALIFY rank <= 40),
     both_ AS (SELECT query_id, 'vector' AS branch, rank, id FROM vecb UNION ALL SELECT query_id, 'lexical', rank, id FROM lexb),
     fg AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank FROM both_ GROUP BY ALL),
@@ -158,11 +160,12 @@ SQL["path_multiplicity"] = with_sql(FILES, chunks_sql(), BATCH, FUSED) + "SELECT
 
 def _hybrid(s, d, reranker=True, problem=None):
     score = fusion.overlap_score(QUERY.split()) if reranker else None
-    return plans.search(base.index(s, d), PHRASES, _query_vector(s, d), 10, None, score, problem)
+    x = base.index(s, d)
+    return plans.search(x, PHRASES, x.embed(QUERY), 10, None, score, problem)
 
 
-HYBRID = bm25_sql(PHRASES) + f""", hv AS (SELECT c.id, 1 - list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = {QUERY_VECTOR_ID})) AS distance
-        FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.chunk_index = 0),
+HYBRID = bm25_sql(PHRASES) + f""", {embedding_sql('chunks', 'emb', 'id', 'chunk')}, {embedding_sql(f"(SELECT '{QUERY}' AS q)", 'qe', 'q', 'q')},
+    hv AS (SELECT id, 1 - list_cosine_similarity(emb.v, qe.v) AS distance FROM emb, qe WHERE list_sum(emb.v) > 0),
     hvr AS (SELECT id, distance, row_number() OVER (ORDER BY round(distance, 9), id) AS rank FROM hv QUALIFY rank <= 40),
     hb AS (SELECT id, rank, distance, 1 AS v FROM hvr UNION ALL SELECT id, rank, NULL, 0 FROM lex),
     hg AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank, max(distance) AS distance, max(v) = 0 AS lexical_only FROM hb GROUP BY id),

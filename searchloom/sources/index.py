@@ -5,38 +5,100 @@ rewrites its part and nothing else. `chunks` are the chunks, `forward` has the
 tokens of each for batches of queries, `postings` what each term has in which
 chunk, sorted by term, so that a query reads the row groups of its terms.
 `terms` and `sizes` are sums for each part, from which corpus statistics come.
+`vectors` has a vector for each chunk, sorted by cell if `centroids` were learnt;
+`digests` tell which chunks they are of.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.contracts import CANDIDATES
-from searchloom.functions.text import index_tokens
+from searchloom.contracts import CANDIDATES, LEXICAL_VERSION
+from searchloom.functions.text import content_hash, index_tokens
 from searchloom.operators import lexical, vector
 from searchloom.sources.store import Store
 
-#: Parts of the tables; more for larger corpora.
-BUCKETS = 16
-ORDER = {"chunks": ["path", "chunk_index"], "postings": ["term", "id"], "terms": ["term"]}
+#: Parts of the tables at least, and bytes of text for which there is one more.
+BUCKETS, PART_BYTES = 16, 256 << 20
+ORDER = {"chunks": ["path", "chunk_index"], "postings": ["term", "id"], "terms": ["term"], "vectors": ["cell", "id"]}
 
 
 def path_bucket(path: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
-def index_tables(chunks: DataFrame, buckets: int = BUCKETS, text: str = "chunk") -> dict:
+def buckets_for(texts: DataFrame, text: str = "text") -> int:
+    """Parts for a new index of these texts."""
+    size = texts.agg(F.sum(F.octet_length(F.col(text)))).head()[0] or 0
+    return max(BUCKETS, -(-size // PART_BYTES))
+
+
+def index_tables(chunks: DataFrame, buckets: int = BUCKETS, text: str = "chunk", embedder: str | None = None, held: DataFrame | None = None, centroids: list[list[float]] | None = None) -> dict:
     """The tables of chunks (id, path, text and more), by name, for Store.publish:
-    each but the first is made of those before it as they are written."""
+    each but the first is made of those before it as they are written. With an
+    embedder, every chunk has a vector; held has vectors made before."""
     bucket = path_bucket(F.col("path"), buckets)
-    return {
+    out = {
         "chunks": chunks.withColumn("bucket", bucket),
         "forward": lambda t: t("chunks").select("bucket", "id", index_tokens(F.col(text)).alias("tokens")).select("bucket", "id", F.size("tokens").alias("dl"), "tokens"),
         "postings": lambda t: postings(t("forward")),
         "terms": lambda t: t("postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences")),
         "sizes": lambda t: t("forward").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")),
     }
+    if embedder:
+        out["vectors"] = lambda t: chunk_vectors(t("chunks"), embedder, held, centroids or [], text)
+        out["digests"] = lambda t: digests(t("vectors"))
+    return out
+
+
+def chunk_vectors(chunks: DataFrame, embedder: str, held: DataFrame | None = None, centroids: list[list[float]] | None = None, text: str = "chunk") -> DataFrame:
+    """The chunks' columns without their text, chunk_hash, vector and cell. Each
+    distinct text is embedded once, and not at all if held (chunk_hash, vector)
+    has its vector."""
+    rows = chunks.withColumn("chunk_hash", content_hash(F.col(text)))
+    texts = rows.select("chunk_hash", text).dropDuplicates(["chunk_hash"])
+    if held is not None:
+        made = held.select("chunk_hash", "vector").dropDuplicates(["chunk_hash"])
+        texts = texts.join(made, "chunk_hash", "left_anti")
+    found = vector.embed(texts, embedder, text).select("chunk_hash", "vector")
+    if held is not None:
+        found = found.unionByName(made)
+    return vector.with_cells(rows.drop(text).join(found, "chunk_hash"), centroids or [])
+
+
+def digests(vectors: DataFrame) -> DataFrame:
+    """(bucket, section, chunks, digest): how many chunks a part has of a section,
+    and a digest of their ids and texts that doesn't depend on their order."""
+    h = F.xxhash64("id", "chunk_hash")
+    return vectors.groupBy("bucket", "section").agg(F.count(F.lit(1)).alias("chunks"), F.concat_ws("-", F.hex(F.bit_xor(h)), F.hex(F.sum(F.pmod(h, F.lit(1 << 31))))).alias("digest"))
+
+
+def publication(store: Store, chunks: DataFrame, fingerprint: dict, touched: list[int] | None = None, buckets: int | None = None) -> dict:
+    """The tables of chunks, all or those of the touched parts, with vectors by the
+    embedder that the fingerprint names. A store whose vectors can't be kept in
+    line with its chunks is refused."""
+    name, meta = fingerprint.get("embedding_model"), store.meta()
+    buckets = buckets or store.buckets()
+    if not vector.known(name):
+        if meta and "vectors" in meta["tables"]:
+            raise ValueError(f"the store has vectors, and no embedder {name!r} is registered to keep them")
+        return index_tables(chunks, buckets)
+    return index_tables(chunks, buckets, embedder=name, held=store.table("vectors", touched), centroids=centroids(store))
+
+
+def centroids(store: Store) -> list[list[float]]:
+    """The cells' centroids, in order; none unless they were learnt."""
+    held = store.table("centroids")
+    return [] if held is None else [list(r.centroid) for r in held.orderBy("cell").collect()]  # at most MOST_CELLS
+
+
+def lexical_ready(meta: dict | None) -> str | None:
+    """Why the lexical index can't be used, None if it can."""
+    if not meta:
+        return "lexical index missing"
+    return None if meta.get("version") == LEXICAL_VERSION else "lexical index incompatible"
 
 
 def postings(forward: DataFrame) -> DataFrame:
@@ -45,7 +107,6 @@ def postings(forward: DataFrame) -> DataFrame:
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
             tokens = batch.column(3)
@@ -71,11 +132,24 @@ def postings(forward: DataFrame) -> DataFrame:
 class Index:
     """Searches over the current generation of a store."""
 
-    def __init__(self, store: Store, buckets: int = BUCKETS):
-        self.store, self.buckets = store, buckets
+    def __init__(self, store: Store, fingerprint: dict | None = None):
+        self.store, self.fingerprint = store, fingerprint
 
     def table(self, name: str) -> DataFrame:
-        return self.store.table(name)
+        found = self.store.table(name)
+        if found is None:
+            raise ValueError(f"the index has no table {name}")
+        return found
+
+    def problem(self) -> str | None:
+        """Why the lexical branch can't answer, None if it can."""
+        meta = self.store.meta()
+        return lexical_ready(meta) or (None if "postings" in meta["tables"] else "lexical index missing")
+
+    def check(self) -> None:
+        """Refuses, before any vector is read, those that another embedder made."""
+        if self.fingerprint is not None:
+            self.store.check(self.fingerprint)
 
     def stats(self) -> DataFrame:
         """One row: n, avgdl."""
@@ -91,14 +165,49 @@ class Index:
         terms = sorted({t for p in phrases for t in p})
         return lexical.bm25_stored(self.table("postings").where(F.col("term").isin(terms)), self.stats(), phrases, allowed, limit)
 
-    def vector(self, query: list[float], condition: Column | None = None, limit: int = CANDIDATES) -> DataFrame:
-        """(id, distance) of the nearest chunks."""
-        return vector.topk(self.table("vectors"), query, condition, limit).select("id", "distance")
+    def embed(self, text: str) -> list[float]:
+        """A query's vector by the embedder that made the index."""
+        self.check()
+        return vector.embed_text(self.store.spark, self.store.meta()["fingerprint"]["embedding_model"], text)
+
+    def probes(self) -> int:
+        """Cells that a query has to probe for the recall they were learnt for."""
+        return self.table("centroids").agg(F.max("probes")).head()[0]
+
+    def vector(self, query: list[float], condition: Column | None = None, limit: int = CANDIDATES, probes: int | None = None) -> DataFrame:
+        """(id, distance) of the nearest chunks: of all, or with probes of those in
+        the query's nearest cells, by which the parts are sorted."""
+        self.check()
+        rows = self.table("vectors")
+        if probes:
+            import numpy as np
+
+            held = np.array(centroids(self.store), float)
+            rows = rows.where(F.col("cell").isin(vector.nearest_cells(np.array([query], float), held)[0, :probes].tolist()))
+        return vector.topk(rows, query, condition, limit).select("id", "distance")
+
+    def vector_batch(self, queries: DataFrame, limit: int = CANDIDATES, probes: int | None = None) -> DataFrame:
+        """(query_id, id, distance, rank) of the nearest chunks of queries
+        (query_id, vector), of all or of the nearest cells."""
+        self.check()
+        if not probes:
+            return vector.topk_batch(self.table("vectors"), queries, limit)
+        import numpy as np
+
+        shared = queries.sparkSession.sparkContext.broadcast(np.array(centroids(self.store), float))
+
+        def run(v: pa.Array) -> pa.Array:
+            c = shared.value
+            found = [vector.nearest_cells(np.array([x], float), c)[0, :probes].tolist() if x is not None and len(x) == c.shape[1] else [0] for x in v.to_pylist()]
+            return pa.array(found, pa.list_(pa.int32()))
+
+        asked = queries.select("query_id", "vector", F.arrow_udf(run, "array<int>")(F.col("vector").cast("array<double>")).alias("cells"))
+        return vector.topk_batch(self.table("vectors"), asked, limit, cells=True)
 
     def hydrate(self, hits: DataFrame) -> DataFrame:
         """hits, some tens of rows (id and more), with the chunks' columns; the hits
         come to the driver, and only the parts of their paths are read, by id."""
-        held = hits.withColumn("__part", path_bucket(F.regexp_replace("id", r"(::[^:]*){3}$", ""), self.buckets)).toArrow()
+        held = hits.withColumn("__part", path_bucket(F.regexp_replace("id", r"(::[^:]*){3}$", ""), self.store.buckets())).toArrow()
         rows = hits.sparkSession.createDataFrame(held).drop("__part")
         rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in hits.schema])
         chunks = self.store.table("chunks", sorted(set(held["__part"].to_pylist())))

@@ -3,14 +3,20 @@
 A generation is written under its own name, read back and compared with what was
 written, and only then named by the pointer, whose file is replaced as a whole.
 Readers resolve the pointer once. A writer that dies leaves the current
-generation as it was; a lock keeps writers apart. Tables may be laid out in
-parts by a column; a new generation then writes the parts that changed, and its
-manifest names the older ones where they are.
+generation as it was. Tables may be laid out in parts by a column; a new
+generation then writes the parts that changed, and its manifest names the older
+ones, and the tables that weren't given, where they are.
+
+Writers are kept apart by numbered claims, each made by one writer alone and held
+for a lease, which a heartbeat prolongs. When its writer dies, a claim runs out and
+the next number takes over; the number goes into the pointer, and a writer whose
+claim isn't the last one any more can't set it.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -20,14 +26,21 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from searchloom.contracts import CHUNKING_VERSION, LEXICAL_VERSION, LOCK_WAIT, METADATA_VERSION
+from searchloom.contracts import CHUNKING_VERSION, LEXICAL_VERSION, LOCK_LEASE, LOCK_WAIT, METADATA_VERSION
 from searchloom.sources.scratch import file_system, small_file
 
+#: Parts of an index whose manifest doesn't say.
+DEFAULT_BUCKETS = 16
+
 
 class Locked(RuntimeError):
     """Another writer holds the store."""
 
 
+class Superseded(RuntimeError):
+    """The writer's claim ran out and another writer has taken the store over."""
+
+
 class PublicationError(RuntimeError):
     """What was written doesn't read back as it was."""
 
@@ -65,25 +78,72 @@ class Store:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf).rename(self._path(f"{self.root}/{aside}"), self._path(f"{self.root}/{name}"), options)
 
+    def _claims(self) -> list[int]:
+        path = self._path(f"{self.root}/claims")
+        if not self._fs.exists(path):
+            return []
+        return sorted(int(n) for s in self._fs.listStatus(path) if (n := s.getPath().getName()).isdigit())
+
+    def _held(self, claim: int) -> bool:
+        """Whether a claim is in force; one that is being written counts from its file's time."""
+        try:
+            value = self._read(f"claims/{claim:08d}")
+            return not value.get("released") and value["expires"] > time.time()
+        except (ValueError, KeyError, TypeError, AttributeError):
+            path = self._path(f"{self.root}/claims/{claim:08d}")
+            return self._fs.exists(path) and self._fs.getFileStatus(path).getModificationTime() / 1000 + LOCK_LEASE > time.time()
+
     @contextmanager
-    def lock(self, wait: float = LOCK_WAIT):
-        """Holds the store for one writer; Locked if another one keeps it for `wait` seconds."""
-        path, until = self._path(f"{self.root}/write.lock"), time.monotonic() + wait
-        self._fs.mkdirs(self._path(self.root))
+    def lock(self, wait: float = LOCK_WAIT, lease: float = LOCK_LEASE, heartbeat: bool = True):
+        """Holds the store for one writer and gives its number; Locked if another one
+        keeps it for `wait` seconds. A claim that isn't prolonged runs out after
+        `lease` seconds, and then another writer may take the store."""
+        until, owner = time.monotonic() + wait, uuid.uuid4().hex
+        self._fs.mkdirs(self._path(f"{self.root}/claims"))
         while True:
-            try:
-                self._fs.create(path, False).close()
-                break
-            except Exception as error:
-                if not self._fs.exists(path) and "Exist" not in str(error):
-                    raise
-                if time.monotonic() >= until:
-                    raise Locked(f"{self.root} is being written") from None
-                time.sleep(min(0.2, wait))
+            last = max(self._claims(), default=0)
+            if not (last and self._held(last)):
+                try:  # one writer alone makes this file
+                    self._fs.create(self._path(f"{self.root}/claims/{last + 1:08d}"), False).close()
+                    mine = last + 1
+                    break
+                except Exception as error:
+                    if "xist" not in str(error):
+                        raise
+            if time.monotonic() >= until:
+                raise Locked(f"{self.root} is being written")
+            time.sleep(min(0.2, max(wait, 0.01)))
+        name, done = f"claims/{mine:08d}", threading.Event()
+        prolong = lambda: self._write(name, {"owner": owner, "expires": time.time() + lease})
+
+        def beat():
+            while not done.wait(lease / 3):
+                if max(self._claims(), default=mine) != mine:
+                    return  # another writer has taken over
+                prolong()
+
+        prolong()
+        beating = threading.Thread(target=beat, daemon=True)
+        if heartbeat:
+            beating.start()
         try:
-            yield self
+            yield mine
         finally:
-            self._fs.delete(path, False)
+            done.set()
+            if heartbeat:
+                beating.join()
+            for n in self._claims():
+                if n < mine:
+                    self._fs.delete(self._path(f"{self.root}/claims/{n:08d}"), False)
+            if max(self._claims(), default=mine) == mine:
+                self._write(name, {"owner": owner, "expires": 0, "released": True})
+
+    def _point(self, g: str, claim: int) -> None:
+        """Sets the pointer, for the writer of the last claim alone."""
+        held = self._read("current.json") or {}
+        if max(self._claims(), default=claim) != claim or held.get("claim", 0) > claim:
+            raise Superseded(f"another writer took {self.root} over")
+        self._write("current.json", {"generation_id": g, "claim": claim})
 
     def current(self) -> str | None:
         pointer = self._read("current.json")
@@ -107,42 +167,51 @@ class Store:
         paths = [f"{self.root}/{p}" for k, p in held["parts"].items() if parts is None or k in {str(x) for x in parts}]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def buckets(self) -> int:
+        """The number of parts, which stays as it was at first."""
+        return (self.meta() or {}).get("buckets") or DEFAULT_BUCKETS
+
     def check(self, fingerprint: dict) -> None:
         """Refuses an index that another embedder made."""
         meta = self.meta()
         if meta and meta["fingerprint"] != fingerprint:
             raise ValueError(f"the index was made with {meta['fingerprint']}, not {fingerprint}")
 
-    def publish(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], fingerprint: dict, partition: str | None = None, keep: int = 3, replaced: list | None = None, order: dict[str, list[str]] | None = None, wait: float = LOCK_WAIT) -> str:
+    def publish(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], fingerprint: dict, partition: str | None = None, keep: int = 3, replaced: list | None = None, order: dict[str, list[str]] | None = None, wait: float = LOCK_WAIT, buckets: int | None = None) -> str:
         """Writes a generation, compares what reads back with what was written,
         points to it and deletes all but the newest `keep`. Returns its id.
         A table may be given as a function of those written before it, by name, so
         that what it is made of isn't computed anew.
 
         With partition, tables that have this column are laid out by it, sorted by
-        order[name]. With replaced, tables holds these parts only, and the others
-        stay those of the current generation.
+        order[name]. With replaced, tables holds these parts only, and the others,
+        and tables that aren't given, stay those of the current generation. Without
+        it the tables given are all there are.
         """
-        with self.lock(wait):
+        with self.lock(wait) as claim:
             self.check(fingerprint)
             old = self.meta() if replaced is not None else None
+            before = (old or {"tables": {}})["tables"]
             serial = (self._read("serial.json") or {"n": 0})["n"] + 1
             g = f"gen-{serial:08d}-{uuid.uuid4().hex[:8]}"
             manifest: dict = {}
             try:
                 for name, df in tables.items():
-                    df = df(lambda n: self._parts(manifest[n])) if callable(df) else df
+                    df = df(lambda n: self._parts(manifest[n] if n in manifest else before[n])) if callable(df) else df
                     manifest[name] = self._table(g, name, df, partition, (order or {}).get(name))
-                for name in tables:
-                    for k, p in ((old or {"tables": {}})["tables"].get(name) or {"parts": {}})["parts"].items():
-                        if k not in {str(x) for x in replaced}:
-                            manifest[name]["parts"].setdefault(k, p)
+                gone = {str(x) for x in replaced or []}
+                for name, held in before.items():
+                    if name not in tables:
+                        manifest[name] = held
+                    elif held["laid"] and manifest[name]["laid"]:
+                        stay = {k: p for k, p in held["parts"].items() if k not in gone}
+                        manifest[name]["parts"] |= {k: p for k, p in stay.items() if k not in manifest[name]["parts"]}
+                self._put(f"{g}/meta.json", {"fingerprint": fingerprint, "chunking": CHUNKING_VERSION, "metadata": METADATA_VERSION, "version": LEXICAL_VERSION, "buckets": buckets or (self.meta() or {}).get("buckets"), "written": {k: manifest[k]["rows"] for k in tables}, "tables": manifest})
+                self._point(g, claim)
             except Exception:
                 self._fs.delete(self._path(f"{self.root}/{g}"), True)
                 raise
-            self._put(f"{g}/meta.json", {"fingerprint": fingerprint, "chunking": CHUNKING_VERSION, "metadata": METADATA_VERSION, "version": LEXICAL_VERSION, "rows": {k: m["rows"] for k, m in manifest.items()}, "tables": manifest})
             self._write("serial.json", {"n": serial})
-            self._write("current.json", {"generation_id": g})
             self.purge(keep)
             return g
 
@@ -167,7 +236,7 @@ class Store:
             # a task that ran twice is observed twice, so the rows themselves decide
             if got != df.withColumn("h", row).agg(*facts).head().asDict():
                 raise PublicationError(f"table {name} doesn't read back as it was written")
-        return {"schema": schema.jsonValue(), "parts": parts, "rows": got["rows"]}
+        return {"schema": schema.jsonValue(), "laid": bool(laid), "parts": parts, "rows": got["rows"]}
 
     def purge(self, keep: int) -> list[str]:
         """Deletes the generations that are neither current, nor among the newest,

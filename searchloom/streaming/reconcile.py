@@ -13,27 +13,30 @@ from pyspark.sql import functions as F
 
 from searchloom.contracts import CHUNKING_VERSION
 from searchloom.operators.chunking import chunk_files
-from searchloom.sources.index import ORDER, index_tables, path_bucket
+from searchloom.sources.index import ORDER, buckets_for, path_bucket, publication
 from searchloom.sources.store import Store
 
+#: The embedder that needs no model.
 FINGERPRINT = {"embedding_model": "hash", "pooling": "count"}
 
 
-def apply_batch(store: Store, files: DataFrame, order: str = "version") -> str:
+def apply_batch(store: Store, files: DataFrame, order: str = "version", fingerprint: dict | None = None) -> str:
     """Publishes the index with files (path, section, text, schema_version and
     order) applied: of a path's rows the highest order counts, a null text
-    deletes the path, and paths whose chunks are complete already stay."""
+    deletes the path, and paths whose chunks are complete already stay. The
+    vectors of new chunks are made by the fingerprint's embedder."""
+    fingerprint = fingerprint or FINGERPRINT
     last = files.withColumn("__n", F.row_number().over(W.partitionBy("path").orderBy(F.desc(order)))).where("__n = 1").drop("__n", order)
     fresh = chunk_files(last.where("text IS NOT NULL")).withColumn("chunking_version", F.lit(CHUNKING_VERSION))
-    old = store.table("chunks")
-    if old is None:
-        return store.publish(index_tables(fresh), FINGERPRINT, "bucket", order=ORDER)
-    touched = [r[0] for r in last.select(path_bucket(F.col("path")).alias("b")).distinct().collect()]  # at most the number of parts
+    if store.table("chunks") is None:
+        buckets = buckets_for(last)
+        return store.publish(publication(store, fresh, fingerprint, buckets=buckets), fingerprint, "bucket", order=ORDER, buckets=buckets)
+    touched = [r[0] for r in last.select(path_bucket(F.col("path"), store.buckets()).alias("b")).distinct().collect()]  # at most the number of parts
     held = store.table("chunks", touched).drop("bucket")
     same = held.select("path", F.col("file_hash").alias("h")).distinct().join(last.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("h")), ["path", "h"])
     moved = last.select("path").join(same.select("path"), "path", "left_anti")
     merged = held.join(moved, "path", "left_anti").unionByName(fresh.join(moved, "path", "left_semi").select(held.columns))
-    return store.publish(index_tables(merged), FINGERPRINT, "bucket", replaced=touched, order=ORDER)
+    return store.publish(publication(store, merged, fingerprint, touched), fingerprint, "bucket", replaced=touched, order=ORDER)
 
 
 def stream(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str):

@@ -43,4 +43,4 @@ def test_query(spark, duck, name):
 
 
 def test_only_rows_without_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == set()
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"vector_probed"}  # approximate; test_vectors has its recall

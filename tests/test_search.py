@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from searchloom.operators import filters, freshness, fusion, metrics, vector
 from searchloom.operators.chunking import chunk_files
-from searchloom.plans.search import lexical_ready, search
-from searchloom.sources.index import ORDER, Index, Scan, index_tables
+from searchloom.plans.search import search
+from searchloom.sources.index import ORDER, Index, Scan, index_tables, lexical_ready
 from searchloom.sources.store import Store
 
 

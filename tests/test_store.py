@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from searchloom import config
 from searchloom.contracts import CHUNKING_VERSION
-from searchloom.operators import vector
-from searchloom.plans.build import build
 from searchloom.plans.sync import sync
 from searchloom.sources import generation, remote, vault
 from searchloom.sources.store import PublicationError, Store, upsert
@@ -216,17 +214,6 @@ def test_generation_reader(spark, tmp_path):
             generation.read(spark, str(tmp_path))
 
 
-def test_builds_only_what_changed(spark, tmp_path):
-    vector.register_embedder("lengths", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
-    chunks = lambda rows: spark.createDataFrame(rows, "id string, section string, chunk string")
-    store, rows = Store(spark, str(tmp_path / "v")), [("a1", "a", "one"), ("b1", "b", "three"), ("c1", "c", "x")]
-    assert build(store, chunks(rows), "lengths", FINGERPRINT) == ["a", "b", "c"]
-    g = store.current()
-    assert build(store, chunks(rows), "lengths", FINGERPRINT) == [] and store.current() == g
-    assert build(store, chunks([("a1", "a", "four"), ("b1", "b", "three")]), "lengths", FINGERPRINT) == ["a"]
-    assert {(r.id, r.vector[0]) for r in store.table("vectors").collect()} == {("a1", 4.0), ("b1", 5.0)}
-
-
 def test_config(tmp_path):
     f = tmp_path / "c.toml"
     f.write_text('store = "s3a://b/x"\nincluded_sections = ["a", "b", "a"]\nlock_wait_seconds = 5\n')
