@@ -21,24 +21,22 @@ def remainder(key: str, modulus: int):
 def sample(docs: DataFrame, labels: DataFrame, label: str, train, text: str = "text", key: str = "doc_id", size: int = SAMPLE, chars: int = SAMPLE_CHARS):
     """(texts, labels, share) of at most size documents of each class, those of
     least hash, for which the condition train holds; share is that of label 1
-    among all labels for which it holds. Rows without key, text or label,
-    and texts over chars characters, are left out of the sample alone; of rows with
-    one key the smallest text counts."""
+    among all labels for which it holds. Rows without key, text or label, texts
+    over chars characters, and labels without such a document are left out before
+    the sample is taken, so it has size documents of a class if there are as many;
+    of rows with one key the smallest text counts. An empty table gives no texts."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(train).groupBy(key).agg(F.max(label).alias("y"))
     count = {r.y: r["count"] for r in marks.where("y IN (0, 1)").groupBy("y").count().collect()}
+    usable = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) <= chars))
+    there = marks.where("y IN (0, 1)").join(usable.select(key), key, "left_semi")
     picked = None
     for y in (0, 1):
-        part = marks.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(size + size // 4)
+        part = there.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(size)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.where(F.col(text).isNotNull() & (F.length(text) <= chars)).select(F.col(key), F.col(text).alias("t")).join(F.broadcast(picked), key)
-    got = rows.groupBy(F.col(key).alias("k"), "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("k"), "k")  # one text a key: at most 2.5 * size rows
-    texts, ys, seen = [], [], [0, 0]
-    for r in got.toLocalIterator():
-        if seen[r.y] < size:
-            seen[r.y] += 1
-            texts.append(r.t)
-            ys.append(r.y)
-    return texts, ys, count.get(1, 0) / max(1, sum(count.values()))
+    rows = usable.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(picked), key)  # at most 2 * size rows
+    got = rows.groupBy(F.col(key).alias("k"), "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("k"), "k")
+    found = [(r.t, r.y) for r in got.toLocalIterator()]
+    return [t for t, _ in found], [y for _, y in found], count.get(1, 0) / max(1, sum(count.values()))
 
 
 def without_copies(texts: list[str], ys: list[int], seeds: int = 4):

@@ -173,7 +173,10 @@ def fit(texts: list[str], ys: list[int], prior: float | None = None, epochs: int
 def score(df: DataFrame, model: Attention | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep and score, the probability that the whole text
     has quality label 1. Null, empty and wordless texts are a bag of one blank
-    passage; without a model all score 1."""
+    passage; without a model, as when a class has no document, all score 1, so that
+    a filter keeps them. Rows are independent, so rows that repeat score alike and
+    ties don't arise; an empty table gives no rows. Texts of any length are scored
+    whole. keep may name columns of any names but `score`."""
     keep = keep or ["doc_id"]
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
 

@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from searchloom.llm.textcore import worker_cache
 
 TREES, DEPTH, THRESHOLD = 24, 7, 0.5
+#: Candidates of a text whose lengths are summed at once.
+GROUP = 256
 MASK = "[SECRET]"
 
 #: Key words, signs, block and long-token patterns (Java syntax; \x22 and \x27 are the quotes).
 KEY_WORDS = r"(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth)"
 LEAD = KEY_WORDS + r"[A-Za-z0-9_]{0,16}[\x22\x27]?\s{0,3}(?:=>|=|:)\s{0,3}[\x22\x27]?"
 KEYED = r"(?i:" + LEAD + r")(?!-----BEGIN)[^\s\x22\x27<>]{8,}+"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]++(?:-{1,4}[^-]++)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 LONG = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*+[0-9])[A-Za-z0-9+/=_\-]{16,}+(?:\.[A-Za-z0-9_\-]{10,}+){0,2}"
 CANDIDATE = BLOCK + "|" + KEYED + "|" + LONG
 KNOWN = r"^(?:AKIA|ASIA|gh[opsu]_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abprs]-|AIza|eyJ|npm_|-----BEGIN)"
@@ -159,15 +161,25 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, fores
     characters from 0.
 
     Texts are scanned whole. Null, empty and clean texts have no finding; rows
-    are independent, so repeated rows and keys don't matter.
+    are independent, so repeated rows and keys don't matter, and findings don't
+    tie, as they don't overlap. An empty table gives no rows. keep may name columns
+    of any names; one named redacted or findings gives way to the result's.
+
+    Candidates are key blocks of any kind, headers included; at least 8 characters
+    behind a key word and a sign; and elsewhere at least 16 characters with a digit.
+    So a password below 8 characters, and a bare token below 16 or of letters
+    alone, which words and names can't be told from, are never found.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("redacted", "findings")]
     forest = forest or forest_sql(df.sparkSession)
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__rest"), F.col(text).cast("string").alias("__t"))
     rows = _candidates(base, "__t").withColumn("__x", F.expr(_found("__t")))
     rows = rows.withColumn("__s", F.expr(f"transform({_features_sql('__x')}, f -> {forest})"))
-    start = "CAST(aggregate(sequence(0, i), 0L, (a, j) -> a + length(__p[j]) + if(j < i, length(__m[j]), 0)) + length(x.m) - length(x.v) AS LONG)"
-    # only kept candidates, of which texts have few, pay for their place
+    # the characters up to a candidate: those of whole groups of GROUP, then of its own group
+    rows = rows.withColumn("__n", F.expr("transform(__p, (p, j) -> CAST(length(p) + if(j < size(__m), length(__m[j]), 0) AS LONG))"))
+    rows = rows.withColumn("__g", F.expr(f"transform(sequence(0, (size(__n) - 1) div {GROUP}), g -> aggregate(slice(__n, CAST(g AS INT) * {GROUP} + 1, {GROUP}), 0L, (a, n) -> a + n))"))
+    rows = rows.withColumn("__h", F.expr("transform(__g, (n, g) -> aggregate(slice(__g, 1, g), 0L, (a, m) -> a + m))"))
+    start = f"__h[CAST(i div {GROUP} AS INT)] + aggregate(slice(__n, CAST(i div {GROUP} AS INT) * {GROUP} + 1, i % {GROUP}), 0L, (a, n) -> a + n) + length(__p[i]) + length(x.m) - length(x.v)"
     found = f"""filter(transform(__x, (x, i) -> if(__s[i] >= {THRESHOLD}, named_struct('start', {start}, 'n_chars', CAST(length(x.v) AS LONG), 'rule', x.rule, 'value', x.v, 'score', round(__s[i], 6)), null)), x -> x IS NOT NULL)"""
     masked = f"""if(__t IS NULL, null, array_join(transform(__p, (p, i) -> concat(p, if(i < size(__x), if(__s[i] >= {THRESHOLD}, concat(left(__x[i].m, length(__x[i].m) - length(__x[i].v)), '{MASK}'), __x[i].m), ''))), ''))"""
     return rows.select("__rest.*", F.expr(masked).alias("redacted"), F.expr(found).alias("findings"))

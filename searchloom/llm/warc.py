@@ -13,6 +13,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,15 @@ from searchloom.llm.textcore import trimmed
 
 #: Payloads from this size on are stored once; other records with them revisit.
 REVISIT_BYTES = 100
-#: Records a file at most; with pages of some KB, files of some ten MB. Fewer where
-#: pages are larger, so that no file passes FILE_BYTES but with a single record.
+#: Records a file at most; with pages of some KB, files of some ten MB. Fewer in the
+#: files of large pages, so that no file passes FILE_BYTES but with a single record.
 FILE_RECORDS, FILE_BYTES = 8192, 512 << 20
+#: Pages up to this size share files; larger ones are written apart from them.
+SMALL = 60 << 10
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: Kinds of rows beside records: a file's end, and where its records stop leading to it.
+END, DAMAGED = "end", "damaged"
 FIELDS = "path string, offset bigint, successor bigint, size bigint, kind string, page bigint, refers_to bigint, payload_bytes bigint, digest string"
 
 
@@ -63,12 +68,20 @@ def write(pages: DataFrame, path: str | None = None, page: str = "page_id", url:
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.octet_length("payload"))).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    largest = base.agg(F.max(F.octet_length("payload") + F.octet_length("url"))).first()[0] or 0
-    records = max(1, min(FILE_RECORDS, FILE_BYTES // (largest + 2048)))
-    rows.select(F.concat(header, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
+    size = F.octet_length("payload") + F.octet_length("url")
+    largest = base.agg(F.max(size)).first()[0] or 0
+    out = rows.select(F.concat(header, block).alias("value"), (size > SMALL).alias("large"))
+    for large, most in ((False, min(largest, SMALL)), (True, largest)):
+        if large <= (largest > SMALL):  # large pages have files of their own
+            records = max(1, min(FILE_RECORDS, FILE_BYTES // (most + 2048)))
+            out.where(F.col("large") == large).select("value").write.mode("append" if large else "error").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
     return path
 
 
+class DamagedArchive(RuntimeError):
+    """An archive whose records don't lead from its start to its end."""
+
+
 def candidates(content: bytes):
     """For every record-like place of a file: (offset, successor, kind, key, key
     referred to, payload bytes, payload digest, which for a revisit is the one
@@ -123,7 +136,10 @@ def reachable(offset, successor):
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under path: FIELDS, reachable ones only.
+    """The records of all archives under path: FIELDS, reachable ones only. Where
+    the records of a file don't lead to its end, as when a record is cut off or
+    tells a wrong length, a row of kind DAMAGED has the offset up to which they
+    lead; what lies behind it can't be told from payloads and isn't read.
 
     One task scans a file, of at most FILE_BYTES if `write` made it, and holds it
     in whole; files of 2 GB or more can't be read. Candidates, without payloads, then meet by file. A
@@ -132,19 +148,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def scan(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 raw = content.as_py()
                 found = [(name.as_py(), c[0], c[1], len(raw), *c[2:]) for c in candidates(raw)]
-                cols = list(zip(*found, strict=True)) or [[]] * 9
+                found.append((name.as_py(), len(raw), len(raw), len(raw), END, None, None, None, None))  # where the records are to lead
+                cols = list(zip(*found, strict=True))
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in FIELDS.split(", ")])
 
     def chain(table):
         keep = reachable(table.column("offset").to_numpy(), table.column("successor").to_numpy())
-        return table.filter(keep)
+        kind = np.array(table.column("kind").to_pylist(), object)
+        broken = not keep[kind == END].any()
+        found = table.filter(keep & (kind != END))
+        if broken:
+            at = max(found.column("successor").to_pylist(), default=0)
+            row = dict.fromkeys(table.column_names) | {"path": table.column("path")[0].as_py(), "offset": at, "successor": at, "size": table.column("size")[0].as_py(), "kind": DAMAGED}
+            found = pa.concat_tables([found, pa.Table.from_pylist([row], schema=table.schema)])
+        return found
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(trimmed(scan), FIELDS).groupBy("path").applyInArrow(chain, FIELDS)
@@ -152,8 +174,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every
-    record; a revisit has its response's payload."""
-    records = written(read_records(spark, path).select("kind", "page", "refers_to", "payload_bytes", "digest"), "records")
+    record; a revisit has its response's payload. A damaged file is an error that
+    names it and the offset from which on it can't be read; read_records gives what
+    comes before."""
+    records = written(read_records(spark, path).select("kind", "page", "refers_to", "payload_bytes", "digest", "path", "offset"), "records")
+    bad = records.where(F.col("kind") == DAMAGED).orderBy("path").select("path", "offset").head()
+    if bad:
+        raise DamagedArchive(f"{bad.path} can't be read from byte {bad.offset} on")
     plain = records.where("kind <> 'revisit'").select(F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     again = records.where("kind = 'revisit'").select(F.col("page").alias("page_id"), "refers_to", F.col("digest").alias("payload_digest"))
     source = records.where("kind <> 'revisit' AND page IS NOT NULL").select(F.col("page").alias("refers_to"), "payload_bytes", F.col("digest").alias("payload_digest"))
