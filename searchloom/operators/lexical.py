@@ -6,6 +6,8 @@ whole table, whatever the filters.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,30 +79,71 @@ def bm25(chunks: DataFrame, query_phrases: list[list[str]], condition: Column |
     return scored.orderBy("bm25", "id").limit(limit).select(*chunks.columns, "bm25")
 
 
-def postings(chunks: DataFrame, text: str = "chunk") -> DataFrame:
-    """The inverted index: term, id, tf, dl."""
-    rows = chunks.select("id", index_tokens(F.col(text)).alias("t"))
-    return rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+#: Postings of a query's terms up to which all its blocks are scored at once, and blocks that are scored first beyond.
+FEW, FIRST = 20_000, 24
+
 
+def bm25_blocks(postings: DataFrame, df: DataFrame, sizes: DataFrame, terms: list[str], allowed: DataFrame | None = None, limit: int = CANDIDATES) -> DataFrame:
+    """(id, bm25) like bm25 for single-token phrases, repeats counting, from
+    postings by block (sources.index) of the query's terms. df has (term, chunks) by
+    part and sizes (n, tokens) by part; allowed (id) is what filters leave.
 
-def bm25_stored(postings: DataFrame, stats: DataFrame, query_phrases: list[list[str]], allowed: DataFrame | None = None, limit: int = CANDIDATES) -> DataFrame:
-    """(id, bm25) like bm25, from postings (term, id, tf, dl, places) of the query's
-    terms and stats (n, avgdl), one row; allowed (id) is what filters leave."""
+    The terms' largest weights in a block bound its chunks' scores. Where the terms
+    have many postings, the blocks of highest bound are scored first, and of the
+    others only those that reach the `limit`-th score found, equal ones included, so
+    the lists of other blocks aren't read at all. Exact. A block's rows meet in one
+    task, which adds up its chunks' scores and sends on `limit` of them.
+    """
+    none = postings.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("bm25")).limit(0)
+    if not terms or limit <= 0:
+        return none
+    facts = df.select(F.col("term"), F.col("chunks").alias("x"), F.lit(0).cast("long").alias("y")).unionByName(sizes.select(F.lit(None).cast("string").alias("term"), F.col("n").alias("x"), F.col("tokens").cast("long").alias("y")))
+    found = {r.term: (r.x, r.y) for r in facts.groupBy("term").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}  # one row a term
+    n, tokens = found.pop(None, (0, 0))
+    if not found or not n:
+        return none
+    avgdl = tokens / n
+    idf = {t: max(math.log((n - x + 0.5) / (x + 0.5)), 0) or LEAST_IDF for t, (x, _) in found.items()}
+    load = F.element_at(F.create_map(*[F.lit(v) for t in found for v in (t, idf[t] * terms.count(t))]), F.col("term"))
+    weight = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.select("block", load.alias("w"), "ids", "tf", "dl").repartition("block")
+        each = rows.select("block", "w", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p"))
+        out = each.groupBy("block", F.col("p.ids").alias("id")).agg((-F.sum(F.col("w") * weight(F.col("p.tf"), F.col("p.dl")))).alias("bm25")).drop("block")
+        return out if allowed is None else out.join(allowed, "id", "left_semi")
+
+    best = lambda rows: rows.orderBy(F.round("bm25", 9), "id").limit(limit)
+    if sum(x for x, _ in found.values()) <= FEW:
+        return best(scored(postings))
+    top = F.array_max(F.zip_with("edge_tf", "edge_dl", weight))
+    bounds = postings.groupBy("block").agg(F.sum(load * top).alias("bound"))
+    first = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
+    early = best(scored(postings.where(F.col("block").isin(first))))
+    hits = early.toArrow()  # at most `limit` rows
+    early = postings.sparkSession.createDataFrame(hits) if hits.num_rows else none
+    late = bounds.where(~F.col("block").isin(first))
+    if hits.num_rows >= limit:
+        late = late.where(F.col("bound") >= -hits["bm25"][limit - 1].as_py() - 1e-8)
+    chosen = postings.join(late.select("block"), "block", "left_semi")
+    return best(early.unionByName(scored(chosen)))
+
+
+def bm25_phrases(postings: DataFrame, stats: DataFrame, query_phrases: list[list[str]], allowed: DataFrame | None = None, limit: int = CANDIDATES) -> DataFrame:
+    """(id, bm25) like bm25, from postings by block of the query's terms, with their
+    places, and stats (n, avgdl), one row; allowed (id) is what filters leave. The
+    rows of a block meet in one task."""
     if not query_phrases or limit <= 0:
-        return postings.select("id", F.lit(None).cast("double").alias("bm25")).limit(0)
+        return postings.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("bm25")).limit(0)
     distinct = list(dict.fromkeys(map(tuple, query_phrases)))
     terms = list(dict.fromkeys(t for p in distinct for t in p))
     at = {t: f"__p{i}" for i, t in enumerate(terms)}
-    whole = any(len(p) > 1 for p in distinct)
-    value = F.col("places") if whole else F.col("tf")
-    rows = postings.groupBy("id").agg(F.first("dl").alias("__dl"), *[F.max(F.when(F.col("term") == t, value)).alias(c) for t, c in at.items()])
+    each = postings.select("block", "term", "ids", "dl", "places").repartition("block").select("block", "term", F.explode(F.arrays_zip("ids", "dl", "places")).alias("p"))
+    rows = each.groupBy("block", F.col("p.ids").alias("id")).agg(F.first("p.dl").alias("__dl"), *[F.max(F.when(F.col("term") == t, F.col("p.places"))).alias(c) for t, c in at.items()])
 
     def count(p):
-        first = F.col(at[p[0]])
-        if not whole:
-            return F.coalesce(first, F.lit(0))
         hit = lambda i: _all([F.array_contains(at[w], i + k) for k, w in enumerate(p)]) if len(p) > 1 else F.lit(True)
-        return F.coalesce(F.size(F.filter(first, hit)), F.lit(0))
+        return F.coalesce(F.size(F.filter(F.col(at[p[0]]), hit)), F.lit(0))
 
     rows = rows.select("id", "__dl", *[count(p).alias(f"__tf{i}") for i, p in enumerate(distinct)])
     n_rows = rows.agg(*[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(distinct))])

@@ -3,7 +3,7 @@
 All tables are laid out by a hash of the chunks' path, so that a changed file
 rewrites its part and nothing else. `chunks` are the chunks, `forward` has the
 tokens of each for batches of queries, `postings` what each term has in which
-chunk, sorted by term, so that a query reads the row groups of its terms.
+block of chunks, sorted by term, so that a query reads the row groups of its terms.
 `terms` and `sizes` are sums for each part, from which corpus statistics come.
 `vectors` has a vector for each chunk, sorted by cell if `centroids` were learnt;
 `digests` tell which chunks they are of.
@@ -22,7 +22,10 @@ from searchloom.sources.store import Store
 
 #: Parts of the tables at least, and bytes of text for which there is one more.
 BUCKETS, PART_BYTES = 16, 256 << 20
-ORDER = {"chunks": ["path", "chunk_index"], "postings": ["term", "id"], "terms": ["term"], "vectors": ["cell", "id"]}
+#: Chunks of a part whose postings of a term are a row, and that row.
+BLOCK = 1024
+POSTINGS = "bucket int, term string, block string, n int, total long, edge_tf array<int>, edge_dl array<int>, ids array<string>, tf array<int>, dl array<int>, places array<array<int>>"
+ORDER = {"chunks": ["path", "chunk_index"], "postings": ["term", "block"], "terms": ["term"], "vectors": ["cell", "id"]}
 
 
 def path_bucket(path: Column, buckets: int = BUCKETS) -> Column:
@@ -44,7 +47,7 @@ def index_tables(chunks: DataFrame, buckets: int = BUCKETS, text: str = "chunk",
         "chunks": chunks.withColumn("bucket", bucket),
         "forward": lambda t: t("chunks").select("bucket", "id", index_tokens(F.col(text)).alias("tokens")).select("bucket", "id", F.size("tokens").alias("dl"), "tokens"),
         "postings": lambda t: postings(t("forward")),
-        "terms": lambda t: t("postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences")),
+        "terms": lambda t: t("postings").groupBy("bucket", "term").agg(F.sum("n").alias("chunks"), F.sum("total").alias("occurrences")),
         "sizes": lambda t: t("forward").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens")),
     }
     if embedder:
@@ -101,32 +104,61 @@ def lexical_ready(meta: dict | None) -> str | None:
     return None if meta.get("version") == LEXICAL_VERSION else "lexical index incompatible"
 
 
-def postings(forward: DataFrame) -> DataFrame:
-    """(bucket, term, id, tf, dl, places) of forward: a chunk's tokens are grouped
-    where they are, a batch of chunks at once."""
+def postings(forward: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The inverted index of forward, a row for each term and block of chunks: what
+    of the block holds the term (ids, tf, dl and places), n chunks with total
+    occurrences, and for every tf the least dl (edge_tf, edge_dl), from which a
+    block's largest weight follows whatever the mean length will be. A block is at
+    most `block` chunks of a part, named by the least id; tokens are grouped where
+    they are."""
+
+    def one(batch):
+        import numpy as np
+
+        tokens = batch.column(3)
+        flat = tokens.flatten().dictionary_encode()
+        if not len(flat):
+            return None
+        sizes = np.asarray(tokens.value_lengths().fill_null(0)).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(code * batch.num_rows + row, kind="stable")
+        code, row, place = code[order], row[order], place[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+        tf = np.diff(np.append(first, len(code)))
+        term, holder = code[first], row[first]
+        dl = batch.column(2).to_numpy()[holder].astype(np.int64)
+        heads = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        o = np.lexsort((dl, tf, term))
+        edge = o[np.flatnonzero(np.append(True, (term[o][1:] != term[o][:-1]) | (tf[o][1:] != tf[o][:-1])))]
+        edges = np.searchsorted(term[edge], term[heads])
+        spans = lambda starts, end: pa.array(np.append(starts, end), pa.int32())
+        ints = lambda x: pa.array(x, pa.int32())
+        lists = lambda values: pa.ListArray.from_arrays(spans(heads, len(term)), values)
+        places = pa.ListArray.from_arrays(spans(first, len(code)), ints(place))
+        n = len(heads)
+        cols = [
+            batch.column(0).take(pa.array(np.zeros(n, int))), flat.dictionary.take(pa.array(term[heads])), pa.array([min(batch.column(1).to_pylist())] * n),
+            ints(np.diff(np.append(heads, len(term)))), pa.array(np.add.reduceat(tf, heads), pa.int64()),
+            pa.ListArray.from_arrays(spans(edges, len(edge)), ints(tf[edge])), pa.ListArray.from_arrays(spans(edges, len(edge)), ints(dl[edge])),
+            lists(batch.column(1).take(pa.array(holder))), lists(ints(tf)), lists(ints(dl)), lists(places),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in POSTINGS.split(", ")])
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            tokens = batch.column(3)
-            flat = tokens.flatten().dictionary_encode()
-            if not len(flat):
-                continue
-            sizes = np.asarray(tokens.value_lengths().fill_null(0)).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(code * batch.num_rows + row, kind="stable")
-            code, row, place = code[order], row[order], place[order]
-            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
-            ends = np.append(first, len(code))
-            at = pa.array(row[first])
-            places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
-            cols = [batch.column(0).take(at), flat.dictionary.take(pa.array(code[first])), batch.column(1).take(at), pa.array(np.diff(ends).astype(np.int32)), batch.column(2).take(at), places]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "term", "id", "tf", "dl", "places"])
-
-    return forward.select("bucket", "id", "dl", "tokens").mapInArrow(run, "bucket int, term string, id string, tf int, dl int, places array<int>")
+            part = batch.column(0).to_numpy()
+            for b in np.unique(part):
+                own = np.flatnonzero(part == b)
+                for at in range(0, len(own), block):
+                    out = one(batch.take(pa.array(own[at : at + block])))
+                    if out is not None:
+                        yield out
+
+    return forward.select("bucket", "id", "dl", "tokens").mapInArrow(run, POSTINGS)
 
 
 class Index:
@@ -160,10 +192,15 @@ class Index:
         return self.table("terms").groupBy("term").agg(F.sum("chunks").alias("chunks"), F.sum("occurrences").alias("occurrences"))
 
     def lexical(self, phrases: list[list[str]], condition: Column | None = None, limit: int = CANDIDATES) -> DataFrame:
-        """(id, bm25) of the best chunks: one read of the query's terms."""
+        """(id, bm25) of the best chunks, from the blocks of the query's terms that
+        can hold them."""
         allowed = None if condition is None else self.table("chunks").where(condition).select("id")
         terms = sorted({t for p in phrases for t in p})
-        return lexical.bm25_stored(self.table("postings").where(F.col("term").isin(terms)), self.stats(), phrases, allowed, limit)
+        held = self.table("postings").where(F.col("term").isin(terms))
+        if any(len(p) > 1 for p in phrases):
+            return lexical.bm25_phrases(held, self.stats(), phrases, allowed, limit)
+        df = self.table("terms").where(F.col("term").isin(terms)).select("term", "chunks")
+        return lexical.bm25_blocks(held, df, self.table("sizes"), [p[0] for p in phrases], allowed, limit)
 
     def embed(self, text: str) -> list[float]:
         """A query's vector by the embedder that made the index."""

@@ -43,3 +43,58 @@ def test_filters_keep_statistics(chunks):
     full = {r.id: r.bm25 for r in lexical.bm25(chunks, [["alpha"]]).collect()}
     part = {r.id: r.bm25 for r in lexical.bm25(chunks, [["alpha"]], F.col("id") != "c0").collect()}
     assert part == {k: v for k, v in full.items() if k != "c0"}
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    """2,000 chunks whose words fall off by rank, and their postings in blocks of 32."""
+    import numpy as np
+
+    from searchloom.sources import index
+
+    rng = np.random.default_rng(11)
+    p = 1 / np.arange(1, 81)
+    rows = [(i % 3, f"c{i:04d}", " ".join(rng.choice([f"w{k}" for k in range(80)], rng.integers(3, 60), p=p / p.sum()))) for i in range(1900)]
+    rows += [(i % 3, f"d{i:04d}", "w1 w2 w70 w3") for i in range(100)]  # ties beyond the limit
+    chunks = spark.createDataFrame(rows, "bucket int, id string, chunk string").repartition(4, "bucket")
+    forward = chunks.select("bucket", "id", lexical.index_tokens(F.col("chunk")).alias("tokens")).select("bucket", "id", F.size("tokens").alias("dl"), "tokens").cache()
+    postings = index.postings(forward, 32).cache()
+    df = postings.groupBy("bucket", "term").agg(F.sum("n").alias("chunks"))
+    sizes = forward.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"))
+    return chunks, postings, df, sizes
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_blocks_find_what_a_scan_finds(stored, monkeypatch, few):
+    chunks, postings, df, sizes = stored
+    monkeypatch.setattr(lexical, "FEW", few)
+    monkeypatch.setattr(lexical, "FIRST", 3)
+    held = lambda terms: postings.where(F.col("term").isin(terms))
+    for terms in (["w0"], ["w1", "w70"], ["w0", "w79", "w60", "w60"], ["w70", "nothing"], ["nothing"], []):
+        for condition in (None, F.col("id").endswith("7")):
+            allowed = None if condition is None else chunks.where(condition).select("id")
+            got = lexical.bm25_blocks(held(terms), df.where(F.col("term").isin(terms)), sizes, terms, allowed, 20).collect()
+            want = lexical.bm25(chunks, [[t] for t in terms], condition, 20).collect()
+            assert [(r.id, round(r.bm25, 8)) for r in sorted(got, key=lambda r: (round(r.bm25, 9), r.id))] == [(r.id, round(r.bm25, 8)) for r in sorted(want, key=lambda r: (round(r.bm25, 9), r.id))]
+
+
+def test_common_terms_are_read_where_they_matter(stored, monkeypatch):
+    chunks, postings, df, sizes = stored
+    monkeypatch.setattr(lexical, "FEW", 0)
+    monkeypatch.setattr(lexical, "FIRST", 3)
+    kept = postings.where("term IN ('w0', 'w78')")
+    opened = chunks.sparkSession.sparkContext.accumulator(0)
+    load, blocks = lexical.F.arrays_zip, kept.select("block").distinct().count()
+
+    @F.udf("array<string>")
+    def seen(ids):
+        opened.add(1)
+        return ids
+
+    monkeypatch.setattr(lexical.F, "arrays_zip", lambda a, b, c: load(seen.asNondeterministic()(F.col(a)).alias(a), F.col(b), F.col(c)))
+    out = lexical.bm25_blocks(kept, df.where("term IN ('w0', 'w78')"), sizes, ["w0", "w78"], None, 5)
+    assert out.count() == 5 and blocks >= 60
+    assert opened.value < kept.count() / 2
+    monkeypatch.undo()
+    plan = lexical.bm25_blocks(kept, df.where("term IN ('w0', 'w78')"), sizes, ["w0", "w78"], None, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(id" not in plan and "hashpartitioning(block#" in plan and ", id#" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
