@@ -80,7 +80,7 @@ def bm25(chunks: DataFrame, query_phrases: list[list[str]], condition: Column |
 
 
 #: Postings of a query's terms up to which all its blocks are scored at once, and blocks that are scored first beyond.
-FEW, FIRST = 20_000, 24
+FEW, FIRST = 200_000, 24
 
 
 def bm25_blocks(postings: DataFrame, df: DataFrame, sizes: DataFrame, terms: list[str], allowed: DataFrame | None = None, limit: int = CANDIDATES) -> DataFrame:

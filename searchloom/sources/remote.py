@@ -9,13 +9,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "page_id string, space_key string, title string, author string, canonical_uri string, updated_at string, created_at string, body string"
 LIMIT_BYTES = 8 << 20
 
 #: Transports by name: (space, cursor or None) -> JSON text of {"results": [...], "next": cursor or null}.
 TRANSPORTS: dict[str, Callable[[str, str | None], str]] = {}
+#: For streams, how far a space goes now: the cursor that its last page of results
+#: names as the next one; None while it has none.
+HEADS: dict[str, Callable[[str], str | None]] = {}
 
 
 #: HTTP statuses that may pass by themselves.
@@ -42,6 +45,8 @@ def raise_for(status: int) -> None:
     """The error of an HTTP status, none for success; it names nothing but the status."""
     if status < 300:
         return
+    if status < 400:
+        raise TransportError("no redirect is followed")
     kind = AuthError if status in (401, 403) else NotFound if status == 404 else Transient if status in TRANSIENT else TransportError
     raise kind(f"HTTP status {status}")
 
@@ -68,20 +73,39 @@ def object_of(body: bytes) -> dict:
     return value
 
 
-def http_transport(url_of: Callable[[str, str | None], str], headers: dict[str, str], timeout: float = 60.0) -> Callable[[str, str | None], str]:
+def origin_of(url: str) -> tuple[str, str, int | None]:
+    """(scheme, host, port) of an address; what two pages of one site share."""
+    from urllib.parse import urlsplit
+
+    try:
+        u = urlsplit(url)
+        return u.scheme.lower(), (u.hostname or "").lower(), u.port or {"http": 80, "https": 443}.get(u.scheme.lower())
+    except ValueError as error:
+        raise TransportError("a bad address") from error
+
+
+def http_transport(url_of: Callable[[str, str | None], str], headers: dict[str, str], timeout: float = 60.0, origin: str | None = None) -> Callable[[str, str | None], str]:
     """A transport over HTTP, for TRANSPORTS: url_of gives the address of a page
-    of results."""
+    of results. The headers go to that address alone: no redirect is followed, and
+    with an origin no other one is asked."""
 
     def fetch(space: str, cursor: str | None) -> str:
         from urllib.error import HTTPError, URLError
-        from urllib.request import Request, urlopen
+        from urllib.request import HTTPRedirectHandler, Request, build_opener
+
+        class Stay(HTTPRedirectHandler):
+            def redirect_request(self, *_):
+                return None
 
+        url = url_of(space, cursor)
+        if origin is not None and origin_of(url) != origin_of(origin):
+            raise TransportError("an address of another origin")
         try:
-            with urlopen(Request(url_of(space, cursor), headers=headers), timeout=timeout) as response:
+            with build_opener(Stay).open(Request(url, headers=headers), timeout=timeout) as response:
                 return json.dumps(object_of(bounded(response)))
         except HTTPError as error:
-            raise_for(error.code)
-            raise TransportError("no redirect is followed") from None
+            raise_for(error.code if error.code >= 400 else 399)
+            raise
         except (URLError, TimeoutError, OSError):
             raise Transient("the request failed") from None
 
@@ -101,30 +125,68 @@ class PagesReader(DataSourceReader):
         return [SpacePartition(s) for s in self.spaces]
 
     def read(self, partition):
-        cursor, seen = None, set()
-        while True:
-            text = self.fetch(partition.space, cursor)
-            if len(text) > LIMIT_BYTES:
-                raise ValueError("a response exceeds the limit")
-            page = json.loads(text)
-            for r in page["results"]:
-                if r.get("space") != partition.space:
-                    continue  # outside the allowlist
-                uri = r.get("uri")
-                yield (str(r["id"]), r["space"], r.get("title"), r.get("author"), self.origin + uri if uri and uri.startswith("/") else uri, r.get("updated"), r.get("created"), r.get("body"))
-            cursor = page.get("next")
-            if cursor is None:
-                return
-            if cursor in seen:
-                raise ValueError("the cursor repeats")
-            seen.add(cursor)
+        yield from pages_between(self.fetch, self.origin, partition.space, None, None)
+
+
+def pages_between(fetch: Callable[[str, str | None], str], origin: str, space: str, start: str | None, end: str | None):
+    """The rows of a space from one cursor up to another, or to where there is no
+    next one."""
+    cursor, seen = start, {start}
+    while end is None or cursor != end:
+        text = fetch(space, cursor)
+        if len(text) > LIMIT_BYTES:
+            raise ValueError("a response exceeds the limit")
+        page = json.loads(text)
+        for r in page["results"]:
+            if r.get("space") != space:
+                continue  # outside the allowlist
+            uri = r.get("uri")
+            yield (str(r["id"]), r["space"], r.get("title"), r.get("author"), origin + uri if uri and uri.startswith("/") else uri, r.get("updated"), r.get("created"), r.get("body"))
+        cursor = page.get("next")
+        if cursor is None:
+            if end is not None:
+                raise ValueError("the cursors don't lead to the end that was told")
+            return
+        if cursor in seen:
+            raise ValueError("the cursor repeats")
+        seen.add(cursor)
+
+
+class ChangesPartition(InputPartition):
+    def __init__(self, space: str, start: str | None, end: str):
+        self.space, self.start, self.end = space, start, end
+
+
+class ChangesReader(DataSourceStreamReader):
+    """Pages as they change: an offset holds each space's cursor, and a batch what
+    lies between two offsets, which a replay reads again from the same cursors. The
+    driver only asks how far a space goes; tasks read, a space each."""
+
+    def __init__(self, spaces: list[str], fetch: Callable[[str, str | None], str], head: Callable[[str], str | None], origin: str):
+        self.spaces, self.fetch, self.head, self.origin = spaces, fetch, head, origin
+
+    def initialOffset(self):
+        return {s: None for s in self.spaces}
+
+    def latestOffset(self):
+        return {s: self.head(s) for s in self.spaces}
+
+    def partitions(self, start, end):
+        return [ChangesPartition(s, start.get(s), end[s]) for s in self.spaces if end.get(s) is not None and start.get(s) != end[s]]
+
+    def read(self, partition):
+        yield from pages_between(self.fetch, self.origin, partition.space, partition.start, partition.end)
+
+    def commit(self, end):
+        pass  # the remote side keeps its pages
 
 
 class PagesSource(DataSource):
     """spark.read.format("remote_pages") with options spaces (comma-separated),
-    transport (a registered name) and origin."""
+    transport (a registered name) and origin; spark.readStream likewise, for a
+    transport that also has a head."""
 
-    transports = TRANSPORTS
+    transports, heads = TRANSPORTS, HEADS
 
     @classmethod
     def name(cls):
@@ -135,10 +197,17 @@ class PagesSource(DataSource):
 
     def reader(self, schema):
         o = self.options
-        return PagesReader([s.strip() for s in o["spaces"].split(",") if s.strip()], self.transports[o["transport"]], o.get("origin", ""))
+        return PagesReader(self._spaces(), self.transports[o["transport"]], o.get("origin", ""))
+
+    def streamReader(self, schema):
+        o = self.options
+        return ChangesReader(self._spaces(), self.transports[o["transport"]], self.heads[o["transport"]], o.get("origin", ""))
+
+    def _spaces(self) -> list[str]:
+        return [s.strip() for s in self.options["spaces"].split(",") if s.strip()]
 
 
-def register(spark, transports: dict[str, Callable[[str, str | None], str]] | None = None) -> None:
+def register(spark, transports: dict[str, Callable[[str, str | None], str]] | None = None, heads: dict[str, Callable[[str], str | None]] | None = None) -> None:
     """Makes spark.read.format("remote_pages") known to a session, with transports
     (those of TRANSPORTS) that go to the workers along with it."""
 
@@ -146,6 +215,7 @@ def register(spark, transports: dict[str, Callable[[str, str | None], str]] | No
         pass
 
     Registered.transports = dict(TRANSPORTS if transports is None else transports)
+    Registered.heads = dict(HEADS if heads is None else heads)
     spark.dataSource.register(Registered)
 
 
