@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from searchloom.contracts import JOB_BYTES, JOB_PAGES
+from searchloom.sources.scratch import written
 
 
 def step(previous: DataFrame, attempt: DataFrame, enumeration_complete: bool, source_disabled: bool = False, source_kind: str = "wiki") -> DataFrame:
@@ -91,27 +93,109 @@ def failure_threshold(attempt: DataFrame, limit: float) -> DataFrame:
     return attempt.agg(total.alias("total"), failed.alias("failed"), F.round(rate, 6).alias("rate"), (rate > limit).alias("exceeded"))
 
 
-def job_batches(pages: DataFrame, group: str, order: str, size: str, max_pages: int = JOB_PAGES, max_bytes: int = JOB_BYTES) -> DataFrame:
+#: Rows of consecutive places that one task sees together, with those that follow them in one batch.
+STRETCH = 8192
+
+
+def placed(pages: DataFrame, group: str, order: str, size: str) -> DataFrame:
+    """(g, o, z, r, s): each page's place in its group by order, from 0, and the
+    sizes before it, summed. Sorted in ranges over all groups at once; a range's
+    totals, a row for each group it meets, are added up to where the next starts."""
+    rows = pages.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("z"))
+    rows = written(rows.repartitionByRange("g", "o").sortWithinPartitions("g", "o").withColumn("p", F.spark_partition_id()), "ranges")
+    total = rows.groupBy("p", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("zs"))
+    before = W.partitionBy("g").orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # a row for each range that has the group
+    total = total.select("p", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("zs").over(before), F.lit(0)).alias("z0"))
+    here = W.partitionBy("p", "g").orderBy("o")  # of one range
+    rows = rows.withColumn("r", F.row_number().over(here) - 1).withColumn("s", F.sum("z").over(here.rowsBetween(W.unboundedPreceding, 0)) - F.col("z"))
+    total = total.withColumnsRenamed({"p": "tp", "g": "tg"})
+    j = rows.join(total, (F.col("p") == F.col("tp")) & F.col("g").eqNullSafe(F.col("tg"))).select("g", "o", "z", (F.col("r") + F.col("n0")).alias("r"), (F.col("s") + F.col("z0")).alias("s"))
+    return written(j, "placed")
+
+
+def _following(r, s, z, max_pages: int, max_bytes: int):
+    """For rows of consecutive places: the place at which the batch that starts at
+    each one's ends, by search in the sums."""
+    import numpy as np
+
+    full = np.searchsorted(s + z, s + max_bytes, side="right")  # the first whose end is over the limit
+    return r[0] + np.minimum(np.arange(len(r)) + max_pages, full)
+
+
+def job_batches(pages: DataFrame, group: str, order: str, size: str, max_pages: int = JOB_PAGES, max_bytes: int = JOB_BYTES, stretch: int = STRETCH) -> DataFrame:
     """(group, order, batch) of pages: stable greedy jobs within each group, each
     of at most max_pages and max_bytes; batch is null for a page over max_bytes.
 
-    A group, such as a space, is folded in one row; only keys and sizes travel.
+    Where a batch that starts at a page ends follows from the sums of sizes before
+    the pages, and doesn't depend on where other batches start. So stretches of
+    consecutive places, each with the max_pages that follow it, find at once where
+    they are left from each place at which they may be entered; pointer doubling
+    along these finds the one place at which each is entered, in as many rounds as
+    the number of stretches has digits in base two; and each stretch then numbers
+    its batches, from the number of those before it. No task holds a group.
     """
-    g = pages.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("z")))).alias("ps"))
-    zero = F.expr("named_struct('b', 0, 'n', 0, 'z', 0L, 'out', CAST(array() AS ARRAY<STRUCT<o: BIGINT, b: INT>>))")
-
-    def put(a, p):
-        over = p["z"] > max_bytes
-        full = (a["n"] > 0) & ((a["n"] + 1 > max_pages) | (a["z"] + p["z"] > max_bytes))
-        b = F.when(full, a["b"] + 1).otherwise(a["b"])
-        row = F.struct(p["o"].cast("long").alias("o"), F.when(~over, b).alias("b"))
-        return F.struct(
-            F.when(over, a["b"]).otherwise(b).alias("b"), F.when(over, a["n"]).when(full, 1).otherwise(a["n"] + 1).alias("n"),
-            F.when(over, a["z"]).when(full, p["z"]).otherwise(a["z"] + p["z"]).alias("z"), F.array_append(a["out"], row).alias("out"),
-        )
-
-    folded = F.aggregate("ps", zero, put, lambda a: a["out"])
-    return g.select(group, F.explode(folded).alias("x")).select(group, F.col("x.o").alias(order), F.col("x.b").alias("batch"))
+    import numpy as np
+
+    stretch = max(stretch, max_pages)
+    kind = pages.schema[group].dataType.simpleString()
+    small = pages.where(F.coalesce(F.col(size), F.lit(0)) <= max_bytes).withColumn(size, F.coalesce(F.col(size), F.lit(0)))
+    rows = placed(small, group, order, size)
+    own = (F.col("r") / stretch).cast("long")
+    late = F.when((F.col("r") % stretch < max_pages) & (F.col("r") >= stretch), F.array(own, own - 1)).otherwise(F.array(own))
+    seen = rows.withColumn("b", F.explode(late))
+
+    def leave(table):
+        import pyarrow as pa
+
+        t = table.sort_by("r")
+        r, s, z = (t.column(c).to_numpy() for c in ("r", "s", "z"))
+        b = t.column("b")[0].as_py()
+        n = int(np.searchsorted(r, (b + 1) * stretch))  # those of its own
+        after = _following(r, s, z, max_pages, max_bytes)[:n] - r[0]
+        out, starts = after.copy(), np.ones(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                out[i], starts[i] = out[after[i]], starts[after[i]] + 1
+        entries = np.arange(min(n, max_pages) if b else 1)
+        g = pa.array([t.column("g")[0].as_py()] * len(entries), t.schema.field("g").type)
+        return pa.table({"g": g, "b": pa.array([b] * len(entries), pa.int64()), "entry": pa.array(r[0] + entries), "leave": pa.array(r[0] + out[entries]), "starts": pa.array(starts[entries])})
+
+    jumps = written(seen.groupBy("g", "b").applyInArrow(leave, f"g {kind}, b long, entry long, leave long, starts long"), "jumps")
+    marks, hops = jumps.where("entry = 0").select("g", "entry"), jumps.select("g", "entry", "leave")
+    last = jumps.agg(F.max("b")).head()[0] or 0
+    for turn in range(int(last).bit_length()):
+        to = hops.select(F.col("g").alias("hg"), F.col("entry").alias("he"), F.col("leave").alias("hl"))
+        reached = marks.join(to, F.col("g").eqNullSafe(F.col("hg")) & (F.col("entry") == F.col("he"))).select("g", F.col("hl").alias("entry"))
+        further = hops.join(to, F.col("g").eqNullSafe(F.col("hg")) & (F.col("leave") == F.col("he")), "left").select("g", "entry", F.coalesce("hl", "leave").alias("leave"))
+        marks, hops = written(marks.unionByName(reached).distinct(), f"marks-{turn}"), written(further, f"hops-{turn}")
+    to = marks.select(F.col("g").alias("hg"), F.col("entry").alias("he"))
+    entered = jumps.join(to, F.col("g").eqNullSafe(F.col("hg")) & (F.col("entry") == F.col("he")), "left_semi")
+    # the last stretch of a group may lie within one batch, and is entered nowhere
+    entered = entered.unionByName(jumps.select("g", "b").distinct().withColumns({"entry": (F.col("b") + 1) * stretch, "leave": F.lit(0).cast("long"), "starts": F.lit(0).cast("long")}))
+    entered = entered.groupBy("g", "b").agg(F.min("entry").alias("entry"), F.max("starts").alias("starts"))
+    before = W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)  # a row for each stretch
+    entered = written(entered.select("g", "b", "entry", F.coalesce(F.sum("starts").over(before), F.lit(0)).alias("first")), "entered")
+
+    def number(table):
+        import pyarrow as pa
+
+        t = table.sort_by("r")
+        r, s, z = (t.column(c).to_numpy() for c in ("r", "s", "z"))
+        b, entry, first = (t.column(c)[0].as_py() for c in ("b", "entry", "first"))
+        n = int(np.searchsorted(r, (b + 1) * stretch))
+        after = _following(r, s, z, max_pages, max_bytes) - r[0]
+        starts, at = [], entry - r[0]
+        while at < n:
+            starts.append(at)
+            at = int(after[at])
+        batch = first - 1 + np.searchsorted(starts, np.arange(n), side="right")
+        return pa.table({"g": t.column("g").slice(0, n), "o": t.column("o").slice(0, n), "batch": pa.array(batch, pa.int32())})
+
+    to = entered.select(F.col("g").alias("hg"), F.col("b").alias("hb"), "entry", "first")
+    met = seen.join(to, F.col("g").eqNullSafe(F.col("hg")) & (F.col("b") == F.col("hb"))).drop("hg", "hb")
+    done = met.groupBy("g", "b").applyInArrow(number, f"g {kind}, o long, batch int")
+    over = pages.where(F.col(size) > max_bytes).select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.lit(None).cast("int").alias("batch"))
+    return done.unionByName(over).select(F.col("g").alias(group), F.col("o").alias(order), "batch")
 
 
 def catch_up_due(now: Column, last_success: Column, interval_seconds: Column) -> Column:

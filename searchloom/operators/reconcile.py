@@ -99,8 +99,9 @@ def unavailable(indexed: DataFrame, available: list[str]) -> DataFrame:
 
 
 def error_sample(plan_rows: DataFrame, limit: int = ERROR_SAMPLE) -> DataFrame:
-    """The first errors by path; a report's sample."""
-    return plan_rows.where("error IS NOT NULL").orderBy("path").limit(limit).select("section", "path", "error")
+    """The first errors by path, a report's sample, each with the number of all."""
+    found = plan_rows.where("error IS NOT NULL").select("section", "path", "error")
+    return found.orderBy("path").limit(limit).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("errors"))))  # one row
 
 
 def validate(chunks: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ for _name, (_given, _sql) in CASES.items():
     SQL[_name] = with_sql(FILES) + f"SELECT path, source_kind, author, occurred_ms, updated_ms FROM files WHERE {_sql}"
 
 # lexical
-TEXTS = [(1, '"alpha" * NEAR(beta) - café'), (2, '"*-'), (3, "42_x y"), (4, "")]
-Q["query_tokens"] = lambda s, d: rows(s, TEXTS, "n int, q string").select("n", F.concat_ws(" OR ", F.transform(query_tokens(F.col("q")), lambda t: F.concat(F.lit('"'), t, F.lit('"')))).alias("match"))
-SQL["query_tokens"] = f"""WITH g AS {values_sql(TEXTS, 'n, q')} SELECT n::INTEGER AS n, array_to_string(list_transform(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+'), lambda t: '"' || t || '"'), ' OR ') AS match FROM g"""
+ASKS = "concat(chr(34), text, chr(34), ' * NEAR(', item_id, '_x) - caf', chr(233), ' ', CASE WHEN item_id % 7 = 0 THEN '' ELSE '*-' END)"
+Q["query_tokens"] = lambda s, d: table(s, d, "benchmark").select("item_id", F.expr(ASKS).alias("q")).select("item_id", F.concat_ws(" OR ", F.transform(query_tokens(F.col("q")), lambda t: F.concat(F.lit('"'), t, F.lit('"')))).alias("match"))
+SQL["query_tokens"] = f"""WITH g AS (SELECT item_id, {ASKS} AS q FROM benchmark) SELECT item_id, array_to_string(list_transform(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+'), lambda t: '"' || t || '"'), ' OR ') AS match FROM g"""
 Q["postings_stats"] = lambda s, d: base.index(s, d).terms()
 SQL["postings_stats"] = with_sql(FILES, chunks_sql(), f"t AS (SELECT id, unnest({tokens_sql('chunk')}) AS term FROM chunks)") + "SELECT term, count(DISTINCT id) AS chunks, count(*)::BIGINT AS occurrences FROM t GROUP BY term"
 
@@ -76,7 +76,7 @@ def _batch_terms(s, d):
     return b.select("query_id", F.explode("t").alias("term"))
 
 
-def _lexical_batch(s, d):
+def lexical_batch(s, d):
     x = base.index(s, d)
     return lexical.bm25_batch(x.table("forward"), x.terms(), x.stats(), _batch_terms(s, d))
 
@@ -87,7 +87,7 @@ BATCH = f"""terms AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) A
     wt AS (SELECT query_id, term, times * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS w, avgdl FROM wanted JOIN df USING (term), st),
     sc AS (SELECT query_id, id, -sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tf JOIN wt USING (term) GROUP BY ALL),
     lexb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), id) AS rank FROM sc QUALIFY rank <= 40)"""
-Q["bm25_batched"] = lambda s, d: _lexical_batch(s, d).select("query_id", "id", "rank", F.round("bm25", 6).alias("bm25"))
+Q["bm25_batched"] = lambda s, d: lexical_batch(s, d).select("query_id", "id", "rank", F.round("bm25", 6).alias("bm25"))
 SQL["bm25_batched"] = with_sql(FILES, chunks_sql(), BATCH) + "SELECT query_id, id, rank::INTEGER AS rank, round(bm25, 6) AS bm25 FROM lexb"
 
 # vectors
@@ -121,21 +121,34 @@ SQL["hash_embedding"] = f"""WITH t AS (SELECT item_id, unnest({tokens_sql('text'
     SELECT b.item_id, s.slot::INTEGER AS slot, coalesce(c.n, 0)::DOUBLE AS weight FROM benchmark b CROSS JOIN (SELECT unnest(range(16)) AS slot) s LEFT JOIN c ON c.item_id = b.item_id AND c.slot = s.slot"""
 
 # fusion
-BRANCHES = [("vector", 1, "a"), ("vector", 2, "b"), ("vector", 3, "c"), ("lexical", 1, "b"), ("lexical", 2, "d"), ("lexical", 3, "a")]
-Q["rrf_fusion"] = lambda s, d: fusion.rrf(rows(s, BRANCHES, "branch string, rank int, id string")).select("id", F.round("rrf", 9).alias("rrf"), "best_rank", "lexical_only", "fused_rank")
-SQL["rrf_fusion"] = f"""WITH b AS {values_sql(BRANCHES, 'branch, rank, id')}, g AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank, NOT bool_or(branch = 'vector') AS lexical_only FROM b GROUP BY id)
+
+
+def _two_searches(s, d):
+    """Two vectors' searches as the branches of one."""
+    q = _vectors(s, d).where("id < 2").select(F.col("id").alias("query_id"), "vector")
+    return vector.topk_batch(_vectors(s, d), q).select(F.when(F.col("query_id") == 0, "vector").otherwise("lexical").alias("branch"), "rank", "id")
+
+
+Q["rrf_fusion"] = lambda s, d: fusion.rrf(_two_searches(s, d)).select("id", F.round("rrf", 9).alias("rrf"), "best_rank", "lexical_only", "fused_rank")
+SQL["rrf_fusion"] = f"""WITH vec AS ({VEC}), di AS (SELECT q.id AS q, v.id AS id, 1 - list_cosine_similarity(v.v, q.v) AS distance FROM vec v, vec q WHERE q.id < 2),
+    b AS (SELECT CASE q WHEN 0 THEN 'vector' ELSE 'lexical' END AS branch, id, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), id) AS rank FROM di QUALIFY rank <= 40),
+    g AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank, NOT bool_or(branch = 'vector') AS lexical_only FROM b GROUP BY id)
     SELECT id, round(rrf, 9) AS rrf, best_rank::INTEGER AS best_rank, lexical_only, row_number() OVER (ORDER BY round(rrf, 12) DESC, best_rank, id)::INTEGER AS fused_rank FROM g"""
 
 
+def vector_batch(s, d):
+    """The nearest chunks of each benchmark passage as a query."""
+    queries = vector.embed(table(s, d, "benchmark"), vector.HASH, "text").select(F.col("item_id").alias("query_id"), "vector")
+    return base.index(s, d).vector_batch(queries)
+
+
 def _batched_branches(s, d):
     """Lexical and vector hits of each benchmark passage as a query, over all chunks."""
-    x = base.index(s, d)
-    queries = vector.embed(table(s, d, "benchmark"), vector.HASH, "text").select(F.col("item_id").alias("query_id"), "vector")
-    v = x.vector_batch(queries).select("query_id", F.lit("vector").alias("branch"), "rank", "id")
-    return v.unionByName(_lexical_batch(s, d).select("query_id", F.lit("lexical").alias("branch"), "rank", "id"))
+    v = vector_batch(s, d).select("query_id", F.lit("vector").alias("branch"), "rank", "id")
+    return v.unionByName(lexical_batch(s, d).select("query_id", F.lit("lexical").alias("branch"), "rank", "id"))
 
 
-def _fused_batch(s, d):
+def fused_batch(s, d):
     fused = fusion.rrf(_batched_branches(s, d), by=("query_id",))
     return fused.withColumn("path", F.split_part("id", F.lit("::"), F.lit(1)))
 
@@ -146,13 +159,13 @@ FUSED = f"""{embedding_sql('chunks', 'emb', 'id', 'chunk')}, {embedding_sql('ben
     both_ AS (SELECT query_id, 'vector' AS branch, rank, id FROM vecb UNION ALL SELECT query_id, 'lexical', rank, id FROM lexb),
     fg AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank FROM both_ GROUP BY ALL),
     fused AS (SELECT *, split_part(id, '::', 1) AS path, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, best_rank, id) AS fused_rank FROM fg)"""
-Q["rrf_batched"] = lambda s, d: _fused_batch(s, d).where("fused_rank <= 10").select("query_id", "id", "fused_rank", F.round("rrf", 9).alias("rrf"))
+Q["rrf_batched"] = lambda s, d: fused_batch(s, d).where("fused_rank <= 10").select("query_id", "id", "fused_rank", F.round("rrf", 9).alias("rrf"))
 SQL["rrf_batched"] = with_sql(FILES, chunks_sql(), BATCH, FUSED) + "SELECT query_id, id, fused_rank::INTEGER AS fused_rank, round(rrf, 9) AS rrf FROM fused WHERE fused_rank <= 10"
-Q["path_cap"] = lambda s, d: fusion.cap_per_path(_fused_batch(s, d), 1, 10).select("query_id", "id", "capped_rank")
+Q["path_cap"] = lambda s, d: fusion.cap_per_path(fused_batch(s, d), 1, 10).select("query_id", "id", "capped_rank")
 SQL["path_cap"] = with_sql(FILES, chunks_sql(), BATCH, FUSED, """pc AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY fused_rank) AS nth FROM fused),
     seats AS (SELECT query_id, id FROM pc WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) <= 10)""") + """SELECT p.query_id, p.id, row_number() OVER (PARTITION BY p.query_id ORDER BY (s.id IS NULL), fused_rank)::INTEGER AS capped_rank
     FROM pc p LEFT JOIN seats s ON s.query_id = p.query_id AND s.id = p.id"""
-Q["path_multiplicity"] = lambda s, d: fusion.multiplicity(_fused_batch(s, d), 20)
+Q["path_multiplicity"] = lambda s, d: fusion.multiplicity(fused_batch(s, d), 20)
 SQL["path_multiplicity"] = with_sql(FILES, chunks_sql(), BATCH, FUSED) + "SELECT query_id, max(n) AS multiplicity FROM (SELECT query_id, path, count(*) AS n FROM fused WHERE fused_rank <= 20 GROUP BY ALL) GROUP BY query_id"
 
 # the hybrid plan

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.contracts import JOB_BYTES, JOB_PAGES, MARKDOWN_BYTES
 from searchloom.functions.text import content_hash
 from searchloom.operators import chunking, freshness, generations, metrics, reconcile
-from searchloom.queries import base, text
+from searchloom.queries import base, search, text
 from searchloom.queries.base import FILES, INDEXED, LIVE, chunks_sql, kept_sql, rows, spans_sql, strip_sql, values_sql, with_sql
 from searchloom.sources import corpus
 from searchloom.sources.corpus import table
@@ -40,8 +40,8 @@ Q["sync_counters"] = lambda s, d: reconcile.counters(_plan(s, d))
 SQL["sync_counters"] = with_sql(STATE, COUNTS) + "SELECT * FROM n"
 Q["sync_status"] = lambda s, d: reconcile.status(reconcile.counters(_plan(s, d)), F.lit("ok"), F.lit("ok")).select("status", "changed", "recommendation")
 SQL["sync_status"] = with_sql(STATE, COUNTS) + "SELECT CASE WHEN errors > 0 THEN 'partial' ELSE 'succeeded' END AS status, true AS changed, CASE WHEN errors > 0 THEN 'retry_sync' ELSE 'none' END AS recommendation FROM n"
-Q["error_sample"] = lambda s, d: reconcile.error_sample(_plan(s, d), 10)
-SQL["error_sample"] = with_sql(STATE) + "SELECT section, path, error FROM done WHERE error IS NOT NULL ORDER BY path LIMIT 10"
+Q["error_sample"] = lambda s, d: reconcile.error_sample(_plan(s, d))
+SQL["error_sample"] = with_sql(STATE) + "SELECT section, path, error, count(*) OVER () AS errors FROM done WHERE error IS NOT NULL ORDER BY path LIMIT 50"
 Q["removed_paths"] = lambda s, d: reconcile.difference(corpus.indexed_files(s, d).select("path"), corpus.live_files(s, d), ["path"])
 SQL["removed_paths"] = with_sql(FILES) + "SELECT path FROM files WHERE doc_id % 13 <> 0 AND doc_id % 11 = 0"
 
@@ -168,9 +168,8 @@ Q["contract_violations"] = lambda s, d: generations.violations(_attempt(s, d).un
 SQL["contract_violations"] = with_sql(GEN, "more AS (SELECT * FROM att UNION ALL SELECT * FROM att WHERE k % 44 = 0 UNION ALL SELECT k, 'ok', seen, nh FROM att WHERE k % 45 = 1)", "g AS (SELECT k, count(*) FILTER (oc = 'ok') AS a, count(*) FILTER (oc = 'failed') AS f, bool_or(seen) AS seen FROM more GROUP BY k)") + """SELECT source_uid, violation FROM (SELECT g.k::VARCHAR AS source_uid, CASE WHEN a > 1 THEN 'duplicate' WHEN a > 0 AND f > 0 THEN 'ok_and_failed' WHEN a + f > 0 AND NOT seen THEN 'not_seen' WHEN seen AND a + f = 0 AND (p.k IS NULL OR NOT p.doc) THEN 'unhandled_new' END AS violation FROM g LEFT JOIN prev p ON p.k = g.k) WHERE violation IS NOT NULL"""
 Q["path_collisions"] = lambda s, d: generations.path_collisions(table(s, d, "pages").select(F.col("page_id").alias("source_uid"), F.concat(F.try_parse_url("url", F.lit("HOST")), F.lit(".md")).alias("path")))
 SQL["path_collisions"] = "SELECT path, count(DISTINCT page_id) AS owners FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) || '.md' AS path FROM pages) GROUP BY path HAVING count(DISTINCT page_id) > 1"
-GENERATIONS = [(f"g{i}", 1000 + (i * 7) % 10) for i in range(10)]
-Q["retention"] = lambda s, d: generations.retention(rows(s, GENERATIONS, "generation_id string, mtime int"), 3, "g1").select("generation_id")
-SQL["retention"] = f"WITH g AS {values_sql(GENERATIONS, 'generation_id, mtime')} SELECT generation_id FROM (SELECT *, row_number() OVER (ORDER BY mtime DESC, generation_id DESC) AS n FROM g) WHERE n > 3 AND generation_id <> 'g1'"
+Q["retention"] = lambda s, d: generations.retention(table(s, d, "events").groupBy(F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("generation_id")).agg(F.max("event_id").alias("mtime")), 3, "g1").select("generation_id")
+SQL["retention"] = "WITH g AS (SELECT 'g' || user_id AS generation_id, max(event_id) AS mtime FROM events GROUP BY 1) SELECT generation_id FROM (SELECT *, row_number() OVER (ORDER BY mtime DESC, generation_id DESC) AS n FROM g) WHERE n > 3 AND generation_id <> 'g1'"
 
 
 def _revisions(s, d):
@@ -199,20 +198,24 @@ def _remote(s, d):
 
 Q["page_eligibility"] = lambda s, d: generations.eligibility(_remote(s, d), ["S0", "S1", "S2"])
 SQL["page_eligibility"] = "SELECT CASE WHEN page_id % 12 = 0 THEN 'x' ELSE '' END || page_id AS page_id, 'S' || page_id % 4 AS space, CASE WHEN page_id % 12 = 0 THEN 'bad_id' WHEN page_id % 4 = 3 THEN 'outside' WHEN page_id % 9 = 1 THEN 'duplicate' ELSE 'eligible' END AS state FROM pages"
-FILES_OF = [(1, "Plan.pdf"), (1, "plan.PDF"), (1, "b.txt"), (2, "plan.pdf"), (3, "A"), (3, "a"), (3, "A")]
-Q["attachment_collisions"] = lambda s, d: generations.attachment_collisions(rows(s, FILES_OF, "page_id int, name string"))
-SQL["attachment_collisions"] = f"SELECT page_id::INTEGER AS page_id, lower(name) AS name FROM {values_sql(FILES_OF, 'page_id, name')} GROUP BY page_id, lower(name) HAVING count(*) > 1"
-DUE = [(1, "2024-05-06 12:00:00", "2024-05-06 11:00:00", 3600), (2, "2024-05-06 12:00:00", "2024-05-06 11:30:00", 3600), (3, "2024-05-06 12:00:00", None, 3600)]
-Q["catch_up_due"] = lambda s, d: rows(s, DUE, "n int, now string, last string, every int").select("n", generations.catch_up_due(F.to_timestamp("now"), F.to_timestamp("last"), F.col("every")).alias("due"))
-SQL["catch_up_due"] = f"SELECT n::INTEGER AS n, coalesce(epoch(now::TIMESTAMP) - epoch(last::TIMESTAMP) >= every, true) AS due FROM {values_sql(DUE, 'n, now, last, every')}"
-Q["backoff_schedule"] = lambda s, d: s.range(1, 9).select(F.col("id").alias("attempt"), F.round(generations.backoff(F.col("id"), 1.5, 2.0, 60.0), 6).alias("seconds"))
-SQL["backoff_schedule"] = "SELECT range AS attempt, round(least(60.0::DOUBLE, 1.5::DOUBLE * pow(2.0::DOUBLE, range - 1)), 6) AS seconds FROM range(1, 9)"
-CREDENTIALS = [(1, True, "2024-06-01 00:00:00"), (2, True, "2024-05-07 00:00:00"), (3, True, "2024-05-01 00:00:00"), (4, False, "2025-01-01 00:00:00"), (5, True, None)]
-Q["credential_state"] = lambda s, d: rows(s, CREDENTIALS, "n int, available boolean, expires string").select("n", generations.credential_state(F.col("available"), F.to_timestamp("expires"), F.to_timestamp(F.lit("2024-05-06 00:00:00")), 7 * 86400).alias("state"))
-SQL["credential_state"] = f"SELECT n::INTEGER AS n, CASE WHEN NOT available THEN 'error' WHEN expires::TIMESTAMP <= TIMESTAMP '2024-05-06' THEN 'error' WHEN expires::TIMESTAMP <= TIMESTAMP '2024-05-13' THEN 'degraded' ELSE 'ok' END AS state FROM {values_sql(CREDENTIALS, 'n, available, expires')}"
-PLACES = [(1, True, True, True), (2, True, True, False), (3, True, False, False), (4, False, True, False), (5, False, False, False)]
-Q["index_location"] = lambda s, d: rows(s, PLACES, "n int, legacy boolean, configured boolean, pointed boolean").select("n", generations.index_location(F.col("legacy"), F.col("configured"), F.col("pointed")).alias("state"))
-SQL["index_location"] = f"SELECT n::INTEGER AS n, CASE WHEN pointed THEN 'configured_legacy' WHEN legacy AND configured THEN 'conflict' WHEN legacy THEN 'required' WHEN configured THEN 'ready' ELSE 'empty' END AS state FROM {values_sql(PLACES, 'n, legacy, configured, pointed')}"
+Q["attachment_collisions"] = lambda s, d: generations.attachment_collisions(table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name")))
+SQL["attachment_collisions"] = """SELECT page_id, lower(name) AS name FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages) GROUP BY page_id, lower(name) HAVING count(*) > 1"""
+
+
+def _users(s, d):
+    """Each user's last event, and the last of all."""
+    e = table(s, d, "events")
+    return e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") != "error", F.col("ts").cast("timestamp"))).alias("last")).crossJoin(F.broadcast(e.agg(F.max(F.col("ts").cast("timestamp")).alias("now"))))  # one row
+
+
+Q["catch_up_due"] = lambda s, d: _users(s, d).select("user_id", generations.catch_up_due(F.col("now"), F.col("last"), F.lit(86400)).alias("due"))
+SQL["catch_up_due"] = "SELECT user_id, coalesce(floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(max(ts) FILTER (event_type <> 'error'))) >= 86400, true) AS due FROM events GROUP BY user_id"
+Q["backoff_schedule"] = lambda s, d: table(s, d, "events").where("event_type = 'error'").select("event_id", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("attempt")).select("event_id", "attempt", F.round(generations.backoff(F.col("attempt"), 1.5, 2.0, 60.0), 6).alias("seconds"))
+SQL["backoff_schedule"] = "SELECT event_id, attempt::INTEGER AS attempt, round(least(60.0::DOUBLE, 1.5::DOUBLE * pow(2.0::DOUBLE, attempt - 1)), 6) AS seconds FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events WHERE event_type = 'error')"
+Q["credential_state"] = lambda s, d: table(s, d, "events").select("event_id", generations.credential_state(F.col("event_type") != "error", F.when(F.col("event_id") % 10 != 0, F.col("ts").cast("timestamp")), F.to_timestamp(F.lit("2024-01-10 00:00:00")), 7 * 86400).alias("state"))
+SQL["credential_state"] = "SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 10 = 0 THEN 'ok' WHEN floor(epoch(ts)) <= epoch(TIMESTAMP '2024-01-10') THEN 'error' WHEN floor(epoch(ts)) <= epoch(TIMESTAMP '2024-01-17') THEN 'degraded' ELSE 'ok' END AS state FROM events"
+Q["index_location"] = lambda s, d: table(s, d, "pages").select("page_id", generations.index_location(F.col("url").startswith("http://"), F.contains("url", F.lit("?")), F.contains("url", F.lit("#"))).alias("state"))
+SQL["index_location"] = "SELECT page_id, CASE WHEN contains(url, '#') THEN 'configured_legacy' WHEN url LIKE 'http://%' AND contains(url, '?') THEN 'conflict' WHEN url LIKE 'http://%' THEN 'required' WHEN contains(url, '?') THEN 'ready' ELSE 'empty' END AS state FROM pages"
 
 
 def _configured(s, d):
@@ -229,24 +232,41 @@ SQL["configured_pages"] = "SELECT page_id::VARCHAR AS page_id, CASE WHEN page_id
 # metrics
 
 
-def _ranks(s, d, shift=0):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.nullif(F.pmod(F.col("item_id") * 7 + shift, F.lit(9)).cast("int"), F.lit(0)).alias("rank"))
+def _ranks(s, d, hits):
+    """The rank of each benchmark passage's first hit (query_id, id, rank) whose
+    document holds the passage; null without one."""
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    docs = corpus.files(s, d).select("path", "text")
+    found = hits.withColumn("path", F.split_part("id", F.lit("::"), F.lit(1))).join(b, "query_id").join(docs, "path").where(F.contains("text", F.col("passage")))
+    return b.select("query_id").join(found.groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
+
 
+def _vector_ranks(s, d):
+    return _ranks(s, d, search.vector_batch(s, d).select("query_id", "id", "rank"))
 
-RANKS = "now AS (SELECT item_id AS query_id, nullif(item_id * 7 % 9, 0) AS r FROM benchmark), then_ AS (SELECT item_id AS query_id, nullif((item_id * 7 + 2) % 9, 0) AS r FROM benchmark)"
-Q["retrieval_metrics"] = lambda s, d: metrics.retrieval(_ranks(s, d))
-SQL["retrieval_metrics"] = with_sql(RANKS) + "SELECT count(*) AS queries, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit1, count(*) FILTER (r <= 5) AS hits FROM now"
-Q["topk_churn"] = lambda s, d: metrics.churn(_ranks(s, d), _ranks(s, d, 2))
-SQL["topk_churn"] = with_sql(RANKS) + "SELECT query_id, CASE WHEN n.r <= 5 THEN 'entered' ELSE 'left' END AS change FROM now n JOIN then_ t USING (query_id) WHERE coalesce(n.r <= 5, false) <> coalesce(t.r <= 5, false)"
+
+def _hybrid_ranks(s, d):
+    return _ranks(s, d, search.fused_batch(s, d).where("fused_rank <= 40").select("query_id", "id", F.col("fused_rank").alias("rank")))
+
+
+RANKS = f"""{search.BATCH}, {search.FUSED},
+    lr AS (SELECT query_id, min(rank) AS r FROM vecb JOIN benchmark b ON b.item_id = query_id JOIN files f ON f.path = split_part(id, '::', 1) WHERE contains(f.text, b.text) GROUP BY query_id),
+    hr AS (SELECT query_id, min(fused_rank) AS r FROM fused JOIN benchmark b ON b.item_id = query_id JOIN files f USING (path) WHERE fused_rank <= 40 AND contains(f.text, b.text) GROUP BY query_id),
+    then_ AS (SELECT item_id AS query_id, r FROM benchmark LEFT JOIN lr ON query_id = item_id), now AS (SELECT item_id AS query_id, r FROM benchmark LEFT JOIN hr ON query_id = item_id)"""
+Q["retrieval_metrics"] = lambda s, d: metrics.retrieval(_hybrid_ranks(s, d))
+SQL["retrieval_metrics"] = with_sql(FILES, chunks_sql(), RANKS) + "SELECT count(*) AS queries, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit1, count(*) FILTER (r <= 5) AS hits FROM now"
+Q["topk_churn"] = lambda s, d: metrics.churn(_hybrid_ranks(s, d), _vector_ranks(s, d))
+SQL["topk_churn"] = with_sql(FILES, chunks_sql(), RANKS) + "SELECT query_id, CASE WHEN n.r <= 5 THEN 'entered' ELSE 'left' END AS change FROM now n JOIN then_ t USING (query_id) WHERE coalesce(n.r <= 5, false) <> coalesce(t.r <= 5, false)"
 
 
 def _truth(s, d):
-    r = _report(s, d).where("status IN ('fresh', 'stale', 'missing')")
-    k = F.regexp_extract("path", "/([0-9]+)", 1).cast("int")
-    return r.select(F.when(k % 21 == 0, "fresh").otherwise(F.col("status")).alias("expected"), F.when(k % 16 == 0, "stale").otherwise(F.col("status")).alias("actual"))
+    """What was done to each indexed file, and what the report says of it."""
+    k = F.col("doc_id")
+    done = corpus.indexed_files(s, d).select("path", F.when(k % 11 == 0, "missing").when(k % 7 == 0, "stale").otherwise("fresh").alias("expected"))
+    return done.join(_report(s, d).select("path", F.col("status").alias("actual")), "path", "left").select("expected", "actual")
 
 
-TRUTH = f"{FRESH}, tr AS (SELECT CASE WHEN k % 21 = 0 THEN 'fresh' ELSE status END AS expected, CASE WHEN k % 16 = 0 THEN 'stale' ELSE status END AS actual FROM (SELECT *, regexp_extract(path, '/([0-9]+)', 1)::INT AS k FROM rep) WHERE status IN ('fresh', 'stale', 'missing'))"
+TRUTH = f"{FRESH}, tr AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'stale' ELSE 'fresh' END AS expected, coalesce(r.status, '') AS actual FROM indexed LEFT JOIN rep r USING (path))"
 Q["drift_prf"] = lambda s, d: metrics.drift(_truth(s, d), ["fresh", "stale", "missing", "unknown"])
 SQL["drift_prf"] = with_sql(TRUTH, """l AS (SELECT unnest(['fresh', 'stale', 'missing', 'unknown']) AS label), c AS (SELECT label, count(*) FILTER (expected = label AND actual = label) AS tp, count(*) FILTER (expected <> label AND actual = label) AS fp, count(*) FILTER (expected = label AND actual <> label) AS fn FROM tr, l GROUP BY label),
     pr AS (SELECT label, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fn) END AS r FROM c)""") + "SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr"

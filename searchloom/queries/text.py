@@ -40,43 +40,53 @@ ODD = f"odd AS (SELECT doc_id, [{', '.join(repr(x) for x in DIRS)}][doc_id % {le
 Q["excluded_paths"] = lambda s, d: _odd_paths(s, d).where(paths.excluded(F.col("path"))).select("doc_id", "path")
 SQL["excluded_paths"] = with_sql(ODD) + f"""SELECT doc_id, path FROM odd WHERE regexp_extract(path, '[^/]*$') IN ({', '.join(repr(x) for x in EXCLUDED_FILES)})
     OR split_part(path, '/', 1) IN ({', '.join(repr(x) for x in EXCLUDED_DIRS)}) OR path LIKE '.%' OR path LIKE '%/.%/%'"""
-GIVEN_PATHS = [(1, "a/b.md"), (2, "a\\b\\c.md"), (3, "/abs/x.md"), (4, "../up.md"), (5, "a/../b.md"), (6, ""), (7, "./a//b.md"), (8, "C:/x.md"), (9, "a/."), (10, "é/ü.md"), (11, "a/..b.md"), (12, ".")]
-Q["normalize_paths"] = lambda s, d: rows(s, GIVEN_PATHS, "n int, given string").select("n", paths.index_path(F.col("given")).alias("path"))
-SQL["normalize_paths"] = f"""WITH g AS {values_sql(GIVEN_PATHS, 'n, given')}, p AS (SELECT n, replace(given, '\\', '/') AS p FROM g),
+#: Expressions that both engines read: the host and path of a page's address, and paths made of them in the forms that occur.
+HOST, PLACE = ("regexp_extract(url, '^https?://([^/?#]+)([^?#]*)', %d)" % i for i in (1, 2))
+GIVEN = f"""CASE page_id % 9 WHEN 0 THEN {PLACE} WHEN 1 THEN concat({HOST}, {PLACE}) WHEN 2 THEN replace(concat({HOST}, {PLACE}), '/', chr(92)) WHEN 3 THEN concat('..', {PLACE})
+    WHEN 4 THEN concat({HOST}, '/./', {PLACE}, '//x.md') WHEN 5 THEN concat('C:', {PLACE}) WHEN 6 THEN concat({HOST}, '/..', {PLACE}) WHEN 7 THEN '' ELSE concat({HOST}, '/.', '.b', {PLACE}, '/.') END"""
+
+
+def _given(s, d, value, name, of="pages", key="page_id"):
+    return table(s, d, of).select(F.col(key).alias("n"), F.expr(value).alias(name))
+
+
+Q["normalize_paths"] = lambda s, d: _given(s, d, GIVEN, "given").select("n", paths.index_path(F.col("given")).alias("path"))
+SQL["normalize_paths"] = f"""WITH g AS (SELECT page_id AS n, {GIVEN} AS given FROM pages), p AS (SELECT n, replace(given, '\\', '/') AS p FROM g),
     l AS (SELECT n, p, list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM p)
-    SELECT n::INTEGER AS n, CASE WHEN p = '' OR p LIKE '/%' OR list_contains(parts, '..') THEN NULL WHEN len(parts) = 0 THEN '.' ELSE array_to_string(parts, '/') END AS path FROM l"""
-Q["safe_paths"] = lambda s, d: rows(s, GIVEN_PATHS, "n int, given string").select("n", paths.safe(F.col("given")).alias("safe"))
-SQL["safe_paths"] = f"""WITH g AS {values_sql(GIVEN_PATHS, 'n, given')} SELECT n::INTEGER AS n, given <> '' AND len(list_filter(string_split(given, '/'), lambda x: x IN ('', '.', '..'))) = 0
+    SELECT n, CASE WHEN p = '' OR p LIKE '/%' OR list_contains(parts, '..') THEN NULL WHEN len(parts) = 0 THEN '.' ELSE array_to_string(parts, '/') END AS path FROM l"""
+Q["safe_paths"] = lambda s, d: _given(s, d, GIVEN, "given").select("n", paths.safe(F.col("given")).alias("safe"))
+SQL["safe_paths"] = f"""WITH g AS (SELECT page_id AS n, {GIVEN} AS given FROM pages) SELECT n, given <> '' AND len(list_filter(string_split(given, '/'), lambda x: x IN ('', '.', '..'))) = 0
     AND NOT regexp_matches(given, '^[A-Za-z]:') AND NOT contains(given, '\\') AS safe FROM g"""
-REFERENCES = [
-    (1, "12345"), (2, "https://wiki.example.com/pages/viewpage.action?pageId=77"), (3, "https://wiki.example.com/display/ENG/Release+Notes%20A"), (4, "https://wiki.example.com/x/AbC"),
-    (5, "https://other.example.com/display/ENG/T"), (6, "ftp://wiki.example.com/x/A"), (7, "https://wiki.example.com/pages/viewpage.action?pageId=x1"), (8, "https://wiki.example.com/display/ENG"), (9, "hello"), (10, "https://wiki.example.com/x/AbC?a=1"),
-]
-Q["parse_page_refs"] = lambda s, d: rows(s, REFERENCES, "n int, u string").select("n", paths.page_reference(F.col("u"), "https://wiki.example.com").alias("r")).select("n", "r.*")
-SQL["parse_page_refs"] = f"""WITH g AS {values_sql(REFERENCES, 'n, u')}, p AS (SELECT n, u, u LIKE 'https://wiki.example.com/%' AS here, regexp_extract(u, '^https?://[^/]+([^?#]*)', 1) AS path, regexp_extract(u, '\\?(.*)$', 1) AS q FROM g),
+WIKI = "https://wiki.example.com"
+REFERENCE = f"""CASE page_id % 8 WHEN 0 THEN cast(page_id AS varchar(20)) WHEN 1 THEN concat('{WIKI}/pages/viewpage.action?pageId=', page_id) WHEN 2 THEN concat('{WIKI}/display/S', page_id % 4, '/', {HOST}, '+Notes%20A')
+    WHEN 3 THEN concat('{WIKI}/x/', {HOST}) WHEN 4 THEN url WHEN 5 THEN concat('{WIKI}/pages/viewpage.action?pageId=x', page_id) WHEN 6 THEN concat('{WIKI}/display/', {HOST}) ELSE concat('{WIKI}/x/', {HOST}, '?a=1') END"""
+Q["parse_page_refs"] = lambda s, d: _given(s, d, REFERENCE, "u").select("n", paths.page_reference(F.col("u"), "https://wiki.example.com").alias("r")).select("n", "r.*")
+SQL["parse_page_refs"] = f"""WITH g AS (SELECT page_id AS n, {REFERENCE} AS u FROM pages), p AS (SELECT n, u, u LIKE 'https://wiki.example.com/%' AS here, regexp_extract(u, '^https?://[^/]+([^?#]*)', 1) AS path, regexp_extract(u, '\\?(.*)$', 1) AS q FROM g),
     k AS (SELECT *, regexp_extract(q, '(?:^|&)pageId=([^&]*)', 1) AS pid, regexp_extract(path, '/display/(.*)$', 1) AS rest,
         CASE WHEN regexp_matches(u, '^[0-9]+$') THEN 'id' WHEN NOT here THEN 'invalid'
              WHEN path LIKE '%/pages/viewpage.action' THEN CASE WHEN regexp_matches(regexp_extract(q, '(?:^|&)pageId=([^&]*)', 1), '^[0-9]+$') THEN 'id' ELSE 'invalid' END
              WHEN contains(path, '/display/') THEN CASE WHEN regexp_matches(path, '/display/[^/]+/.+') THEN 'display' ELSE 'invalid' END
              WHEN regexp_matches(path, '/x/[^/]+$') AND q = '' THEN 'tiny' ELSE 'invalid' END AS kind FROM p)
-    SELECT n::INTEGER AS n, kind, CASE WHEN kind = 'id' THEN coalesce(nullif(regexp_extract(u, '^[0-9]+$'), ''), pid) END AS page_id,
+    SELECT n, kind, CASE WHEN kind = 'id' THEN coalesce(nullif(regexp_extract(u, '^[0-9]+$'), ''), pid) END AS page_id,
         CASE WHEN kind = 'display' THEN url_decode(split_part(rest, '/', 1)) END AS space_key,
         CASE WHEN kind = 'display' THEN replace(url_decode(regexp_extract(rest, '^[^/]*/(.*)$', 1)), '+', ' ') END AS title FROM k"""
-NAMES = [(1, "plan.pdf"), (2, "a:b?.txt"), (3, "con.txt"), (4, "  . "), (5, "x" * 300 + ".drawio"), (6, "no_extension"), (7, "trail. ")]
-Q["staged_names"] = lambda s, d: rows(s, NAMES, "n int, name string").select("n", paths.staged_name(F.concat(F.lit("att"), F.col("n").cast("string")), F.col("name")).alias("staged"))
-SQL["staged_names"] = f"""WITH g AS {values_sql(NAMES, 'n, name')}, s AS (SELECT n, rtrim(regexp_replace(name, '[\\x00-\\x1f<>:"/\\\\|?*]', '_', 'g'), ' .') AS s FROM g),
+NAME = "concat(CASE page_id % 11 WHEN 0 THEN 'con' WHEN 1 THEN repeat('x', 300) WHEN 2 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END, CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN ':b?.txt' WHEN 2 THEN ' . ' WHEN 3 THEN '.drawio' ELSE '' END)"
+Q["staged_names"] = lambda s, d: _given(s, d, NAME, "name").select("n", paths.staged_name(F.concat(F.lit("att"), F.col("n").cast("string")), F.col("name")).alias("staged"))
+SQL["staged_names"] = f"""WITH g AS (SELECT page_id AS n, {NAME} AS name FROM pages), s AS (SELECT n, rtrim(regexp_replace(name, '[\\x00-\\x1f<>:"/\\\\|?*]', '_', 'g'), ' .') AS s FROM g),
     t AS (SELECT n, CASE WHEN s = '' THEN 'attachment' ELSE s END AS s FROM s), r AS (SELECT n, CASE WHEN regexp_matches(lower(split_part(s, '.', 1)), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN '_' || s ELSE s END AS s FROM t),
     e AS (SELECT n, s, regexp_extract(s, '[^.](\\.[^.]+)$', 1) AS x FROM r)
-    SELECT n::INTEGER AS n, 'att' || n || '-' || left(left(s, length(s) - length(x)), greatest(1, 255 - length('att' || n) - 1 - length(x))) || x AS staged FROM e"""
+    SELECT n, 'att' || n || '-' || left(left(s, length(s) - length(x)), greatest(1, 255 - length('att' || n) - 1 - length(x))) || x AS staged FROM e"""
 
 # hashes, dates, ids
 Q["content_hashes"] = lambda s, d: corpus.files(s, d).select("path", text.content_hash(F.col("text")).alias("sha256"), text.legacy_hash(F.col("text")).alias("md5"))
 SQL["content_hashes"] = with_sql(FILES) + "SELECT path, sha256(text) AS sha256, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS md5 FROM files"
-STAMPS = [(1, "2024-05-06"), (2, "2024-05-06T07:08:09Z"), (3, "2024-05-06T07:08:09+02:00"), (4, "2024-05-06T07:08:09.250-05:30"), (5, "2024-05-06T07:08:09"), (6, "not a date"), (7, ""), (8, "2024-13-01"), (9, " 2024-02-29 ")]
-Q["normalize_dates"] = lambda s, d: rows(s, STAMPS, "n int, v string").select("n", dates.rfc3339(F.col("v")).alias("utc"), dates.epoch_ms(dates.rfc3339(F.col("v"))).alias("epoch_ms"))
-SQL["normalize_dates"] = f"""WITH g AS {values_sql(STAMPS, 'n, v')}, t AS (SELECT n, trim(v) AS v FROM g),
+DAY, CLOCK = "left(cast(ts AS varchar(30)), 10)", "concat(left(cast(ts AS varchar(30)), 10), 'T', substring(cast(ts AS varchar(30)), 12, 8))"
+STAMP = f"""CASE event_id % 9 WHEN 0 THEN {DAY} WHEN 1 THEN concat({CLOCK}, 'Z') WHEN 2 THEN concat({CLOCK}, '+02:00') WHEN 3 THEN concat({CLOCK}, '.250-05:30') WHEN 4 THEN {CLOCK}
+    WHEN 5 THEN event_type WHEN 6 THEN '' WHEN 7 THEN concat(left({DAY}, 5), '13-', right({DAY}, 2)) ELSE concat(' ', {DAY}, ' ') END"""
+Q["normalize_dates"] = lambda s, d: _given(s, d, STAMP, "v", "events", "event_id").select("n", dates.rfc3339(F.col("v")).alias("utc"), dates.epoch_ms(dates.rfc3339(F.col("v"))).alias("epoch_ms"))
+SQL["normalize_dates"] = f"""WITH g AS (SELECT event_id AS n, {STAMP} AS v FROM events), t AS (SELECT n, trim(v) AS v FROM g),
     p AS (SELECT n, CASE WHEN regexp_matches(v, '^\\d{{4}}-\\d\\d-\\d\\d$') THEN TRY_CAST(v || ' 00:00:00+00' AS TIMESTAMPTZ) WHEN regexp_matches(v, 'T.*(Z|[+-]\\d\\d:\\d\\d)$') THEN TRY_CAST(v AS TIMESTAMPTZ) END AS ts FROM t)
-    SELECT n::INTEGER AS n, strftime(ts AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') ELSE '' END || 'Z' AS utc, epoch_ms(ts) AS epoch_ms FROM p"""
+    SELECT n, strftime(ts AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') ELSE '' END || 'Z' AS utc, epoch_ms(ts) AS epoch_ms FROM p"""
 Q["chunk_ids"] = lambda s, d: base.chunks(s, d).select("id", "chunk_index", "expected_chunk_count")
 SQL["chunk_ids"] = with_sql(FILES, chunks_sql()) + "SELECT id, chunk_index::INTEGER AS chunk_index, expected_chunk_count::INTEGER AS expected_chunk_count FROM chunks"
 Q["id_metadata"] = lambda s, d: base.chunks(s, d).select("id", *metadata.from_id(F.col("id")))
@@ -111,7 +121,7 @@ SECTIONS_SQL = """body AS (SELECT path, conv_id, substr(text, strpos(text, chr(1
     lines AS (SELECT path, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) AS ln, len(string_split(b, chr(10))) AS total FROM body),
     marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,3} .') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ln) - 1 AS n FROM lines),
     sections AS (SELECT path, n, trim(first(line ORDER BY ln)) AS header, string_agg(line || CASE WHEN ln < total THEN chr(10) ELSE '' END, '' ORDER BY ln) AS span FROM marked GROUP BY path, n)"""
-SQL["header_sections"] = with_sql(MD, SECTIONS_SQL) + "SELECT path, n::INTEGER AS n, header, md5(span) AS span_md5 FROM sections"
+SQL["header_sections"] = with_sql(MD, SECTIONS_SQL) + "SELECT path, n, header, md5(span) AS span_md5 FROM sections"
 Q["merge_sections"] = lambda s, d: corpus.markdown(s, d).select("path", F.posexplode(chunking.merge_sections(chunking.header_sections(chunking.body(F.col("text"))))).alias("n", "x")).select("path", "n", "x.header", F.length("x.span").alias("chars"))
 SQL["merge_sections"] = with_sql(MD, SECTIONS_SQL, """walk AS (SELECT path, n, 0::BIGINT AS g, length(span)::BIGINT AS run FROM sections WHERE n = 0
         UNION ALL SELECT s.path, s.n, CASE WHEN w.run >= 300 THEN w.g + 1 ELSE w.g END, CASE WHEN w.run >= 300 THEN length(s.span) ELSE w.run + length(s.span) END FROM walk w JOIN sections s ON s.path = w.path AND s.n = w.n + 1),
