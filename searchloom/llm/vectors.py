@@ -1,13 +1,16 @@
 """Operators 1 and 6: exact and approximate top-k search over vectors.
 
-Both lay queries and candidates out in blocks of bounded size and meet each
-pair of blocks in one group, so the only work is queries x candidates and no
-task holds more than one block of each.
+The exact search lays queries and candidates out in blocks of bounded size and
+meets each pair of blocks in one group, so the only work is queries x candidates
+and no task holds more than one block of each. The approximate one writes a tree
+for each block of candidates and takes the queries to the trees, in turns.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import pickle
 from decimal import Decimal
 
 import numpy as np
@@ -16,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from searchloom.llm.tables import blocks_of, spread, written
-from searchloom.llm.textcore import ranges
+from searchloom.llm.textcore import trimmed
 
 QUERY_BLOCK = 2048
 #: Whole numbers from this size on are multiplied as Python's; those over MOST count as MOST.
@@ -45,37 +48,21 @@ def whole_numbers(df: DataFrame, scale: float | None = None, vector: str = "v")
     return df.where(F.coalesce(v.isNotNull() & ~bad, F.lit(False))).withColumn(vector, F.transform(v, whole))
 
 
-def block_pairs(queries: DataFrame, candidates: DataFrame, block: int, which=None):
-    """Rows (qb, cb, q, id, v, bound), for each pair of a query and a candidate
-    block; which, of (blocks of candidates), names those that take part. Queries,
-    whose ids are distinct, are dealt by id, as they come out of a shuffle, and
-    candidates by their place in the input; both are the same in a second run."""
+def block_pairs(queries: DataFrame, candidates: DataFrame, block: int):
+    """Rows (qb, cb, q, id, v), for each pair of a query and a candidate block.
+    Queries, whose ids are distinct, are dealt by id, as they come out of a shuffle,
+    and candidates by their place in the input; both are the same in a second run."""
     n_c, n_q = (blocks_of(x.count(), size) for x, size in ((candidates, block), (queries, QUERY_BLOCK)))
-    blocks = [b for b in range(n_c) if which is None or which(b)]
-    if not blocks:
-        return None
-    bound = F.col("bound") if "bound" in queries.columns else F.lit(None).cast("double").alias("bound")
-    c = candidates.withColumn("cb", spread(n_c)).where(F.col("cb").isin(blocks) if which else F.lit(True)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.array(*[F.lit(b) for b in blocks])))
-    c = c.select("qb", "cb", F.lit(False).alias("q"), "id", "v", F.lit(None).cast("double").alias("bound"))
-    return c.unionByName(q.select("qb", "cb", F.lit(True).alias("q"), "id", "v", bound)).groupBy("qb", "cb")
+    c = candidates.withColumn("cb", spread(n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    return c.select("qb", "cb", F.lit(False).alias("q"), "id", "v").unionByName(q.select("qb", "cb", F.lit(True).alias("q"), "id", "v")).groupBy("qb", "cb")
 
 
 def split_block(table):
     """(query ids, query matrix, candidate ids, candidate matrix); shorter
     vectors are filled up with zeros."""
-    import pyarrow.compute as pc
-
     table = table.combine_chunks()
-    lists = table.column("v").combine_chunks()
-    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    dim = int(lens.max(initial=0))
-    if (lens == dim).all():
-        m = flat.reshape(len(lens), dim)
-    else:
-        m = np.zeros((len(lens), dim), flat.dtype)
-        m[np.arange(dim)[None, :] < lens[:, None]] = flat
+    m = matrix(table.column("v"))
     ids = table.column("id").to_numpy()
     q = table.column("q").to_numpy(zero_copy_only=False).astype(bool)
     order = np.argsort(ids[~q], kind="stable")
@@ -167,42 +154,45 @@ class ProjectionTree:
     """A kd-tree over Gaussian (2-stable) projections of a block of vectors.
 
     Inner products become distances by one more coordinate that gives all
-    vectors the block's largest norm. Around a query's projection a ball grows:
-    leaves whose boxes it reaches are opened, and vectors whose projections it
-    reaches are verified in whole, so that projected neighbours come in rising
-    order, some at a time. The query stops when a vector nearer than its k-th
-    would, with probability below 1 - sure, still be outside the ball: the
-    squared ratio of projected to true distance follows a chi-square law with as
-    many degrees as there are projections.
+    vectors the block's largest norm. A search descends from the root with a heap of
+    boxes, nearest first. What lies nearer to the query's projection than the next
+    box comes in rising order and is verified by its whole vector, some at a time.
+    The query stops when a vector nearer than its k-th would, with probability below
+    1 - sure, still lie beyond the projected distance reached: the squared ratio of
+    projected to true distance follows a chi-square law with as many degrees as
+    there are projections.
     """
 
-    #: Shares of the block that the growing balls are to hold.
-    STEPS = (0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.14, 0.18, 0.22, 0.26, 0.3, 0.34, 0.38, 0.42, 0.46, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9)
+    #: Leaves that are opened, and vectors that are verified, between two tests.
+    LEAVES, VERIFY = 4, 256
 
-    def __init__(self, x, dims: int = 16, leaf: int = 64, seed: int = 11):
+    def __init__(self, x, ids=None, dims: int = 16, leaf: int = 256, seed: int = 11):
         self.dims = dims
         norm2 = np.einsum("ij,ij->i", x, x)
         self.big2 = float(norm2.max())
         last = np.sqrt(np.maximum(self.big2 - norm2, 0))
         self.a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
         p = x @ self.a[:-1] + last[:, None] * self.a[-1]
-        leaves, todo = [], [np.arange(len(x))]
-        while todo:
-            rows = todo.pop()
-            if len(rows) <= leaf:
-                leaves.append(np.sort(rows))
-                continue
-            axis = int(np.ptp(p[rows], axis=0).argmax())
-            order = rows[np.argpartition(p[rows, axis], len(rows) // 2)]
-            todo += [order[: len(rows) // 2], order[len(rows) // 2 :]]
-        self.row = np.concatenate(leaves)  # leaf by leaf
-        self.x, self.p = x[self.row], p[self.row]
-        self.size = np.array([len(r) for r in leaves])
-        self.start = np.cumsum(self.size) - self.size
-        self.lo = np.minimum.reduceat(self.p, self.start)
-        self.hi = np.maximum.reduceat(self.p, self.start)
-        self.some = self.p[:: max(1, len(x) // 1024)]
-        self.verified = 0  # rows, over all queries
+        rows = np.arange(len(x))
+        start, stop, left = [0], [len(x)], [0]
+        node = 0
+        while node < len(start):  # nodes by breadth; the children of one are left and left + 1, a leaf has none
+            a, b = start[node], stop[node]
+            if b - a > leaf:
+                own = rows[a:b]
+                axis = int(np.ptp(p[own], axis=0).argmax())
+                rows[a:b] = own[np.argpartition(p[own, axis], (b - a) // 2)]
+                left[node] = len(start)
+                start += [a, a + (b - a) // 2]
+                stop += [a + (b - a) // 2, b]
+                left += [0, 0]
+            node += 1
+        self.start, self.stop, self.left = start, stop, left
+        self.ids = (np.arange(len(x)) if ids is None else ids)[rows]
+        self.x, self.p = x[rows], p[rows]
+        self.lo = np.array([self.p[a:b].min(0) for a, b in zip(start, stop, strict=True)])
+        self.hi = np.array([self.p[a:b].max(0) for a, b in zip(start, stop, strict=True)])
+        self.verified = self.opened = 0  # rows, over all queries
 
     def _chi_square(self, v: float) -> float:
         """P(chi-square with dims degrees <= v); dims is even."""
@@ -212,80 +202,171 @@ class ProjectionTree:
             total += term
         return 1 - math.exp(-half) * total
 
-    def search(self, q, own_lo, own_hi, k: int, sure: float, bound=None):
-        """For each query up to k rows of x (fewer if bound, a k-th inner product
-        known already, shuts others out); rows from own_lo to own_hi are its own."""
+    def search(self, q, own, k: int, sure: float, bound=None):
+        """For each query the places (in x) of up to k rows, fewer if bound, a k-th
+        inner product known already, shuts others out; own are the queries' ids,
+        whose rows don't count."""
         out = []
         for i, v in enumerate(q):
-            pv = v @ self.a[:-1]
-            q2 = float(v @ v)
-            scale = math.sqrt(max(q2 * self.big2, 1e-300))
-            known = -np.inf if bound is None or not np.isfinite(bound[i]) else bound[i] / scale
-            away = np.maximum(np.maximum(self.lo - pv, pv - self.hi), 0)
-            gap = np.einsum("ij,ij->i", away, away)
-            sample = np.sort(((self.some - pv) ** 2).sum(1))
-            radii = np.append(sample[[int(s * (len(sample) - 1)) for s in self.STEPS]], np.inf)
-            shut, far = np.ones(len(gap), bool), np.full(len(self.row), np.inf)
-            seen = -1.0
-            rows, ips = np.zeros(0, np.int64), np.zeros(0)
-            for radius in radii:
-                new = np.flatnonzero(shut & (gap <= radius))
-                shut[new] = False
-                at = ranges(self.start[new], self.size[new])
-                far[at] = ((self.p[at] - pv) ** 2).sum(1)
-                hit = np.flatnonzero((far <= radius) & (far > seen)) if np.isfinite(radius) else np.flatnonzero(far > seen)
-                seen = radius
-                hit = hit[(self.row[hit] < own_lo[i]) | (self.row[hit] >= own_hi[i])]
-                self.verified += len(hit)
-                if len(hit):
-                    ip = np.round(self.x[hit] @ v / scale, 12)  # so that equal vectors tie
-                    if len(ips) >= k:
-                        hit, ip = hit[ip >= ips[-1]], ip[ip >= ips[-1]]
-                    rows, ips = np.append(rows, self.row[hit]), np.append(ips, ip)
-                    o = np.lexsort((rows, -ips))[:k]
-                    rows, ips = rows[o], ips[o]
-                worst = max(known, ips[k - 1] if len(ips) >= k else -np.inf)
-                if np.isfinite(worst) and np.isfinite(radius):
-                    d2 = max(q2 + self.big2 - 2 * worst * scale, 0.0)
-                    if d2 == 0 and radius > 0 or d2 > 0 and self._chi_square(radius / d2) >= sure:
-                        break
-            out.append(rows)
+            known = -math.inf if bound is None or not math.isfinite(bound[i]) else float(bound[i])
+            out.append(self._one(v, own[i], k, sure, known))
         return out
 
+    def _one(self, v, own, k: int, sure: float, known: float):
+        pv, q2 = v @ self.a[:-1], float(v @ v)
+        scale = math.sqrt(max(q2 * self.big2, 1e-300))
+        if known > scale * (1 + 1e-9):
+            return np.zeros(0, np.int64)  # no row of the block reaches it
+        rows, ips = np.zeros(0, np.int64), np.zeros(0)
+        worst = known / scale
+
+        def verify(hit):
+            nonlocal rows, ips, worst
+            hit = hit[self.ids[hit] != own]
+            self.verified += len(hit)
+            ip = np.round(self.x[hit] @ v / scale, 12)  # so that equal vectors tie
+            use = ip >= worst - 1e-9
+            if use.any():
+                rows, ips = np.append(rows, hit[use]), np.append(ips, ip[use])
+                o = np.lexsort((self.ids[rows], -ips))[:k]
+                rows, ips = rows[o], ips[o]
+                if len(ips) >= k:
+                    worst = max(worst, float(ips[-1]))
+
+        def enough(radius: float) -> bool:
+            if worst == -math.inf:
+                return False
+            d2 = max(q2 + self.big2 - 2 * worst * scale, 0.0)
+            return radius > 0 if d2 == 0 else self._chi_square(radius / d2) >= sure
+
+        heap, wait, near, leaves = [(0.0, 0)], [], [], 0
+        while heap:
+            gap, node = heapq.heappop(heap)
+            child = self.left[node]
+            if child:
+                away = np.maximum(np.maximum(self.lo[child : child + 2] - pv, pv - self.hi[child : child + 2]), 0)
+                for c, g in enumerate(np.einsum("ij,ij->i", away, away).tolist()):
+                    heapq.heappush(heap, (g, child + c))
+                continue
+            a, b = self.start[node], self.stop[node]
+            self.opened += b - a
+            wait.append(np.arange(a, b))
+            near.append(((self.p[a:b] - pv) ** 2).sum(1))
+            leaves += 1
+            if heap and leaves % self.LEAVES == 0:
+                at, far = np.concatenate(wait), np.concatenate(near)
+                come = far <= heap[0][0]  # nearer than any box that isn't open
+                if come.any():
+                    verify(at[come])
+                    wait, near = [at[~come]], [far[~come]]
+                    if enough(heap[0][0]):
+                        return rows
+        at, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (wait, near))
+        o = np.argsort(far, kind="stable")
+        for n in range(0, len(o), self.VERIFY):
+            if enough(float(far[o[n]])):
+                break
+            verify(at[o[n : n + self.VERIFY]])
+        return rows
+
+
+#: Rows of a tree, and queries that all tasks hold at once.
+TREE_BLOCK, QUERY_TURN = 8_192, 16_384
+
+
+def trees(rows: DataFrame, block: int = TREE_BLOCK, dims: int = 16) -> DataFrame:
+    """(place, top, tree): the written trees of rows (id, v), in blocks of about
+    `block` rows by norm; place rises with the norm, and top is a block's largest."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    dealt = rows.select("id", "v", norm.alias("norm")).repartitionByRange(blocks_of(rows.count(), block), "norm", F.xxhash64("id"), F.monotonically_increasing_id())
+
+    def run(batches):
+        import pyarrow as pa
+
+        parts = list(batches)  # a block
+        if sum(len(b) for b in parts):
+            t = pa.Table.from_batches(parts)
+            ids, x, place = t.column("id").to_numpy(), matrix(t.column("v")), t.column("place")[0].as_py()
+            order = np.argsort(ids, kind="stable")
+            tree = ProjectionTree(x[order], ids[order], dims)
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([math.sqrt(tree.big2)]), pa.array([pickle.dumps(tree.__dict__, 5)], pa.binary())], names=["place", "top", "tree"])
+
+    return written(dealt.select("id", "v", F.spark_partition_id().alias("place")).mapInArrow(run, "place int, top double, tree binary"), "trees", maxRecordsPerFile="1")
+
+
+def matrix(col):
+    """A column of lists as a matrix; shorter ones are filled up with zeros."""
+    import pyarrow.compute as pc
 
-def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 65536, dims: int = 16, sure: float = 0.9) -> DataFrame:
+    lists = col.combine_chunks()
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, dim = lists.flatten().to_numpy(zero_copy_only=False), int(lens.max(initial=0))
+    if (lens == dim).all():
+        return flat.reshape(len(lens), dim)
+    m = np.zeros((len(lens), dim), flat.dtype)
+    m[np.arange(dim)[None, :] < lens[:, None]] = flat
+    return m
+
+
+def search_trees(held: DataFrame, asked: list, k: int, sure: float, known: dict | None = None) -> DataFrame:
+    """(query_id, vec_id, score): what each task's trees hold of the best of the
+    queries asked (id, v); known are k-th products found already."""
+    ids, vs = np.array([r.id for r in asked], np.int64), [np.array(r.v, float) for r in asked]
+    bound = np.array([(known or {}).get(r.id, -np.inf) for r in asked])
+    shared = held.sparkSession.sparkContext.broadcast((ids, vs, bound))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, vs, bound = shared.value
+        bound, best = bound.copy(), [[np.zeros(0), np.zeros(0, np.int64)] for _ in ids]
+        for batch in batches:
+            for raw in batch.column(0):
+                tree = ProjectionTree.__new__(ProjectionTree)
+                tree.__dict__.update(pickle.loads(raw.as_py()))
+                dim = tree.x.shape[1]
+                fit = lambda v, dim=dim: v[:dim] if len(v) >= dim else np.append(v, np.zeros(dim - len(v)))
+                for i, hit in enumerate(tree.search([fit(v) for v in vs], ids, k, sure, bound)):
+                    if len(hit):
+                        score = np.append(best[i][0], np.einsum("j,ij->i", fit(vs[i]), tree.x[hit]))
+                        found = np.append(best[i][1], tree.ids[hit])
+                        o = np.lexsort((found, -score))[:k]
+                        best[i] = [score[o], found[o]]
+                        if len(o) == k:
+                            bound[i] = max(bound[i], score[o][-1])
+        sizes = [len(b[0]) for b in best]
+        if sum(sizes):
+            score, found = (np.concatenate([b[c] for b in best]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return held.select("tree").mapInArrow(trimmed(run), "query_id long, vec_id long, score double")
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = TREE_BLOCK, dims: int = 16, sure: float = 0.9, turn: int = QUERY_TURN) -> DataFrame:
     """query_id, rank, vec_id, score: for each query about its k largest inner
     products (double precision, on the whole vectors) over the rows of df but
     those with its own key; score and order are exact for what is found.
 
-    Every row is indexed, in blocks with a ProjectionTree each. The first block's
-    k-th product of each query bounds its search in the other ones. Rows with a
-    null key or vector, an all-zero vector, or a component null or not finite
-    take no part; a shorter vector is filled up with zeros; of several query rows
-    with one key the smallest vector counts; rows of df that repeat count each.
-    Ties go to the smaller key. An empty table gives no rows, and other columns
-    don't matter, whatever their names.
+    Every row is indexed, in blocks by norm with a ProjectionTree each, built once
+    and written. Queries go to the trees in turns of bounded size; the block of the
+    largest norms answers first, and its k-th products bound the search in the
+    others. A task keeps each query's k best over its blocks. Rows with a null key
+    or vector, an all-zero vector, or a component null or not finite take no part; a
+    shorter vector is filled up with zeros; of several query rows with one key the
+    smallest vector counts; rows of df that repeat count each. Ties go to the
+    smaller key. An empty table gives no rows, and other columns don't matter,
+    whatever their names.
     """
-    q = usable(queries, key, vector, False).groupBy("id").agg(F.min("v").alias("v"))
-
-    def search(table):
-        import pyarrow as pa
-
-        qid, qm, cid, cm = split_block(table)
-        if not len(qid) or not len(cid):
-            return _arrow([], [], [], pa.float64())
-        asks = table.column("q").to_numpy(zero_copy_only=False).astype(bool)
-        bound = table.column("bound").to_numpy(zero_copy_only=False).astype(float)[asks]
-        lo, hi = (np.searchsorted(cid, qid, side=s) for s in ("left", "right"))
-        found = ProjectionTree(cm, dims).search(qm, lo, hi, k, sure, bound)
-        who, hit = np.repeat(np.arange(len(qid)), [len(r) for r in found]), np.concatenate(found)
-        return _arrow(qid[who], cid[hit], np.einsum("ij,ij->i", qm[who], cm[hit]), pa.float64())
-
-    rows, schema = usable(df, key, vector, False), "query_id long, vec_id long, score double"
-    first = block_pairs(q, rows, block, lambda b: b == 0).applyInArrow(search, schema)
-    if rows.count() <= block:
-        return best_of(first, k)
-    first = written(best_of(first, k), "first")
-    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-    rest = block_pairs(q.join(known, "id", "left"), rows, block, lambda b: b > 0).applyInArrow(search, schema)
-    return best_of(first.select("query_id", "vec_id", "score").unionByName(rest), k)
+    asked = written(usable(queries, key, vector, False).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    held = trees(usable(df, key, vector, False), block, dims)
+    last = held.agg(F.max("place")).head()[0]
+    turns, out = blocks_of(asked.count(), turn), None
+    for n in range(turns):
+        mine = (asked if turns == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == n)).collect()
+        first = written(best_of(search_trees(held.where(F.col("place") == last), mine, k, sure), k), "first")
+        known = {r.query_id: r.score for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}  # one a query of the turn
+        rest = search_trees(held.where(F.col("place") < last), mine, k, sure, known)
+        part = best_of(first.select("query_id", "vec_id", "score").unionByName(rest), k)
+        part = part if turns == 1 else written(part, "turn")
+        out = part if out is None else out.unionByName(part)
+    return out

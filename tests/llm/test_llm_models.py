@@ -71,7 +71,7 @@ def test_nearest_stops():
     x = rng.standard_normal((6000, 6)) @ rng.standard_normal((6, 48)) + 0.05 * rng.standard_normal((6000, 48))
     x /= np.linalg.norm(x, axis=1)[:, None]
     tree = vectors.ProjectionTree(x)
-    found = tree.search(x[:60], np.arange(60), np.arange(60) + 1, 20, 0.9)
+    found = [tree.ids[r] for r in tree.search(x[:60], np.arange(60), 20, 0.9)]
     exact = x[:60] @ x.T
     exact[np.arange(60), np.arange(60)] = -2
     best = np.argsort(-exact, axis=1)[:, :20]

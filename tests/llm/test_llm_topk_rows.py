@@ -23,3 +23,30 @@ def test_rows_not_finite_take_no_part(spark, tmp_path, kind):
     want = sorted(res.fetchall())
     assert len(want) == 15
     assert sorted(map(tuple, QUERIES["op1_exact_topk"](spark, str(tmp_path)).select(cols).collect())) == want
+
+
+def test_one_large_norm_spoils_one_block(spark):
+    """Blocks go by norm, so a row of a large norm makes no search exhaustive."""
+    from searchloom.llm import vectors
+
+    rng = np.random.default_rng(6)
+    centers = rng.standard_normal((50, 32))
+    x = centers[rng.integers(0, 50, 8000)] + 0.1 * rng.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[17] *= 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 200 = 1")
+    got: dict = {}
+    for r in vectors.nearest(df, q, 10, block=1000, turn=25).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = [i for i in range(8000) if i % 200 == 1]
+    exact = x[ids] @ x.T
+    exact[np.arange(len(ids)), ids] = -np.inf
+    want = {i: set(np.argsort(-e)[:10].tolist()) for i, e in zip(ids, exact, strict=True)}
+    assert np.mean([len(got[i] & want[i]) / 10 for i in ids]) >= 0.9 and all(17 in got[i] for i in ids if x[i] @ x[17] > 900)
+    held = vectors.trees(vectors.usable(df, "vec_id", "embedding", False), 1000).collect()
+    assert len(held) == 8 and sum(t.top > 2 for t in held) == 1
+    # a norm that all have: the tree alone, over rows that it doesn't spoil
+    tree = vectors.ProjectionTree(np.delete(x, 17, 0))
+    tree.search(x[ids], np.full(len(ids), -1), 10, 0.9)
+    assert tree.verified < 0.3 * len(ids) * len(x)
