@@ -163,10 +163,10 @@ class ProjectionTree:
     there are projections.
     """
 
-    #: Leaves that are opened, and vectors that are verified, between two tests.
-    LEAVES, VERIFY = 4, 256
+    #: Vectors that are verified between two tests, and that are sorted at once.
+    VERIFY, SORTED = 192, 6144
 
-    def __init__(self, x, ids=None, dims: int = 16, leaf: int = 256, seed: int = 11):
+    def __init__(self, x, ids=None, dims: int = 16, leaf: int = 1024, seed: int = 11):
         self.dims = dims
         norm2 = np.einsum("ij,ij->i", x, x)
         self.big2 = float(norm2.max())
@@ -189,9 +189,11 @@ class ProjectionTree:
             node += 1
         self.start, self.stop, self.left = start, stop, left
         self.ids = (np.arange(len(x)) if ids is None else ids)[rows]
-        self.x, self.p = x[rows], p[rows]
-        self.lo = np.array([self.p[a:b].min(0) for a, b in zip(start, stop, strict=True)])
-        self.hi = np.array([self.p[a:b].max(0) for a, b in zip(start, stop, strict=True)])
+        self.x, p = np.ascontiguousarray(x[rows]), p[rows]
+        self.short = (self.x / max(math.sqrt(self.big2), 1e-150)).astype(np.float32)  # for a first look at a vector
+        self.pp, self.pt = np.einsum("ij,ij->i", p, p), np.ascontiguousarray(p.T)
+        self.lo = np.array([p[a:b].min(0) for a, b in zip(start, stop, strict=True)])
+        self.hi = np.array([p[a:b].max(0) for a, b in zip(start, stop, strict=True)])
         self.verified = self.opened = 0  # rows, over all queries
 
     def _chi_square(self, v: float) -> float:
@@ -218,20 +220,21 @@ class ProjectionTree:
         if known > scale * (1 + 1e-9):
             return np.zeros(0, np.int64)  # no row of the block reaches it
         rows, ips = np.zeros(0, np.int64), np.zeros(0)
-        worst = known / scale
+        worst, short = known / scale, (v / max(math.sqrt(q2), 1e-150)).astype(np.float32)
 
         def verify(hit):
             nonlocal rows, ips, worst
-            hit = hit[self.ids[hit] != own]
             self.verified += len(hit)
-            ip = np.round(self.x[hit] @ v / scale, 12)  # so that equal vectors tie
-            use = ip >= worst - 1e-9
-            if use.any():
-                rows, ips = np.append(rows, hit[use]), np.append(ips, ip[use])
-                o = np.lexsort((self.ids[rows], -ips))[:k]
-                rows, ips = rows[o], ips[o]
-                if len(ips) >= k:
-                    worst = max(worst, float(ips[-1]))
+            for i in range(0, len(hit), self.VERIFY):
+                some = hit[i : i + self.VERIFY]
+                use = np.take(self.short, some, axis=0).dot(short) >= worst - 1e-5  # short floats err by less
+                if use.any():
+                    some = some[use]
+                    rows, ips = np.append(rows, some), np.append(ips, np.round(np.einsum("ij,j->i", self.x[some], v) / scale, 12))  # so that equal vectors tie
+                    o = np.lexsort((self.ids[rows], -ips))[:k]
+                    rows, ips = rows[o], ips[o]
+                    if len(ips) >= k:
+                        worst = max(worst, float(ips[-1]))
 
         def enough(radius: float) -> bool:
             if worst == -math.inf:
@@ -239,9 +242,18 @@ class ProjectionTree:
             d2 = max(q2 + self.big2 - 2 * worst * scale, 0.0)
             return radius > 0 if d2 == 0 else self._chi_square(radius / d2) >= sure
 
-        heap, wait, near, leaves = [(0.0, 0)], [], [], 0
+        heap, wait, near, least = [(0.0, 0)], [], [], math.inf
+        mine, pp, pv2 = np.flatnonzero(self.ids == own), float(pv @ pv), 2 * pv
         while heap:
             gap, node = heapq.heappop(heap)
+            if gap > least:  # vectors that are nearer than any box that isn't open
+                at, far = np.concatenate(wait), np.concatenate(near)
+                come = far < gap
+                verify(at[come])
+                if enough(gap):
+                    return rows
+                wait, near = [at[~come]], [far[~come]]
+                least = float(near[0].min(initial=math.inf)) * 1.02  # some at a time
             child = self.left[node]
             if child:
                 away = np.maximum(np.maximum(self.lo[child : child + 2] - pv, pv - self.hi[child : child + 2]), 0)
@@ -250,28 +262,32 @@ class ProjectionTree:
                 continue
             a, b = self.start[node], self.stop[node]
             self.opened += b - a
+            d = self.pp[a:b] - pv2.dot(self.pt[:, a:b]) + pp
+            if len(mine):
+                d[mine[(mine >= a) & (mine < b)] - a] = math.inf
             wait.append(np.arange(a, b))
-            near.append(((self.p[a:b] - pv) ** 2).sum(1))
-            leaves += 1
-            if heap and leaves % self.LEAVES == 0:
-                at, far = np.concatenate(wait), np.concatenate(near)
-                come = far <= heap[0][0]  # nearer than any box that isn't open
-                if come.any():
-                    verify(at[come])
-                    wait, near = [at[~come]], [far[~come]]
-                    if enough(heap[0][0]):
-                        return rows
-        at, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (wait, near))
-        o = np.argsort(far, kind="stable")
-        for n in range(0, len(o), self.VERIFY):
-            if enough(float(far[o[n]])):
-                break
-            verify(at[o[n : n + self.VERIFY]])
+            near.append(d)
+            least = min(least, float(d.min()))
+        at, far = np.concatenate(wait), np.concatenate(near)
+        n = 0
+        while n < len(far):  # the next ones in rising order, sorted as far as they are needed
+            most = min(len(far), n + self.SORTED)
+            if most < len(far):
+                o = np.argpartition(far[n:], most - n - 1)
+                at[n:], far[n:] = at[n:][o], far[n:][o]
+            o = np.argsort(far[n:most])
+            at[n:most], far[n:most] = at[n:most][o], far[n:most][o]
+            for m in range(n, most, self.VERIFY):
+                end = min(most, m + self.VERIFY)
+                if enough(float(far[m])) or far[m] == math.inf:
+                    return rows
+                verify(at[m : min(end, int(np.searchsorted(far[n:most], math.inf)) + n)])
+            n = most
         return rows
 
 
 #: Rows of a tree, and queries that all tasks hold at once.
-TREE_BLOCK, QUERY_TURN = 8_192, 16_384
+TREE_BLOCK, QUERY_TURN = 16_384, 16_384
 
 
 def trees(rows: DataFrame, block: int = TREE_BLOCK, dims: int = 16) -> DataFrame:
