@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from searchloom.queries import contract, search, state, text
+from searchloom.queries import contract, ingest, search, state, text
 
-MODULES = (text, search, state, contract)
+MODULES = (text, search, state, contract, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

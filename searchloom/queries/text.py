@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from searchloom.contracts import EXCLUDED_DIRS, EXCLUDED_FILES, METADATA_FIELDS
 from searchloom.functions import dates, paths, text
-from searchloom.operators import chunking, metadata
+from searchloom.operators import chunking, metadata, pdf
 from searchloom.queries import base
 from searchloom.queries.base import FILES, chunks_sql, rows, spans_sql, strip_sql, values_sql, with_sql
 from searchloom.sources import corpus
@@ -189,3 +189,22 @@ def _eav(s, d):
 Q["eav_pivot"] = _eav
 SQL["eav_pivot"] = with_sql(FILES) + "SELECT doc_id AS id, path, schema_version::VARCHAR AS schema_version, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS even FROM files"
 assert len(METADATA_FIELDS) == 15 and strip_sql
+
+
+def _as_pdf(s, d):
+    """documents as files of pages, one a line."""
+    return corpus.files(s, d).select(F.regexp_replace("path", r"\.md$", ".pdf").alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").alias("size_bytes"))
+
+
+Q["pdf_chunks"] = lambda s, d: pdf.pdf_chunks(_as_pdf(s, d), lambda raw: raw.decode().split("\n"), F.lit(CAPTURED)).select("path", "status", "title", "source_kind", "content_hash", "file_hash", "header", "chunk_index", "expected_chunk_count", "id", F.md5(F.col("chunk").cast("binary")).alias("md5"))
+SQL["pdf_chunks"] = with_sql(
+    FILES,
+    "pdfs AS (SELECT doc_id, regexp_replace(path, '[.]md$', '.pdf') AS path, text FROM files)",
+    f"pages_ AS (SELECT path, page, path || '#' || page AS k, {strip_sql('t')} AS text FROM (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM pdfs) WHERE {strip_sql('t')} <> '')",
+    spans_sql("pages_", key="k", prefix="p_"),
+    f"cutp AS (SELECT path, page, i, {strip_sql('substr(s.text, s + 1, e - s)')} AS chunk FROM p_spans s JOIN pages_ USING (k))",
+    "numbered AS (SELECT path, page, chunk, row_number() OVER (PARTITION BY path ORDER BY page, i) - 1 AS n, count(*) OVER (PARTITION BY path) AS total FROM cutp WHERE chunk <> '')",
+    "whole AS (SELECT path, md5(string_agg(text, chr(10) ORDER BY page)) AS file_hash FROM pages_ GROUP BY path)",
+) + """SELECT f.path, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status, CASE WHEN n IS NOT NULL THEN f.doc_id::VARCHAR END AS title, 'doc' AS source_kind,
+    CASE WHEN n IS NOT NULL THEN sha256(f.text) END AS content_hash, file_hash, 'Page ' || page AS header, n::INTEGER AS chunk_index, total::INTEGER AS expected_chunk_count, f.path || '::' || sha256(f.text) || '::v3::' || n AS id, md5(chunk) AS md5
+    FROM pdfs f LEFT JOIN numbered USING (path) LEFT JOIN whole USING (path)"""

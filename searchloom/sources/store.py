@@ -45,7 +45,7 @@ class PublicationError(RuntimeError):
     """What was written doesn't read back as it was."""
 
 
-def _facts(df: DataFrame):
+def facts(df: DataFrame):
     """Aggregates over rows with their hash h: how many there are and a fingerprint
     of them, whatever their order; and the expression of h."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
@@ -218,9 +218,9 @@ class Store:
     def _table(self, g: str, name: str, df: DataFrame, partition: str | None, order: list[str] | None) -> dict:
         """Writes one table and verifies it; its entry of the manifest."""
         path, schema = f"{self.root}/{g}/{name}", df.schema
-        facts, row = _facts(df)
+        totals, row = facts(df)
         seen = Observation()
-        rows = df.withColumn("h", row).observe(seen, *facts).drop("h") if "h" not in df.columns else df
+        rows = df.withColumn("h", row).observe(seen, *totals).drop("h") if "h" not in df.columns else df
         laid = partition and partition in df.columns
         if laid:
             rows = rows.withColumn("__part", F.col(partition)).repartition("__part").sortWithinPartitions("__part", *(order or []))
@@ -231,10 +231,10 @@ class Store:
             parts = {"": f"{g}/{name}"}
         paths = [f"{self.root}/{p}" for p in parts.values()]
         back = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        got = back.withColumn("h", row).agg(*facts).head().asDict()
+        got = back.withColumn("h", row).agg(*totals).head().asDict()
         if "h" not in df.columns and got != seen.get:
             # a task that ran twice is observed twice, so the rows themselves decide
-            if got != df.withColumn("h", row).agg(*facts).head().asDict():
+            if got != df.withColumn("h", row).agg(*totals).head().asDict():
                 raise PublicationError(f"table {name} doesn't read back as it was written")
         return {"schema": schema.jsonValue(), "laid": bool(laid), "parts": parts, "rows": got["rows"]}
 
