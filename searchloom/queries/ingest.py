@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from searchloom.contracts import JOB_BYTES
 from searchloom.operators import convert
-from searchloom.plans import backup, ingest
+from searchloom.plans import backup, ingest, repair
 from searchloom.queries import base, state
 from searchloom.queries.base import FILES, chunks_sql, with_sql
 from searchloom.sources.corpus import table
@@ -92,3 +92,19 @@ def _restored(s, d):
 
 Q["restored_index"] = _restored
 SQL["restored_index"] = with_sql(FILES, chunks_sql()) + "SELECT section, count(DISTINCT path) AS files, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars FROM chunks GROUP BY section"
+
+
+def _health(s, d):
+    """The index's tables of one row a chunk, with their parts that are damaged or
+    whose ids diverge."""
+    store = base.index(s, d).store
+    damaged = store.damaged()
+    tables = [(n, store.meta()["tables"][n]["rows"], len(damaged.get(n, ()))) for n in ("chunks", "forward", "vectors")]
+    apart = repair.diverging(store).groupBy("table").agg(F.count(F.lit(1)).alias("diverging"))
+    told = base.rows(s, tables, "table string, told long, damaged long")
+    found = base.union([store.table(n).agg(F.lit(n).alias("table"), F.count_distinct("id").alias("ids")) for n, _, _ in tables])
+    return told.join(found, "table").join(apart, "table", "left").select("table", F.col("told").alias("rows"), "ids", "damaged", F.coalesce("diverging", F.lit(0)).alias("diverging"))
+
+
+Q["index_health"] = _health
+SQL["index_health"] = with_sql(FILES, chunks_sql()) + "SELECT t AS table, count(*) AS rows, count(DISTINCT id) AS ids, 0::BIGINT AS damaged, 0::BIGINT AS diverging FROM chunks, (SELECT unnest(['chunks', 'forward', 'vectors']) AS t) GROUP BY t"

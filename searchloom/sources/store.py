@@ -29,6 +29,8 @@ from pyspark.sql.types import StructType
 from searchloom.contracts import CHUNKING_VERSION, LEXICAL_VERSION, LOCK_LEASE, LOCK_WAIT, METADATA_VERSION
 from searchloom.sources.scratch import file_system, small_file
 
+#: The part of rows without a value to lay them out by.
+NULL_PART = "__HIVE_DEFAULT_PARTITION__"
 #: Parts of an index whose manifest doesn't say.
 DEFAULT_BUCKETS = 16
 
@@ -52,6 +54,22 @@ def facts(df: DataFrame):
     return [F.count(F.lit(1)).alias("rows"), F.expr("coalesce(bit_xor(h), 0)").alias("f1"), F.expr("coalesce(bit_xor(xxhash64(h, 1)), 0)").alias("f2")], row
 
 
+def part_facts(df: DataFrame, partition: str | None) -> dict[str, dict]:
+    """The facts of each part of a table, by its name in the manifest."""
+    totals, row = facts(df)
+    part = F.col(partition).cast("string") if partition else F.lit("")
+    found = df.withColumn("h", row).groupBy(F.coalesce(part, F.lit(NULL_PART)).alias("__part")).agg(*totals).collect()  # at most the number of parts
+    return {r["__part"]: {k: r[k] for k in ("rows", "f1", "f2")} for r in found}
+
+
+def total(held) -> dict:
+    """The facts of a table from those of its parts."""
+    out = {"rows": 0, "f1": 0, "f2": 0}
+    for x in held:
+        out = {"rows": out["rows"] + x["rows"], "f1": out["f1"] ^ x["f1"], "f2": out["f2"] ^ x["f2"]}
+    return out
+
+
 class Store:
     """Tables chunks, postings and others, in generations below root."""
 
@@ -162,10 +180,37 @@ class Store:
             return None
         return self._parts(meta["tables"][name], parts)
 
-    def _parts(self, held: dict, parts: list | None = None) -> DataFrame:
+    def _parts(self, held: dict, parts: list | None = None, **options: str) -> DataFrame:
         schema = StructType.fromJson(held["schema"])
-        paths = [f"{self.root}/{p}" for k, p in held["parts"].items() if parts is None or k in {str(x) for x in parts}]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        wanted = None if parts is None else {str(x) for x in parts}
+        paths = [f"{self.root}/{p}" for k, p in held["parts"].items() if wanted is None or k in wanted]
+        return self.spark.read.schema(schema).options(**options).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _there(self, held: dict) -> dict[str, str]:
+        return {k: p for k, p in held["parts"].items() if self._fs.exists(self._path(f"{self.root}/{p}"))}
+
+    def left(self, name: str) -> DataFrame:
+        """What can still be read of a table that may be damaged."""
+        held = self.meta()["tables"][name]
+        return self._parts(held | {"parts": self._there(held)}, ignoreCorruptFiles="true", ignoreMissingFiles="true")
+
+    def damaged(self) -> dict[str, list[str]]:
+        """Tables of the current generation, each with its parts whose rows aren't
+        those that were written: changed, lost, or in files that can't be read.
+        Every part's fingerprint is compared with the manifest's, one aggregation a
+        table. Parts that were written without fingerprints only have to be there."""
+        out: dict[str, list[str]] = {}
+        for name, held in (self.meta() or {"tables": {}})["tables"].items():
+            there = self._there(held)
+            by = held["laid"] if isinstance(held["laid"], str) else None
+            found = {}
+            if by or not held["laid"]:
+                found = part_facts(self.left(name), by)
+            told = held.get("facts", {})
+            bad = [k for k in held["parts"] if k not in there or k in told and found.get(k) != told[k]]
+            if bad:
+                out[name] = sorted(bad)
+        return out
 
     def buckets(self) -> int:
         """The number of parts, which stays as it was at first."""
@@ -206,6 +251,7 @@ class Store:
                     elif held["laid"] and manifest[name]["laid"]:
                         stay = {k: p for k, p in held["parts"].items() if k not in gone}
                         manifest[name]["parts"] |= {k: p for k, p in stay.items() if k not in manifest[name]["parts"]}
+                        manifest[name]["facts"] |= {k: f for k, f in held.get("facts", {}).items() if k in stay and k not in manifest[name]["facts"]}
                 self._put(f"{g}/meta.json", {"fingerprint": fingerprint, "chunking": CHUNKING_VERSION, "metadata": METADATA_VERSION, "version": LEXICAL_VERSION, "buckets": buckets or (self.meta() or {}).get("buckets"), "written": {k: manifest[k]["rows"] for k in tables}, "tables": manifest})
                 self._point(g, claim)
             except Exception:
@@ -231,12 +277,13 @@ class Store:
             parts = {"": f"{g}/{name}"}
         paths = [f"{self.root}/{p}" for p in parts.values()]
         back = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        got = back.withColumn("h", row).agg(*totals).head().asDict()
+        held = part_facts(back, partition if laid else None)
+        got = total(held.values())
         if "h" not in df.columns and got != seen.get:
             # a task that ran twice is observed twice, so the rows themselves decide
             if got != df.withColumn("h", row).agg(*totals).head().asDict():
                 raise PublicationError(f"table {name} doesn't read back as it was written")
-        return {"schema": schema.jsonValue(), "laid": bool(laid), "parts": parts, "rows": got["rows"]}
+        return {"schema": schema.jsonValue(), "laid": partition if laid else False, "parts": parts, "facts": held, "rows": got["rows"]}
 
     def purge(self, keep: int) -> list[str]:
         """Deletes the generations that are neither current, nor among the newest,
