@@ -38,6 +38,33 @@ def test_markdown_of_html(html, text):
     assert markdown(html)[1] == text
 
 
+@pytest.mark.parametrize(
+    "html, title, text",
+    [
+        ("<title>a&amp;&amp</title>b&amp", "a&&amp", "b&amp"),
+        ("<p>1 &lt 2 &lt; 3 &#65 &#65; &am", None, "1 &lt 2 < 3 &#65 A &am"),
+        ("<a href='/u?a=1&copy=2&amp;b'>x&copy</a>", None, "[x&copy](/u?a=1&copy=2&b)"),
+        ("&ampfoo; &notit; & && <xmp>a & b</xmp>", None, "&ampfoo; &notit; & && a & b"),
+    ],
+)
+def test_references_end_with_a_semicolon(html, title, text):
+    assert markdown(html) == (title, text)
+
+
+def test_cut_references_are_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from searchloom.queries import ingest as queries
+
+    rows = [(7, "<html><head><title>a&amp</title></head><body><article><h1>a&amp</h1><p>b&amp;c&am</p></article></body></html>"), (13, "<p>x&amp; &lt y</p>"), (44, "<p>&am</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("converted_pages",):
+        got = queries.Q[name](spark, str(tmp_path)).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(queries.SQL[name]).fetchall()))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<ul>", "<li>", "</ul>", "<a href=x>", "</a>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<pre>", "</pre>", "<br>", "<h1>", "</h1>", "<ol>", "<div>", "</div>", "<b>", "w1", " w2 ", "w3\n"])))
 def test_no_words_are_lost_whatever_the_tags(pieces):
