@@ -60,7 +60,7 @@ def test_cut_references_are_as_in_the_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    for name in ("converted_pages",):
+    for name in ("converted_pages", "published_generation"):
         got = queries.Q[name](spark, str(tmp_path)).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(queries.SQL[name]).fetchall()))
 
