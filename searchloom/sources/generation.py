@@ -66,7 +66,8 @@ class Generations(Store):
         with self.lock(wait) as claim:
             if base is not None and (self.current() or "") != base:
                 raise PublicationError(f"the current generation isn't {base or 'none'} any more")
-            serial = (self._read("serial.json") or {"n": 0})["n"] + 1
+            left = [int(m[1]) for n in self._folders() if (m := re.match(r"g(\d{8})-", n))]  # a writer that died leaves its number too
+            serial = max((self._read("serial.json") or {"n": 0})["n"], *left, 0) + 1
             name = f"g{serial:08d}-{uuid.uuid4().hex[:8]}"
             pending = f"{folder}/{PENDING}{name}"
             try:
@@ -93,10 +94,14 @@ class Generations(Store):
             self._purge(keep)
             return name
 
+    def _folders(self) -> list[str]:
+        path = self._path(f"{self.root}/generations")
+        return [s.getPath().getName() for s in self._fs.listStatus(path) if s.isDirectory()] if self._fs.exists(path) else []
+
     def _purge(self, keep: int) -> None:
         """Deletes pending folders, none of which is being written under this lock,
         and all generations but the newest `keep` and the current one."""
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/generations")) if s.isDirectory()]
+        found = self._folders()
         done = sorted(n for n in found if not n.startswith(PENDING))
         stay = {*done[-keep:], self.current()} if keep > 0 else {self.current()}
         for n in found:
