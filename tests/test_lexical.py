@@ -98,3 +98,31 @@ def test_common_terms_are_read_where_they_matter(stored, monkeypatch):
     monkeypatch.undo()
     plan = lexical.bm25_blocks(kept, df.where("term IN ('w0', 'w78')"), sizes, ["w0", "w78"], None, 5)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block" in plan and "hashpartitioning(id" not in plan and "hashpartitioning(block#" in plan and ", id#" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+
+
+def test_stored_postings_name_a_chunk_once(spark, stored, tmp_path, monkeypatch):
+    """The index's postings have no ids but one list a block; nothing that is made
+    of a laid-out part is shuffled, and searches find what a scan finds."""
+    from searchloom.sources import index
+    from searchloom.sources.store import Store
+
+    chunks = stored[0].withColumns({"path": F.substring("id", 1, 3), "section": F.lit("s"), "chunk_index": F.lit(0)}).drop("bucket")
+    moved = []
+    kept = Store._table
+    monkeypatch.setattr(Store, "_table", lambda self, g, name, df, *a: moved.append((name, "Exchange" in df._jdf.queryExecution().executedPlan().toString(), a[-1])) or kept(self, g, name, df, *a))
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(index.index_tables(chunks, embedder="hash"), {"embedding_model": "hash"}, "bucket", order=index.ORDER)
+    assert {n for n, shuffled, still in moved if still and not shuffled} == {"forward", "postings", "vectors"}
+    held = store.table("postings")
+    names = held.where("term IS NULL")
+    assert names.agg(F.sum(F.size("ids"))).head()[0] == chunks.count() and held.where("term IS NOT NULL AND (ids IS NOT NULL OR dl IS NOT NULL)").count() == 0
+    x = index.Index(store)
+    for few in (0, 1_000_000):
+        monkeypatch.setattr(lexical, "FEW", few)
+        monkeypatch.setattr(lexical, "FIRST", 3)
+        for phrases in ([["w1"], ["w70"]], [["w0", "w1"], ["w79"]], [["nothing"]]):
+            for condition in (None, F.col("id").endswith("7")):
+                got = x.lexical(phrases, condition, 20).collect()
+                want = lexical.bm25(chunks, phrases, condition, 20).collect()
+                order = lambda rows: [(r.id, round(r.bm25, 8)) for r in sorted(rows, key=lambda r: (round(r.bm25, 9), r.id))]
+                assert order(got) == order(want)
