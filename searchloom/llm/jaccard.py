@@ -14,9 +14,10 @@ with which it shares most parts. Then, in the groups of a part that still hold
 several components, sets outside the group's largest component ask: each names
 the nearest few sets of other components that its bit sketch allows, these are
 verified and connected, and sets that may have more to name ask again, for eight
-times as many, from where they stopped. So what is named stays in proportion to
-the sets, as long as near sets link, and still every possible link is verified
-or lies inside a component.
+times as many, from where they stopped. Before that, each asks once in the largest
+of its groups alone: near sets share most parts, and would be named in each of
+them. So what is named stays in proportion to the sets, as long as near sets link,
+and still every possible link is verified or lies inside a component.
 
 A row is told apart by its key and a hash of its text. A part that many sets of
 one task share is dealt out by the least of them, which alone meets the sets of
@@ -362,15 +363,15 @@ def _name_nearest(num: int, den: int, most: int):
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, doc, th, asks): the rows of parts whose sets are of several
+    """(key, size, doc, th, asks): the rows of parts whose sets are of several
     components, one part of those with the same rows; rows outside the part's
-    largest component ask."""
+    largest component ask. size is the part's number of rows."""
     of = written(_with_component(shared.select("key", "doc", "th").distinct(), labels), "labelled")
     whole = lambda x, y: [F.expr(f"bit_xor({v})").alias(n) for v, n in ((x, "f1"), (y, "f2"))]
     parts = of.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), *whole("xxhash64(doc, th)", "xxhash64(th, doc, 1)"))
     keys = parts.groupBy("key").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("rows", "comp")).alias("big"), *whole("f1", "f2")).where("comps > 1")
-    keys = written(keys.groupBy("rows", "f1", "f2").agg(F.min(F.struct("key", "big.comp")).alias("k")).select("k.key", F.col("k.comp").alias("big")), "mixed")
-    out = written(of.join(keys, "key").select("key", "doc", "th", (F.col("comp") != F.col("big")).alias("asks")), "open")
+    keys = written(keys.groupBy("rows", "f1", "f2").agg(F.min(F.struct("key", "big.comp")).alias("k")).select("k.key", F.col("rows").alias("size"), F.col("k.comp").alias("big")), "mixed")
+    out = written(of.join(keys, "key").select("key", "size", "doc", "th", (F.col("comp") != F.col("big")).alias("asks")), "open")
     released(of, keys)
     return out
 
@@ -391,9 +392,13 @@ def _connected(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _late(open_rows: DataFrame, labels: DataFrame, texts: DataFrame, words: int, num: int, den: int, block: int, named: int) -> DataFrame:
     """labels after all links between components that rows of open_rows still have."""
     sketches = written(texts.join(open_rows.select("doc", "th").distinct(), ["doc", "th"], "left_semi").select("doc", "th", "t").mapInArrow(trimmed(_sketches(words, num, den)), "doc long, th long, n long, own binary, low binary"), "sketches")
-    stopped = None
+    once = written(open_rows.where("asks").groupBy("doc", "th").agg(F.max(F.struct("size", "key")).alias("m")).select("doc", "th", "m.key", F.lit(True).alias("once")), "once")
+    stopped, first = None, True
     while True:
-        rows = _with_component(open_rows, labels)
+        rows = open_rows
+        if first:  # each in the largest of its groups
+            rows = rows.join(once, ["key", "doc", "th"], "left").withColumn("asks", F.col("once").isNotNull()).drop("once")
+        rows = _with_component(rows, labels)
         if stopped is None:
             rows = rows.withColumns({"far": F.lit(-1).cast("long"), "pd": F.lit(0).cast("long"), "pt": F.lit(0).cast("long")})
         else:  # those that named as many as they might ask on
@@ -414,13 +419,17 @@ def _late(open_rows: DataFrame, labels: DataFrame, texts: DataFrame, words: int,
         nth = F.row_number().over(W.partitionBy("doc", "th").orderBy("far", "pd", "pt"))
         found = written(found.withColumn("nth", nth).where(F.col("nth") <= named), "named")
         released(rows, groups)
-        if found.isEmpty():
+        if not first and found.isEmpty():
             return labels
         least, most = F.least(F.struct(F.col("doc").alias("d"), F.col("th").alias("h")), F.struct(F.col("pd").alias("d"), F.col("pt").alias("h"))), F.greatest(F.struct(F.col("doc").alias("d"), F.col("th").alias("h")), F.struct(F.col("pd").alias("d"), F.col("pt").alias("h")))
         pairs = found.select(least.alias("x"), most.alias("y")).distinct().select(F.col("x.d").alias("a"), F.col("x.h").alias("ath"), F.col("y.d").alias("b"), F.col("y.h").alias("bth"))
         links = written(_verify(written(pairs, "pairs"), texts, words, num, den), "late")
         if not links.isEmpty():
             labels = _connected(labels, links)
+        if first:
+            first = False
+            released(once)
+            continue
         stopped = written(found.where(F.col("nth") == named).select("doc", "th", "far", "pd", "pt"), "stopped")
         named *= 8
         if stopped.isEmpty():

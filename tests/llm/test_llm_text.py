@@ -291,6 +291,41 @@ def test_classes_of_a_large_group(spark, edits, monkeypatch):
             assert all(n <= 8 * len(rows) for name, n in sizes if name in ("named", "pairs", "stars", "copies", "links", "late"))
 
 
+def test_near_sets_are_not_named_in_each_part_they_share(spark, monkeypatch):
+    """What tasks name, before repeats are dropped, when parts lie in many tasks."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        t = [f"w{i}" for i in range(150)]
+        for at in rng.choice(150, rng.integers(0, 14), replace=False):
+            t[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(t)))
+    named, naming = spark.sparkContext.accumulator(0), jaccard._name_nearest
+
+    def counted(*given):
+        run = naming(*given)
+
+        def each(batches):
+            for batch in run(batches):
+                named.add(batch.num_rows)
+                yield batch
+
+        return each
+
+    monkeypatch.setattr(jaccard, "_name_nearest", counted)
+    many = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), words=5, num=80).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_classes(rows, 5, 80)
+    assert named.value <= len(rows)  # by all their parts at once: 697
+
+
 def test_classes_of_rows_with_one_key(spark):
     """Rows (2, t1), (9, t1), (9, t3), (5, t2): t2 and t3 link, so all three keys do."""
     t1, t2 = " ".join(f"a{i}" for i in range(200)), [f"b{i}" for i in range(200)]
