@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.contracts import CHUNKING_VERSION
 from searchloom.operators import vector
 from searchloom.operators.chunking import chunk_files
-from searchloom.sources.index import ORDER, centroids, index_tables, path_bucket
+from searchloom.sources.index import ORDER, centroids, index_tables, needed, path_bucket
 from searchloom.sources.store import Store
 
 #: Tables that have a row for each chunk of their part.
@@ -72,5 +72,5 @@ def repair(store: Store, fingerprint: dict, files: DataFrame | None = None) -> d
     sound = [p for p in parts if str(p) not in wrong.get("vectors", ())]
     held = store.table("vectors", sound) if embeds and sound else None
     tables = index_tables(chunks, buckets, embedder=name if embeds else None, held=held, centroids=centroids(store) if embeds else None)
-    store.publish({k: v for k, v in tables.items() if k in meta["tables"]}, fingerprint, "bucket", replaced=parts, order=ORDER, buckets=buckets)
+    store.publish({k: v for k, v in needed(tables, tuple(meta["tables"])).items() if k in meta["tables"]}, fingerprint, "bucket", replaced=parts, order=ORDER, buckets=buckets)
     return {k: sorted(v, key=int) for k, v in wrong.items()}
