@@ -85,7 +85,7 @@ SQL["owned_chunks"] = with_sql(FILES, INDEXED, chunks_sql("indexed", "i_")) + ""
 
 def _read_back(s, d):
     """The ids that the index should have against those it has."""
-    return reconcile.parity(base.chunks(s, d), base.index(s, d).table("forward"))
+    return reconcile.parity(base.chunks(s, d), base.index(s, d, "forward").table("forward"))
 
 
 Q["read_back"] = _read_back
