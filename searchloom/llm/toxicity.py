@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchloom.llm.bpe import LETTER, NUMBER, SPACE, class_table
-from searchloom.llm.labelled import sample, without_copies
+from searchloom.llm.labelled import fitted, without_copies
 from searchloom.llm.tables import with_rest
 from searchloom.llm.textcore import SEGMENT, U64, flat_bytes, mix, powers, segments, trimmed, worker_cache, worker_slot
 
@@ -402,4 +402,9 @@ def score(df: DataFrame, machine: Machine | None, text: str = "text", keep: list
 
 def train(docs: DataFrame, labels: DataFrame, condition, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Machine | None:
     """The machine fitted on the labelled documents for which condition holds."""
-    return fit(*sample(docs, labels, label, condition, text, key))
+    made = fitted(lambda *given: (m := fit(*given)) and vars(m), docs, labels, label, condition, text, key)
+    if made is None:
+        return None
+    machine = Machine(None, 0.0, 1.0, 0.0)
+    vars(machine).update(made)
+    return machine
