@@ -37,6 +37,22 @@ def test_a_query_publishes_what_it_reads(spark, fresh):
     assert set(tables(store)) == {"chunks", *index.MADE_OF} and tables(store)["chunks"] == first["chunks"]
 
 
+def test_searches_by_words_write_no_tokens(spark, fresh, monkeypatch):
+    names = ("bm25_topk", "bm25_filtered", "bm25_phrase", "hybrid_search")
+    got = {n: sorted(map(tuple, search.Q[n](spark, SF).collect()), key=str) for n in names}
+    store = base.index(spark, SF, "chunks").store
+    alone = tables(store)
+    assert set(alone) == {"chunks", "postings", "terms", "sizes", "vectors"}
+    sums = {n: sorted(map(tuple, store.table(n).collect())) for n in ("terms", "sizes")}
+    assert search.Q["bm25_batched"](spark, SF).count() > 0
+    later = tables(store)
+    assert set(later) == {*alone, "forward"} and all(later[n] == held for n, held in alone.items())
+    monkeypatch.setattr(base, "_INDEXES", {})
+    whole = base.index(spark, SF).store
+    assert sums == {n: sorted(map(tuple, whole.table(n).collect())) for n in sums}
+    assert got == {n: sorted(map(tuple, search.Q[n](spark, SF).collect()), key=str) for n in names}
+
+
 def test_terms_are_summed_without_postings(spark):
     rows = [(b, f"c{i}", ["a", "b", "a"] if i % 2 else ["b", f"é{i}"] if i % 3 else []) for i in range(60) for b in [i % 4]]
     forward = spark.createDataFrame([(b, i, len(t), t) for b, i, t in rows], "bucket int, id string, dl int, tokens array<string>").coalesce(1)
