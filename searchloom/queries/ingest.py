@@ -11,7 +11,7 @@ from searchloom.queries import base, state
 from searchloom.queries.base import FILES, chunks_sql, with_sql
 from searchloom.sources.corpus import table
 from searchloom.sources.generation import Generations
-from searchloom.sources.scratch import file_system, shared_path, written
+from searchloom.sources.scratch import file_system, shared_path, swept, written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -96,14 +96,18 @@ SQL["restored_index"] = with_sql(FILES, chunks_sql()) + "SELECT section, count(D
 
 def _health(s, d):
     """The index's tables of one row a chunk, with their parts that are damaged or
-    whose ids diverge."""
-    store = base.index(s, d).store
-    damaged = store.damaged()
-    tables = [(n, store.meta()["tables"][n]["rows"], len(damaged.get(n, ()))) for n in ("chunks", "forward", "vectors")]
+    whose ids diverge. The ids of one table after the other are told apart, so that
+    the disk holds one table's at a time."""
+    names = ("chunks", "forward", "vectors")
+    store = base.index(s, d, *names).store
+    damaged, tables = store.damaged(), []
+    for n in names:
+        ids = store.table(n).agg(F.count_distinct("id")).head()[0]
+        swept(s)
+        tables.append((n, store.meta()["tables"][n]["rows"], ids, len(damaged.get(n, ()))))
     apart = repair.diverging(store).groupBy("table").agg(F.count(F.lit(1)).alias("diverging"))
-    told = base.rows(s, tables, "table string, told long, damaged long")
-    found = base.union([store.table(n).agg(F.lit(n).alias("table"), F.count_distinct("id").alias("ids")) for n, _, _ in tables])
-    return told.join(found, "table").join(apart, "table", "left").select("table", F.col("told").alias("rows"), "ids", "damaged", F.coalesce("diverging", F.lit(0)).alias("diverging"))
+    told = base.rows(s, tables, "table string, rows long, ids long, damaged long")
+    return told.join(apart, "table", "left").select("table", "rows", "ids", "damaged", F.coalesce("diverging", F.lit(0)).alias("diverging"))
 
 
 Q["index_health"] = _health

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from searchloom.functions.text import fold, index_tokens
-from searchloom.queries import base, contract, search
+from searchloom.queries import base, contract, ingest, search
 from searchloom.sources import index
 from searchloom.sources.store import Store
 
@@ -53,6 +53,13 @@ def test_searches_by_words_write_no_tokens(spark, fresh, monkeypatch):
     assert got == {n: sorted(map(tuple, search.Q[n](spark, SF).collect()), key=str) for n in names}
 
 
+def test_health_publishes_what_it_tells_of(spark, fresh):
+    rows = {r.table: r for r in ingest.Q["index_health"](spark, SF).collect()}
+    held = tables(base.index(spark, SF, "chunks").store)
+    assert set(held) == set(rows) == {"chunks", "forward", "vectors"}
+    assert all(r.rows == r.ids == held[n]["rows"] and not r.damaged and not r.diverging for n, r in rows.items())
+
+
 def test_terms_are_summed_without_postings(spark):
     rows = [(b, f"c{i}", ["a", "b", "a"] if i % 2 else ["b", f"é{i}"] if i % 3 else []) for i in range(60) for b in [i % 4]]
     forward = spark.createDataFrame([(b, i, len(t), t) for b, i, t in rows], "bucket int, id string, dl int, tokens array<string>").coalesce(1)
