@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from searchloom.functions.text import fold, index_tokens
-from searchloom.queries import base, contract, ingest, search
+from searchloom.queries import base, contract, ingest, search, state
 from searchloom.sources import index
 from searchloom.sources.store import Store
 
@@ -60,6 +60,12 @@ def test_health_publishes_what_it_tells_of(spark, fresh):
     assert all(r.rows == r.ids == held[n]["rows"] and not r.damaged and not r.diverging for n, r in rows.items())
 
 
+def test_texts_of_documents_without_hits_stay(spark):
+    hits = spark.createDataFrame([(0, "src0/0.md::x::v3::0", 1), (1, "src1/1.md::x::v3::0", 2)], "query_id int, id string, rank int")
+    plan = state._ranks(spark, SF, hits)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "broadcast" in plan
+
+
 def test_terms_are_summed_without_postings(spark):
     rows = [(b, f"c{i}", ["a", "b", "a"] if i % 2 else ["b", f"é{i}"] if i % 3 else []) for i in range(60) for b in [i % 4]]
     forward = spark.createDataFrame([(b, i, len(t), t) for b, i, t in rows], "bucket int, id string, dl int, tokens array<string>").coalesce(1)
